@@ -31,11 +31,13 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: dic
         .agg(F.count(F.lit(1)).alias("_n"))
     )
     # scalar subquery: the bucket borders, an array whose length is fixed by ``buckets``
-    cuts = seen.agg(F.percentile_approx("_v", F.array(*[F.lit(i / buckets) for i in range(1, buckets)]), 10000)
-                    .alias("_cuts"))
+    # (_n is read as well so that this branch and the next share one shuffle of ``seen``)
+    cuts = seen.agg(F.struct(
+        F.percentile_approx("_v", F.array(*[F.lit(i / buckets) for i in range(1, buckets)]), 10000).alias("at"),
+        F.sum("_n").alias("n")))
     spread = (
         seen.withColumn("_cuts", cuts.scalar())
-        .withColumn("_b", F.size(F.filter("_cuts", lambda s: s < F.col("_v")))).drop("_cuts")
+        .withColumn("_b", F.size(F.filter("_cuts.at", lambda s: s < F.col("_v")))).drop("_cuts")
     )
     per_bucket = spread.groupBy(*keys, "_b").agg(F.sum("_n").alias("_m"))
     w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))

@@ -180,7 +180,7 @@ def case_metrics(spark, sf):
 
 @query("split_comparison", sql=with_ctes(S.monthly("part"), QT, S.WELLS, """
 s AS (SELECT target, abs(a_p50-y) AS e, row_number() OVER (PARTITION BY target ORDER BY first_prod, entity_id) > 0.75*count(*) OVER (PARTITION BY target) AS late, u > 0.75 AS rnd
-  FROM qt JOIN wells USING (entity_id))""", select="""
+  FROM qt JOIN (SELECT entity_id, first_prod FROM wells) USING (entity_id))""", select="""
 SELECT target, round(avg(e) FILTER (WHERE late),4) AS mae_time, round(avg(e) FILTER (WHERE rnd),4) AS mae_random,
  round(100*(1-avg(e) FILTER (WHERE rnd)/avg(e) FILTER (WHERE late)),4) AS optimism_pct FROM s GROUP BY 1"""))
 def split_comparison(spark, sf):
@@ -266,18 +266,18 @@ def first_crossing(spark, sf):
 
 
 @query("period_chain", sql=with_ctes(S.WELLS, """
-y AS (SELECT unit_id, CAST(year(l_shipdate) AS BIGINT) AS yr, round(sum(l_extendedprice)/10000,4) AS prod FROM lineitem JOIN wells ON entity_id = l_partkey GROUP BY ALL)""",
+y AS (SELECT unit_id, CAST(year(l_shipdate) AS BIGINT) AS yr, sum(l_extendedprice)/10000 AS prod FROM lineitem JOIN wells ON entity_id = l_partkey GROUP BY ALL)""",
        select="""SELECT unit_id, yr, row_number() OVER w > 1 AS carried,
-  round(50000.0 - 0.5*coalesce(sum(prod) OVER (PARTITION BY unit_id ORDER BY yr ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0), 6) AS opening_used,
-  round(50000.0 - 0.5*sum(prod) OVER (PARTITION BY unit_id ORDER BY yr), 6) AS closing FROM y WINDOW w AS (PARTITION BY unit_id ORDER BY yr)"""))
+  round(50000.0 - 0.5*coalesce(sum(prod) OVER (PARTITION BY unit_id ORDER BY yr ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0), 8) AS opening_used,
+  round(50000.0 - 0.5*sum(prod) OVER (PARTITION BY unit_id ORDER BY yr), 8) AS closing FROM y WINDOW w AS (PARTITION BY unit_id ORDER BY yr)"""))
 def period_chain(spark, sf):
     li = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("entity_id"), F.year("l_shipdate").cast("long").alias("yr"), "l_extendedprice")
     y = li.groupBy("entity_id", "yr").agg(F.sum("l_extendedprice").alias("v")).join(wells(spark, sf).select("entity_id", "unit_id"), "entity_id")
-    y = y.groupBy("unit_id", "yr").agg(F.round(F.sum("v") / 10000, 4).alias("prod"))
+    y = y.groupBy("unit_id", "yr").agg((F.sum("v") / 10000).alias("prod"))
     first = F.row_number().over(Window.partitionBy("unit_id").orderBy("yr")) == 1
     y = y.withColumn("opening", F.when(first, 50000.0))
     done = A.period_chain(y, unit="unit_id", period="yr", opening="opening", step=lambda o, r: o - r["prod"] * 0.5)
-    return done.select("unit_id", "yr", "carried", rnd("opening_used", 6).alias("opening_used"), rnd("closing", 6).alias("closing"))
+    return done.select("unit_id", "yr", "carried", rnd("opening_used", 8).alias("opening_used"), rnd("closing", 8).alias("closing"))
 
 
 # ------------------------------------------------------------------ joins, ordering, scalar functions

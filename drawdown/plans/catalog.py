@@ -1,5 +1,5 @@
 """Importing this module registers every query."""
 from __future__ import annotations
 
-from . import hygiene, series, aggregates  # noqa: F401
+from . import aggregates, calibration, decline, geometry, hygiene, series  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
