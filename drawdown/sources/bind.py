@@ -100,3 +100,49 @@ def well_events(spark: SparkSession, sf: str) -> DataFrame:
 
 def calendar_rate(monthly_df: DataFrame) -> DataFrame:
     return monthly_df.withColumn("rate", F.col("oil") / days_in_month("mi"))
+
+
+# ------------------------------------------------------------------ unit evaluation roles
+def account_monthly(spark: SparkSession, sf: str) -> DataFrame:
+    """Monthly series of each customer: shipped quantity, producing days = days with an open line."""
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_quantity", "l_discount", "l_linestatus", F.to_date("l_shipdate").alias("dt"))
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("entity_id"))
+    d = li.join(o, "l_orderkey").groupBy("entity_id", "dt").agg(
+        F.sum("l_quantity").alias("oil"), F.round(10 * F.sum(F.col("l_quantity") * F.col("l_discount")), 4).alias("water"),
+        F.max(F.when(F.col("l_linestatus") == "O", 1).otherwise(0)).alias("on"))
+    return d.groupBy("entity_id", month_index("dt").alias("mi")).agg(
+        F.sum("oil").alias("oil"), F.round(F.sum("water"), 4).alias("water"), F.sum("on").cast("int").alias("days_on"),
+        F.count(F.lit(1)).cast("int").alias("days"))
+
+
+def accounts(spark: SparkSession, sf: str, monthly_df: DataFrame | None = None) -> DataFrame:
+    """Master data of the customers: unit = segment/region, plant = segment, planar offsets, first month."""
+    m = monthly_df if monthly_df is not None else account_monthly(spark, sf)
+    first = m.groupBy("entity_id").agg(F.min("mi").alias("fmi"))
+    n = table(spark, sf, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_regionkey")
+    cu = table(spark, sf, "customer").join(F.broadcast(n), "c_nationkey")  # nation has 25 rows
+    return cu.select(
+        F.col("c_custkey").alias("entity_id"), F.concat_ws("/", "c_mktsegment", F.col("n_regionkey").cast("string")).alias("unit_id"),
+        F.col("c_mktsegment").alias("plant"), F.col("c_acctbal").alias("x"), (F.col("c_custkey") * 7919 % 10007).cast("double").alias("y"),
+        (0.9 + 0.05 * F.col("n_regionkey")).alias("opex_factor")).join(first, "entity_id")
+
+
+def account_events(spark: SparkSession, sf: str) -> DataFrame:
+    """First urgent order of each customer and year: (entity_id, emi, event_type)."""
+    o = table(spark, sf, "orders").where("o_orderpriority = '1-URGENT'")
+    e = o.groupBy(F.col("o_custkey").alias("entity_id"), F.year("o_orderdate").alias("y")).agg(
+        F.min(F.struct(F.to_date("o_orderdate").alias("dt"), F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("event_type"))).alias("e"))
+    return e.select("entity_id", month_index("e.dt").alias("emi"), "e.event_type")
+
+
+def locations(spark: SparkSession, sf: str) -> DataFrame:
+    """Planned locations from ``supplier``."""
+    k = F.col("s_suppkey")
+    n = table(spark, sf, "nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_regionkey")
+    seg = F.array(*[F.lit(s) for s in ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")])
+    return table(spark, sf, "supplier").join(F.broadcast(n), "s_nationkey").select(
+        k.alias("location_id"), F.concat_ws("/", F.get(seg, (k % 5).cast("int")), F.col("n_regionkey").cast("string")).alias("unit_id"),
+        F.col("s_acctbal").alias("x"), (k * 7919 % 10007).cast("double").alias("y"), (23965 + k * 13 % 90).cast("int").alias("planned_mi"),
+        F.when(k % 3 > 0, 23900 + k * 7 % 80).cast("int").alias("first_booked_mi"),
+        F.when(k % 11 == 0, "drilled").when(k % 13 == 0, "cancelled").otherwise("planned").alias("status"),
+        F.when(k % 11 == 0, F.when(k % 2 == 0, k)).alias("drilled_id"), F.when(k % 4 > 0, 100.0 * (k % 7)).alias("capex"))
