@@ -9,6 +9,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import materialise
 from ..functions.columns import DAYS_PER_MONTH, c, days_in_month, guarded_slope, safe_div
 from ..functions.curves import fit_udf, rate, remaining_struct
 from .decline import TERMINAL, entity_decline_fit, remaining_low_best
@@ -275,7 +276,7 @@ def old_entities(monthly: DataFrame, master: DataFrame, effects: DataFrame, curv
     pts = m.where(usable).select(entity, F.col("ptime").alias("t"), F.col("fit_rate").alias("q"))
     fits = entity_decline_fit(pts, entity, min_tail=cfg.min_fit)
     j = head.join(fits, entity, "left")
-    j = j.withColumn("now_eff", F.when(F.col("_prod") == 1, as_of - F.col("gap")).otherwise(F.col("_last_eff")))
+    j = materialise(j.withColumn("now_eff", F.when(F.col("_prod") == 1, as_of - F.col("gap")).otherwise(F.col("_last_eff"))))
     fitted = j.where("best IS NOT NULL").join(econ.select(unit, "scenario", "q_econ", "restart_min"), unit)
     fitted = remaining_low_best(fitted, q_econ=F.col("q_econ"), now=F.col("now_eff"))
     fitted = fitted.withColumn("rate_now", rate(F.col("now_eff") - F.col("fit_start"), F.col("best")))
@@ -371,9 +372,9 @@ def evaluate(monthly: DataFrame, master: DataFrame, events: DataFrame, new_entit
     start = as_of - cfg.period + 1
     info = master.select(entity, unit, "fmi")
     m = monthly.where(F.col("mi") <= as_of)
-    eff = measure_effects(m, events, as_of, cfg, entity=entity).join(info, entity).withColumn(
-        "in_period", (F.col("emi") >= start) & (F.col("fmi") < start))
-    curves = packed_curve(type_curve(m, master, as_of, cfg, unit=unit, entity=entity), unit=unit)
+    eff = materialise(measure_effects(m, events, as_of, cfg, entity=entity).join(info, entity).withColumn(
+        "in_period", (F.col("emi") >= start) & (F.col("fmi") < start)))
+    curves = materialise(packed_curve(type_curve(m, master, as_of, cfg, unit=unit, entity=entity), unit=unit))
     old = old_entities(m, master, eff.where("in_period"), curves, econ, as_of, cfg, entity=entity, unit=unit)
     fresh = new_entities.select(entity, unit, "fmi", "category", "n_old")
     rows = m.join(fresh.select(entity), entity, "left_semi")

@@ -9,13 +9,14 @@ from ..functions.columns import rnd
 from ..operators import economics as E, stats as A, unit as U
 from ..operators.ranking import top_k
 from ..operators.spatial import radius_count
+from ..session import materialise
 from ..sources.bind import account_events, account_monthly, accounts, locations
 from . import sqlkit as S
 from .registry import query, with_ctes
 from .unitsql import BASE, LOC, evaluation
 
-OPEN, CLOSE = 1996 * 12 + 11, 1997 * 12 + 11
-CFG = U.Config(period=12, idle=3, min_fit=6, open_share=0.0, curve_history=18, curve_wells=5, dynamic_months=6, min_pre=6, min_post=2,
+OPEN, CLOSE = 23945, 23957  # the customers start within about a year
+CFG = U.Config(period=12, idle=3, min_fit=6, open_share=0.0, curve_history=12, curve_wells=5, dynamic_months=6, min_pre=6, min_post=2,
                min_days_on=1, pud_radius=400.0)
 RADIUS, MIN_OLD = 250.0, 3
 SEC26 = [("sec", "deck_2026_12", "sec")]
@@ -45,8 +46,8 @@ def fresh(acc: DataFrame, as_of: int, cfg=CFG) -> DataFrame:
 
 
 def inputs(spark, sf):
-    m = account_monthly(spark, sf)
-    return m, accounts(spark, sf, m), account_events(spark, sf)
+    m = materialise(account_monthly(spark, sf))
+    return m, materialise(accounts(spark, sf, m)), account_events(spark, sf)
 
 
 def run(spark, sf, as_of, econ_rows, model=None, cfg=CFG):
@@ -81,8 +82,8 @@ def analog_forecast(spark, sf):
 EFF_COLS = "entity_id, emi, event_type, unit_id, status, n_pre, n_post, round(realized,3) AS realized, CASE WHEN status='ok' THEN round(d_inc,6) END AS d_inc, CASE WHEN status='ok' THEN round(inc_now,6) END AS inc_now, CASE WHEN status='ok' THEN round(rate_gain,6) END AS rate_gain, round(pre_rate,6) AS pre_rate, CASE WHEN status='ok' THEN realized > 0 END AS effective"
 
 
-def effects(spark, sf, as_of):
-    m, acc, ev = inputs(spark, sf)
+def effects(spark, sf, as_of, ins=None):
+    m, acc, ev = ins or inputs(spark, sf)
     start = as_of - CFG.period + 1
     return U.measure_effects(m, ev, as_of, CFG).join(acc.select("entity_id", "unit_id", "fmi"), "entity_id").withColumn(
         "in_period", (F.col("emi") >= start) & (F.col("fmi") < start))
@@ -96,8 +97,9 @@ def measure_effects(spark, sf):
 
 
 def done(spark, sf, as_of, econ_rows):
-    _, acc, _ = inputs(spark, sf)
-    e = effects(spark, sf, as_of).where("in_period AND status = 'ok'").join(labelled(limits(spark, acc), econ_rows).select("unit_id", "scenario", "q_econ"), "unit_id")
+    ins = inputs(spark, sf)
+    acc = ins[1]
+    e = effects(spark, sf, as_of, ins).where("in_period AND status = 'ok'").join(labelled(limits(spark, acc), econ_rows).select("unit_id", "scenario", "q_econ"), "unit_id")
     return e.withColumn("inc_remaining", U.increment_remaining("q_econ"))
 
 

@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,18 +26,25 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise through the cluster's reliable checkpoint folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``; a temporary one only in local mode."""
+    folder = (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+              or spark.sparkContext.getCheckpointDir())
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    return os.path.join(tempfile.gettempdir(), "drawdown-tables")
 
-    ``spark.checkpoint.dir`` names a shared folder on a cluster. Only where the setting is absent
-    (unit tests, a laptop) is a temporary folder chosen.
+
+def materialise(df: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Write an intermediate table to the shared folder and read it back.
+
+    Used where one result feeds several branches (a monthly roll-up, one fit per entity): the branches then
+    scan a small columnar table with known size instead of repeating the upstream work, and a lost executor
+    costs a re-read, not a recomputation.
     """
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-        folder = os.path.join(tempfile.gettempdir(), "drawdown-checkpoint")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint()
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/{df.sparkSession.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    out = df if partitions is None else df.coalesce(partitions)
+    out.write.mode("errorifexists").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
