@@ -285,7 +285,8 @@ def old_entities(monthly: DataFrame, master: DataFrame, effects: DataFrame, curv
     rows = m.where(producing & usable).select(entity, "mi", "oil").join(short.select(entity), entity, "left_semi")
     alt = new_entity_reserves(rows, short.select(entity, unit, "fmi"), curves, econ, as_of, cfg, entity=entity, unit=unit)
     alt = alt.where("reserves IS NOT NULL").select(entity, "scenario", F.col("reserves").alias("_alt"), F.col("basis").alias("_basis"), F.col("rate_now").alias("_alt_rate"))
-    base = j.select(entity, unit, "cutoff", "_prod", "last_prod", "gap", F.col("best").isNotNull().alias("_fit"), "n_fit").join(
+    base = j.select(entity, unit, "cutoff", "_prod", "last_prod", "gap", F.col("best").isNotNull().alias("_fit"), "n_fit",
+                    "best", "low", "fit_start", "now_eff").join(
         econ.select(unit, "scenario"), unit)
     f = fitted.select(entity, "scenario", "remaining_low", "remaining_best", "rate_now", "restart_min")
     out = base.join(f, [entity, "scenario"], "left").join(alt, [entity, "scenario"], "left")
@@ -304,7 +305,8 @@ def old_entities(monthly: DataFrame, master: DataFrame, effects: DataFrame, curv
         F.when(prod & F.col("_fit"), F.col("remaining_best")).when(prod, F.coalesce("_alt", zero)).otherwise(zero).alias("remaining_best"),
         F.when(prod, F.coalesce("rate_now", "_alt_rate")).alias("rate_now"), "pdnp_status",
         F.when(~prod, F.when(F.col("pdnp_status") == "booked", F.col("remaining_low")).otherwise(zero)).alias("pdnp"),
-        F.when((F.col("pdnp_status").isin("booked", "uneconomic")), F.col("remaining_low")).alias("pdnp_estimate"))
+        F.when((F.col("pdnp_status").isin("booked", "uneconomic")), F.col("remaining_low")).alias("pdnp_estimate"),
+        "cutoff", "best", "low", "fit_start", "now_eff")
 
 
 # ------------------------------------------------------------------ planned locations
