@@ -11,7 +11,7 @@ from ..sources.snapshot import fingerprint, snapshot
 from . import sqlkit as S
 from .fitsql import remaining_ctes
 from .registry import query, with_ctes
-from .unit import (ALL26, CFG, CLOSE, CLOSE_ECON, OPEN, SEC25, SEC26, comp_sql, ev_sql, fresh, labelled, limits, planned, pud_sql)
+from .unit import (ALL26, CFG, cfg_of, CLOSE, CLOSE_ECON, OPEN, SEC25, SEC26, comp_sql, ev_sql, fresh, labelled, limits, planned, pud_sql)
 from .unitsql import new_ctes
 
 NAMES = ("old", "new", "done", "components", "production", "curves")
@@ -35,7 +35,7 @@ def evaluated(spark, sf, which):
 
     def build():
         m, acc = base(spark, sf, digest)
-        ev = U.evaluate(m, acc, account_events(spark, sf), fresh(acc, as_of), labelled(limits(spark, acc), rows), as_of, CFG)
+        ev = U.evaluate(m, acc, account_events(spark, sf), fresh(acc, as_of), labelled(limits(spark, acc), rows), as_of, cfg_of(as_of))
         return {"old": ev.old, "new": ev.new, "done": ev.effects, "components": ev.components, "production": ev.production, "curves": ev.curves}
 
     t = snapshot(spark, f"{digest}/{which}", build, NAMES)
@@ -444,7 +444,7 @@ def report_rows(spark, sf):
 
 
 @query("asset_book", sql=with_ctes(ev_sql("c", CLOSE, SEC26), select=f"""
-SELECT a.unit_id, round(coalesce(o.nbv,0),2) AS opening_nbv, round(coalesce(n.capex,0)+coalesce(e.cost,0),2) AS additions FROM (SELECT DISTINCT unit_id FROM acc) a
+SELECT a.unit_id, round(coalesce(o.nbv,0),2) AS opening_nbv, round((coalesce(n.capex,0)+coalesce(e.cost,0))::DOUBLE,2) AS additions FROM (SELECT DISTINCT unit_id FROM acc) a
 LEFT JOIN (SELECT unit_id, sum(CASE WHEN x > 5000 THEN 450.0 ELSE 400.0 END*greatest(0.1,least(1.0,1-({CLOSE - 11}-fmi)/12.0/8))) AS nbv FROM acc WHERE fmi < {CLOSE - 11} GROUP BY 1) o USING (unit_id)
 LEFT JOIN (SELECT unit_id, sum(CASE WHEN x > 5000 THEN 450.0 ELSE 400.0 END) AS capex FROM acc WHERE fmi BETWEEN {CLOSE - 11} AND {CLOSE} GROUP BY 1) n USING (unit_id)
 LEFT JOIN (SELECT unit_id, sum(CASE event_type WHEN 'F' THEN 90.0 WHEN 'O' THEN 35.0 ELSE 30.0 END) AS cost FROM aev JOIN acc USING (entity_id) WHERE emi BETWEEN {CLOSE - 11} AND {CLOSE} GROUP BY 1) e USING (unit_id)"""))

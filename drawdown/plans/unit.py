@@ -1,6 +1,7 @@
 """Queries: unit evaluation on the customer series."""
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
@@ -15,10 +16,17 @@ from . import sqlkit as S
 from .registry import query, with_ctes
 from .unitsql import BASE, LOC, evaluation
 
-OPEN, CLOSE = 23945, 23957  # the customers start within about a year
+OPEN, CLOSE = 23947, 23959  # 1995-08 and 1996-08: most customers start within the first year
 CFG = U.Config(period=12, idle=3, min_fit=6, open_share=0.0, curve_history=12, curve_wells=5, dynamic_months=6, min_pre=6, min_post=2,
                min_days_on=1, pud_radius=400.0)
+CFG_OPEN = replace(CFG, period=6, curve_history=6)
 RADIUS, MIN_OLD = 250.0, 3
+
+
+def cfg_of(as_of: int) -> U.Config:
+    return CFG_OPEN if as_of == OPEN else CFG
+
+
 SEC26 = [("sec", "deck_2026_12", "sec")]
 ALL26 = SEC26 + [("assessment", "deck_2026_12", "assessment"), ("impairment", "deck_2026_12", "impairment")]
 SEC25 = [("sec", "deck_2025_12", "sec")]
@@ -37,8 +45,8 @@ def labelled(lim: DataFrame, rows) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).select("unit_id", "scenario", "price", "net_t", "opex_month", "q_econ", "restart_min")
 
 
-def fresh(acc: DataFrame, as_of: int, cfg=CFG) -> DataFrame:
-    start = as_of - cfg.period + 1
+def fresh(acc: DataFrame, as_of: int) -> DataFrame:
+    start = as_of - cfg_of(as_of).period + 1
     new = acc.where(F.col("fmi").between(start, as_of))
     c = radius_count(new.select("entity_id", "x", "y"), acc.where(F.col("fmi") < start), RADIUS, out="n_old").select("entity_id", "n_old")
     return new.join(c, "entity_id").withColumn("category", F.when(F.col("n_old") >= MIN_OLD, "infill").otherwise("extension")).select(
@@ -50,13 +58,14 @@ def inputs(spark, sf):
     return m, materialise(accounts(spark, sf, m)), account_events(spark, sf)
 
 
-def run(spark, sf, as_of, econ_rows, model=None, cfg=CFG):
+def run(spark, sf, as_of, econ_rows, model=None):
+    cfg = cfg_of(as_of)
     m, acc, ev = inputs(spark, sf)
-    return U.evaluate(m, acc, ev, fresh(acc, as_of, cfg), labelled(limits(spark, acc), econ_rows), as_of, cfg, model=model)
+    return U.evaluate(m, acc, ev, fresh(acc, as_of), labelled(limits(spark, acc), econ_rows), as_of, cfg, model=model)
 
 
 def ev_sql(p, as_of, econ, model=None):
-    return [*BASE, *evaluation(p, as_of, CFG, econ, RADIUS, MIN_OLD, model)]
+    return [*BASE, *evaluation(p, as_of, cfg_of(as_of), econ, RADIUS, MIN_OLD, model)]
 
 
 @query("economic_limits", sql=with_ctes(BASE, select="SELECT unit_id, deck, scenario, round(price,4) AS price, round(net_t,4) AS net_t, round(opex_month,2) AS opex_month, round(q_econ,6) AS q_econ FROM lim"))
@@ -255,9 +264,9 @@ def pud_sql(p, as_of, name):
 def planned(spark, sf, as_of, econ_rows):
     m, acc, _ = inputs(spark, sf)
     act = acc.join(m.where(F.col("mi").between(as_of - 2, as_of) & (F.col("oil") > 0)).select("entity_id").distinct(), "entity_id", "left_semi")
-    curves = U.packed_curve(U.type_curve(m, acc, as_of, CFG))
+    curves = U.packed_curve(U.type_curve(m, acc, as_of, cfg_of(as_of)))
     drilled = acc.select(F.col("entity_id").alias("drilled_id"), F.col("fmi").alias("drilled_fmi"))
-    return U.planned_locations(locations(spark, sf), act, drilled, curves, labelled(limits(spark, acc), econ_rows), as_of, CFG, fx=E.FX, default_capex=E.PUD_CAPEX)
+    return U.planned_locations(locations(spark, sf), act, drilled, curves, labelled(limits(spark, acc), econ_rows), as_of, cfg_of(as_of), fx=E.FX, default_capex=E.PUD_CAPEX)
 
 
 @query("planned_locations", sql=with_ctes(ev_sql("c", CLOSE, ALL26), pud_sql("c", CLOSE, "pud"), select="""
