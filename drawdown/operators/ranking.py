@@ -107,3 +107,15 @@ def top_k(df: DataFrame, keys: Sequence[str], order, k: int, rank: str = "rk") -
     order = order if isinstance(order, (list, tuple)) else [order]
     w = Window.partitionBy(*keys).orderBy(*[c(o) for o in order])
     return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= k)
+
+
+def scored_rank(df: DataFrame, keys: Sequence[str], score: str, ident: str, out: str, buckets: int = 128) -> DataFrame:
+    """Exact rank by falling score (then ident) inside ``keys`` without sorting a whole key in one task."""
+    keys = list(keys)
+    cuts = df.agg(F.percentile_approx(score, F.array(*[F.lit(i / buckets) for i in range(1, buckets)]), 10000))
+    spread = df.withColumn("_cuts", cuts.scalar()).withColumn("_b", F.size(F.filter("_cuts", lambda s: s >= F.col(score)))).drop("_cuts")
+    per = spread.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_m"))
+    w = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.withColumn("_off", F.coalesce(F.sum("_m").over(w), F.lit(0))).drop("_m")
+    inside = F.row_number().over(Window.partitionBy(*keys, "_b").orderBy(F.desc(score), ident))
+    return spread.join(per, [*keys, "_b"]).withColumn(out, F.col("_off") + inside).drop("_b", "_off")

@@ -1,5 +1,5 @@
 """Importing this module registers every query."""
 from __future__ import annotations
 
-from . import aggregates, business, calibration, decline, geometry, hygiene, series, unit  # noqa: F401
+from . import aggregates, business, calibration, decline, forecast, geometry, hygiene, series, text, unit  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
