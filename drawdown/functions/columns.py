@@ -92,9 +92,9 @@ def horner(coefs: Sequence[float], x: Column) -> Column:
     return out
 
 
-def normal_ppf(u) -> Column:
+def normal_ppf(u, tail=None) -> Column:
     u = c(u)
-    tail = F.sqrt(-2.0 * F.ln(F.when(u < 0.5, u).otherwise(1.0 - u)))
+    tail = c(tail) if tail is not None else F.sqrt(-2.0 * F.ln(F.when(u < 0.5, u).otherwise(1.0 - u)))
     t = horner(PPF_C, tail) / (horner(PPF_D, tail) * tail + 1.0)
     q = u - 0.5
     r = q * q
@@ -102,6 +102,15 @@ def normal_ppf(u) -> Column:
     return F.when(u < PPF_LOW, t).when(u > 1 - PPF_LOW, -t).otherwise(mid)
 
 
+def with_normal(df, name: str, *keys):
+    """Add a standard normal draw keyed by a hash; the uniform and the tail term are separate columns so that each
+    row evaluates them once."""
+    u, t = f"_u_{name}", f"_t_{name}"
+    d = df.withColumn(u, hash_uniform(*keys))
+    d = d.withColumn(t, F.sqrt(-2.0 * F.ln(F.when(F.col(u) < 0.5, F.col(u)).otherwise(1.0 - F.col(u)))))
+    return d.withColumn(name, normal_ppf(u, t)).drop(u, t)
+
+
 def normal_cdf(z) -> Column:
     z = c(z)
     t = 1.0 / (1.0 + CDF_P * F.abs(z))

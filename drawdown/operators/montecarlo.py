@@ -9,7 +9,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.columns import array_lerp, c, hash_uniform, normal_cdf, normal_ppf
+from ..functions.columns import array_lerp, c, normal_cdf, normal_ppf, with_normal
 
 # Volumetric constants.
 RHO, BO = 0.85, 1.15
@@ -27,11 +27,12 @@ def ooip(area, pay, porosity_pct, saturation_pct) -> Column:
     return c(area) * c(pay) * (c(porosity_pct) / 100.0) * (c(saturation_pct) / 100.0) * RHO / BO
 
 
-def sample(u: Column, mean, cv: float, dist: str = "lognormal", low: float | None = None, high: float | None = None) -> Column:
-    """Inverse-CDF draw from u, clipped to [low, high]."""
+def sample(u: Column, mean, cv: float, dist: str = "lognormal", low: float | None = None, high: float | None = None, z: Column | None = None) -> Column:
+    """Inverse-CDF draw from u (or from a ready normal draw z), clipped to [low, high]."""
     m = c(mean)
+    z = normal_ppf(u) if z is None and dist != "triangular" else z
     if dist == "normal":
-        v = m + m * cv * normal_ppf(u)
+        v = m + m * cv * z
     elif dist == "triangular":
         a = F.lit(low) if low is not None else m * (1 - 2 * cv)
         b = F.lit(high) if high is not None else m * (1 + 2 * cv)
@@ -39,7 +40,7 @@ def sample(u: Column, mean, cv: float, dist: str = "lognormal", low: float | Non
         v = F.when(u < f, a + F.sqrt(u * (b - a) * (m - a))).otherwise(b - F.sqrt((1 - u) * (b - a) * (b - m)))
     else:
         sigma = math.sqrt(math.log(1 + cv * cv))
-        v = F.exp(F.ln(F.greatest(m, F.lit(1e-9))) - sigma * sigma / 2 + sigma * normal_ppf(u))
+        v = F.exp(F.ln(F.greatest(m, F.lit(1e-9))) - sigma * sigma / 2 + sigma * z)
     v = F.greatest(v, F.lit(low if low is not None else 1e-9))
     return F.least(v, F.lit(high)) if high is not None else v
 
@@ -48,15 +49,18 @@ def volumetric(df: DataFrame, n: int, seed: int, *, entity: str = "entity_id", l
                porosity: str = "porosity", saturation: str = "saturation", recovery: str | None = None, cv: float = CV_PAY) -> DataFrame:
     """p10/p50/p90/mean/sd of the oil in place per entity (and of the recoverable volume). ``n`` draws per entity."""
     d = df.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).repartition(entity)
-    def u(tag):
-        return hash_uniform(F.lit(seed), F.lit(tag), entity, "_i")
-    v = ooip(sample(u("area"), drainage_area(lateral), CV_AREA), sample(u("pay"), pay, cv),
-             sample(u("porosity"), porosity, cv * 0.8, high=POROSITY_MAX), sample(u("saturation"), saturation, cv * 0.6, high=SATURATION_MAX))
+    tags = ("area", "pay", "porosity", "saturation") + (("recovery",) if recovery else ())
+    for tag in tags:
+        d = with_normal(d, f"_z_{tag}", F.lit(seed), F.lit(tag), entity, "_i")
+    def draw(tag, mean, spread, high=None):
+        return sample(None, mean, spread, high=high, z=F.col(f"_z_{tag}"))
+    v = ooip(draw("area", drainage_area(lateral), CV_AREA), draw("pay", pay, cv), draw("porosity", porosity, cv * 0.8, POROSITY_MAX),
+             draw("saturation", saturation, cv * 0.6, SATURATION_MAX))
     d = d.withColumn("_v", v)
     aggs = [F.percentile("_v", F.array(F.lit(.1), F.lit(.5), F.lit(.9))).alias("_p"), F.avg("_v").alias("mean"), F.stddev_pop("_v").alias("sd")]
     out = [*[F.get("_p", i).alias(x) for i, x in enumerate(("p10", "p50", "p90"))], "mean", "sd"]
     if recovery:
-        d = d.withColumn("_r", F.col("_v") * sample(u("recovery"), recovery, 0.2) / 100.0)
+        d = d.withColumn("_r", F.col("_v") * draw("recovery", recovery, 0.2) / 100.0)
         aggs.append(F.percentile("_r", F.array(F.lit(.1), F.lit(.5), F.lit(.9))).alias("_pr"))
         out += [F.get("_pr", i).alias(f"rec_{x}") for i, x in enumerate(("p10", "p50", "p90"))]
     return d.groupBy(entity).agg(*aggs).select(entity, *out)
@@ -82,10 +86,12 @@ def aggregate_copula(wells: DataFrame, samples: DataFrame, rhos: Sequence[float]
     w = wells.join(F.broadcast(samples.select(bucket, "sample")), bucket)  # one row per bucket (error class)
     w = w.withColumn("_q10", F.col(best) * F.exp(array_lerp("sample", F.lit(0.10))))
     d = w.withColumn("rho", F.explode(F.array(*[F.lit(float(r)) for r in rhos]))).withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(n_sims - 1))))
-    zg = normal_ppf(hash_uniform(F.lit(seed), F.lit("group"), group, "_s"))
-    ze = normal_ppf(hash_uniform(F.lit(seed), F.lit("entity"), entity, "_s"))
-    u = normal_cdf(F.sqrt("rho") * zg + F.sqrt(1.0 - F.col("rho")) * ze)
-    d = d.withColumn("_v", F.col(best) * F.exp(array_lerp("sample", u)))
+    d = with_normal(with_normal(d, "_zg", F.lit(seed), F.lit("group"), group, "_s"), "_ze", F.lit(seed), F.lit("entity"), entity, "_s")
+    d = d.withColumn("_z", F.sqrt("rho") * F.col("_zg") + F.sqrt(1.0 - F.col("rho")) * F.col("_ze")).withColumn("_u", normal_cdf("_z"))
+    n = F.size("sample")
+    d = d.withColumn("_pos", F.greatest(F.lit(0.0), F.least(F.col("_u") * n - 0.5, (n - 1).cast("double")))).withColumn("_k", F.floor("_pos").cast("int"))
+    lo, hi = F.get("sample", F.col("_k")), F.get("sample", F.least(F.col("_k") + 1, n - 1))
+    d = d.withColumn("_v", F.col(best) * F.exp(lo + (hi - lo) * (F.col("_pos") - F.col("_k"))))
     sims = d.groupBy(*scope, "rho", "_s").agg(F.sum("_v").alias("_t"))
     p = sims.groupBy(*scope, "rho").agg(F.percentile("_t", F.array(F.lit(.1), F.lit(.5), F.lit(.9))).alias("_p"), F.avg("_t").alias("mean"))  # n_sims values
     ref = w.groupBy(*scope).agg(F.sum("_q10").alias("sum_well_p10"), F.sum(best).alias("sum_best"), F.count(F.lit(1)).alias("n_wells"))

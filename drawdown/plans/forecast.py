@@ -103,8 +103,8 @@ def pressure_diagnostic(spark, sf):
 
 
 # ------------------------------------------------------------------ volumetrics
-ROCK = """rk AS (SELECT s_suppkey AS entity_id, CASE WHEN s_suppkey % 3 = 0 THEN 0.0 ELSE 800.0 + s_suppkey % 700 END::DOUBLE AS lateral, 5 + (s_acctbal+1000)/1000 AS pay, 6.0::DOUBLE + s_suppkey % 9 AS porosity, 40.0::DOUBLE + s_suppkey % 31 AS saturation FROM supplier)"""
-AREA = "(CASE WHEN lateral > 0 THEN lateral*300 ELSE pi()*40000 END)"
+ROCK = """rk AS (SELECT s_suppkey AS entity_id, CASE WHEN s_suppkey % 3 = 0 THEN 0.0 ELSE 800.0 + s_suppkey % 700 END::DOUBLE AS lat, 5 + (s_acctbal+1000)/1000 AS pay, 6.0::DOUBLE + s_suppkey % 9 AS porosity, 40.0::DOUBLE + s_suppkey % 31 AS saturation FROM supplier)"""
+AREA = "(CASE WHEN lat > 0 THEN lat*300 ELSE pi()*40000 END)"
 
 
 def _rock(spark, sf):
@@ -257,10 +257,10 @@ def compliance_checklist(spark, sf):
     return R.checklist_summary(R.checklist(R.classify(_cases(spark, sf)), q_econ=F.lit(80.0), coverage=F.lit(0.78)))
 
 
-@query("entity_screen", sql=with_ctes(CLS, CAT, select="SELECT entity_id, category, CASE WHEN category='NOT_PROVED' THEN 0.0 WHEN prod_days < 8 THEN NULL ELSE round(rate*10,3) END AS low_estimate FROM cat"))
+@query("entity_screen", sql=with_ctes(CLS, CAT, select="SELECT entity_id, category, CASE WHEN category='NOT_PROVED' THEN 0.0 WHEN prod_days < 8 THEN NULL ELSE round(rate*10,8) END AS low_estimate FROM cat"))
 def entity_screen(spark, sf):
     d = R.classify(_cases(spark, sf)).withColumn("remaining", F.when(F.col("prod_days") >= 8, F.col("rate") * 10))
-    return R.screen(d, low="remaining").select("entity_id", F.col("cls.category").alias("category"), rnd("low_estimate", 3).alias("low_estimate"))
+    return R.screen(d, low="remaining").select("entity_id", F.col("cls.category").alias("category"), rnd("low_estimate", 8).alias("low_estimate"))
 
 
 XC = ["""xc AS (SELECT c_custkey AS entity_id, s/1000 AS e50, s/1500 AS e10, s/700 AS e90, (c_acctbal+1100)*40 AS o50, (c_acctbal+1100)*25 AS o10, (c_acctbal+1100)*60 AS o90, 0.3::DOUBLE+0.1*(c_custkey%12) AS b, CASE WHEN c_custkey%4=0 THEN 0.0 ELSE 0.006 END AS dm FROM customer JOIN (SELECT o_custkey, sum(o_totalprice) AS s FROM orders GROUP BY 1) ON o_custkey=c_custkey)""", """
