@@ -127,8 +127,9 @@ def np_fit(model: str, t: np.ndarray, q: np.ndarray, half_life: float | None = H
     def evaluate(u: np.ndarray, v: np.ndarray):
         p = np.exp(u) if first.log else u
         s = np_shape(model, t[:, None], p[None, :], v[None, :], d_min)
-        a = (w2 * q) @ s
-        b = w2 @ (s * s)
+        # einsum instead of @: a threaded BLAS inside every worker would oversubscribe the cores
+        a = np.einsum("i,ij->j", w2 * q, s)
+        b = np.einsum("i,ij,ij->j", w2, s, s)
         qi = np.clip(a / np.maximum(b, 1e-300), *QI_BOX)
         sse = syy - 2 * qi * a + qi * qi * b
         return qi, np.round(sse / syy, 9)
@@ -188,7 +189,7 @@ def fit_udf(candidates: tuple[str, ...], half_life: float | None = HALF_LIFE):
             out[x] = out[x].astype(float)
         return out
 
-    return run
+    return run.asNondeterministic()  # keeps the optimizer from copying the fit into every filter and projection
 
 
 @F.pandas_udf(VOLUME_TYPE)
@@ -222,6 +223,9 @@ def volumes(model: pd.Series, qi: pd.Series, di: pd.Series, b: pd.Series, d_min:
     return out.astype({"total": float, "remaining": float, "t_econ": float})
 
 
+volumes = volumes.asNondeterministic()
+
+
 def remaining_struct(fit: Column, q_econ, t_start) -> Column:
     return volumes(*[fit[x] for x in ("model", "qi", "di", "b", "d_min", "a", "m")], c(q_econ).cast("double"), c(t_start).cast("double"))
 

@@ -48,7 +48,7 @@ def sample(u: Column, mean, cv: float, dist: str = "lognormal", low: float | Non
 def volumetric(df: DataFrame, n: int, seed: int, *, entity: str = "entity_id", lateral: str = "lateral", pay: str = "pay",
                porosity: str = "porosity", saturation: str = "saturation", recovery: str | None = None, cv: float = CV_PAY) -> DataFrame:
     """p10/p50/p90/mean/sd of the oil in place per entity (and of the recoverable volume). ``n`` draws per entity."""
-    d = df.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).repartition(entity)
+    d = df.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     tags = ("area", "pay", "porosity", "saturation") + (("recovery",) if recovery else ())
     for tag in tags:
         d = with_normal(d, f"_z_{tag}", F.lit(seed), F.lit(tag), entity, "_i")

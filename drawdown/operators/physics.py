@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions.columns import DAYS_PER_MONTH, c
 from .ranking import exact_percentiles
+from ..session import spread
 from .stats import steep_onset
 
 # Bounds, noise and default prior of the constrained model.
@@ -75,9 +76,9 @@ def np_fit(t, q, q_econ: float, cum: float, cap, prior: dict) -> tuple:
 
     def cost(u, v, b, s):
         ls = np.log(np.maximum(_shape(t[:, None], np.exp(u)[None, :], np.exp(v)[None, :], b[None, :]), 1e-300))
-        lnq = (w @ (lq[:, None] - ls)) / w.sum() + s
+        lnq = np.einsum("i,ij->j", w, lq[:, None] - ls) / w.sum() + s
         r = lnq[None, :] + ls - lq[:, None]
-        z = (w @ (r * r) + ((b - prior["b_mean"]) / prior["b_sd"]) ** 2 + ((v - np.log(prior["t_elf"])) / prior["t_elf_sd"]) ** 2
+        z = (np.einsum("i,ij,ij->j", w, r, r) + ((b - prior["b_mean"]) / prior["b_sd"]) ** 2 + ((v - np.log(prior["t_elf"])) / prior["t_elf_sd"]) ** 2
              + ((u - prior["ln_di"]) / prior["ln_di_sd"]) ** 2)
         if has_cap:
             rem, _ = _remaining(np.exp(lnq), np.exp(u), np.exp(v), b, q_econ, t_now, 2.0)
@@ -134,7 +135,7 @@ def fit_physics(packed: DataFrame, *, q_econ: float, cum: str | None = None, cap
 
     nan = F.lit(float("nan"))
     pr = [F.coalesce(F.col(prior)[k], nan) if prior else nan for k in PRIOR_COLS]
-    return packed.withColumn("pfit", run("ts", "qs", F.coalesce(F.col(cum), F.lit(0.0)) if cum else F.lit(0.0),
+    return packed.withColumn("pfit", run.asNondeterministic()("ts", "qs", F.coalesce(F.col(cum), F.lit(0.0)) if cum else F.lit(0.0),
                                          F.coalesce(F.col(cap).cast("double"), nan) if cap else nan, *pr))
 
 
@@ -151,6 +152,9 @@ def _rem(qi: pd.Series, di: pd.Series, te: pd.Series, b: pd.Series, q_econ: pd.S
     return pd.DataFrame(rows, columns=["remaining", "t_econ", "capped"])
 
 
+_rem = _rem.asNondeterministic()
+
+
 def remaining_struct(fit: Column, q_econ, t_now) -> Column:
     """Volume until the first crossing of the limit, the crossing time, and whether the horizon was hit."""
     return _rem(fit["qi"], fit["di"], fit["t_elf"], fit["b_bdf"], c(q_econ).cast("double"), c(t_now).cast("double"))
@@ -222,7 +226,7 @@ def bootstrap_physics(packed: DataFrame, entity: str, *, q_econ: float, n_boot:
     from .decline import block_starts
     d = packed.withColumn("n", F.size("ts")).withColumn("t_now", F.array_max("ts") - F.array_min("ts"))
     d = d.withColumn("base", remaining_struct(F.col("pfit"), F.lit(q_econ), "t_now")["remaining"])
-    reps = block_starts(d.where("n >= 12"), entity, n_boot, seed).repartition(entity, "rep")
+    reps = spread(block_starts(d.where("n >= 12"), entity, n_boot, seed), entity, "rep")
 
     @F.pandas_udf(T.DoubleType())
     def one(ts: pd.Series, qs: pd.Series, qi: pd.Series, di: pd.Series, te: pd.Series, b: pd.Series, starts: pd.Series, block: pd.Series) -> pd.Series:

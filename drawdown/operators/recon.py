@@ -6,6 +6,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
+from ..session import spread
 from .decline import remaining_low_best
 from .ranking import top_k
 
@@ -134,7 +135,7 @@ def with_perturbations(econ: DataFrame, grid, limit) -> DataFrame:
 
 def perturbed_old(fits: DataFrame, points: DataFrame, *, unit: str = "unit_id") -> DataFrame:
     """Σ best remaining of fitted entities per unit and perturbation point."""
-    j = fits.join(points, unit)
+    j = spread(fits, "entity_id").join(points, unit)
     scale = F.greatest(F.col("rate_factor"), F.lit(1e-9))
     r = remaining_low_best(j, q_econ=F.col("q_econ"), now=F.col("now_eff"), scale=scale, decline_delta=F.col("decline_delta"))
     return r.groupBy(unit, "param", "x", "role").agg(F.sum("remaining_best").alias("v"))

@@ -9,7 +9,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..session import materialise
+from ..session import materialise, spread
 from ..functions.columns import DAYS_PER_MONTH, c, days_in_month, guarded_slope, safe_div
 from ..functions.curves import fit_udf, rate, remaining_struct
 from .decline import TERMINAL, entity_decline_fit, remaining_low_best
@@ -96,7 +96,7 @@ def new_entity_reserves(monthly: DataFrame, info: DataFrame, curves: DataFrame,
     """
     m = monthly.where(F.col("mi") <= as_of).join(info.select(entity, unit, "fmi"), entity)
     m = m.withColumn("rate", F.col("oil") / days_in_month("mi")).withColumn("k", F.col("mi") - F.col("fmi") + 1)
-    g = m.groupBy(entity).agg(
+    g = spread(m, entity).groupBy(entity).agg(
         F.max(unit).alias(unit), F.max("fmi").alias("fmi"), F.sum("oil").alias("cum"),
         F.array_sort(F.collect_list(F.struct("k", "rate"))).alias("_s"))
     g = g.withColumn("months_on", (as_of - F.col("fmi") + 1).cast("long")).withColumn("_r", F.col("_s.rate"))
@@ -151,7 +151,7 @@ def measure_effects(monthly: DataFrame, events: DataFrame, as_of: int, cfg: Conf
          .withColumn("valid", F.col("days_on") >= cfg.min_days_on))
     is_pre = F.col("valid") & (F.col("mi") < F.col("emi")) & (F.col("mi") >= F.col("emi") - cfg.max_pre)
     pre_pts = m.where(is_pre)
-    base = pre_pts.groupBy(*keys).agg(
+    base = spread(pre_pts, *keys).groupBy(*keys).agg(
         F.min("mi").alias("t0"), F.count(F.lit(1)).alias("n_pre"),
         F.array_sort(F.collect_list(F.struct("mi", "rate"))).alias("_p")).where(F.col("n_pre") >= cfg.min_pre)
     t0 = F.col("t0")
@@ -277,7 +277,7 @@ def old_entities(monthly: DataFrame, master: DataFrame, effects: DataFrame, curv
     fits = entity_decline_fit(pts, entity, min_tail=cfg.min_fit)
     j = head.join(fits, entity, "left")
     j = materialise(j.withColumn("now_eff", F.when(F.col("_prod") == 1, as_of - F.col("gap")).otherwise(F.col("_last_eff"))))
-    fitted = j.where("best IS NOT NULL").join(econ.select(unit, "scenario", "q_econ", "restart_min"), unit)
+    fitted = spread(j.where("best IS NOT NULL"), entity).join(econ.select(unit, "scenario", "q_econ", "restart_min"), unit)
     fitted = remaining_low_best(fitted, q_econ=F.col("q_econ"), now=F.col("now_eff"))
     fitted = fitted.withColumn("rate_now", rate(F.col("now_eff") - F.col("fit_start"), F.col("best")))
     # producing entities without a usable fit fall back to the analog ladder on the same months

@@ -48,3 +48,14 @@ def materialise(df: DataFrame, partitions: int | None = None) -> DataFrame:
     out = df if partitions is None else df.coalesce(partitions)
     out.write.mode("errorifexists").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition by ``keys`` into at least as many partitions as there are cores.
+
+    Packed series are tiny in bytes but expensive to fit; without a stated count, adaptive coalescing would put
+    them into a handful of tasks. A following groupBy on the same keys reuses this partitioning.
+    """
+    spark = df.sparkSession
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(n, *keys)
