@@ -13,6 +13,12 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..functions.columns import c
 
 
+def _below(cuts: str, value: str):
+    """How many of the sorted cut points are smaller than the value."""
+    v = F.col(value)
+    return (F.array_position(F.array_sort(F.array_append(F.col(cuts), v)), v) - 1).cast("int")
+
+
 def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict,
                       buckets: int = 128) -> DataFrame:
     """Linear-interpolation percentiles per key, any group size.
@@ -37,7 +43,7 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: dic
         F.sum("_n").alias("n")))
     spread = (
         seen.withColumn("_cuts", cuts.scalar())
-        .withColumn("_b", F.size(F.filter("_cuts.at", lambda s: s < F.col("_v")))).drop("_cuts")
+        .withColumn("_b", _below("_cuts.at", "_v")).drop("_cuts")
     )
     per_bucket = spread.groupBy(*keys, "_b").agg(F.sum("_n").alias("_m"))
     w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
@@ -83,7 +89,7 @@ def dated_row_number(df: DataFrame, keys: Sequence[str], date: str, ident: str,
     cuts = df.agg(F.percentile_approx(ident, F.array(*[F.lit(i / fan) for i in range(1, fan)]), 10000).alias("_cuts"))
     spread = (
         df.withColumn("_cuts", cuts.scalar())
-        .withColumn("_b", F.size(F.filter("_cuts", lambda s: s < F.col(ident)))).drop("_cuts")
+        .withColumn("_b", _below("_cuts", ident)).drop("_cuts")
     )
     per = spread.groupBy(*keys, date, "_b").agg(F.count(F.lit(1)).alias("_m"))
     w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
@@ -113,7 +119,7 @@ def scored_rank(df: DataFrame, keys: Sequence[str], score: str, ident: str, out:
     """Exact rank by falling score (then ident) inside ``keys`` without sorting a whole key in one task."""
     keys = list(keys)
     cuts = df.agg(F.percentile_approx(score, F.array(*[F.lit(i / buckets) for i in range(1, buckets)]), 10000))
-    spread = df.withColumn("_cuts", cuts.scalar()).withColumn("_b", F.size(F.filter("_cuts", lambda s: s >= F.col(score)))).drop("_cuts")
+    spread = df.withColumn("_cuts", cuts.scalar()).withColumn("_b", F.size("_cuts") - _below("_cuts", score)).drop("_cuts")
     per = spread.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_m"))
     w = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     per = per.withColumn("_off", F.coalesce(F.sum("_m").over(w), F.lit(0))).drop("_m")
