@@ -13,6 +13,8 @@ def read_upload(spark: SparkSession, path: str, encoding: str | None = None) ->
     if encoding is None:
         head = spark.read.format("binaryFile").load(path).select(F.expr("is_valid_utf8(substring(content, 1, 65536))").alias("ok"))
         encoding = "UTF-8" if head.agg(F.min(F.col("ok").cast("int"))).first()[0] == 1 else "GBK"  # one flag
+    if encoding.upper() not in ("UTF-8", "UTF-16", "ISO-8859-1", "US-ASCII"):
+        spark.conf.set("spark.sql.legacy.javaCharsets", "true")  # Spark 4 admits other charsets only with this setting
     df = spark.read.option("header", True).option("encoding", encoding).csv(path)
     df = df.toDF(*[x.lstrip("﻿") for x in df.columns])
     return df.where(F.concat_ws("", *[F.trim(F.coalesce(F.col(x), F.lit(""))) for x in df.columns]) != "")
@@ -23,7 +25,7 @@ def read_reports(spark: SparkSession, path: str, pools: Sequence[str]) -> DataFr
     cols = T.StructType([T.StructField(n, T.StringType()) for n in ("ReportDate", "API_WELLNO", "Pool", "Oil", "Days")])
     raw = spark.read.option("header", True).option("enforceSchema", False).csv(path)
     raw = raw.select(*[F.col(f.name) for f in cols]).where(F.upper("Pool").isin(*[p.upper() for p in pools]))
-    well = F.concat(F.lit("ND-"), F.substring(F.sha1(F.expr("cast(cast(API_WELLNO as bigint) as string)").cast("binary")), 1, 8))
+    well = F.concat(F.lit("ND-"), F.substring(F.sha1(F.expr("cast(cast(cast(API_WELLNO as double) as bigint) as string)").cast("binary")), 1, 8))
     return raw.select(well.alias("entity_id"), F.upper("Pool").alias("pool"), F.date_format(F.to_date("ReportDate"), "yyyy-MM").alias("ym"),
                       (F.coalesce(F.col("Oil").cast("double"), F.lit(0.0)) * BBL_TO_T).alias("oil"), F.coalesce(F.col("Days").cast("double"), F.lit(0.0)).alias("days"),
                       F.input_file_name().alias("source_file"))
@@ -38,10 +40,14 @@ def read_clauses(spark: SparkSession, path: str) -> DataFrame:
                        "cfr string, parent string, kind string, level int, regulation string, zh_title string, source string")
     d = d.withColumn("citation", F.regexp_extract("part", r"^\[([^\]]+)\]", 1)).withColumn("meta", meta)
     title = F.trim(F.regexp_extract("part", r"^\[[^\]]+\][ \t]*([^\n]*)", 1))
-    text = F.trim(F.regexp_replace(F.regexp_replace("part", r"^[^\n]*\n?", ""), r"(?s)<!--\s*meta:.*?-->", ""))
+    text = F.regexp_replace(F.regexp_replace("part", r"^[^\n]*\n?", ""), r"(?s)<!--\s*meta:.*?-->", "")
+
+    def strip(x):
+        return F.regexp_replace(x, r"^\s+|\s+$", "")
+
     note = "要点（非官方中文说明）："
     return d.select("source", "pos", "citation", F.when(F.col("meta.zh_title").isNotNull(), F.replace(title, F.concat(F.lit(" · "), F.col("meta.zh_title")), F.lit(""))).otherwise(title).alias("title"),
-                    F.trim(F.split_part(text, F.lit(note), F.lit(1))).alias("text"), F.nullif(F.trim(F.split_part(text, F.lit(note), F.lit(2))), F.lit("")).alias("note"), "meta")
+                    strip(F.split_part(text, F.lit(note), F.lit(1))).alias("text"), F.nullif(strip(F.split_part(text, F.lit(note), F.lit(2))), F.lit("")).alias("note"), "meta")
 
 
 def read_statute(spark: SparkSession, path: str) -> DataFrame:
