@@ -7,6 +7,7 @@ have resynchronised and the text is stitched. Pieces between such places are enc
 from __future__ import annotations
 
 import base64
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -51,13 +52,50 @@ def cuts(compiled: regex.Pattern, text: str, chunk: int = CHUNK, overlap: int =
     return [*found, len(text)]
 
 
+class Words(dict):
+    """What ``value`` gives for a space and a word, remembered for short words; emptied when full."""
+
+    def __init__(self, value, most: int = 300_000, longest: int = 64):
+        super().__init__()
+        self.value, self.most, self.longest = value, most, longest
+
+    def __missing__(self, word: str):
+        got = self.value(" " + word)
+        if len(word) <= self.longest:
+            if len(self) >= self.most:
+                self.clear()
+            self[word] = got
+        return got
+
+
+#: A space after white space; elsewhere the place before a space is a boundary, whatever stands on either side.
+WIDE = re.compile(r"\s ")
+
+
+def by_words(text: str, words: Words) -> list:
+    """The values of the parts of ``text`` between the boundaries before its spaces, in order."""
+    if WIDE.search(text) is None and text[:1] != " ":
+        first, *rest = text.split(" ")
+        return [words.value(first), *map(words.__getitem__, rest)] if text else []
+    out, start = [], 0
+    for m in HARD.finditer(text):
+        out.append(words.value(text[start:m.end()]))
+        start = m.end()
+    return [*out, words.value(text[start:])] if start < len(text) else out
+
+
+#: A non-space before a space.
+HARD = re.compile(r"\S(?= )")
+
+
 def _ids(ranks: str, pattern: str):
     def make():
         enc = encoding(ranks, pattern)
+        words = Words(lambda t: np.array(enc.encode_ordinary(t), "<u4").tobytes())
 
         def work(texts: list[str]) -> dict[str, list]:
-            ids = [enc.encode_to_numpy(t, disallowed_special=()).astype("<u4") if t else np.empty(0, "<u4") for t in texts]
-            return {"n_tokens": [len(x) for x in ids], "ids": [x.tobytes() for x in ids]}
+            ids = [b"".join(by_words(t, words)) for t in texts]
+            return {"n_tokens": [len(x) // 4 for x in ids], "ids": ids}
 
         return work
 
@@ -102,10 +140,21 @@ def decode(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", ranks: s
 
     def make():
         enc = encoding(ranks, pattern)
-        known = {i: enc.decode_single_token_bytes(i) for i in enc._mergeable_ranks.values()}
+        tokens = [b""] * (max(enc._mergeable_ranks.values()) + 1)
+        for data, i in enc._mergeable_ranks.items():
+            tokens[i] = data
+        flat = np.frombuffer(b"".join(tokens), np.uint8)
+        size = np.array([len(x) for x in tokens], np.int32)
+        start = (np.cumsum(size) - size).astype(np.int32)
 
         def work(values: list[bytes]) -> dict[str, list]:
-            return {"decoded": [b"".join(map(known.__getitem__, np.frombuffer(v, "<u4").tolist())) for v in values]}
+            out = []
+            for v in values:
+                ids = np.frombuffer(v, "<u4")
+                n = size[ids]
+                end = np.cumsum(n)
+                out.append(flat[np.repeat(start[ids] - end + n, n) + np.arange(end[-1] if len(end) else 0)].tobytes())
+            return {"decoded": out}
 
         return work
 
