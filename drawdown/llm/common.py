@@ -72,25 +72,28 @@ def pieces(batch: pa.RecordBatch, sizes: Sequence[int]) -> Iterator[pa.RecordBat
         yield batch.slice(start)
 
 
-def map_texts(df: DataFrame, keep: Sequence[str], value: Column, outputs: T.StructType, make: Callable[[], Callable[[list], dict[str, list]]]) -> DataFrame:
+def map_texts(df: DataFrame, keep: Sequence[str], value: Column, outputs: T.StructType, make: Callable[[], Callable[[list], dict[str, list]]],
+              weight: Column | None = None) -> DataFrame:
     """Add ``outputs`` to the columns ``keep``: ``make()`` is called once a task and gives a function from the list of values
-    of some rows to a list per output. Kept columns whose name is that of an output are replaced."""
+    of some rows to a list per output. Kept columns whose name is that of an output are replaced. ``weight``: bytes of a value that has no length."""
     new = {f.name.lower() for f in outputs}
     keep = [c for c in keep if c.lower() not in new]
     fields = {f.name: f for f in df.schema}
     schema = T.StructType([*(fields[c] for c in keep), *outputs])
-    source = df.select(*[col(c).alias(f"k{i}") for i, c in enumerate(keep)], value.alias("v"))
+    source = df.select(*[col(c).alias(f"k{i}") for i, c in enumerate(keep)], value.alias("v"), (F.lit(0) if weight is None else weight).alias("w"))
     names = [f.name for f in schema]
     width = len(keep)
     kinds = [to_arrow(f.dataType) for f in outputs]
     order = [f.name for f in outputs]
+    weighed = weight is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
             values = batch.column(width).to_pylist()
             at = 0
-            for piece in pieces(batch, [len(x) if x is not None else 0 for x in values]):
+            sizes = batch.column(width + 1).to_pylist() if weighed else [len(x) if x is not None else 0 for x in values]
+            for piece in pieces(batch, sizes):
                 got = work(values[at:at + piece.num_rows])
                 at += piece.num_rows
                 yield pa.RecordBatch.from_arrays([*piece.columns[:width], *(pa.array(got[o], k) for o, k in zip(order, kinds, strict=True))], names=names)

@@ -6,13 +6,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bytebpe import op4_byte_bpe
+from .decontaminate import op5_decontamination
 from .prefixcounts import op6_token_counts
 from .rules import op9_quality_rules
 from .secrets import op8_secret_scan
 from .simhash import op10_simhash
+from .urlmodel import op2_url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_url_filter": op2_url_filter,
     "op4_byte_bpe": op4_byte_bpe,
+    "op5_decontamination": op5_decontamination,
     "op6_token_counts": op6_token_counts,
     "op8_secret_scan": op8_secret_scan,
     "op9_quality_rules": op9_quality_rules,
