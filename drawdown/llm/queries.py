@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bytebpe import op4_byte_bpe
 from .decontaminate import op5_decontamination
+from .lines import op1_line_dedup
 from .prefixcounts import op6_token_counts
 from .quality import op3_quality_classifier
 from .rules import op9_quality_rules
@@ -15,6 +16,7 @@ from .simhash import op10_simhash
 from .urlmodel import op2_url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_url_filter": op2_url_filter,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_byte_bpe": op4_byte_bpe,
