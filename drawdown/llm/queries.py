@@ -13,6 +13,7 @@ from .quality import op3_quality_classifier
 from .rules import op9_quality_rules
 from .secrets import op8_secret_scan
 from .simhash import op10_simhash
+from .suffixes import op7_suffix_dedup
 from .urlmodel import op2_url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_byte_bpe": op4_byte_bpe,
     "op5_decontamination": op5_decontamination,
     "op6_token_counts": op6_token_counts,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_secret_scan": op8_secret_scan,
     "op9_quality_rules": op9_quality_rules,
     "op10_simhash": op10_simhash,
