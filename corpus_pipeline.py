@@ -1,4 +1,7 @@
-"""Corpus preparation: quality rules, line dedup, near-duplicate removal, decontamination, encoding."""
+"""Corpus preparation: quality rules, line dedup, near-duplicate removal, decontamination, encoding.
+
+Every stage takes (spark, docs, sf_dir) and works on all rows of ``docs``; all but the last return the columns of documents.
+"""
 from __future__ import annotations
 
 from collections.abc import Callable
@@ -7,27 +10,53 @@ from pyspark.sql import DataFrame, SparkSession
 
 from drawdown.llm.bytebpe import encode
 from drawdown.llm.common import stored, table
+from drawdown.llm.decontaminate import drop_contaminated
+from drawdown.llm.lines import dedup_lines
+from drawdown.llm.rules import keep_good
 from drawdown.llm.simhash import keep_one
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rule or the weighed votes of the rules reject go."""
+    return keep_good(docs)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that occur before, exactly or nearly, go; every document stays."""
+    return dedup_lines(docs)
+
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies only the document with the smallest id stays."""
     return keep_one(docs)
 
 
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of a benchmark item go."""
+    return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of what is left."""
+    """doc_id, n_tokens and ids (little-endian unsigned 32-bit integers) of every text that is left."""
     return encode(docs)
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("near_duplicates", near_duplicates), ("encoding", encoding)]
+STAGES: list[tuple[str, Stage]] = [
+    ("quality_rules", quality_rules),
+    ("line_dedup", line_dedup),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("encoding", encoding),
+]
 
-#: Token ids and fitted weights are beyond SQL; tests compare with a brute-force version.
+#: Fitted rule weights and token ids are beyond SQL; the tests compare every stage with a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; every stage's result is written to the shared folder and read again."""
+    """All stages over documents; every stage's result is written to the shared folder as Parquet and read again."""
     docs = table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

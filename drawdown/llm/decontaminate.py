@@ -260,6 +260,13 @@ def digests(found: DataFrame) -> DataFrame:
             .withColumn("items_sha256", F.sha2(F.concat_ws(",", "items"), 256)).withColumn("contaminated", F.col("n_hit") > 0))
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` in which no window of a benchmark item occurs, with its columns."""
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    renamed = docs.select(*[col(c).alias(n) for c, n in names.items()])
+    return find_contamination(renamed, benchmark, list(names.values()), names[text_col]).filter(F.size("hits") == 0).select(*[F.col(n).alias(c) for c, n in names.items()])
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ["doc_id"])
     return digests(found).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")

@@ -55,13 +55,15 @@ def probe_keys(line: Column, length: Column, edits: int) -> Column:
 
 def common(a: Column, b: Column, most: Column, end: bool) -> Column:
     """Length of the common prefix, or suffix, up to ``most``, by doubling steps from large to small."""
-    la, lb = F.length(a), F.length(b)
 
-    def longer(n: Column, k: Column) -> Column:
-        x, y = (a.substr(la - n - k + 1, k), b.substr(lb - n - k + 1, k)) if end else (a.substr(n + 1, k), b.substr(n + 1, k))
-        return F.when((n + k <= most) & (x == y), n + k).otherwise(n)
+    def search(w: Column) -> Column:
+        def longer(n: Column, k: Column) -> Column:
+            x, y = (a.substr(w["la"] - n - k + 1, k), b.substr(w["lb"] - n - k + 1, k)) if end else (a.substr(n + 1, k), b.substr(n + 1, k))
+            return F.when((n + k <= w["most"]) & (x == y), n + k).otherwise(n)
+
+        return F.aggregate(F.filter(F.array(*map(F.lit, STEPS)), lambda k: k <= w["most"]), F.lit(0), longer)
 
-    return F.aggregate(F.filter(F.array(*map(F.lit, STEPS)), lambda k: k <= most), F.lit(0), longer)
+    return let(F.struct(F.length(a).alias("la"), F.length(b).alias("lb"), most.alias("most")), search)
 
 
 def bit(x: Column, place: Column | int) -> Column:
@@ -76,15 +78,16 @@ def banded(a: Column, b: Column, edits: int) -> Column:
     band = (1 << 2 * edits + 1) - 1
     lost = 1 << 20
     pad = "\x01" * (edits + 1)  # the same start on both sides: the pattern is then longer than the band is deep
-    rows, columns = F.split(F.concat(F.lit(pad), a), ""), F.split(F.concat(F.lit(pad), b), "")
-    m, n = F.length(a) + len(pad), F.length(b) + len(pad)
+    both = F.struct(F.split(F.concat(F.lit(pad), a), "").alias("rows"), F.split(F.concat(F.lit(pad), b), "").alias("columns"),
+                    (F.length(a) + len(pad)).alias("m"), (F.length(b) + len(pad)).alias("n"))
+    start = F.struct(F.lit(((1 << edits + 1) - 1) << edits).alias("vp"), F.lit(0).alias("vn"), F.lit(edits).alias("far"))
 
     def inverse(x: Column) -> Column:
         return F.bitwise_not(x).bitwiseAND(F.lit(band))
 
-    def column(state: Column, j: Column) -> Column:
-        vp, vn, far = state["vp"], state["vn"], state["far"]
-        hits = let(F.get(columns, j), lambda c: reduce(lambda x, y: x + y, [F.when(F.get(rows, j + (k - edits)) == c, 1 << k).otherwise(0) for k in range(2 * edits + 1)]))
+    def column(w: Column, state: Column, j: Column) -> Column:
+        vp, vn, far, m, n = state["vp"], state["vn"], state["far"], w["m"], w["n"]
+        hits = let(F.get(w["columns"], j), lambda c: reduce(lambda x, y: x + y, [F.when(F.get(w["rows"], j + (k - edits)) == c, 1 << k).otherwise(0) for k in range(2 * edits + 1)]))
 
         def after(match: Column) -> Column:
             diagonal = (match.bitwiseAND(vp) + vp).bitwiseXOR(vp).bitwiseOR(match).bitwiseOR(vn).bitwiseAND(F.lit(band))
@@ -101,21 +104,24 @@ def banded(a: Column, b: Column, edits: int) -> Column:
 
         return F.when(far >= lost, state).otherwise(let(hits, after))
 
-    start = F.struct(F.lit(((1 << edits + 1) - 1) << edits).alias("vp"), F.lit(0).alias("vn"), F.lit(edits).alias("far"))
-    return F.aggregate(F.sequence(F.lit(0), n - 1), start, column, lambda s: s["far"])
+    return let(both, lambda w: F.aggregate(F.sequence(F.lit(0), w["n"] - 1), start, lambda state, j: column(w, state, j), lambda state: state["far"]))
 
 
 def within(pairs: DataFrame, edits: int) -> DataFrame:
     """The pairs (columns a and b hold lines) at most ``edits`` apart."""
-    la, lb = F.length("a"), F.length("b")
+    a, b = F.col("a"), F.col("b")
+    la, lb = F.length(a), F.length(b)
     shorter = F.least(la, lb)
-    cut = pairs.withColumn("__head", common(F.col("a"), F.col("b"), shorter, False))
-    cut = cut.withColumn("__tail", common(F.col("a"), F.col("b"), shorter - F.col("__head"), True))
-    core = lambda c, n: col(c).substr(F.col("__head") + 1, n - F.col("__head") - F.col("__tail"))
-    cut = cut.withColumn("__a", core("a", la)).withColumn("__b", core("b", lb))
-    wide, narrow = F.greatest(F.length("__a"), F.length("__b")), F.least(F.length("__a"), F.length("__b"))
-    near = F.when(wide <= edits, True).when(narrow == 0, False).otherwise(banded(F.col("__a"), F.col("__b"), edits) <= edits)
-    return cut.filter((F.abs(la - lb) <= edits) & near).drop("__head", "__tail", "__a", "__b")
+
+    def cores(head: Column, tail: Column) -> Column:
+        return F.struct(a.substr(head + 1, la - head - tail).alias("a"), b.substr(head + 1, lb - head - tail).alias("b"))
+
+    def near(c: Column) -> Column:
+        wide, narrow = F.greatest(F.length(c["a"]), F.length(c["b"])), F.least(F.length(c["a"]), F.length(c["b"]))
+        return F.when(wide <= edits, True).when(narrow == 0, False).otherwise(banded(c["a"], c["b"], edits) <= edits)
+
+    trimmed = let(common(a, b, shorter, False), lambda head: let(common(a, b, shorter - head, True), lambda tail: let(cores(head, tail), near)))
+    return pairs.filter((F.abs(la - lb) <= edits) & trimmed)
 
 
 def judged(df: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame:

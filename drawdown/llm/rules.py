@@ -11,7 +11,7 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import map_texts, schema, stored, table, text_of
+from .common import col, map_texts, schema, stored, table, text_of
 
 MIN_WORDS = 50
 SYMBOLS = b"#*$%&|<>"
@@ -152,6 +152,13 @@ def judge(df: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
     return found.withColumn("quality", 1 / (1 + F.exp(-odds))).withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= 0.5))
 
 
+def keep_good(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of ``df`` that are kept, with its columns."""
+    names = {c: f"c{i}" for i, c in enumerate(df.columns)}
+    renamed = df.select(*[col(c).alias(n) for c, n in names.items()])
+    return judge(renamed, list(names.values()), names[text_col]).filter("kept").select(*[F.col(n).alias(c) for c, n in names.items()])
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = judge(table(spark, sf_dir, "documents"), ["doc_id"])
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
