@@ -106,7 +106,7 @@ def drift_assess(scores: DataFrame, threshold: Column, df: DataFrame, seen: Data
                  ident: str = "entity_id") -> DataFrame:
     """Flag rows beyond the calibration threshold or with a category absent from training."""
     known = seen.select(category).distinct().withColumn("_seen", F.lit(True))
-    j = df.select(ident, category).join(F.broadcast(known), category, "left").join(scores, ident)
+    j = df.select(ident, category).join(known, category, "left").join(scores, ident)
     novel = F.col("_seen").isNull()
     return j.withColumn("_t", threshold).select(ident, "score", "top_feature", novel.alias("novel_category"),
                                                 (novel | (F.col("score") > F.col("_t"))).alias("flagged"))

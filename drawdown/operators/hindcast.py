@@ -50,7 +50,7 @@ def hindcast(rows: DataFrame, priors: DataFrame | None, *, q_econ: float, group:
     d = rows.withColumn("fit", fit_udf(BEST)("ts", "qs"))
     d = P.fit_physics(d, q_econ=q_econ).withColumnRenamed("pfit", "wide")
     if priors is not None:
-        d = d.join(F.broadcast(priors.select(group, "prior")), group, "left")  # one row per block
+        d = d.join(priors.select(group, "prior"), group, "left")
         d = P.fit_physics(d, q_econ=q_econ, prior="prior").withColumnRenamed("pfit", "analog").drop("prior")
     else:
         d = d.withColumn("analog", F.col("wide"))

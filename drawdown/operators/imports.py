@@ -6,8 +6,6 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-MAX_ISSUES = 200  # issue rows shown to a person; validity itself is decided on all rows
-
 
 @dataclass(frozen=True)
 class Rule:
@@ -139,6 +137,7 @@ def undo(current: DataFrame, journal: DataFrame, keys: Sequence[str]) -> DataFra
 
 
 def history(batches: DataFrame) -> DataFrame:
-    """Batches newest first with the one per type that may still be undone."""
-    w = Window.partitionBy("type", "status").orderBy(F.desc("created"))
-    return batches.withColumn("can_undo", (F.col("status") == "active") & (F.row_number().over(w) == 1)).orderBy(F.desc("created"))
+    """Batches with the one per type that may still be undone: the newest active one. Presentation order is left to the reader."""
+    newest = batches.where("status = 'active'").groupBy("type").agg(F.max("created").alias("_newest"))
+    d = batches.join(newest, "type", "left")
+    return d.withColumn("can_undo", F.coalesce((F.col("status") == "active") & (F.col("created") == F.col("_newest")), F.lit(False))).drop("_newest")

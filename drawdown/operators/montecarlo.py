@@ -83,10 +83,11 @@ def aggregate_copula(wells: DataFrame, samples: DataFrame, rhos: Sequence[float]
     Rows are entity × ρ × simulation; totals are summed map-side, so what is shuffled is one row per (scope, ρ, simulation).
     """
     scope = list(scope)
-    w = wells.join(F.broadcast(samples.select(bucket, "sample")), bucket)  # one row per bucket (error class)
+    w = wells.join(samples.select(bucket, "sample"), bucket)
     w = w.withColumn("_q10", F.col(best) * F.exp(array_lerp("sample", F.lit(0.10))))
-    d = w.withColumn("rho", F.explode(F.array(*[F.lit(float(r)) for r in rhos]))).withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(n_sims - 1))))
+    d = w.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(n_sims - 1))))
     d = with_normal(with_normal(d, "_zg", F.lit(seed), F.lit("group"), group, "_s"), "_ze", F.lit(seed), F.lit("entity"), entity, "_s")
+    d = d.withColumn("rho", F.explode(F.array(*[F.lit(float(r)) for r in rhos])))  # the draws are shared by all ρ
     d = d.withColumn("_z", F.sqrt("rho") * F.col("_zg") + F.sqrt(1.0 - F.col("rho")) * F.col("_ze")).withColumn("_u", normal_cdf("_z"))
     n = F.size("sample")
     d = d.withColumn("_pos", F.greatest(F.lit(0.0), F.least(F.col("_u") * n - 0.5, (n - 1).cast("double")))).withColumn("_k", F.floor("_pos").cast("int"))

@@ -221,31 +221,33 @@ def analog_prior(fits: DataFrame, group: str, *, min_n: int = 5, min_points: int
     return j.join(n, group).select(group, "n_analogs", prior.alias("prior"))
 
 
-def bootstrap_physics(packed: DataFrame, entity: str, *, q_econ: float, n_boot: int = 40, seed: int = 0) -> DataFrame:
-    """Block bootstrap of the log residuals with the same constraints; one row per replicate before refitting."""
-    from .decline import block_starts
+def bootstrap_physics(packed: DataFrame, entity: str, *, q_econ: float, n_boot: int = 40, seed: int = 0, cum: str | None = None, cap: str | None = None, prior: str | None = None) -> DataFrame:
+    """Block bootstrap of the log residuals; every replicate is refitted with the prior, cumulative and volume cap of the fit itself."""
+    from .decline import block_draws, resampled
     d = packed.withColumn("n", F.size("ts")).withColumn("t_now", F.array_max("ts") - F.array_min("ts"))
     d = d.withColumn("base", remaining_struct(F.col("pfit"), F.lit(q_econ), "t_now")["remaining"])
-    reps = spread(block_starts(d.where("n >= 12"), entity, n_boot, seed), entity, "rep")
+    reps = spread(block_draws(d.where("n >= 12"), entity, n_boot, seed, least=3), entity, "chunk")
+    default = dict(DEFAULT_PRIOR)
 
-    @F.pandas_udf(T.DoubleType())
-    def one(ts: pd.Series, qs: pd.Series, qi: pd.Series, di: pd.Series, te: pd.Series, b: pd.Series, starts: pd.Series, block: pd.Series) -> pd.Series:
+    @F.pandas_udf("array<double>")
+    def volumes(ts: pd.Series, qs: pd.Series, fit: pd.DataFrame, draws: pd.Series, block: pd.Series, limits: pd.DataFrame, pr: pd.DataFrame) -> pd.Series:
         out = []
-        for t, q, a, dd, e, k, st, bl in zip(ts, qs, qi, di, te, b, starts, block):
-            t, q = np.asarray(t, float), np.asarray(q, float)
+        for i in range(len(ts)):
+            t, q, f, cut = np.asarray(ts.iloc[i], float), np.asarray(qs.iloc[i], float), fit.iloc[i], limits.iloc[i]
             t = t - t.min()
-            base = a * _shape(t, dd, e, k)
-            res = np.log(q) - np.log(np.maximum(base, 1e-9))
-            r = np.concatenate([res[s:s + bl] for s in st])[:len(t)]
-            f = np_fit(t[:len(r)], base[:len(r)] * np.exp(r), q_econ, 0.0, np.nan, DEFAULT_PRIOR)
-            out.append(float(_remaining([f[0]], [f[1]], [f[2]], [f[3]], q_econ, float(t.max()))[0][0]))
+            curve = np.maximum(f.qi * _shape(t, f.di, f.t_elf, f.b_bdf), 1e-9)
+            drawn = curve * np.exp(resampled(np.log(q / curve), draws.iloc[i], int(block.iloc[i])))
+            known = {k: float(pr.iloc[i][k]) if np.isfinite(pr.iloc[i][k]) else default[k] for k in PRIOR_COLS}
+            fits = np.array([np_fit(t, row, q_econ, float(cut.cum), float(cut.cap), known)[:4] for row in drawn], float)
+            out.append(_remaining(*fits.T, q_econ, float(t.max()))[0].tolist())
         return pd.Series(out)
 
-    f = F.col("pfit")
-    v = reps.withColumn("v", one("ts", "qs", f["qi"], f["di"], f["t_elf"], f["b_bdf"], "starts", "block"))
+    nan = F.lit(float("nan"))
+    limits = F.struct((F.coalesce(F.col(cum).cast("double"), F.lit(0.0)) if cum else F.lit(0.0)).alias("cum"), (F.coalesce(F.col(cap).cast("double"), nan) if cap else nan).alias("cap"))
+    pr = F.struct(*[(F.coalesce(F.col(prior)[k].cast("double"), nan) if prior else nan).alias(k) for k in PRIOR_COLS])
+    f = F.struct(*[F.col("pfit")[x].alias(x) for x in ("qi", "di", "t_elf", "b_bdf")])
+    v = reps.select(entity, F.explode(volumes("ts", "qs", f, "draws", "block", limits, pr)).alias("v"))
     g = v.groupBy(entity).agg(F.percentile("v", F.array(F.lit(.1), F.lit(.5), F.lit(.9))).alias("_p"))
     fallback = (0.68, 1.0, 1.32)  # p10 / p50 / p90 of the band (0.6, 1.0, 1.4)
     return d.select(entity, "base").join(g, entity, "left").select(
         entity, "base", *[F.coalesce(F.get("_p", i), F.col("base") * fallback[i]).alias(x) for i, x in enumerate(("p10", "p50", "p90"))])
-
-

@@ -327,9 +327,9 @@ def _measure(spark, sf):
 
 
 @query("annual_cash_flow", sql=with_ctes(OC, FIN_SQL, SM_SQL, select="""
-SELECT unit_id, y::INTEGER AS year, round(v,2) AS volume, round(inf,3) AS inflow, round(pc,3) AS production_cost, round(dc,3) AS development_cost, round(tax,3) AS income_tax, round((inf-pc-dc-tax)*f,3) AS discounted FROM yt WHERE y < 30"""))
+SELECT unit_id, y::INTEGER AS year, round(v,2) AS volume, round(inf,3) AS inflow, round(pc,3) AS production_cost, round(dc,3) AS development_cost, round(tax,3) AS income_tax, round((inf-pc-dc-tax)*f,3) AS discounted FROM yt"""))
 def annual_cash_flow(spark, sf):
-    a = _measure(spark, sf).where("year < 30")
+    a = _measure(spark, sf)
     return a.select("unit_id", "year", rnd("volume", 2).alias("volume"), rnd("inflow", 3).alias("inflow"), rnd("production_cost", 3).alias("production_cost"), rnd("development_cost", 3).alias("development_cost"),
                     rnd("income_tax", 3).alias("income_tax"), rnd(F.col("net_cash") * F.col("factor"), 3).alias("discounted"))
 

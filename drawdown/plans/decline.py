@@ -14,13 +14,13 @@ from .series import PTIME
 
 Q_ECON = 3.0
 
-# post-peak calendar rates of the first four years, per supplier
-PTS = [S.monthly("supplier"), f"""cr AS (SELECT entity_id, mi, oil/{S.dim('mi')} AS rate FROM monthly WHERE mi < 23988)""", """
+# post-peak calendar rates of the whole history, per supplier
+PTS = [S.monthly("supplier"), f"""cr AS (SELECT entity_id, mi, oil/{S.dim('mi')} AS rate FROM monthly)""", """
 pts AS (SELECT entity_id, mi AS t, rate AS q FROM (SELECT *, max({'q': rate, 'n': -mi}) OVER (PARTITION BY entity_id) AS pk FROM cr) WHERE mi >= -pk.n)"""]
 
 
 def points(spark, sf):
-    m = calendar_rate(monthly(spark, sf, "supplier")).where("mi < 23988").select("entity_id", F.col("mi").alias("t"), F.col("rate").alias("q"))
+    m = calendar_rate(monthly(spark, sf, "supplier")).select("entity_id", F.col("mi").alias("t"), F.col("rate").alias("q"))
     return D.post_peak(m, "entity_id")
 
 
@@ -164,7 +164,7 @@ def entity_decline_fit(spark, sf):
 @query("bootstrap_band")
 def bootstrap_band(spark, sf):
     p = D.pack(points(spark, sf), "entity_id").withColumn("fit", D.fit_udf(("exponential",))("ts", "qs")).where("fit.converged")
-    b = D.bootstrap_remaining(p, "entity_id", q_econ=Q_ECON, n_boot=40)
+    b = D.bootstrap_remaining(p, "entity_id", q_econ=Q_ECON, n_boot=120)
     return b.select("entity_id", "n_boot", *[rnd(x, 2).alias(x) for x in ("base", "p10", "p50", "p90")])
 
 
@@ -173,8 +173,8 @@ def eur_band(spark, sf):
     """Cumulative (certain) plus the remaining band."""
     pts = points(spark, sf)
     p = D.pack(pts, "entity_id").withColumn("fit", D.fit_udf(("exponential",))("ts", "qs")).where("fit.converged")
-    b = D.bootstrap_remaining(p, "entity_id", q_econ=Q_ECON, n_boot=20, seed=1)
-    cum = monthly(spark, sf, "supplier").where("mi < 23988").groupBy("entity_id").agg(F.sum("oil").alias("cum"))
+    b = D.bootstrap_remaining(p, "entity_id", q_econ=Q_ECON, n_boot=120, seed=1)
+    cum = monthly(spark, sf, "supplier").groupBy("entity_id").agg(F.sum("oil").alias("cum"))
     return b.join(cum, "entity_id").select("entity_id", rnd("cum", 2).alias("cum"), *[rnd(F.col("cum") + F.col(x), 2).alias(f"eur_{x}") for x in ("p10", "p50", "p90")])
 
 
@@ -193,14 +193,14 @@ def synthesised_curve(spark, sf):
 
 @query("decline_report", sql=with_ctes(PTS, best_ctes("pts", "bf", D.TERMINAL), "tn AS (SELECT entity_id, max(t)-min(t) AS t_now FROM pts GROUP BY 1)",
        "bt AS (SELECT * FROM bf JOIN tn USING (entity_id))", remaining_ctes("bt", "rm", "entity_id", str(Q_ECON), "f.t_now"), """
-cm AS (SELECT entity_id, sum(oil) AS cum FROM monthly WHERE mi < 23988 GROUP BY 1)""", select="""
+cm AS (SELECT entity_id, sum(oil) AS cum FROM monthly GROUP BY 1)""", select="""
 SELECT entity_id, CASE WHEN n IS NULL THEN 'too_few_points' END AS reason, model, n, round(cum,2) AS cum, round(remaining,2) AS remaining, round(cum+remaining,2) AS eur, t_econ, capped
 FROM cm LEFT JOIN bf USING (entity_id) LEFT JOIN rm USING (entity_id)"""))
 def decline_report(spark, sf):
     """One line per entity: fit, economics, EUR, or the reason why there is none."""
     p = D.pack(points(spark, sf), "entity_id").withColumn("fit", D.fit_udf(D.TERMINAL)("ts", "qs")).where("fit.converged")
     v = p.withColumn("v", remaining_struct(F.col("fit"), F.lit(Q_ECON), F.array_max("ts") - F.array_min("ts")))
-    cum = monthly(spark, sf, "supplier").where("mi < 23988").groupBy("entity_id").agg(F.sum("oil").alias("cum"))
+    cum = monthly(spark, sf, "supplier").groupBy("entity_id").agg(F.sum("oil").alias("cum"))
     j = cum.join(v, "entity_id", "left")
     return j.select("entity_id", F.when(F.col("fit").isNull(), "too_few_points").alias("reason"), F.col("fit.model").alias("model"), F.col("fit.n").alias("n"),
                     rnd("cum", 2).alias("cum"), rnd("v.remaining", 2).alias("remaining"), rnd(F.col("cum") + F.col("v.remaining"), 2).alias("eur"), "v.t_econ", "v.capped")

@@ -61,14 +61,14 @@ def physics_fit(spark, sf):
 @query("physics_bootstrap")
 def physics_bootstrap(spark, sf):
     p = P.fit_physics(D.pack(points(spark, sf), "entity_id"), q_econ=Q_ECON)
-    return P.bootstrap_physics(p, "entity_id", q_econ=Q_ECON, n_boot=8).select("entity_id", *[rnd(x, 2).alias(x) for x in ("base", "p10", "p50", "p90")])
+    return P.bootstrap_physics(p, "entity_id", q_econ=Q_ECON, n_boot=40).select("entity_id", *[rnd(x, 2).alias(x) for x in ("base", "p10", "p50", "p90")])
 
 
 @query("physics_review")
 def physics_review(spark, sf):
     """Constrained against empirical remaining volume, with a volume cap from a volumetric estimate and block recovery."""
     pts = points(spark, sf)
-    cum = monthly(spark, sf, "supplier").where("mi < 23988").groupBy("entity_id").agg(F.sum("oil").alias("cum"))
+    cum = monthly(spark, sf, "supplier").groupBy("entity_id").agg(F.sum("oil").alias("cum"))
     p = D.pack(pts, "entity_id").join(cum, "entity_id").withColumn("cap", F.col("cum") * 1.5)
     p = P.fit_physics(p.withColumn("fit", fit_udf(D.BEST)("ts", "qs")), q_econ=Q_ECON, cum="cum", cap="cap").where("fit.converged")
     t_now = F.array_max("ts") - F.array_min("ts")
@@ -124,14 +124,14 @@ def _logn(u, m, cv):
     return f"exp(ln({m})-{s * s / 2!r}+{s!r}*z_{u})"
 
 
-DRAWS = [ROCK, f"""uu AS (SELECT *, {S.uniform("7", "'area'", "entity_id", "i")} AS u1, {S.uniform("7", "'pay'", "entity_id", "i")} AS u2, {S.uniform("7", "'porosity'", "entity_id", "i")} AS u3, {S.uniform("7", "'saturation'", "entity_id", "i")} AS u4 FROM rk, range(200) r(i))""",
+DRAWS = [ROCK, f"""uu AS (SELECT *, {S.uniform("7", "'area'", "entity_id", "i")} AS u1, {S.uniform("7", "'pay'", "entity_id", "i")} AS u2, {S.uniform("7", "'porosity'", "entity_id", "i")} AS u3, {S.uniform("7", "'saturation'", "entity_id", "i")} AS u4 FROM rk, range(10000) r(i))""",
          f"""zz AS (SELECT *, {S.ppf('u1')} AS z_1, {S.ppf('u2')} AS z_2, {S.ppf('u3')} AS z_3, {S.ppf('u4')} AS z_4 FROM uu)""",
          f"""vv AS (SELECT entity_id, {_logn(1, AREA, .25)}*{_logn(2, 'pay', .18)}*least({_logn(3, 'porosity', .18 * .8)},35)/100*least({_logn(4, 'saturation', .18 * .6)},95)/100*.85/1.15 AS v FROM zz)"""]
 
 
 @query("volumetric_monte_carlo", sql=with_ctes(DRAWS, select="SELECT entity_id, round(quantile_cont(v,.1),1) AS p10, round(median(v),1) AS p50, round(quantile_cont(v,.9),1) AS p90, round(avg(v),1) AS mean, round(stddev_pop(v),1) AS sd FROM vv GROUP BY 1"))
 def volumetric_monte_carlo(spark, sf):
-    v = M.volumetric(_rock(spark, sf), 200, 7)
+    v = M.volumetric(_rock(spark, sf), 10_000, 7)
     return v.select("entity_id", *[rnd(x, 1).alias(x) for x in ("p10", "p50", "p90", "mean", "sd")])
 
 
@@ -169,23 +169,22 @@ def quantile_mapping(spark, sf):
 
 
 @query("copula_aggregation", sql=with_ctes(CW, f"""
-sm AS (SELECT c.*, sample, n, rho, i, {S.uniform("7", "'group'", "grp", "i")} AS ug, {S.uniform("7", "'entity'", "entity_id", "i")} AS ue FROM cw c JOIN er USING (bucket), (SELECT unnest([0.0::DOUBLE,0.5,1.0]) AS rho), range(100) r(i))""", f"""
+sm AS (SELECT c.*, sample, n, rho, i, {S.uniform("7", "'group'", "grp", "i")} AS ug, {S.uniform("7", "'entity'", "entity_id", "i")} AS ue FROM cw c JOIN er USING (bucket), (SELECT unnest([0.0::DOUBLE,0.5,1.0]) AS rho), range(4000) r(i))""", f"""
 sz AS (SELECT *, sqrt(rho)*{S.ppf('ug')} + sqrt(1-rho)*{S.ppf('ue')} AS z FROM sm)""", f"su AS (SELECT *, {S.cdf('z')} AS u FROM sz)", f"""
 st AS (SELECT rho, i, sum(best*exp({lerp('u')})) AS t FROM su GROUP BY ALL)""", f"rf AS (SELECT sum(best*exp({lerp('0.10::DOUBLE')})) AS p, sum(best) AS b, count(*) AS n FROM cw JOIN (SELECT bucket, sample, n FROM er) USING (bucket))", select="""
 SELECT rho, (SELECT n FROM rf) AS n_wells, round(quantile_cont(t,.1),2) AS p10, round(median(t),2) AS p50, round(quantile_cont(t,.9),2) AS p90, round((SELECT b FROM rf),2) AS sum_best, round((SELECT p FROM rf),2) AS sum_well_p10, round(quantile_cont(t,.1)-(SELECT p FROM rf),2) AS aggregation_gain FROM st GROUP BY 1"""))
 def copula_aggregation(spark, sf):
     w, s = _copula_inputs(spark, sf)
-    r = M.aggregate_copula(w, s, (0.0, 0.5, 1.0), 100, 7)
+    r = M.aggregate_copula(w, s, (0.0, 0.5, 1.0), 4000, 7)
     return r.select("rho", "n_wells", *[rnd(x, 2).alias(x) for x in ("p10", "p50", "p90", "sum_best", "sum_well_p10", "aggregation_gain")])
 
 
 # ------------------------------------------------------------------ hindcast
 def _series(spark, sf):
-    """Series of at most 800 sampled suppliers (the sample size is part of the protocol), indexed from the first month."""
+    """Series of all suppliers, indexed from the first month."""
     m = calendar_rate(monthly(spark, sf, "supplier"))
-    ids = m.select("entity_id").distinct().orderBy(hash_uniform(F.lit(20260916), "entity_id"), "entity_id").limit(800)
     s0 = F.min("mi").over(Window.partitionBy("entity_id"))
-    s = m.join(ids, "entity_id", "left_semi").withColumn("start_month", s0).withColumn("t", F.col("mi") - F.col("start_month") + 0.5)
+    s = m.withColumn("start_month", s0).withColumn("t", F.col("mi") - F.col("start_month") + 0.5)
     g = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("entity_id"), F.concat(F.lit("b"), (F.col("s_nationkey") % 5).cast("string")).alias("grp"))
     return H.library_split(s.select("entity_id", "t", "rate", "start_month").join(g, "entity_id"))
 
@@ -207,7 +206,7 @@ def hindcast_summary(spark, sf):
 def error_model(spark, sf):
     """Log-ratio error classes of the hindcast and their intra-block correlation."""
     from ..operators.ranking import exact_percentiles
-    r = materialise(H.log_ratios(_hindcast(spark, sf), at_least=10))
+    r = materialise(H.log_ratios(_hindcast(spark, sf), at_least=20))
     p = exact_percentiles(r, ["H"], "e", {"p10": .1, "p50": .5, "p90": .9})
     icc = icc_oneway(r.where("H = 24"), "e", "grp").select("icc").scalar()
     n = r.groupBy("H").agg(F.count(F.lit(1)).alias("n"))
@@ -217,13 +216,13 @@ def error_model(spark, sf):
 @query("probabilistic_reserves")
 def probabilistic_reserves(spark, sf):
     """Copula totals of fitted suppliers with the hindcast error classes, ρ from {0, .5, 1}."""
-    r = materialise(H.log_ratios(_hindcast(spark, sf), at_least=10))
+    r = materialise(H.log_ratios(_hindcast(spark, sf), at_least=20))
     sm = M.error_quantiles(r.withColumn("bucket", F.when(F.col("H") >= 18, 24).otherwise(12)), "bucket", "e")
     p = D.pack(points(spark, sf), "entity_id").withColumn("fit", fit_udf(D.TERMINAL)("ts", "qs")).where("fit.converged")
     v = p.withColumn("best", remaining_struct(F.col("fit"), F.lit(Q_ECON), F.array_max("ts") - F.array_min("ts"))["remaining"])
     g = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("entity_id"), F.concat(F.lit("b"), (F.col("s_nationkey") % 5).cast("string")).alias("grp"))
     w = v.where("best > 0").join(g, "entity_id").select("entity_id", "grp", "best", F.when(F.col("fit.n") >= 18, 24).otherwise(12).alias("bucket"))
-    a = M.aggregate_copula(w, sm, (0.0, 0.5, 1.0), 200, 7)
+    a = M.aggregate_copula(w, sm, (0.0, 0.5, 1.0), 4000, 7)
     return a.select("rho", "n_wells", *[rnd(x, 1).alias(x) for x in ("p10", "p50", "p90", "sum_best", "sum_well_p10", "aggregation_gain")])
 
 

@@ -224,24 +224,23 @@ def unit_decline(spark, sf):
 
 
 @query("plan_vs_actual", sql=with_ctes(BASE, """
-act AS (SELECT mi, sum(oil) AS actual FROM am JOIN acc USING (entity_id) WHERE plant='MACHINERY' GROUP BY 1)""", f"""
-pl AS (SELECT {S.mi('o_orderdate')} AS mi, sum(o_totalprice)/10000 AS plan FROM orders JOIN customer ON c_custkey=o_custkey WHERE c_mktsegment='MACHINERY' AND month(o_orderdate) <> 2 GROUP BY 1)""", f"""
-sp AS (SELECT unnest(range({CLOSE - 11},{CLOSE + 1})) AS mi)""", select="""
-SELECT mi::INTEGER AS mi, round(plan,3) AS plan, actual, round(100*(actual-plan)/plan,3) AS deviation_pct, round(100*(sum(actual) OVER ()-sum(plan) OVER ())/sum(plan) OVER (),3) AS period_deviation_pct FROM sp LEFT JOIN pl USING (mi) LEFT JOIN act USING (mi)"""))
+act AS (SELECT plant, mi, sum(oil) AS actual FROM am JOIN acc USING (entity_id) GROUP BY ALL)""", f"""
+pl AS (SELECT {S.mi('o_orderdate')} AS mi, c_mktsegment AS plant, sum(o_totalprice)/10000 AS plan FROM orders JOIN customer ON c_custkey=o_custkey GROUP BY ALL)""", f"""
+sp AS (SELECT plant, unnest(range({CLOSE - 11},{CLOSE + 1})) AS mi FROM (SELECT DISTINCT plant FROM acc))""", select="""
+SELECT plant, mi::INTEGER AS mi, round(plan,3) AS plan, actual, round(100*(actual-plan)/plan,3) AS deviation_pct, round(100*(sum(actual) OVER w-sum(plan) OVER w)/sum(plan) OVER w,3) AS period_deviation_pct FROM sp LEFT JOIN pl USING (plant, mi) LEFT JOIN act USING (plant, mi) WINDOW w AS (PARTITION BY plant)"""))
 def plan_vs_actual(spark, sf):
     from pyspark.sql import Window
     from ..functions.columns import month_index
     from ..sources.bind import table
     m, acc, _ = inputs(spark, sf)
-    act = m.join(acc.where("plant = 'MACHINERY'").select("entity_id"), "entity_id").groupBy("mi").agg(F.sum("oil").alias("actual"))
-    o = table(spark, sf, "orders").where(F.month("o_orderdate") != 2).join(
-        table(spark, sf, "customer").where("c_mktsegment = 'MACHINERY'").select(F.col("c_custkey").alias("o_custkey")), "o_custkey")
-    pl = o.groupBy(month_index("o_orderdate").alias("mi")).agg((F.sum("o_totalprice") / 10000).alias("plan"))
-    spine = spark.range(CLOSE - 11, CLOSE + 1).select(F.col("id").cast("int").alias("mi"))
-    j = spine.join(pl, "mi", "left").join(act, "mi", "left")
-    w = Window.partitionBy(F.lit(0))  # twelve rows
+    act = m.join(acc.select("entity_id", "plant"), "entity_id").groupBy("plant", "mi").agg(F.sum("oil").alias("actual"))
+    o = table(spark, sf, "orders").join(table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("plant")), "o_custkey")
+    pl = o.groupBy("plant", month_index("o_orderdate").alias("mi")).agg((F.sum("o_totalprice") / 10000).alias("plan"))
+    spine = acc.select("plant").distinct().withColumn("mi", F.explode(F.sequence(F.lit(CLOSE - 11), F.lit(CLOSE))))
+    j = spine.join(pl, ["plant", "mi"], "left").join(act, ["plant", "mi"], "left")
+    w = Window.partitionBy("plant")  # twelve rows each
     tot = F.try_divide(100 * (F.sum("actual").over(w) - F.sum("plan").over(w)), F.sum("plan").over(w))
-    return j.select("mi", rnd("plan", 3).alias("plan"), "actual", rnd(F.try_divide(100 * (F.col("actual") - F.col("plan")), F.col("plan")), 3).alias("deviation_pct"), rnd(tot, 3).alias("period_deviation_pct"))
+    return j.select("plant", "mi", rnd("plan", 3).alias("plan"), "actual", rnd(F.try_divide(100 * (F.col("actual") - F.col("plan")), F.col("plan")), 3).alias("deviation_pct"), rnd(tot, 3).alias("period_deviation_pct"))
 
 
 # ------------------------------------------------------------------ planned locations

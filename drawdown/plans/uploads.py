@@ -85,11 +85,11 @@ def import_history(spark, sf):
 
 
 @query("keyed_upsert", sql="""
-WITH e AS (SELECT s_suppkey AS k, s_acctbal AS v FROM supplier), n AS (SELECT c_custkey AS k, c_acctbal AS v FROM customer WHERE c_custkey < 500)
+WITH e AS (SELECT s_suppkey AS k, s_acctbal AS v FROM supplier), n AS (SELECT c_custkey AS k, c_acctbal AS v FROM customer)
 SELECT * FROM e WHERE k NOT IN (SELECT k FROM n) UNION ALL SELECT * FROM n""")
 def keyed_upsert(spark, sf):
     e = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_acctbal").alias("v"))
-    n = table(spark, sf, "customer").where("c_custkey < 500").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v"))
+    n = table(spark, sf, "customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v"))
     return upsert(e, n, ["k"])
 
 

@@ -27,14 +27,15 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``; a temporary one only in local mode."""
+    """The folder the cluster names in ``spark.checkpoint.dir``; in local mode, where it is unset, one made for this session."""
     folder = (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
               or spark.sparkContext.getCheckpointDir())
     if folder:
         return folder
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    return os.path.join(tempfile.gettempdir(), "drawdown-tables")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="drawdown-"))
+    return spark.sparkContext.getCheckpointDir()
 
 
 def materialise(df: DataFrame, partitions: int | None = None) -> DataFrame:
@@ -42,12 +43,15 @@ def materialise(df: DataFrame, partitions: int | None = None) -> DataFrame:
 
     Used where one result feeds several branches (a monthly roll-up, one fit per entity): the branches then
     scan a small columnar table with known size instead of repeating the upstream work, and a lost executor
-    costs a re-read, not a recomputation.
+    costs a re-read, not a recomputation. The files go when the application ends.
     """
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/{df.sparkSession.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     out = df if partitions is None else df.coalesce(partitions)
     out.write.mode("errorifexists").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:

@@ -1,22 +1,41 @@
 """Readers and writers: CSV uploads, monthly report files, clause markdown, keyed upsert, staged overwrite, versions."""
 from __future__ import annotations
 
+import csv
 from collections.abc import Sequence
 
+import pandas as pd
+
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 BBL_TO_T = 0.1364  # fixed value: barrels to tonnes
 
 
 def read_upload(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
-    """Header CSV as strings, blank rows dropped, BOM removed; GBK when the first bytes are not valid UTF-8."""
+    """Header CSV as strings, blank rows dropped, BOM removed. Without ``encoding`` every file is decided on its own and on all its bytes: UTF-8
+    if they are valid UTF-8, else GBK. An upload is a file that a person sends, so a file is read whole by one task."""
     if encoding is None:
-        head = spark.read.format("binaryFile").load(path).select(F.expr("is_valid_utf8(substring(content, 1, 65536))").alias("ok"))
-        encoding = "UTF-8" if head.agg(F.min(F.col("ok").cast("int"))).first()[0] == 1 else "GBK"  # one flag
-    if encoding.upper() not in ("UTF-8", "UTF-16", "ISO-8859-1", "US-ASCII"):
-        spark.conf.set("spark.sql.legacy.javaCharsets", "true")  # Spark 4 admits other charsets only with this setting
-    df = spark.read.option("header", True).option("encoding", encoding).csv(path)
-    df = df.toDF(*[x.lstrip("﻿") for x in df.columns])
+        files = spark.read.format("binaryFile").load(path).select("path", "content")
+
+        @F.pandas_udf("array<string>")
+        def lines(content: pd.Series) -> pd.Series:
+            def text(b: bytes) -> str:
+                try:
+                    return b.decode("utf-8")
+                except UnicodeDecodeError:
+                    return b.decode("gbk", errors="replace")
+            return content.map(lambda b: text(b).lstrip("\ufeff").splitlines())
+
+        rows = files.select("path", F.posexplode(lines("content")).alias("pos", "value"))
+        head = rows.where("pos = 0").orderBy("path").select("value").first()
+        if head is None:
+            raise ValueError(f"no file with a header at {path}")
+        names = next(csv.reader([head["value"]]))
+        ddl = ", ".join(f"`{n.replace('`', '``')}` string" for n in names)
+        df = rows.where("pos > 0").select(F.from_csv("value", ddl).alias("r")).select("r.*")
+    else:
+        df = spark.read.option("header", True).option("encoding", encoding).csv(path)
+        df = df.toDF(*[x.lstrip("\ufeff") for x in df.columns])
     return df.where(F.concat_ws("", *[F.trim(F.coalesce(F.col(x), F.lit(""))) for x in df.columns]) != "")
 
 

@@ -1,7 +1,7 @@
 import numpy as np
 
 from drawdown.functions.curves import np_fit, np_shape
-from drawdown.operators.decline import _last_break
+from drawdown.operators.decline import last_breaks
 from drawdown.operators.physics import DEFAULT_PRIOR, np_fit as physics_fit
 
 
@@ -24,11 +24,11 @@ def test_modified_hyperbolic_switches_to_terminal_decline():
 def test_last_break_on_rise_then_decline():
     rng = np.random.default_rng(1)
     q = np.concatenate([100 * 1.06 ** np.arange(18), 100 * 1.06 ** 18 * 0.97 ** np.arange(48)]) * np.exp(rng.normal(0, 0.03, 66))
-    assert abs(_last_break(np.arange(66.0), np.log(q), 12) - 18) <= 3
+    assert abs(last_breaks([(np.arange(66.0), np.log(q))], 12)[0] - 18) <= 3
 
 
 def test_clean_decline_has_no_break():
-    assert _last_break(np.arange(48.0), np.log(50 * np.exp(-0.025 * np.arange(48))), 12) == 0
+    assert last_breaks([(np.arange(48.0), np.log(50 * np.exp(-0.025 * np.arange(48))))], 12)[0] == 0
 
 
 def test_physics_fit_follows_linear_flow():
