@@ -93,6 +93,7 @@ def is_ssh_key(data: bytes) -> bool:
 
 def unbase64(text: str) -> bytes | None:
     text = re.sub(r"\s", "", text).rstrip("=").replace("-", "+").replace("_", "/")
+    text = text[:len(text) - (len(text) % 4 == 1)]  # prose after the last line may leave a lone character
     try:
         return base64.b64decode(text + "=" * (-len(text) % 4), validate=True)
     except (binascii.Error, ValueError):
