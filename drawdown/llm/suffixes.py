@@ -288,7 +288,8 @@ def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, per_shard:
     spark = docs.sparkSession
     lo, n = F.shiftrightunsigned("span", 20), F.shiftrightunsigned("span", 10).bitwiseAND(F.lit(1023))
     all_ = stored(anchored(docs.filter(F.octet_length("text") >= length), length, gram))
-    known = all_.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), (F.min("region") != F.max("region")).alias("mixed")).filter("n > 1").drop("n")
+    # stored, so that the join deals both sides itself and can split an anchor that very many regions have
+    known = stored(all_.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), (F.min("region") != F.max("region")).alias("mixed")).filter("n > 1").drop("n"))
     hits = stored(all_.join(known, "anchor"))
     # equal regions need no comparison; of each only one goes on to be compared with different ones around the same anchor
     distinct = stored(hits.filter("mixed").groupBy("anchor", "region").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc", "mark", "span")).alias("one")))
