@@ -46,10 +46,12 @@ def index_keys(line: Column, length: Column, edits: int) -> Column:
 
 
 def probe_keys(line: Column, length: Column, edits: int) -> Column:
+    """Keys of the substrings that can meet another line's segments, but for the line's own segments, which :func:`index_keys` gives."""
     keys = []
     for d, i, o in offsets(edits):
-        start, size = segments(length - d, edits)[i]
-        keys.append(piece(line, start + o, size, i, length - d))
+        if d or o:
+            start, size = segments(length - d, edits)[i]
+            keys.append(piece(line, start + o, size, i, length - d))
     return F.array(*keys)
 
 
@@ -132,21 +134,22 @@ def judged(df: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame:
 
 
 def near_lines(lines: DataFrame, edits: int) -> DataFrame:
-    """Links between different lines at most ``edits`` apart: a, b (hashes) and where each occurs first, a's before b's."""
+    """Links between different lines at most ``edits`` apart, by their hashes: a < b.
+
+    All is one plan: the lines are dealt once, by their hash, and read from there by the index, the probes and both sides of the pairs.
+    """
     # two lines with one 64-bit hash count as the smaller of them
-    distinct = lines.groupBy("key").agg(F.min("line").alias("line"), F.min(F.struct("doc", "mark", "place")).alias("first"))
-    length = F.length("line")
-    index = distinct.select("key", F.explode(index_keys(F.col("line"), length, edits)).alias("at"))
-    probe = distinct.select(F.col("key").alias("by"), F.explode(probe_keys(F.col("line"), length, edits)).alias("on"))
-    met = probe.join(index, (F.col("on") == F.col("at")) & (F.col("by") != F.col("key")))
-    pairs = stored(met.select(F.least("key", "by").alias("ka"), F.greatest("key", "by").alias("kb")).distinct())
-    named = pairs.select(F.explode(F.array("ka", "kb")).alias("key")).distinct()
-    used = stored(distinct.join(named, "key"))
-    one = used.select(F.col("key").alias("ka"), F.col("line").alias("a"), F.col("first").alias("fa"))
-    two = used.select(F.col("key").alias("kb"), F.col("line").alias("b"), F.col("first").alias("fb"))
-    near = within(pairs.join(one, "ka").join(two, "kb"), edits)
-    before = F.col("fa") < F.col("fb")
-    return near.select(F.when(before, F.col("ka")).otherwise(F.col("kb")).alias("a"), F.when(before, F.col("kb")).otherwise(F.col("ka")).alias("b"))
+    distinct = lines.groupBy("key").agg(F.min("line").alias("line"))
+    sized = distinct.withColumn("size", F.length("line"))  # once a line, not once a key
+    line, size = F.col("line"), F.col("size")
+    index = sized.select("key", F.explode(index_keys(line, size, edits)).alias("at"))
+    probe = sized.select(F.col("key").alias("by"), F.explode(probe_keys(line, size, edits)).alias("on"))
+    again = index.select(F.col("key").alias("by"), F.col("at").alias("on"))
+    met = probe.join(index, (F.col("on") == F.col("at")) & (F.col("by") != F.col("key"))).union(again.join(index, (F.col("on") == F.col("at")) & (F.col("by") < F.col("key"))).select("by", "on", "key", "at"))
+    pairs = met.select(F.least("key", "by").alias("ka"), F.greatest("key", "by").alias("kb")).distinct()
+    one = distinct.select(F.col("key").alias("ka"), F.col("line").alias("a"))
+    two = distinct.select(F.col("key").alias("kb"), F.col("line").alias("b"))
+    return within(pairs.join(one, "ka").join(two, "kb"), edits).select(F.col("ka").alias("a"), F.col("kb").alias("b"))
 
 
 def removals(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, least: int = LEAST) -> DataFrame:
@@ -157,10 +160,11 @@ def removals(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", edit
     """
     lines = judged(df, id_col, text_col, least)
     links = stored(near_lines(lines, edits))
-    ends = links.select(F.explode(F.array(F.struct(F.col("a").alias("key"), F.lit(False).alias("later")), F.struct(F.col("b").alias("key"), F.lit(True).alias("later")))).alias("e"))
-    linked = ends.groupBy("e.key").agg(F.max("e.later").alias("later"), F.count(F.lit(1)).alias("links"))
     light = lines.select("doc", "mark", "place", "key")
     firsts = light.groupBy("key").agg(F.min(F.struct("doc", "mark", "place")).alias("first"), F.count(F.lit(1)).alias("n"))
+    both = links.select("a", "b").union(links.select("b", "a"))
+    own, other = firsts.select(F.col("key").alias("a"), F.col("first").alias("fa")), firsts.select(F.col("key").alias("b"), F.col("first").alias("fb"))
+    linked = both.join(own, "a").join(other, "b").groupBy(F.col("a").alias("key")).agg(F.max(F.col("fb") < F.col("fa")).alias("later"), F.count(F.lit(1)).alias("links"))
     known = firsts.join(linked, "key", "left").filter((F.col("n") > 1) | F.col("links").isNotNull())
     found = light.join(known, "key").withColumn("again", ~F.struct("doc", "mark", "place").eqNullSafe(F.col("first")))
     gone = F.when(F.col("again"), F.lit("exact")).when(F.col("later"), F.lit("near"))
