@@ -6,17 +6,27 @@ anything sorted. A key that owns a third of the rows is spread over all buckets.
 """
 from __future__ import annotations
 
+import os
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from ..functions.columns import c
 
 
 def _below(cuts: str, value: str):
-    """How many of the sorted cut points are smaller than the value."""
-    v = F.col(value)
-    return (F.array_position(F.array_sort(F.array_append(F.col(cuts), v)), v) - 1).cast("int")
+    """How many of the sorted cut points are smaller than the value, by binary search over at most 2,047 of them."""
+    v, at = F.col(value), F.col(cuts)
+    return F.aggregate(F.array(*[F.lit(1 << k) for k in range(10, -1, -1)]), F.lit(0), lambda n, step: F.when((n + step <= F.size(at)) & (F.get(at, n + step - 1) < v), n + step).otherwise(n))
+
+
+def _ordinal(df: DataFrame, ident: str):
+    """A number that grows with ``ident``: the value itself, or for text the seven bytes after what all values start with."""
+    if not isinstance(df.schema[ident].dataType, T.StringType):
+        return F.col(ident)
+    ends = df.agg(F.min(ident), F.max(ident)).first()
+    same = len(os.path.commonprefix([x or "" for x in ends]))
+    return F.conv(F.rpad(F.substring(F.hex(F.encode(F.substring(F.col(ident), same + 1, 7), "UTF-8")), 1, 14), 14, "0"), 16, 10).cast("long")
 
 
 def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict,
@@ -83,13 +93,14 @@ def dated_row_number(df: DataFrame, keys: Sequence[str], date: str, ident: str,
     """1-based row number by (date, ident) inside ``keys``.
 
     The number of distinct dates is bounded by the calendar, so the offsets are small; rows of one date
-    are ranked inside ``fan`` identifier ranges.
+    are ranked inside ``fan`` identifier ranges. Identifiers may be numbers or text.
     """
     keys = list(keys)
-    cuts = df.agg(F.percentile_approx(ident, F.array(*[F.lit(i / fan) for i in range(1, fan)]), 10000).alias("_cuts"))
+    df = df.withColumn("_o", _ordinal(df, ident))
+    cuts = df.agg(F.percentile_approx("_o", F.array(*[F.lit(i / fan) for i in range(1, fan)]), 10000).alias("_cuts"))
     spread = (
         df.withColumn("_cuts", cuts.scalar())
-        .withColumn("_b", _below("_cuts", ident)).drop("_cuts")
+        .withColumn("_b", _below("_cuts", "_o")).drop("_cuts", "_o")
     )
     per = spread.groupBy(*keys, date, "_b").agg(F.count(F.lit(1)).alias("_m"))
     w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))

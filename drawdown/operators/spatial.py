@@ -46,15 +46,20 @@ def radius_count(points: DataFrame, refs: DataFrame, radius: float, *, ident: st
 
 
 def nearest(points: DataFrame, refs: DataFrame, k: int, *, ident: str = "entity_id", ref_ident: str = "ref_id",
-            group: str = "grp", x: str = "x", y: str = "y", cell: float = 4.0, levels: int = 6,
-            factor: int = 4) -> DataFrame:
+            group: str = "grp", x: str = "x", y: str = "y", cell: float = 4.0, factor: int = 4) -> DataFrame:
     """Exact k nearest refs of the same group: (ident, ref_ident, dist, rk).
 
     Refs are counted in grids of growing cell size. A point starts at the finest grid whose 3×3 block holds
     enough refs, which gives an upper bound of the k-th distance; where that bound is larger than the cell,
-    a second probe at the grid that covers the bound settles it. The coarsest cell (cell·factor^levels) must
-    cover the extent.
+    a second probe at the grid that covers the bound settles it. The number of grids follows from the extent (one
+    aggregate), so the coarsest block holds everything. Of refs at one place only the k + 1 with the smallest ids can be among the
+    nearest; the others are not looked at.
     """
+    refs = top_k(refs, [group, x, y], [ref_ident], k + 1, rank="_same").drop("_same")
+    ends = points.select(x, y).unionByName(refs.select(x, y)).agg(F.max(x) - F.min(x), F.max(y) - F.min(y)).first()
+    reach, levels = max([float(e) for e in ends if e is not None], default=0.0), 1
+    while cell * factor ** levels < reach:
+        levels += 1
     sizes = [cell * factor ** i for i in range(levels + 1)]
     size_of = F.element_at(F.array(*[F.lit(float(s)) for s in sizes]), F.col("_l") + 1)
     around = F.sequence(F.lit(-1), F.lit(1))

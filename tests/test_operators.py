@@ -87,3 +87,62 @@ def test_rollforward_balances(spark):
     c = spark.createDataFrame([("a", "u", "drilled", 0.0), ("b", "u", "booked", 6.0), ("c", "u", "booked", 4.0)], "k string, unit_id string, status string, reserves double")
     m = {r.move: r.value for r in recon.rollforward(o, c, "k", moves={"drilled": "converted"}, rest="removed", fresh="new").collect()}
     assert m == {"opening": 15.0, "converted": -10.0, "revision": 1.0, "new": 4.0, "closing": 10.0}
+
+
+def test_nearest_is_exact_at_any_extent_and_with_repeated_places(spark):
+    from drawdown.operators.spatial import nearest
+    far = [(i, float(40_000 * i), 0.0, "g") for i in range(8)]
+    same = [(100 + i, 7.0, 7.0, "h") for i in range(30)] + [(200, 9.0, 7.0, "h"), (201, 5_000_000.0, 1.0, "h")]
+    for rows, k in ((far, 3), (same, 4)):
+        d = spark.createDataFrame(rows, "entity_id long, x double, y double, grp string")
+        got = sorted((r.entity_id, r.rk, r.ref_id) for r in nearest(d, d.withColumnRenamed("entity_id", "ref_id"), k).collect())
+        want = []
+        for i, x, y, _ in rows:
+            others = sorted((round(((x - a) ** 2 + (y - b) ** 2) ** .5, 6), j) for j, a, b, _ in rows if j != i)
+            want += [(i, n + 1, j) for n, (_, j) in enumerate(others[:k])]
+        assert got == sorted(want)
+
+
+def test_row_numbers_of_text_identifiers(spark):
+    from drawdown.operators.ranking import dated_row_number
+    rows = [(f"well-{i * 7919 % 1000:04d}", i % 3) for i in range(500)]
+    d = spark.createDataFrame(rows, "entity_id string, day int")
+    got = {r.entity_id: r.rn for r in dated_row_number(d, [], "day", "entity_id").collect()}
+    assert got == {i: n + 1 for n, (_, i) in enumerate(sorted((day, i) for i, day in rows))}
+
+
+def test_uploads_of_any_encoding_in_one_folder(spark, tmp_path):
+    from drawdown.sources.tables import read_upload
+    (tmp_path / "a.csv").write_bytes("单元,量\n甲,1\n,\n".encode("gbk"))
+    (tmp_path / "b.csv").write_bytes(b"\xef\xbb\xbf" + "单元,量\n乙,2\n".encode())
+    (tmp_path / "c.csv").write_bytes(("单元,量\n" + "丙,3\n" * 20_000).encode())
+    got = read_upload(spark, str(tmp_path))
+    assert got.columns == ["单元", "量"]
+    assert {(r["单元"], r["量"], r["count"]) for r in got.groupBy("单元", "量").count().collect()} == {("甲", "1", 1), ("乙", "2", 1), ("丙", "3", 20_000)}
+
+
+def test_citations_fall_back_at_any_depth(spark):
+    from drawdown.operators.text import clause_ancestors, explicit_citations
+    keys = spark.createDataFrame([("4-10(a)", "4-10(a)"), ("1203(a)", "1203(a)"), ("1203(b)", "1203(b)")], "key string, citation string")
+    q = spark.createDataFrame([(1, "see Rule 4-10(a)(1)(2)(3)(4)(5)(6)(7)(8)"), (2, "and Item 1203"), (3, "Item 1299")], "qid long, text string")
+    assert {(r.qid, r.citation) for r in explicit_citations(q, keys, qid="qid", text="text", ident="citation").collect()} == {(1, "4-10(a)"), (2, "1203(a)")}
+    chain = spark.createDataFrame([(str(i), str(i - 1) if i else None) for i in range(20)], "citation string, parent string")
+    got = {(r.citation, r.ancestor, r.up) for r in clause_ancestors(chain).collect()}
+    assert got == {(str(i), str(j), i - j) for i in range(20) for j in range(i)}
+
+
+def test_fingerprint_sees_every_column_and_exchange(spark):
+    from drawdown.sources.snapshot import fingerprint
+    a = spark.createDataFrame([(1, 2.0, "x"), (2, 3.0, "y")], "k int, v double, s string")
+    b = spark.createDataFrame([(2, 3.0, "y"), (1, 2.0, "x")], "k int, v double, s string")
+    swapped = spark.createDataFrame([(1, 3.0, "x"), (2, 2.0, "y")], "k int, v double, s string")
+    key = lambda d: fingerprint([(d, d.columns)])
+    assert key(a) == key(b) != key(swapped)
+
+
+def test_breaks_of_a_batch_equal_single_ones():
+    import numpy as np
+    from drawdown.operators.decline import last_breaks
+    rng = np.random.default_rng(3)
+    series = [(np.arange(n, dtype=float), np.log(50 + 5 * np.arange(n) if n < 20 else np.concatenate([50 + 5 * np.arange(18), 140 * np.exp(-.05 * np.arange(n - 18))])) + rng.normal(0, .01, n)) for n in (0, 5, 14, 30, 66)]
+    assert last_breaks(series, 12).tolist() == [last_breaks([s], 12)[0] for s in series]
