@@ -310,29 +310,38 @@ def depletion_impairment(spark, sf):
     return d.select("unit_id", "as_of", *[rnd(x, 3).alias(x) for x in ("opening_used", "depletion", "carrying", "impairment", "closing_nbv")], "impaired")
 
 
-SM_SQL = [*pud_sql("c", CLOSE, "pc"), """
-pw AS (SELECT unit_id, list(CASE WHEN alive=1 THEN r ELSE 0 END*30.4 ORDER BY j) AS vols FROM (SELECT *, min(CASE WHEN j < kp OR r >= q_econ THEN 1 ELSE 0 END) OVER (PARTITION BY unit_id, scenario ORDER BY j) AS alive FROM pc_f JOIN pc_k USING (unit_id, scenario)) WHERE scenario='sec' AND alive=1 GROUP BY 1)""", f"""
-bl AS (SELECT location_id, p.unit_id, greatest(planned_mi-{CLOSE},0)+1 AS s, capex, vols FROM pc p JOIN pw USING (unit_id) WHERE status='booked' AND scenario='sec')""", """
-nb2 AS (SELECT unit_id, count(*) FILTER (WHERE pdnp_status='booked')*15.0::DOUBLE AS dev0 FROM c_old WHERE scenario='sec' GROUP BY 1)""", """
-fx2 AS (SELECT f.*, e.opex_month, coalesce(n.dev0,0) AS dev0 FROM fv f JOIN c_econ e ON e.unit_id=f.unit_id AND e.scenario='sec' LEFT JOIN nb2 n ON n.unit_id=f.unit_id WHERE k=1)""", """
-sch AS (SELECT unit_id, m, sum(v) AS v, sum(inf) AS inf, sum(pc) AS pc, sum(dc) AS dc FROM (
- SELECT unit_id, m, coalesce(q0*exp(-d*m),0) AS v, coalesce(q0*exp(-d*m),0)*net_t*7.1/1e4 AS inf, coalesce(q0*exp(-d*m),0)*opex_t*7.1/1e4 AS pc, CASE WHEN m=0 THEN dev0 ELSE 0 END AS dc FROM fx2, range(600) r(m)
- UNION ALL SELECT b.unit_id, s+i-1, vols[i], vols[i]*net_t*7.1/1e4, CASE WHEN vols[i]>0 THEN opex_month*7.1/1e4 ELSE 0 END, 0 FROM (SELECT *, unnest(range(1,len(vols)+1)) AS i FROM bl WHERE s < 600) b JOIN fx2 f ON f.unit_id=b.unit_id WHERE s+i-1 < 600
- UNION ALL SELECT unit_id, greatest(s-1,0), 0, 0, 0, capex FROM bl WHERE s < 600) GROUP BY ALL)""", """
-yr AS (SELECT * FROM (SELECT *, max(CASE WHEN v>1e-9 OR dc>0 THEN y END) OVER (PARTITION BY unit_id) AS ly FROM (SELECT unit_id, m//12 AS y, sum(v) AS v, sum(inf) AS inf, sum(pc) AS pc, sum(dc) AS dc FROM sch GROUP BY ALL)) WHERE y <= ly)""", """
-yt AS (SELECT *, .25::DOUBLE*greatest(inf-pc-dc,0) AS tax, pow(1.1::DOUBLE,-(y+0.5)) AS f, sum(v) OVER (PARTITION BY unit_id ORDER BY y) AS cv, sum(v) OVER (PARTITION BY unit_id) AS tv FROM yr)"""]
-
-
-def _measure(spark, sf):
-    c = evaluated(spark, sf, "close")
-    d = _finance_rows(spark, sf).where("as_of = 1")
+def sm_ctes(tag, p, k, price="sec"):
+    """Yearly cash flow ``yt{tag}`` of one date (k: 0 opening, 1 closing), valued at the prices of one scenario of its evaluation."""
+    pud, now = "po" if k == 0 else "pc", OPEN if k == 0 else CLOSE
+    return [*pud_sql(p, now, pud), f"""
+pw{tag} AS (SELECT unit_id, list(CASE WHEN alive=1 THEN r ELSE 0 END*30.4 ORDER BY j) AS vols FROM (SELECT *, min(CASE WHEN j < kp OR r >= q_econ THEN 1 ELSE 0 END) OVER (PARTITION BY unit_id, scenario ORDER BY j) AS alive FROM {pud}_f JOIN {pud}_k USING (unit_id, scenario)) WHERE scenario='sec' AND alive=1 GROUP BY 1)""", f"""
+bl{tag} AS (SELECT location_id, p.unit_id, greatest(planned_mi-{now},0)+1 AS s, capex, vols FROM {pud} p JOIN pw{tag} USING (unit_id) WHERE status='booked' AND scenario='sec')""", f"""
+nb2{tag} AS (SELECT unit_id, count(*) FILTER (WHERE pdnp_status='booked')*15.0::DOUBLE AS dev0 FROM {p}_old WHERE scenario='sec' GROUP BY 1)""", f"""
+fx2{tag} AS (SELECT f.* EXCLUDE (net_t, opex_t), e.net_t, f.opex_t*e.opex_month/b.opex_month AS opex_t, e.opex_month, coalesce(n.dev0,0) AS dev0 FROM fv f JOIN {p}_econ e ON e.unit_id=f.unit_id AND e.scenario='{price}' JOIN {p}_econ b ON b.unit_id=f.unit_id AND b.scenario='sec' LEFT JOIN nb2{tag} n ON n.unit_id=f.unit_id WHERE k={k})""", f"""
+sch{tag} AS (SELECT unit_id, m, sum(v) AS v, sum(inf) AS inf, sum(pc) AS pc, sum(dc) AS dc FROM (
+ SELECT unit_id, m, coalesce(q0*exp(-d*m),0) AS v, coalesce(q0*exp(-d*m),0)*net_t*7.1/1e4 AS inf, coalesce(q0*exp(-d*m),0)*opex_t*7.1/1e4 AS pc, CASE WHEN m=0 THEN dev0 ELSE 0 END AS dc FROM fx2{tag}, range(600) r(m)
+ UNION ALL SELECT b.unit_id, s+i-1, vols[i], vols[i]*net_t*7.1/1e4, CASE WHEN vols[i]>0 THEN opex_month*7.1/1e4 ELSE 0 END, 0 FROM (SELECT *, unnest(range(1,len(vols)+1)) AS i FROM bl{tag} WHERE s < 600) b JOIN fx2{tag} f ON f.unit_id=b.unit_id WHERE s+i-1 < 600
+ UNION ALL SELECT unit_id, greatest(s-1,0), 0, 0, 0, capex FROM bl{tag} WHERE s < 600) GROUP BY ALL)""", f"""
+yr{tag} AS (SELECT * FROM (SELECT *, max(CASE WHEN v>1e-9 OR dc>0 THEN y END) OVER (PARTITION BY unit_id) AS ly FROM (SELECT unit_id, m//12 AS y, sum(v) AS v, sum(inf) AS inf, sum(pc) AS pc, sum(dc) AS dc FROM sch{tag} GROUP BY ALL)) WHERE y <= ly)""", f"""
+yt{tag} AS (SELECT *, .25::DOUBLE*greatest(inf-pc-dc,0) AS tax, pow(1.1::DOUBLE,-(y+0.5)) AS f, sum(v) OVER (PARTITION BY unit_id ORDER BY y) AS cv, sum(v) OVER (PARTITION BY unit_id) AS tv FROM yr{tag})"""]
+
+
+SM_SQL = sm_ctes("", "c", 1)
+
+
+def _measure(spark, sf, k=1, value=None):
+    """Yearly cash flow of the opening (0) or closing (1) quantities, valued at their own prices or at those of ``value``."""
+    as_of, which, rows = ((OPEN, "open", SEC25), (CLOSE, "close", SEC26))[k]
+    c = evaluated(spark, sf, which)
+    prices = labelled(limits(spark, c["acc"]), value or rows).select("unit_id", "net_t", "opex_month")
+    d = _finance_rows(spark, sf).where(F.col("as_of") == k).drop("net_t", "opex_month", "opex_t").join(prices, "unit_id")
+    d = d.withColumn("opex_t", F.when(F.col("monthly") > 0, F.col("wm") * F.col("opex_month") / F.col("monthly")).otherwise(0.0))
     n = _at(c["old"], "sec").groupBy("unit_id").agg((F.sum((F.coalesce("pdnp_status", F.lit("")) == "booked").cast("int")) * E.RESTART_COST).alias("development_now"))
     dev = d.join(n, "unit_id", "left").select("unit_id", F.col("pd_reserves").alias("reserves"), "monthly", "opex_t", F.col("net_t").alias("net"), F.coalesce("development_now", F.lit(0.0)).alias("development_now"))
-    p = planned(spark, sf, CLOSE, SEC26).where("status = 'booked'")
-    cv = c["curves"].join(labelled(limits(spark, c["acc"]), SEC26).select("unit_id", "net_t", "opex_month"), "unit_id")
-    j = p.select("location_id", "unit_id", "planned_mi", "capex", "n_months").join(cv, "unit_id")
+    p = planned(spark, sf, as_of, rows).where("status = 'booked'")
+    j = p.select("location_id", "unit_id", "planned_mi", "capex", "n_months").join(c["curves"].join(prices, "unit_id"), "unit_id")
     vols = F.transform(F.sequence(F.lit(1), F.col("n_months").cast("int")), lambda i: U.analog_rate(i, F.lit(0), F.lit(CFG.certainty)) * 30.4)
-    pl = j.select("unit_id", (F.greatest(F.col("planned_mi") - CLOSE, F.lit(0)) + 1).alias("start_month"), vols.alias("volumes"), "capex", "opex_month", F.col("net_t").alias("net"))
+    pl = j.select("unit_id", (F.greatest(F.col("planned_mi") - as_of, F.lit(0)) + 1).alias("start_month"), vols.alias("volumes"), "capex", "opex_month", F.col("net_t").alias("net"))
     return N.annual_measure(N.cash_flow(dev, pl, fx=E.FX), tax=E.TAX)
 
 
@@ -352,6 +361,24 @@ def standardized_measure(spark, sf):
     return s.select("unit_id", rnd("volume", 2).alias("volume"), *[rnd(x, 3).alias(x) for x in ("inflow", "development_cost", "income_tax", "standardized_measure", "pre_tax_discounted", "discounted_tax")], "life_years")
 
 
+def _sums_sql(name, tag):
+    return f"{name} AS (SELECT unit_id, sum((inf-pc-dc-tax)*f) AS sm, sum((inf-pc-dc)*f) AS pre, sum(tax*f) AS taxd FROM yt{tag} GROUP BY 1)"
+
+
+@query("measure_changes", sql=with_ctes(OC, FIN_SQL, sm_ctes("_o", "o", 0), sm_ctes("_c", "c", 1), sm_ctes("_r", "c", 1, "opening_price"), _sums_sql("mo", "_o"), _sums_sql("mc", "_c"), _sums_sql("mr", "_r"), """
+mv2 AS (SELECT f.unit_id, coalesce(o.sm,0) AS opening, -production*(net_t-opex_t)*7.1/1e4 AS sales_net, coalesce(c.pre,0)-coalesce(r.pre,0) AS price_cost, capex AS development_incurred, 0.1::DOUBLE*coalesce(o.pre,0) AS accretion,
+ -(coalesce(c.taxd,0)-coalesce(o.taxd,0)) AS income_tax, coalesce(c.sm,0) AS closing FROM fv f LEFT JOIN mo o USING (unit_id) LEFT JOIN mc c USING (unit_id) LEFT JOIN mr r USING (unit_id) WHERE k=1)""", """
+mq AS (SELECT *, closing-opening-sales_net-price_cost-development_incurred-accretion-income_tax AS quantity_other FROM mv2)""", """
+ml AS (SELECT split_part(unit_id,'/',1) AS plant, unit_id, unnest([{'k':'opening','v':opening},{'k':'sales_net','v':sales_net},{'k':'price_cost','v':price_cost},{'k':'development_incurred','v':development_incurred},{'k':'accretion','v':accretion},{'k':'income_tax','v':income_tax},
+ {'k':'quantity_other','v':quantity_other},{'k':'closing','v':closing}]) AS x FROM mq)""", select="""
+SELECT CASE WHEN grouping(unit_id)=0 THEN unit_id WHEN grouping(plant)=0 THEN plant ELSE 'ALL' END AS scope, x.k AS item, round(sum(x.v),1) AS value FROM ml GROUP BY GROUPING SETS ((plant, unit_id, x.k), (plant, x.k), (x.k))""".replace("x.k", "k").replace("x.v", "v").replace("FROM ml", "FROM (SELECT plant, unit_id, x.k AS k, x.v AS v FROM ml)")))
+def measure_changes(spark, sf):
+    """Why the standardized measure moved between the two dates, per unit, plant and in total; opening and all lines add up to closing."""
+    sums = [materialise(N.standardized_measure(_measure(spark, sf, k, value)).select("unit_id", "standardized_measure", "pre_tax_discounted", "discounted_tax")) for k, value in ((0, None), (1, None), (1, SEC25))]
+    f = _finance_rows(spark, sf).where("as_of = 1").select("unit_id", "production", F.col("net_t").alias("net"), "opex_t", "capex")
+    return N.measure_changes(*sums, f, fx=E.FX).withColumn("value", rnd("value", 1))
+
+
 # ------------------------------------------------------------------ indicators
 PLAN_SQL = f"""pln AS (SELECT unit_id, sum(o_totalprice)/10000 AS plan_production, sum(o_totalprice) FILTER (WHERE fmi >= {CLOSE - 11})/10000 AS plan_new_oil FROM orders JOIN acc ON entity_id=o_custkey WHERE {S.mi('o_orderdate')} BETWEEN {CLOSE - 11} AND {CLOSE} GROUP BY 1)"""
 IND_SQL = [*ev_sql("c", CLOSE, SEC26), *comp_sql(CLOSE - 11, CLOSE - 11, CLOSE), PLAN_SQL, f"""
