@@ -1,8 +1,8 @@
 """Line dedup by a segment-partition edit join, in DataFrame functions only.
 
 Two lines within EDITS of each other share, in one of EDITS + 1 even segments of the shorter one, a piece that no edit touched. Every distinct line
-is indexed by its segments and probes, for each shorter length, the few substrings that can meet them there; lines that meet are
-compared by banded bit-parallel edit distance over what is left between their common prefix and suffix.
+is indexed by its segments and probes, for each shorter length, the few substrings that can meet them there; lines that meet, and whose letter counts
+allow it, are compared by banded bit-parallel edit distance over what is left between their common prefix and suffix.
 """
 from __future__ import annotations
 
@@ -14,6 +14,8 @@ from .common import col, stored, table, text_of
 
 #: Lines are near copies at up to this many edited characters; shorter lines than LEAST characters are left alone.
 EDITS, LEAST = 2, 16
+#: Frequent letters that are counted in every line; an edit changes at most two of the counts by one.
+COUNTED = "enatirs"
 #: Steps of the search for common prefixes and suffixes; they reach twice the largest.
 STEPS = [1 << k for k in range(30, -1, -1)]
 
@@ -55,6 +57,21 @@ def probe_keys(line: Column, length: Column, edits: int) -> Column:
     return F.array(*keys)
 
 
+def bag(line: Column, size: Column) -> Column:
+    """The numbers of the counted letters and the length, each modulo 256, in one long."""
+    counts = [F.octet_length(line) - F.octet_length(F.replace(line, F.lit(x), F.lit(""))) for x in COUNTED]
+    return reduce(lambda x, y: x.bitwiseOR(y), [F.shiftleft(n.bitwiseAND(F.lit(255)).cast("bigint"), 8 * k) for k, n in enumerate([*counts, size])])
+
+
+def bags_within(x: Column, y: Column, edits: int) -> Column:
+    """Whether two bags can belong to lines at most ``edits`` apart: neither has more than that many characters too many."""
+    part = lambda v, k: F.shiftrightunsigned(v, 8 * k).bitwiseAND(F.lit(255))
+    apart = [(part(x, k) - part(y, k) + 128).bitwiseAND(F.lit(255)) - 128 for k in range(len(COUNTED) + 1)]
+    apart[-1] = apart[-1] - sum(apart[1:-1], apart[0])  # all other characters
+    more, less = (sum(v[1:], v[0]) for v in ([F.greatest(a, F.lit(0)) for a in apart], [F.greatest(-a, F.lit(0)) for a in apart]))
+    return (more <= edits) & (less <= edits)
+
+
 def common(a: Column, b: Column, most: Column, end: bool) -> Column:
     """Length of the common prefix, or suffix, up to ``most``, by doubling steps from large to small."""
 
@@ -140,12 +157,14 @@ def near_lines(lines: DataFrame, edits: int) -> DataFrame:
     """
     # two lines with one 64-bit hash count as the smaller of them
     distinct = lines.groupBy("key").agg(F.min("line").alias("line"))
-    sized = distinct.withColumn("size", F.length("line"))  # once a line, not once a key
+    # once a line, not once a key; the letter counts rule out most lines that only share a piece before a pair is made of them
+    sized = distinct.withColumn("size", F.length("line")).withColumn("bag", bag(F.col("line"), F.col("size")))
     line, size = F.col("line"), F.col("size")
-    index = sized.select("key", F.explode(index_keys(line, size, edits)).alias("at"))
-    probe = sized.select(F.col("key").alias("by"), F.explode(probe_keys(line, size, edits)).alias("on"))
-    again = index.select(F.col("key").alias("by"), F.col("at").alias("on"))
-    met = probe.join(index, (F.col("on") == F.col("at")) & (F.col("by") != F.col("key"))).union(again.join(index, (F.col("on") == F.col("at")) & (F.col("by") < F.col("key"))).select("by", "on", "key", "at"))
+    index = sized.select("key", "bag", F.explode(index_keys(line, size, edits)).alias("at"))
+    probe = sized.select(F.col("key").alias("by"), F.col("bag").alias("with"), F.explode(probe_keys(line, size, edits)).alias("on"))
+    again = index.select(F.col("key").alias("by"), F.col("bag").alias("with"), F.col("at").alias("on"))
+    meet = (F.col("on") == F.col("at")) & bags_within(F.col("with"), F.col("bag"), edits)
+    met = probe.join(index, meet & (F.col("by") != F.col("key"))).select("key", "by").union(again.join(index, meet & (F.col("by") < F.col("key"))).select("key", "by"))
     pairs = met.select(F.least("key", "by").alias("ka"), F.greatest("key", "by").alias("kb")).distinct()
     one = distinct.select(F.col("key").alias("ka"), F.col("line").alias("a"))
     two = distinct.select(F.col("key").alias("kb"), F.col("line").alias("b"))
@@ -165,7 +184,8 @@ def removals(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", edit
     both = links.select("a", "b").union(links.select("b", "a"))
     own, other = firsts.select(F.col("key").alias("a"), F.col("first").alias("fa")), firsts.select(F.col("key").alias("b"), F.col("first").alias("fb"))
     linked = both.join(own, "a").join(other, "b").groupBy(F.col("a").alias("key")).agg(F.max(F.col("fb") < F.col("fa")).alias("later"), F.count(F.lit(1)).alias("links"))
-    known = firsts.join(linked, "key", "left").filter((F.col("n") > 1) | F.col("links").isNotNull())
+    # stored, so that the join deals both sides itself and can split a line that very many rows have
+    known = stored(firsts.join(linked, "key", "left").filter((F.col("n") > 1) | F.col("links").isNotNull()))
     found = light.join(known, "key").withColumn("again", ~F.struct("doc", "mark", "place").eqNullSafe(F.col("first")))
     gone = F.when(F.col("again"), F.lit("exact")).when(F.col("later"), F.lit("near"))
     return found.withColumn("gone", gone).groupBy("doc", "mark").agg(
