@@ -295,8 +295,8 @@ def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, per_shard:
     distinct = stored(hits.filter("mixed").groupBy("anchor", "region").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc", "mark", "span")).alias("one")))
     total = distinct.agg(F.coalesce(F.sum(F.shiftrightunsigned("one.span", 10).bitwiseAND(F.lit(1023)) + length - 1), F.lit(0)).alias("n")).first()["n"]
     shards = max(1, -(-total // shard_bytes))
-    many = distinct.groupBy("anchor").agg(F.ceil(F.count(F.lit(1)) / per_shard).cast("int").alias("parts"))
-    dealt = distinct.join(many, "anchor").select("one.doc", "one.mark", "one.span", "anchor", "region", "parts")
+    many = stored(distinct.groupBy("anchor").agg(F.ceil(F.count(F.lit(1)) / per_shard).cast("int").alias("parts")).filter("parts > 1"))
+    dealt = distinct.join(many, "anchor", "left").select("one.doc", "one.mark", "one.span", "anchor", "region", F.coalesce("parts", F.lit(1)).alias("parts"))
     dealt = dealt.withColumn("shard", F.pmod(F.xxhash64("anchor", F.pmod("region", "parts")), F.lit(shards)))
     asked = dealt.groupBy("doc", "mark").agg(F.collect_list(F.struct(lo.cast("int").alias("lo"), n.cast("int").alias("n"), "anchor", "region", "parts", "shard")).alias("ask"))
     a, d = asked.alias("a"), docs.alias("d")
