@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bytebpe import op4_byte_bpe
 from .decontaminate import op5_decontamination
 from .lines import op1_line_dedup
+from .oracles import DECONTAMINATION
 from .prefixcounts import op6_token_counts
 from .quality import op3_quality_classifier
 from .rules import op9_quality_rules
@@ -30,4 +31,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: DuckDB SQL for the queries that SQL can express on whole tables.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op5_decontamination": DECONTAMINATION}
