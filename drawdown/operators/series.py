@@ -59,8 +59,11 @@ def outside_event_windows(series: DataFrame, events: DataFrame, *, entity: str =
 
 def peak(smooth: DataFrame, events: DataFrame, *, entity: str = "entity_id", day: str = "day_index",
          ignore_days: int = 30, block_days: int = 60, confirm: int = 2, confirm_days: int = 30,
-         drop: float = 0.02, min_obs: int = 8, candidates: int = 12) -> DataFrame:
-    """Peak day and value: candidates in falling order, accepted once the following means keep declining."""
+         drop: float = 0.02, min_obs: int = 8, candidates: int | None = 12) -> DataFrame:
+    """Peak day and value: candidates in falling order, accepted once the following means keep declining.
+
+    That only the twelve highest days are tried is part of the rule as it is defined; ``candidates=None`` tries all.
+    """
     w = Window.partitionBy(entity).orderBy(day)
     looked = smooth
     ok = F.lit(True)
@@ -70,7 +73,7 @@ def peak(smooth: DataFrame, events: DataFrame, *, entity: str = "entity_id", day
         ok = ok & (F.col(f"_n{k}") >= min_obs) & (F.col(f"_m{k}") < F.col("smooth") * (1.0 - drop * k))
     cand = looked.withColumn("_ok", F.coalesce(ok, F.lit(False))).where(F.col(day) >= ignore_days)
     usable = outside_event_windows(cand, events, entity=entity, day=day, block_days=block_days)
-    tried = top_k(usable, [entity], [F.desc("smooth"), F.asc(day)], candidates)
+    tried = usable.withColumn("rk", -F.col("smooth")) if candidates is None else top_k(usable, [entity], [F.desc("smooth"), F.asc(day)], candidates)
     pick = tried.groupBy(entity).agg(
         F.min(F.when(F.col("_ok"), F.struct("rk", day, "smooth"))).alias("_c"),
         F.min(F.struct("rk", day, "smooth")).alias("_first"))

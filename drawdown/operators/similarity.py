@@ -24,15 +24,15 @@ def analog_quantiles(master: DataFrame, labels: DataFrame, targets: Mapping[str,
 
 @F.pandas_udf(T.DoubleType())
 def dtw_distance(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Dynamic time warping with absolute cost divided by n + m, the whole Arrow batch at once.
+    """Dynamic time warping with absolute cost divided by n + m, the whole Arrow batch at once; 1.0 where a curve is missing.
 
     The recursion runs over anti-diagonals, so numpy works on (batch × diagonal) slices.
     """
     if len(a) == 0:
         return pd.Series([], dtype=float)
-    out = np.empty(len(a))
-    shapes = pd.Series([(len(p), len(q)) for p, q in zip(a, b)])
-    for (n, m), rows in shapes.groupby(shapes).groups.items():
+    out = np.ones(len(a))
+    shapes = pd.Series([None if p is None or q is None else (len(p), len(q)) for p, q in zip(a, b)], dtype=object)
+    for (n, m), rows in shapes[shapes.notna()].groupby(shapes[shapes.notna()]).groups.items():
         rows = np.asarray(list(rows))
         x = np.stack([np.asarray(a.iloc[i], float) for i in rows])
         y = np.stack([np.asarray(b.iloc[i], float) for i in rows])
@@ -60,7 +60,8 @@ def similar_entities(targets: DataFrame, library: DataFrame, k: int = 5, *, iden
 
     The definition compares a target with the whole library. Both sides stay distributed: the library is cut
     into chunks of about 2000 entities, targets visit every chunk through an equi-join on the chunk number,
-    and of each partition only k rows per target are shuffled on.
+    and of each partition only k rows per target are shuffled on. Curves are only warped where it can matter: the k nearest by features
+    give a bound, and a pair whose feature distance with its unavoidable end costs lies above it is out. Missing curves are 1.0 apart.
     """
     lib = library.select(F.col(ident).alias("ref_id"), F.col(z).alias("_rz"), F.col(curve).alias("_rc"))
     n = lib.agg(F.greatest(F.ceil(F.count(F.lit(1)) / 2000), F.lit(1)).cast("int")).scalar()  # chunks of ~2000 library rows
@@ -70,7 +71,15 @@ def similar_entities(targets: DataFrame, library: DataFrame, k: int = 5, *, iden
     dim = F.sqrt(F.size("_z").cast("double"))
     feat = F.sqrt(F.aggregate(F.zip_with("_z", "_rz", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v)) / dim
     pair = t.join(lib, "_chunk").where(F.col(ident) != F.col("ref_id"))
-    scored = pair.select(ident, "ref_id", feat.alias("_f"), dtw_distance("_c", "_rc").alias("_d"))
-    dist = F.round(weight * F.col("_f") + (1 - weight) * curve_scale * F.col("_d"), 9)
-    return top_k(scored.select(ident, "ref_id", dist.alias("dist")), [ident], ["dist", "ref_id"], k).withColumn(
+    pair = pair.select(ident, "ref_id", feat.alias("_f"), "_c", "_rc")
+
+    def total(d):
+        scored = d.select(ident, "ref_id", "_f", dtw_distance("_c", "_rc").alias("_d"))
+        return scored.select(ident, "ref_id", F.round(weight * F.col("_f") + (1 - weight) * curve_scale * F.col("_d"), 9).alias("dist"))
+
+    bound = total(top_k(pair, [ident], ["_f", "ref_id"], k)).groupBy(ident).agg(F.max("dist").alias("_most"))
+    ends = [F.abs(F.element_at("_c", i) - F.element_at("_rc", i)) for i in (1, -1)]
+    least = F.coalesce(F.greatest(*ends) / (F.size("_c") + F.size("_rc")), F.lit(1.0))
+    near = pair.join(bound, ident).where(weight * F.col("_f") + (1 - weight) * curve_scale * least <= F.col("_most") + 1e-8)
+    return top_k(total(near), [ident], ["dist", "ref_id"], k).withColumn(
         "similarity", F.exp(-F.col("dist")))

@@ -24,9 +24,16 @@ def _table(spark, sf):
     return materialise(d.select("entity_id", "first_prod", "y_label", "u", *[F.col(c).cast("double").alias(c) for c in FEATS]))
 
 
+class NotTrained(ValueError):
+    """Too few labels to fit a model."""
+
+
 def _fitted(spark, sf):
     d = _table(spark, sf)
-    return d, L.fit_quantiles(d.where("u < 0.5"), FEATS, "y_label", trees=8)
+    models = L.fit_quantiles(d.where("u < 0.5"), FEATS, "y_label", trees=8)
+    if models is None:
+        raise NotTrained("fewer than 25 labelled entities: no model is fitted")
+    return d, models
 
 
 @query("boosted_quantiles")
@@ -76,7 +83,7 @@ def similar_entities(spark, sf):
     d = daily_users(spark, sf).withColumn("wc", F.col("water")).withColumn("gr", F.col("oil"))
     f = early_features(d, 20, water_cut="wc", gor="gr", cums=(10, 20)).select("entity_id", "q_max_obs", "q_mean_obs", "q_cv", "cum_10d")
     z = Z.standardise(materialise(f), ["q_max_obs", "q_mean_obs", "q_cv", "cum_10d"])
-    x = materialise(z.join(resampled_curve(d, 20, 12), "entity_id").select("entity_id", "z", "curve"))
+    x = materialise(z.join(resampled_curve(d, 20, 12), "entity_id", "left").select("entity_id", "z", "curve"))
     s = Z.similar_entities(x, x, 5)
     return s.select("entity_id", "ref_id", "rk", rnd("dist", 5).alias("dist"), rnd("similarity", 3).alias("similarity"))
 

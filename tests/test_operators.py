@@ -146,3 +146,25 @@ def test_breaks_of_a_batch_equal_single_ones():
     rng = np.random.default_rng(3)
     series = [(np.arange(n, dtype=float), np.log(50 + 5 * np.arange(n) if n < 20 else np.concatenate([50 + 5 * np.arange(18), 140 * np.exp(-.05 * np.arange(n - 18))])) + rng.normal(0, .01, n)) for n in (0, 5, 14, 30, 66)]
     assert last_breaks(series, 12).tolist() == [last_breaks([s], 12)[0] for s in series]
+
+
+def test_similar_entities_equal_all_pairs(spark):
+    import numpy as np
+    from drawdown.operators.similarity import similar_entities
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(0, 1, 3).tolist(), None if i % 7 == 0 else rng.random(6).tolist()) for i in range(40)]
+
+    def dtw(a, b):
+        d = np.full((len(a) + 1, len(b) + 1), np.inf)
+        d[0, 0] = 0
+        for i in range(len(a)):
+            for j in range(len(b)):
+                d[i + 1, j + 1] = abs(a[i] - b[j]) + min(d[i, j], d[i, j + 1], d[i + 1, j])
+        return d[-1, -1] / (len(a) + len(b))
+
+    want = []
+    for i, z, c in rows:
+        far = sorted((round(.5 * float(np.sqrt(((np.array(z) - np.array(y)) ** 2).sum())) / 3 ** .5 + 1.5 * (1.0 if c is None or e is None else dtw(c, e)), 9), j) for j, y, e in rows if j != i)
+        want += [(i, n + 1, j) for n, (_, j) in enumerate(far[:5])]
+    x = spark.createDataFrame(rows, "entity_id long, z array<double>, curve array<double>")
+    assert sorted((r.entity_id, r.rk, r.ref_id) for r in similar_entities(x, x, 5).collect()) == sorted(want)
