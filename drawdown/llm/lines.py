@@ -155,20 +155,27 @@ def near_lines(lines: DataFrame, edits: int) -> DataFrame:
 
     All is one plan: the lines are dealt once, by their hash, and read from there by the index, the probes and both sides of the pairs.
     """
+    # length and letter counts once a line; they rule out most lines that only share a piece before a pair is made of them
+    counted = lines.withColumn("size", F.length("line")).withColumn("bag", bag(F.col("line"), F.col("size")))
     # two lines with one 64-bit hash count as the smaller of them
-    distinct = lines.groupBy("key").agg(F.min("line").alias("line"))
-    # once a line, not once a key; the letter counts rule out most lines that only share a piece before a pair is made of them
-    sized = distinct.withColumn("size", F.length("line")).withColumn("bag", bag(F.col("line"), F.col("size")))
+    least = F.min(F.struct("line", "size", "bag"))
+    distinct = counted.groupBy("key").agg(least.alias("l")).select("key", "l.line", "l.size", "l.bag")
     line, size = F.col("line"), F.col("size")
-    index = sized.select("key", "bag", F.explode(index_keys(line, size, edits)).alias("at"))
-    probe = sized.select(F.col("key").alias("by"), F.col("bag").alias("with"), F.explode(probe_keys(line, size, edits)).alias("on"))
-    again = index.select(F.col("key").alias("by"), F.col("bag").alias("with"), F.col("at").alias("on"))
-    meet = (F.col("on") == F.col("at")) & bags_within(F.col("with"), F.col("bag"), edits)
-    met = probe.join(index, meet & (F.col("by") != F.col("key"))).select("key", "by").union(again.join(index, meet & (F.col("by") < F.col("key"))).select("key", "by"))
-    pairs = met.select(F.least("key", "by").alias("ka"), F.greatest("key", "by").alias("kb")).distinct()
-    one = distinct.select(F.col("key").alias("ka"), F.col("line").alias("a"))
-    two = distinct.select(F.col("key").alias("kb"), F.col("line").alias("b"))
-    return within(pairs.join(one, "ka").join(two, "kb"), edits).select(F.col("ka").alias("a"), F.col("kb").alias("b"))
+    index = distinct.select("key", "bag", F.explode(index_keys(line, size, edits)).alias("at"))
+    probe = distinct.select("key", "bag", F.explode(probe_keys(line, size, edits)).alias("at"))
+
+    def met(one: DataFrame, other: DataFrame, ordered: bool) -> DataFrame:
+        # hashing the smaller side spares sorting the probes; a hot piece is split like in any join
+        j = one.alias("x").join(other.hint("shuffle_hash").alias("y"), (F.col("x.at") == F.col("y.at")) & bags_within(F.col("x.bag"), F.col("y.bag"), edits)
+                                & (F.col("x.key") < F.col("y.key") if ordered else F.col("x.key") != F.col("y.key")))
+        return j.select(F.least("x.key", "y.key").alias("ka"), F.greatest("x.key", "y.key").alias("kb"))
+
+    pairs = met(probe, index, False).union(met(index, index, True)).distinct()
+    # the same columns as the index reads, so that the lines are dealt only once
+    one = distinct.select(F.col("key").alias("ka"), F.col("line").alias("a"), F.col("size").alias("na"), F.col("bag").alias("va"))
+    two = distinct.select(F.col("key").alias("kb"), F.col("line").alias("b"), F.col("size").alias("nb"), F.col("bag").alias("vb"))
+    close = (F.abs(F.col("na") - F.col("nb")) <= edits) & bags_within(F.col("va"), F.col("vb"), edits)
+    return within(pairs.join(one, "ka").join(two, "kb").filter(close), edits).select(F.col("ka").alias("a"), F.col("kb").alias("b"))
 
 
 def removals(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, least: int = LEAST) -> DataFrame:
