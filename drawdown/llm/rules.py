@@ -132,14 +132,16 @@ def figures(df: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame
     return map_texts(df, keep, text_of(text_col), schema("n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, votes string"), make)
 
 
-def judge(df: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
+def judge(df: DataFrame, keep: list[str], text_col: str = "text", store: bool = True) -> DataFrame:
     """``keep`` plus the base figures, base_failed, votes, quality (posterior probability of a good text) and kept.
 
     All rows that pass the base rule are counted when the accuracies are estimated; what reaches the driver is one count for each of at most
     3 to the power of the number of rules vote patterns. Null and empty texts have no words and fail the base rule. Rows repeat as they do in ``df``; an
-    empty table gives an empty result.
+    empty table gives an empty result. With ``store`` the figures are written once; without, they are computed again for the result, which is
+    better where ``keep`` holds the texts.
     """
-    found = stored(figures(df, keep, text_col))
+    found = figures(df, keep, text_col)
+    found = stored(found) if store else found
     passed = found.filter(~F.col("base_failed")).groupBy("votes").agg(F.count(F.lit(1)).alias("n"))
     patterns = {r["votes"]: r["n"] for r in passed.collect()}
     odds = F.lit(0.0)
@@ -156,7 +158,7 @@ def keep_good(df: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of ``df`` that are kept, with its columns."""
     names = {c: f"c{i}" for i, c in enumerate(df.columns)}
     renamed = df.select(*[col(c).alias(n) for c, n in names.items()])
-    return judge(renamed, list(names.values()), names[text_col]).filter("kept").select(*[F.col(n).alias(c) for c, n in names.items()])
+    return judge(renamed, list(names.values()), names[text_col], store=False).filter("kept").select(*[F.col(n).alias(c) for c, n in names.items()])
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
