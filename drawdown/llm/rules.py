@@ -142,7 +142,8 @@ def judge(df: DataFrame, keep: list[str], text_col: str = "text", store: bool =
     """
     found = figures(df, keep, text_col)
     found = stored(found) if store else found
-    passed = found.filter(~F.col("base_failed")).groupBy("votes").agg(F.count(F.lit(1)).alias("n"))
+    counted = found if store else figures(df, [], text_col)
+    passed = counted.filter(~F.col("base_failed")).groupBy("votes").agg(F.count(F.lit(1)).alias("n"))
     patterns = {r["votes"]: r["n"] for r in passed.collect()}
     odds = F.lit(0.0)
     if patterns:
