@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import col, map_texts, schema, stored, table
+from .common import col, pieces, stored, table
 
 #: Rules of the registered query: fixed values.
 RULES: list[tuple[str, str]] = [
@@ -21,8 +21,10 @@ RULES: list[tuple[str, str]] = [
     ("net/es/", "block"),
     ("net/fr/", "block"),
 ]
-#: Longest context in bytes, and bits of the index of each order's table of hashed contexts: 6 orders x 2 models x 2**17 counts, at any size of input.
-ORDER, BITS = 5, 17
+#: Longest context in bytes, bits of a byte in the exact key of a context with its character, and log2 of the most URLs of a chunk.
+ORDER, WIDTH, CHUNK = 5, 9, 11
+#: Bits of a slot in the hashed version of the counts, which only :func:`contexts` and :func:`scores` use.
+BITS = 17
 #: Share of labelled URLs that calibrate instead of training: every FOLDS-th, by a hash of the URL.
 FOLDS = 5
 #: Bins of the histograms of scores from which the threshold is taken, over SCORES.
@@ -50,7 +52,7 @@ def ruled(df: DataFrame, keep: list[str], url_col: str = "url", rules: list[tupl
     """
     url = col(url_col).cast("string")
     host, path = parts(url)
-    out = df.select(*[col(c) for c in keep if c.lower() not in {"host", "path", "rule", "ruling", "__url"}], F.coalesce(url, F.lit("")).alias("__url"), host.alias("host"), path.alias("path"))
+    out = df.select(*[col(c) for c in keep if c.lower() not in {"host", "path", "rule", "ruling", "score", "verdict", "__row", "__url"}], F.coalesce(url, F.lit("")).alias("__url"), host.alias("host"), path.alias("path"))
     rule = ruling = None
     for text, verdict in sorted(rules, key=lambda r: (-len(r[0]), r[0])):
         at = text.index("/")
@@ -91,36 +93,45 @@ def as_bytes(urls: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return data, starts, np.arange(len(data)) != starts
 
 
-def gather(labelled: DataFrame) -> DataFrame:
-    """Counts of hashed contexts and of contexts with their next character: order, model, kind (0 context, 1 joint), slot, n. All rows count;
-    every task adds up its own before anything is shuffled."""
+def grams(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """For every byte, it and up to ORDER bytes before it as one integer, WIDTH bits each: the zero before a URL is 1, its bytes are 2 to 257, nothing is 0.
+
+    The byte itself is lowest, so the lowest ``order + 1`` places are the context of that order with its character: exact keys, nothing is hashed.
+    """
+    place = np.arange(len(data)) - starts
+    code = np.where(place > 0, data.astype(np.int64) + 2, 1)
+    out = code.copy()
+    for order in range(1, min(ORDER, len(data) - 1) + 1):
+        before = np.concatenate([np.zeros(order, np.int64), code[:-order]])
+        out |= np.where(place >= order, before, 0) << (WIDTH * order)
+    return out
+
+
+def gather(base: DataFrame) -> DataFrame:
+    """The different grams of every chunk of URLs: chunk, gram, n0 and n1 (how often URLs that the allowed and the blocked model learn from hold it).
+
+    All rows count; ``model`` is null for the URLs that are only scored.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((ORDER + 1, 2, 2, 1 << BITS), np.int64)
-        for b in batches:
-            urls, bad = b.column(0).to_pylist(), np.array(b.column(1).to_pylist(), np.int64)
-            data, starts, real = as_bytes(urls)
-            owner = np.repeat(bad, np.diff(np.append(np.flatnonzero(~real), len(data))))
-            for order, (ctx, joint) in enumerate(contexts(data, starts)):
-                for model in (0, 1):
-                    mine = real & (owner == model)
-                    counts[order, model, 0] += np.bincount(ctx[mine].astype(np.int64), minlength=1 << BITS)
-                    counts[order, model, 1] += np.bincount(joint[mine].astype(np.int64), minlength=1 << BITS)
-        for order in range(ORDER + 1):
-            some = np.nonzero(counts[order])
-            n = len(some[0])
-            if n:
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, order, np.int32)), *(pa.array(x.astype(np.int32)) for x in some), pa.array(counts[order][some])],
-                                                 names=["order", "model", "kind", "slot", "n"])
+        for batch in batches:
+            for b in pieces(batch, [len(u) for u in batch.column(1).to_pylist()]):
+                data, starts, real = as_bytes(b.column(1).to_pylist())
+                sizes = np.diff(np.append(np.flatnonzero(~real), len(data)))
+                gram, chunk, model = grams(data, starts)[real], *(np.repeat(x, sizes)[real] for x in (b.column(0).to_numpy(), b.column(2).fill_null(-1).to_numpy()))
+                for c in np.unique(chunk):
+                    mine = chunk == c
+                    key, at = np.unique(gram[mine], return_inverse=True)
+                    n = [np.bincount(at[model[mine] == m], minlength=len(key)).astype(np.int64) for m in (0, 1)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), c, np.int64)), *map(pa.array, (key, *n))], names=["chunk", "gram", "n0", "n1"])
 
-    kept = labelled.select("__url", (F.col("ruling") == "block").cast("int").alias("bad"))
-    return kept.mapInArrow(run, "order int, model int, kind int, slot int, n bigint").groupBy("order", "model", "kind", "slot").agg(F.sum("n").alias("n"))
+    return base.select("chunk", "__url", "model").mapInArrow(run, "chunk bigint, gram bigint, n0 bigint, n1 bigint")
 
 
 def scores(urls: list[str], counts: np.ndarray) -> np.ndarray:
-    """Log-likelihood under the allowed model less that under the blocked one, per character. Empty: zero.
+    """Log-likelihood under the allowed model less that under the blocked one, per character, from hashed counts of :func:`contexts`. Empty: zero.
 
-    Each order's estimate is blended with the next shorter one's in proportion to how often the context was seen.
+    The query counts exactly (:func:`fitted`); this is the plain version for tables small enough that no two contexts share a slot. Each order's estimate is blended with the next shorter one's in proportion to how often the context was seen.
     """
     data, starts, real = as_bytes(urls)
     p = np.full((2, len(data)), 1 / 256)
@@ -139,20 +150,56 @@ def scores(urls: list[str], counts: np.ndarray) -> np.ndarray:
 STRENGTH = 4.0
 
 
-def fitted(spark: SparkSession, labelled: DataFrame):
-    """A broadcast table of counts of fixed size: at most (ORDER + 1) x 2 x 2 x 2**BITS numbers reach the driver."""
-    counts = np.zeros((ORDER + 1, 2, 2, 1 << BITS), np.float32)
-    got = gather(labelled).toPandas()
-    counts[got["order"], got["model"], got["kind"], got["slot"]] = got["n"]
-    return spark.sparkContext.broadcast(counts)
-
+def fitted(found: DataFrame) -> DataFrame:
+    """Per gram of any URL, the gain of its last character: the log of its probability in the allowed model less that in the blocked one.
 
-def scored(df: DataFrame, keep: list[str], model) -> DataFrame:
-    def make():
-        counts = model.value
-        return lambda urls: {"score": scores(urls, counts).tolist()}
+    ``found`` are the grams of :func:`gather`. Their counts are summed into a stored table that grows with the input; shorter contexts are sums over it.
+    A key meets its estimate in the next shorter order and the count of its context, each of which at most 257 keys share, so no join has a large group.
+    """
+    S = F.lit(STRENGTH)
+    level = stored(found.groupBy("gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))).withColumnRenamed("gram", "key")
+    levels = [level]
+    for order in range(ORDER - 1, -1, -1):
+        level = level.groupBy(F.col("key").bitwiseAND(F.lit((1 << WIDTH * (order + 1)) - 1)).alias("key")).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+        levels.insert(0, level)
+    known = None
+    for order, level in enumerate(levels):
+        context = F.shiftright("key", WIDTH).alias("context")
+        level = level.select("key", "n0", "n1", context)
+        seen = level.groupBy("context").agg(F.sum("n0").alias("s0"), F.sum("n1").alias("s1"))
+        level = level.join(seen, "context")
+        if known is None:
+            level = level.withColumns({"q0": F.lit(1 / 256), "q1": F.lit(1 / 256)})
+        else:
+            parent = F.col("key").bitwiseAND(F.lit((1 << WIDTH * order) - 1))
+            level = level.withColumn("parent", parent).join(known, "parent")
+        known = level.select(F.col("key").alias("parent"), *[((F.col(f"n{m}") + S * F.col(f"q{m}")) / (F.col(f"s{m}") + S)).alias(f"q{m}") for m in (0, 1)])
+    return known.select(F.col("parent").alias("gram"), (F.log("q0") - F.log("q1")).alias("gain"))
+
+
+def scored(base: DataFrame, found: DataFrame, gains: DataFrame) -> DataFrame:
+    """Row and score of every URL of ``base``: the mean gain of its characters, zero if it has none.
+
+    A chunk asks for each of its grams once, so a gram that every URL holds is asked for once a chunk, and gets the gains of its own grams back.
+    """
 
-    return map_texts(df, keep, F.col("__url"), schema("score double"), make)
+    def run(key: tuple, urls: pa.Table, known: pa.Table) -> pa.Table:
+        gram, gain = known.column("gram").to_numpy(), known.column("gain").to_numpy()
+        order = np.argsort(gram)
+        gram, gain = gram[order], gain[order]
+        out = [np.empty(0)]
+        for batch in urls.combine_chunks().to_batches():
+            texts = batch.column("__url").to_pylist()
+            for b in pieces(batch, [len(u) for u in texts]):
+                data, starts, real = as_bytes(b.column("__url").to_pylist())
+                each = np.zeros(len(data))
+                each[real] = gain[np.searchsorted(gram, grams(data, starts)[real])] if real.any() else 0.0
+                owner = np.flatnonzero(~real)
+                out.append(np.add.reduceat(each, owner) / np.maximum(np.diff(np.append(owner, len(data))) - 1, 1))
+        return pa.table({"__row": urls.column("__row"), "score": np.concatenate(out)})
+
+    asked = found.select("chunk", "gram").join(gains, "gram").select("chunk", "gram", "gain")
+    return base.select("chunk", "__row", "__url").groupBy("chunk").cogroup(asked.groupBy("chunk")).applyInArrow(run, "__row bigint, score double")
 
 
 def threshold(held: DataFrame) -> float:
@@ -180,17 +227,16 @@ def judge(df: DataFrame, keep: list[str], url_col: str = "url", rules: list[tupl
     an empty host and path; an empty or null url scores zero. If the rules decide no url of one kind, the models say nothing and all else is allowed. Rows
     repeat as in ``df`` and repeated URLs count as often as they occur; an empty table gives an empty result.
     """
-    base = stored(ruled(df, keep, url_col, rules))
-    decided = base.filter(F.col("ruling").isNotNull())
-    fold = F.pmod(F.xxhash64("__url"), F.lit(FOLDS))
-    model = fitted(df.sparkSession, decided.filter(fold != 0))
-    kinds = {r["ruling"] for r in decided.groupBy("ruling").count().collect()}
-    cut = threshold(scored(decided.filter(fold == 0), ["ruling"], model))
-    names = [c for c in base.columns if c != "__url"]
-    found = scored(base, names, model)
+    rows = stored(ruled(df, keep, url_col, rules).withColumn("__row", F.monotonically_increasing_id()))
+    learns = F.pmod(F.xxhash64("__url"), F.lit(FOLDS)) != 0
+    base = rows.withColumns({"chunk": F.shiftright("__row", CHUNK), "model": F.when(learns, (F.col("ruling") == "block").cast("int"))})
+    found = gather(base)
+    score = stored(scored(base, found, fitted(found)))
+    kinds = {r["ruling"] for r in rows.filter(F.col("ruling").isNotNull()).groupBy("ruling").count().collect()}
+    cut = threshold(rows.filter(F.col("ruling").isNotNull() & ~learns).join(score, "__row"))
     silent = F.lit(len(kinds) < 2)
     verdict = F.coalesce("ruling", F.when(silent | (F.col("score") >= cut), "allow").otherwise("block"))
-    return found.withColumn("verdict", verdict).drop("ruling")
+    return rows.join(score, "__row").withColumn("verdict", verdict).drop("ruling", "__row", "__url")
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -75,6 +75,38 @@ def test_url_scores_equal_plain_counting():
     assert np.allclose(U.scores(urls, counts), want, atol=1e-6)
 
 
+def test_url_contexts_are_counted_exactly_however_many_there_are(spark):
+    """More different contexts than a table of 2**17 hashed slots can tell apart; scores equal counting by dictionary."""
+    rng = random.Random(7)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+    urls = [f"http://{'good.com' if i % 2 else 'bad.net'}/{'' if i % 2 else 'fr/'}{word(24)}" for i in range(16000)] + [f"http://{word(8)}.org/{word(9)}" for _ in range(20)] + ["http://é.org/\0", "", None]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    rows = U.judge(df, ["page_id"]).collect()
+    learnt = {r.page_id for r in df.filter("pmod(xxhash64(coalesce(url, '')), 5) != 0").collect()}
+    counts, keys = [Counter(), Counter()], set()
+    for r in rows:
+        if r.rule and r.page_id in learnt:
+            text, bad = b"\0" + urls[r.page_id].encode(), dict(U.RULES)[r.rule] == "block"
+            for i in range(1, len(text)):
+                for order in range(U.ORDER + 1):
+                    c = (order, text[max(0, i - order):i])
+                    counts[bad][c] += 1
+                    counts[bad][(*c, text[i])] += 1
+                    keys.add((*c, text[i]))
+    assert sum(k[0] == U.ORDER for k in keys) > 2 << U.BITS
+    got = {r.page_id: r.score for r in rows}
+    assert len(rows) == len(urls)
+    for k in [*range(0, 16000, 500), *range(16000, len(urls))]:
+        text, total = b"\0" + (urls[k] or "").encode(), 0.0
+        for i in range(1, len(text)):
+            p = [1 / 256, 1 / 256]
+            for order in range(U.ORDER + 1):
+                c = (order, text[max(0, i - order):i])
+                p = [(counts[m][(*c, text[i])] + U.STRENGTH * p[m]) / (counts[m][c] + U.STRENGTH) for m in (0, 1)]
+            total += np.log(p[0]) - np.log(p[1])
+        assert got[k] == pytest.approx(total / max(1, len(text) - 1), abs=1e-9), urls[k]
+
+
 def test_factorisation_machine_scores_pairs_exactly():
     rng = np.random.default_rng(0)
     m = Q.Machine(0.1, rng.normal(0, 1, Q.SIZE).astype(np.float32), rng.normal(0, .3, (Q.SIZE, Q.RANK)).astype(np.float32))
