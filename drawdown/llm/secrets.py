@@ -25,9 +25,14 @@ ADDED = ("der", "ssh", "jwt")
 KINDS = [*(k for k, *_ in BASE), *ADDED]
 #: The same as the base pattern for hex with its least length: runs are maximal in both.
 LONG_HEX = re.compile(r"[0-9a-f]{32,}")
-HEX = re.compile(r"(?<![0-9A-Za-z])(?:[0-9A-Fa-f]{2}){24,}(?![0-9A-Za-z])")
-#: Base64 of at least 32 characters, in the usual alphabet also over lines as in PEM bodies.
-BASE64 = re.compile(r"(?<![A-Za-z0-9+/_=-])(?:[A-Za-z0-9+/]{32,}(?:\r?\n[A-Za-z0-9+/]+)*|[A-Za-z0-9_-]{32,})={0,2}")
+HEX = re.compile(r"(?<![0-9A-Za-z])(?:0[xX])?((?:[0-9A-Fa-f]{2}){24,})(?![0-9A-Za-z])")
+#: Whole base64 runs of at least 32 characters in either alphabet, in the usual one also over lines, indented or not, as in PEM bodies; and where in a run
+#: of that alphabet a key can begin: after any other character (for the second one also after its - and _), with the first bits of a DER sequence or an OpenSSH key.
+BEGIN = "(?:M[A-P]|AAAA|b3Bl)"
+BASE64 = [
+    (re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{32,}(?:[\x20\t]*\r?\n[\x20\t]*[A-Za-z0-9+/]+)*={0,2}"), re.compile(r"(?<![A-Za-z0-9+/])" + BEGIN)),
+    (re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{32,}={0,2}"), re.compile(r"(?<![A-Za-z0-9])" + BEGIN)),
+]
 JWT = re.compile(r"(?<![A-Za-z0-9_.-])(eyJ[A-Za-z0-9_-]+)\.(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)(?![A-Za-z0-9_-])")
 #: Tags of universal DER types that occur in keys and certificates: integer, bit string, octet string, null, object id, boolean, UTF-8 and
 #: printable strings, times, sequence and set.
@@ -75,20 +80,36 @@ def is_der_key(data: bytes) -> bool:
     return bool(inner) and len(inner) >= 2 and inner[0][0] in (0x02, 0x30) and any(t in (0x02, 0x03, 0x04) for t, _ in inner)
 
 
-def is_ssh_key(data: bytes) -> bool:
-    """An OpenSSH private key, or a public key whose length-prefixed fields fill it exactly."""
-    magic = b"openssh-key-v1\x00"
-    body, fields = (data[len(magic):], 3) if data.startswith(magic) else (data, None)
-    at, seen = 0, []
-    while at + 4 <= len(body) and (fields is None or len(seen) < fields):
-        n = int.from_bytes(body[at:at + 4], "big")
-        if at + 4 + n > len(body):
-            return False
-        seen.append(body[at + 4:at + 4 + n])
+MAGIC = b"openssh-key-v1\x00"
+SSH_NAME = re.compile(rb"(ssh|ecdsa|sk)-[a-z0-9@.-]+")
+
+
+def ssh_ends(data: bytes) -> list[int]:
+    """Where an OpenSSH key that starts ``data`` can end, first place first: a private key where its fields say, a public key after any field from the second on."""
+    at, out = 0, []
+
+    def field() -> bytes | None:
+        nonlocal at
+        n = int.from_bytes(data[at:at + 4], "big")
+        if at + 4 + n > len(data):
+            return None
         at += 4 + n
-    if fields:
-        return len(seen) == fields
-    return at == len(body) and len(seen) >= 2 and re.fullmatch(rb"(ssh|ecdsa|sk)-[a-z0-9@.-]+", seen[0]) is not None
+        return data[at - n:at]
+
+    if data.startswith(MAGIC):
+        at = len(MAGIC)
+        if any(field() is None for _ in range(3)):  # cipher, key derivation and its options
+            return []
+        keys = int.from_bytes(data[at:at + 4], "big")
+        at += 4
+        whole = keys < 1024 and all(field() is not None for _ in range(keys + 1))
+        return [at if whole else len(data)]
+    name = field()
+    if name is None or not SSH_NAME.fullmatch(name):
+        return []
+    while at < len(data) and field() is not None:
+        out.append(at)
+    return out
 
 
 def unbase64(text: str) -> bytes | None:
@@ -100,23 +121,52 @@ def unbase64(text: str) -> bytes | None:
         return None
 
 
+def first_of(text: str, start: int, end: int, n: int) -> str:
+    """The first ``n`` characters of ``text[start:end]`` but for blanks and line ends, or all if they are fewer."""
+    width = 2 * n + 64
+    while True:
+        got = re.sub(r"\s", "", text[start:min(end, start + width)])
+        if len(got) >= n or start + width >= end:
+            return got[:n]
+        width *= 2
+
+
+def place_after(text: str, start: int, end: int, n: int) -> int:
+    """The place after the first ``n`` characters that are no blanks or line ends, and after padding there."""
+    for at in range(start, end):
+        n -= not text[at].isspace()
+        if not n:
+            return min(end, at + 1 + len(re.match("={0,2}", text[at + 1:at + 3])[0]))
+    return end
+
+
 def key_in(text: str, start: int, end: int) -> tuple[int, int, int] | None:
-    """The (start, kind, end) of a key in the base64 run ``text[start:end]``. Lines of prose may follow a key's own: a DER length says where it ends."""
-    data = unbase64(text[start:end])
-    if not data:
-        return None
-    if is_ssh_key(data):
-        return start, KINDS.index("ssh"), end
+    """The (start, kind, end) of a key that begins the rest ``text[start:end]`` of a base64 run. Lines of prose may follow a key's own: a DER length and
+    the fields of an OpenSSH private key say where it ends, a public key ends with a field and a line."""
+    data = unbase64(first_of(text, start, end, 16)) or b""
     if len(data) > 4 and data[0] == 0x30:
         wide = data[1] & 0x7F if data[1] & 0x80 else 0
         size = 2 + wide + (int.from_bytes(data[2:2 + wide], "big") if wide else data[1])
-        if wide <= 4 and size <= len(data) and is_der_key(data[:size]):
-            left = -(-size * 8 // 6)
-            for at in range(start, end):
-                left -= not text[at].isspace()
-                if not left:
-                    return start, KINDS.index("der"), min(end, at + 1 + len(re.match("={0,2}", text[at + 1:at + 3])[0]))
-    return None
+        left = -(-size * 8 // 6)
+        if wide > 4 or left > end - start:
+            return None
+        data = unbase64(first_of(text, start, end, left)) or b""
+        return (start, KINDS.index("der"), place_after(text, start, end, left)) if len(data) == size and is_der_key(data) else None
+    head = unbase64(first_of(text, start, end, 120)) or b""
+    if not (head.startswith(MAGIC) or SSH_NAME.match(head, 4)):
+        return None
+    data = unbase64(text[start:end])
+    ends = ssh_ends(data) if data else []
+    if not ends:
+        return None
+    if data.startswith(MAGIC):
+        return start, KINDS.index("ssh"), place_after(text, start, end, -(-ends[0] * 8 // 6))
+    lines, n = set(), 0
+    for line in text[start:end].rstrip("=").splitlines():
+        n += len(line.strip())
+        lines.add(n)
+    fits = [left for at in ends if (left := -(-at * 8 // 6)) in lines]
+    return (start, KINDS.index("ssh"), place_after(text, start, end, fits[-1])) if fits else None
 
 
 def is_signed_token(header: str, payload: str) -> bool:
@@ -135,11 +185,17 @@ def spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, i
         pattern = LONG_HEX if KINDS[k] == "hex" else pattern
         base += [(m.start(), k, m.end()) for m in pattern.finditer(text) if m.end(group) - m.start(group) >= least]
     more = []
-    more += [k for m in BASE64.finditer(text) if (k := key_in(text, m.start(), m.end()))]
+    for runs, begin in BASE64:
+        for run in runs.finditer(text):
+            behind = 0
+            for m in begin.finditer(text, run.start(), run.end()):
+                if m.start() >= behind and (k := key_in(text, m.start(), run.end())):
+                    more.append(k)
+                    behind = k[2]
     for m in HEX.finditer(text):
-        data = bytes.fromhex(m[0])
+        data = bytes.fromhex(m[1])
         if is_der_key(data):
-            more.append((m.start(), KINDS.index("der"), m.end()))
+            more.append((m.start(1), KINDS.index("der"), m.end(1)))
     for m in JWT.finditer(text):
         if is_signed_token(m[1], m[2]):
             more.append((m.start(), KINDS.index("jwt"), m.end()))

@@ -112,6 +112,34 @@ def test_secret_base_spans_and_confirmation(spark):
     assert S.find_secrets(df.limit(0)).count() == 0
 
 
+def test_secret_keys_in_their_usual_places():
+    key = der(0x30, der(2, b"\0") + der(2, b"\x7f" * 200) + der(2, b"\1\0\1"))
+    body = base64.b64encode(key).decode()
+
+    def found(text):
+        return [(S.KINDS[k], text[a:b]) for a, k, b in S.spans(text)[1]]
+
+    for before in ("PRIVATE_KEY=", "ssl_key=", "-----BEGIN PRIVATE KEY-----", "key-", "x" * 40 + "="):
+        assert found(f"{before}{body}-----END") == [("der", body)], before
+    mixed = der(0x30, der(2, b"\0") + der(2, b"A" * 60 + b"\xfb\xef\xbe\xff\xff\xff" * 20) + der(2, b"\1\0\1"))
+    safe = base64.urlsafe_b64encode(mixed).decode()
+    assert next(i for i, c in enumerate(safe) if c in "-_") > 32
+    for before in ("k ", "key=", "key-", "key_"):
+        assert found(f"{before}{safe} y") == [("der", safe)], before
+    for indent in ("  ", "\t", ""):
+        lines = f"\n{indent}".join(body[i:i + 64] for i in range(0, len(body), 64))
+        assert found(f"tls:\n{indent}{lines}\n{indent}prose goes on") == [("der", lines)]
+    fields = lambda *f: b"".join(len(x).to_bytes(4, "big") + x for x in f)
+    public = base64.b64encode(fields(b"ssh-ed25519", b"k" * 32)).decode()
+    for after in ("", " me@host", "\nword goes on", "\nssh\nmore", "\r\n  word", " \nword"):
+        assert found(f"ssh-ed25519 {public}{after}") == [("ssh", public)], after
+    assert not found("ssh-ed25519 " + base64.b64encode(fields(b"ssh-ed25519", b"k" * 32)[:-1]).decode() + "\nword")
+    private = base64.b64encode(S.MAGIC + fields(b"none", b"none", b"") + b"\0\0\0\1" + fields(b"p" * 51, b"s" * 121)).decode().rstrip("=")
+    assert found(f"BEGIN-----\n{private}\nword goes on") == [("ssh", private)]
+    assert found(f"k=0x{key.hex()};") == [("der", key.hex())]
+    assert not found("A" * 4000 + "\n" + "\n".join(["A" * 76] * 500))
+
+
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
