@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from drawdown.llm.bytebpe import encode
 from drawdown.llm.common import stored, table
 from drawdown.llm.decontaminate import drop_contaminated
-from drawdown.llm.lines import dedup_lines
+from drawdown.llm.lines import EXACT, dedup_lines
 from drawdown.llm.rules import keep_good
 from drawdown.llm.simhash import keep_one
 
@@ -25,7 +25,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that occur before, exactly or nearly, go; every document stays."""
-    return dedup_lines(docs)
+    return dedup_lines(docs, exact=EXACT)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

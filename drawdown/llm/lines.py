@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .common import col, stored, table, text_of
 
-#: Lines are near copies at up to this many edited characters; shorter lines than LEAST characters are left alone.
-EDITS, LEAST = 2, 16
+#: Lines are near copies at up to this many edited characters; shorter lines than LEAST characters have none. The query and the pipeline remove
+#: exact repeats from EXACT characters on: all but empty lines.
+EDITS, LEAST, EXACT = 2, 16, 1
 #: Frequent letters that are counted in every line; an edit changes at most two of the counts by one.
 COUNTED = "enatirs"
 #: Steps of the search for common prefixes and suffixes; they reach twice the largest.
@@ -178,14 +179,14 @@ def near_lines(lines: DataFrame, edits: int) -> DataFrame:
     return within(pairs.join(one, "ka").join(two, "kb").filter(close), edits).select(F.col("ka").alias("a"), F.col("kb").alias("b"))
 
 
-def removals(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, least: int = LEAST) -> DataFrame:
+def removals(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, least: int = LEAST, exact: int | None = None) -> DataFrame:
     """Per distinct row with a judged line that repeats or has near copies: doc, mark, exact and near (places of removed lines) and n_links.
 
-    A line of ``least`` characters or more is removed if it occurs before, in the order of id, hash of the text and place (exact), or if a
-    different line at most ``edits`` apart occurs first before it (near). n_links sums, over the row's lines, the different lines that each is linked to.
+    A line of ``exact`` characters or more (default: ``least``) is removed if it occurs before, in the order of id, hash of the text and place (exact), and
+    one of ``least`` or more also if a different one at most ``edits`` apart occurs first before it (near). n_links sums, over the row's lines, the different lines that each is linked to.
     """
-    lines = judged(df, id_col, text_col, least)
-    links = stored(near_lines(lines, edits))
+    lines = judged(df, id_col, text_col, least if exact is None else exact)
+    links = stored(near_lines(lines.filter(F.length("line") >= least), edits))
     light = lines.select("doc", "mark", "place", "key")
     firsts = light.groupBy("key").agg(F.min(F.struct("doc", "mark", "place")).alias("first"), F.count(F.lit(1)).alias("n"))
     both = links.select("a", "b").union(links.select("b", "a"))
@@ -201,14 +202,14 @@ def removals(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", edit
         F.sum(F.coalesce("links", F.lit(0))).alias("n_links"))
 
 
-def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, least: int = LEAST) -> DataFrame:
+def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, least: int = LEAST, exact: int | None = None) -> DataFrame:
     """``df`` with the removed lines taken out of the text; every row stays, a text may become empty.
 
     A null text stays null and an empty one empty. Null ids come first in the order. Rows with the same id and text count as one place, so they do not
-    remove each other's lines. Lines shorter than ``least`` and all others keep their order and line ends. Long lines are compared whole. Clashing column names
+    remove each other's lines. Lines shorter than ``exact`` (default: ``least``) and all others keep their order and line ends. Long lines are compared whole. Clashing column names
     do not matter; an empty table gives an empty result.
     """
-    gone = removals(df, id_col, text_col, edits, least).select(F.col("doc").alias("__doc"), F.col("mark").alias("__mark"), F.array_union("exact", "near").alias("__gone"))
+    gone = removals(df, id_col, text_col, edits, least, exact).select(F.col("doc").alias("__doc"), F.col("mark").alias("__mark"), F.array_union("exact", "near").alias("__gone"))
     names = df.columns
     rows = df.withColumn("__key", F.xxhash64(text_of(text_col)))
     out = rows.join(gone, col(id_col).eqNullSafe(F.col("__doc")) & (F.col("__key") == F.col("__mark")), "left")
@@ -219,11 +220,11 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", e
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: its lines, the judged ones, removed exact and near copies, links of its lines, and the digest of the removed places."""
+    """Per document: its lines, the judged ones (all but empty), removed exact and near copies, links of its lines, and the digest of the removed places."""
     docs = table(spark, sf_dir, "documents")
-    gone = removals(docs)
+    gone = removals(docs, exact=EXACT)
     parts = F.split(text_of("text"), "\n")
-    rows = docs.select("doc_id", F.xxhash64(text_of("text")).alias("mark"), F.size(parts).cast("bigint").alias("n_lines"), F.size(F.filter(parts, lambda x: F.length(x) >= LEAST)).cast("bigint").alias("n_judged"))
+    rows = docs.select("doc_id", F.xxhash64(text_of("text")).alias("mark"), F.size(parts).cast("bigint").alias("n_lines"), F.size(F.filter(parts, lambda x: F.length(x) >= EXACT)).cast("bigint").alias("n_judged"))
     out = rows.join(gone, rows.doc_id.eqNullSafe(gone.doc) & (rows.mark == gone.mark), "left")
     none = F.array().cast("array<int>")
     exact, near = F.coalesce("exact", none), F.coalesce("near", none)

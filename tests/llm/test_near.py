@@ -67,6 +67,16 @@ def test_line_dedup(spark):
     assert sorted((str(r.doc_id), r.text) for r in L.dedup_lines(twice).collect()) == [("1", ""), ("1", ""), ("None", "the very same line of text")]
 
 
+def test_short_lines_that_repeat_exactly_go(spark, tmp_path):
+    rows = [(1, "Home\nalpha\n\nthe first long line of text"), (2, "Home\nHone\n\nx"), (3, "x\nthe first long line of texts\nHome\nHome")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {1: rows[0][1], 2: "Hone\n\nx", 3: ""}
+    assert {r.doc_id: r.text for r in L.dedup_lines(df, exact=L.EXACT).collect()} == want
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_judged, r.n_exact, r.n_near, r.removed) for r in L.op1_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {1: (3, 0, 0, ""), 2: (3, 1, 0, "0"), 3: (4, 3, 1, "0,1,2,3")}
+
+
 def plain_fp(text):
     w = bytes(c + 32 if 65 <= c <= 90 else c for c in text.encode()).split()
     if not w:
