@@ -12,3 +12,25 @@ oc AS (SELECT doc_id, j, d.n, item FROM ds d JOIN pt USING (n, g)),
 ht AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(j,j+n)) AS p FROM oc) GROUP BY 1),
 it AS (SELECT doc_id, count(*) AS n_items, string_agg(item,',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM oc) GROUP BY 1)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit,0) AS n_hit, coalesce(n_items,0) AS n_items, sha256(coalesce(items,'')) AS items_sha256, coalesce(n_hit,0) > 0 AS contaminated FROM dw LEFT JOIN ht USING (doc_id) LEFT JOIN it USING (doc_id)"""
+
+
+def _clusters(rounds: int = 3) -> str:
+    """Three rounds over (vec_id, d, x) rows, unrolled."""
+    steps = ["""WITH kept AS (SELECT row_number() OVER () AS r, vec_id, embedding FROM embeddings
+WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+v AS MATERIALIZED (SELECT r, vec_id, d, CAST(floor(64 * CAST(embedding[d] AS DOUBLE)) AS BIGINT) AS x FROM kept, range(1, 65) t(d)),
+s AS (SELECT r, row_number() OVER (ORDER BY sha256('1:' || CAST(vec_id AS VARCHAR))) - 1 AS c FROM kept QUALIFY c < 16),
+c0 AS MATERIALIZED (SELECT c, d, x AS m FROM v JOIN s USING (r))"""]
+    for i in range(rounds + 1):
+        steps.append(f"""f{i} AS (SELECT r, any_value(vec_id) AS vec_id, c, CAST(sum((x - m) * (x - m)) AS BIGINT) AS far FROM v JOIN c{i} USING (d) GROUP BY r, c),
+a{i} AS MATERIALIZED (SELECT * FROM f{i} QUALIFY row_number() OVER (PARTITION BY r ORDER BY far, c) = 1)""")
+        if i < rounds:
+            steps.append(f"""n{i} AS (SELECT c, d, CAST(sum(x) AS BIGINT) AS t, count(*) AS n FROM v JOIN a{i} USING (r) GROUP BY c, d),
+c{i + 1} AS MATERIALIZED (SELECT c, d, coalesce((t - ((t % n) + n) % n) // n, m) AS m FROM c{i} LEFT JOIN n{i} USING (c, d))""")
+    last = f"c{rounds}"
+    return ",\n".join(steps) + f"""
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, far AS distance, CAST(sum(far) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia, CAST(sum(far) OVER () AS BIGINT) AS inertia, h AS centroid_sha256
+FROM a{rounds} JOIN (SELECT c, sha256(string_agg(CAST(m AS VARCHAR), ',' ORDER BY d)) AS h FROM {last} GROUP BY c) USING (c)"""
+
+
+CENTROIDS = _clusters()

@@ -6,9 +6,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bytebpe import op4_byte_bpe
+from .clusters import op13_centroid_clusters
 from .decontaminate import op5_decontamination
 from .lines import op1_line_dedup
-from .oracles import DECONTAMINATION
+from .oracles import CENTROIDS, DECONTAMINATION
+from .packing import op11_packing
 from .prefixcounts import op6_token_counts
 from .quality import op3_quality_classifier
 from .rules import op9_quality_rules
@@ -28,7 +30,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_quality_rules": op9_quality_rules,
     "op10_simhash": op10_simhash,
+    "op11_packing": op11_packing,
+    "op13_centroid_clusters": op13_centroid_clusters,
 }
 
 #: DuckDB SQL for the queries that SQL can express on whole tables.
-ORACLES: dict[str, str] = {"op5_decontamination": DECONTAMINATION}
+ORACLES: dict[str, str] = {"op5_decontamination": DECONTAMINATION, "op13_centroid_clusters": CENTROIDS}
