@@ -34,3 +34,20 @@ FROM a{rounds} JOIN (SELECT c, sha256(string_agg(CAST(m AS VARCHAR), ',' ORDER B
 
 
 CENTROIDS = _clusters()
+
+#: The checksum of a number's digits is a fold over [start, byte, -1 eight times, byte, ...]: a byte is mixed in, -1 shifts by one bit.
+TRIE = r"""
+WITH t AS (SELECT conv_id AS c, role, txt, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, substr(sha256(CAST(strlen(role) AS VARCHAR) || ':' || role || txt), 1, 32)) - 1 AS pos
+  FROM (SELECT conv_id, turn, coalesce(role,'') AS role, coalesce(text,'') AS txt FROM conversations WHERE conv_id IS NOT NULL)),
+h AS (SELECT c, xor(list_reduce(list_concat([4294967295], flatten(list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: [CAST(ord(x) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+  lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, (a & 1) * 3988292384) END), 4294967295) % 4 AS h FROM (SELECT DISTINCT c FROM t)),
+r AS (SELECT h.c, 0 AS own, pos, role, txt FROM h JOIN t ON t.c = h.c - h.c % 20 AND pos < h UNION ALL SELECT h.c, 1, pos, role, txt FROM h JOIN t ON t.c = h.c AND pos >= h),
+p AS (SELECT h.c, coalesce(list({'role': role, 'txt': txt} ORDER BY own, pos) FILTER (own IS NOT NULL), []) AS path FROM h LEFT JOIN r ON r.c = h.c GROUP BY h.c),
+m AS (SELECT c, d, len(path) = d AS last, path[1:d] AS k FROM p, LATERAL (SELECT unnest(range(0, len(path) + 1)) AS d)),
+n AS MATERIALIZED (SELECT k, d, min(c) AS c, count(*) AS n, (count(*) - 1) * CASE WHEN d = 0 THEN 0 ELSE len(regexp_extract_all(k[d].txt, '[^\x20\x09-\x0D]+')) END AS w,
+  coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (last), '') AS ends FROM m GROUP BY k, d),
+b AS (SELECT k[1:d-1] AS k, count(*) AS n_children FROM n WHERE d > 0 GROUP BY 1),
+f AS MATERIALIZED (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN b USING (k)),
+u AS (SELECT k[1:e] AS k, sum((n_children = 0)::INT) AS leaves, sum(w) AS saved FROM f, LATERAL (SELECT unnest(range(0, d + 1)) AS e) GROUP BY 1)
+SELECT f.c AS conv_id, f.d AS depth, q.c AS parent_conv_id, f.n AS n_convs, f.n_children, CAST(leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(f.ends) AS ends_sha256
+FROM f JOIN u USING (k) LEFT JOIN n q ON f.d > 0 AND q.k = f.k[1:f.d-1]"""

@@ -1,6 +1,8 @@
 """Packing, the conversation trie and clustering against plain versions."""
 import hashlib
+import math
 import random
+import re
 import zlib
 from collections import defaultdict
 
@@ -8,7 +10,7 @@ import numpy as np
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from drawdown.llm import clusters as C, packing as P
+from drawdown.llm import clusters as C, packing as P, trie as R
 
 
 def plain_clusters(rows, dims, k, rounds, scale=64):
@@ -85,3 +87,58 @@ def test_dealing_prefers_the_cheapest_sequence_with_room():
     pieces, _ = P.deal(np.array([60, 60, 8]), 64)
     assert pieces == [(0, 0, 60, 0, 0), (1, 0, 60, 1, 0), (2, 0, 4, 0, 60), (2, 4, 4, 1, 60)]  # cut where no sequence has room for all of it
     assert P.rooms(777, 256) == [256, 256, 256, 8, 1]
+
+
+def plain_trie(rows):
+    turns = defaultdict(list)
+    for c, no, role, text in rows:
+        if c is not None:
+            role, text = role or "", text or ""
+            turns[c].append(((no is not None, no or 0), hashlib.sha256(f"{len(role.encode())}:{role}{text}".encode()).digest()[:16], role, text))
+    turns = {c: [t[2:] for t in sorted(v)] for c, v in turns.items()}
+    paths = {}
+    for c, own in turns.items():
+        head = zlib.crc32(str(c).encode()) % 4
+        paths[c] = tuple(turns.get(c - int(math.fmod(c, 20)), [])[:head] + own[head:])
+    members, children = defaultdict(list), defaultdict(set)
+    for c, p in paths.items():
+        for d in range(len(p) + 1):
+            members[p[:d]].append(c)
+            if d:
+                children[p[:d - 1]].add(p[:d])
+    leaves, saved, out = {}, {}, []
+    for p in sorted(members, key=len, reverse=True):
+        words = len(re.findall(r"[^\x20\x09-\x0D]+", p[-1][1])) if p else 0
+        leaves[p] = sum(leaves[k] for k in children[p]) or 1
+        saved[p] = (len(members[p]) - 1) * words + sum(saved[k] for k in children[p])
+        ends = ",".join(str(c) for c in sorted(members[p]) if len(paths[c]) == len(p))
+        out.append((min(members[p]), len(p), min(members[p[:-1]]) if p else None, len(members[p]), len(children[p]), leaves[p], saved[p], hashlib.sha256(ends.encode()).hexdigest()))
+    return sorted(out, key=str)
+
+
+def test_trie(spark, monkeypatch):
+    """Null and clashing columns, ties, repeated rows, missing families, and conversations of one or many segments."""
+    rng = random.Random(2)
+    rows = []
+    for c in [*range(45), -3, -20, 1000, 2000, 10 ** 17]:
+        base = rng.randint(0, 2)
+        rows += [(c, rng.choice([i, i, i, None]), rng.choice(["user", None, "a"]), rng.choice(["", None, "hi there", "x  y\tz", f"b{base} {i}"])) for i in range(rng.choice([0, 1, 2, 3, 5, 9, 30]))]
+    for c in (3, 20, 23, 24, 41):
+        rows += [(c, i, "u", f"w{i} x") for i in range(rng.choice([63, 64, 65, 70, 70]))]
+    rows += [(None, 1, "a", "b"), (5, 1, "a", "b"), (5, 1, "a", "b")]
+    df = spark.createDataFrame([(*r, 7, "q") for r in rows], "conv_id long, turn long, role string, text string, depth int, digest string").repartition(5)
+    columns = ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"]
+    want = plain_trie(rows)
+    for segment, shard in ((1024, 1 << 16), (8, 20), (1, 3)):
+        monkeypatch.setattr(R, "SEGMENT", segment)
+        monkeypatch.setattr(R, "SHARD", shard)
+        assert sorted(map(tuple, R.trie(df).select(columns).collect()), key=str) == want
+    assert R.trie(df.limit(0)).count() == 0
+
+
+def test_perfect_hash():
+    rng = np.random.default_rng(1)
+    keys = rng.integers(0, 1 << 63, (5000, 2)).astype(np.uint64)
+    table = R.PerfectHash(keys)
+    assert sorted(table.slots(keys).tolist()) == list(range(5000))
+    assert ((R.PerfectHash(keys[:1]).slots(keys) == 0) | (R.PerfectHash(keys[:1]).slots(keys) == -1)).all()
