@@ -130,7 +130,8 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks:
     coded = map_texts(parts, ["id", "digest", "n", "no"], F.col("text"), out, _ids(ranks, pattern))
     whole = (coded.groupBy("id", "digest")
              .agg(F.array_sort(F.collect_set(F.struct("no", "ids"))).alias("parts"), (F.count(F.lit(1)) / F.first("n")).cast("int").alias("copies"))
-             .select("id", F.aggregate(F.transform("parts", lambda p: p["ids"]), F.lit(b""), lambda a, b: F.concat(a, b)).alias("ids"), F.explode(F.sequence(F.lit(1), F.col("copies"))))
+             # joined as one string, which copies every part once
+             .select("id", F.unhex(F.array_join(F.transform("parts", lambda p: F.hex(p["ids"])), "")).alias("ids"), F.explode(F.sequence(F.lit(1), F.col("copies"))))
              .select("id", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), "ids"))
     return short.unionByName(whole).withColumnRenamed("id", id_col)
 
@@ -161,6 +162,12 @@ def decode(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", ranks: s
     return map_texts(df, [id_col, *keep], F.coalesce(col(ids_col), F.lit(b"")), schema("decoded binary"), make)
 
 
+def round_trip(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """Encode, then decode: ``id_col``, n_tokens, ids and decoded_sha256 (lowercase hex of the bytes that the ids stand for)."""
+    back = decode(encode(df, id_col, text_col, **how), id_col, keep=("n_tokens", "ids"), **{k: how[k] for k in ("ranks", "pattern") if k in how})
+    return back.select(id_col, "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """Encode, decode, and digest both."""
     coded = encode(df, id_col, text_col, **how).withColumn("ids_sha256", F.sha2("ids", 256))

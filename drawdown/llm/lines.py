@@ -1,22 +1,25 @@
 """Line dedup by a segment-partition edit join, in DataFrame functions only.
 
 Two lines within EDITS of each other share, in one of EDITS + 1 even segments of the shorter one, a piece that no edit touched. Every distinct line
-is indexed by its segments and probes, for each shorter length, the few substrings that can meet them there; lines that meet, and whose letter counts
-allow it, are compared by banded bit-parallel edit distance over what is left between their common prefix and suffix.
+is indexed by its segments and probes, for each shorter length, the few substrings that can meet them there; lines that meet are compared by banded bit-parallel
+edit distance over what is left between their common prefix and suffix. A piece that more than HOT lines have, as in lines made from one template, is
+not paired: those lines are indexed anew, within the piece, by FINE times as many segments, of which only the rare ones count.
 """
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .common import col, stored, table, text_of
+from .components import components
 
 #: Lines are near copies at up to this many edited characters; shorter lines than LEAST characters have none. The query and the pipeline remove
 #: exact repeats from EXACT characters on: all but empty lines.
 EDITS, LEAST, EXACT = 2, 16, 1
-#: Frequent letters that are counted in every line; an edit changes at most two of the counts by one.
-COUNTED = "enatirs"
+#: Lines that one piece pairs at most with a probe, and how much finer the segments are beyond that.
+HOT, FINE = 64, 3
 #: Steps of the search for common prefixes and suffixes; they reach twice the largest.
 STEPS = [1 << k for k in range(30, -1, -1)]
 
@@ -26,12 +29,11 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def segments(length: Column, edits: int) -> list[tuple[Column, Column]]:
-    """(start from 0, length) of the even segments of a line: the last ones are a character longer where it doesn't come out even."""
-    n = edits + 1
+def segment(length: Column, n: int, i: Column) -> tuple[Column, Column]:
+    """(start from 0, length) of segment i of n even ones of a line: the last ones are a character longer where it doesn't come out even."""
     base = F.floor(length / n).cast("int")
     short = F.lit(n) - length % n
-    return [(base * i + F.greatest(F.lit(0), F.lit(i) - short), base + (F.lit(i) >= short).cast("int")) for i in range(n)]
+    return base * i + F.greatest(F.lit(0), i - short), base + (i >= short).cast("int")
 
 
 def offsets(edits: int) -> list[tuple[int, int, int]]:
@@ -40,37 +42,51 @@ def offsets(edits: int) -> list[tuple[int, int, int]]:
     return [(d, i, o) for d in range(edits + 1) for i in range(edits + 1) for o in range(-edits, 2 * edits + 1) if abs(o) <= i and abs(o - d) <= edits - i]
 
 
-def piece(line: Column, start: Column, size: Column, segment: int, length: Column) -> Column:
-    return F.xxhash64(line.substr(start + 1, size), F.lit(segment), length)
+def fine_offsets(edits: int) -> list[tuple[int, int, int]]:
+    """The same for finer segments, any of which may be the one that no edit touched."""
+    return [(d, i, o) for d in range(edits + 1) for i in range(FINE * (edits + 1)) for o in range(-edits, edits + 1) if abs(o) <= i and abs(o) + abs(d - o) <= edits]
 
 
-def index_keys(line: Column, length: Column, edits: int) -> Column:
-    return F.array(*[piece(line, s, n, i, length) for i, (s, n) in enumerate(segments(length, edits))])
+def piece(wide: Column, start: Column, size: Column, *more: Column) -> Column:
+    """Hash of a substring. ``wide`` has four bytes a character, so that its place is found without reading what stands before it."""
+    return F.xxhash64(F.substring(wide, start * 4 + 1, size * 4), *more)
 
 
-def probe_keys(line: Column, length: Column, edits: int) -> Column:
+def with_wide(lines: DataFrame) -> DataFrame:
+    wide = F.encode("line", "UTF-32")
+    return lines.withColumn("wide", wide).withColumn("size", (F.octet_length("wide") / 4).cast("int"))
+
+
+def keys(lines: DataFrame, keep: list[str], made: Column) -> DataFrame:
+    """``keep`` and one row for each of the hashes ``made``, which are computed in one pass over a line."""
+    return lines.select(*keep, made.alias("made")).select(*keep, F.explode("made").alias("at"))
+
+
+def index_keys(edits: int) -> list[Column]:
+    wide, size = F.col("wide"), F.col("size")
+    return [piece(wide, *segment(size, edits + 1, F.lit(i)), F.lit(i), size) for i in range(edits + 1)]
+
+
+def probe_keys(edits: int) -> list[Column]:
     """Keys of the substrings that can meet another line's segments, but for the line's own segments, which :func:`index_keys` gives."""
-    keys = []
+    wide, size, out = F.col("wide"), F.col("size"), []
     for d, i, o in offsets(edits):
         if d or o:
-            start, size = segments(length - d, edits)[i]
-            keys.append(piece(line, start + o, size, i, length - d))
-    return F.array(*keys)
+            start, n = segment(size - d, edits + 1, F.lit(i))
+            out.append(piece(wide, start + o, n, F.lit(i), size - d))
+    return out
 
 
-def bag(line: Column, size: Column) -> Column:
-    """The numbers of the counted letters and the length, each modulo 256, in one long."""
-    counts = [F.octet_length(line) - F.octet_length(F.replace(line, F.lit(x), F.lit(""))) for x in COUNTED]
-    return reduce(lambda x, y: x.bitwiseOR(y), [F.shiftleft(n.bitwiseAND(F.lit(255)).cast("bigint"), 8 * k) for k, n in enumerate([*counts, size])])
+def fine_keys(edits: int, probe: bool) -> Column:
+    """Keys of the finer segments, or of what can meet them, within the piece ``group``; null where a substring would not lie in the line."""
+    wide, size, n = F.col("wide"), F.col("size"), FINE * (edits + 1)
+    wanted = fine_offsets(edits) if probe else [(0, i, 0) for i in range(n)]
 
+    def key(e: Column) -> Column:
+        start, long = segment(size - e["d"], n, e["i"])
+        return F.when((start + e["o"] >= 0) & (start + e["o"] + long <= size), piece(wide, start + e["o"], long, e["i"], size - e["d"], F.col("group")))
 
-def bags_within(x: Column, y: Column, edits: int) -> Column:
-    """Whether two bags can belong to lines at most ``edits`` apart: neither has more than that many characters too many."""
-    part = lambda v, k: F.shiftrightunsigned(v, 8 * k).bitwiseAND(F.lit(255))
-    apart = [(part(x, k) - part(y, k) + 128).bitwiseAND(F.lit(255)) - 128 for k in range(len(COUNTED) + 1)]
-    apart[-1] = apart[-1] - sum(apart[1:-1], apart[0])  # all other characters
-    more, less = (sum(v[1:], v[0]) for v in ([F.greatest(a, F.lit(0)) for a in apart], [F.greatest(-a, F.lit(0)) for a in apart]))
-    return (more <= edits) & (less <= edits)
+    return F.transform(F.from_json(F.lit(json.dumps([{"d": d, "i": i, "o": o} for d, i, o in wanted])), "array<struct<d:int,i:int,o:int>>"), key)
 
 
 def common(a: Column, b: Column, most: Column, end: bool) -> Column:
@@ -152,38 +168,52 @@ def judged(df: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame:
 
 
 def near_lines(lines: DataFrame, edits: int) -> DataFrame:
-    """Links between different lines at most ``edits`` apart, by their hashes: a < b.
-
-    All is one plan: the lines are dealt once, by their hash, and read from there by the index, the probes and both sides of the pairs.
+    """Links between different lines at most ``edits`` apart, by their hashes: a < b."""
+    # two lines with one 64-bit hash would both stand for it
+    distinct = with_wide(lines.select("key", "line").distinct())
+    index = keys(distinct, ["key"], F.array(*index_keys(edits))).repartition("at")
+    probe = keys(distinct, ["key"], F.array(*probe_keys(edits)))
+    groups = index.groupBy("at").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("key"))
+    # most pieces belong to one line; the lines of the others are looked up again where they were dealt to
+    shared = stored(index.join(groups.filter("n > 1").select("at", "n"), "at"))
+    few, hot = shared.filter(F.col("n") <= HOT).select("at", "key"), shared.filter(F.col("n") > HOT).select("at", "key")
+    alone = groups.filter("n = 1").select("at", "key")
+    # a hot piece answers once, not for each of its lines
+    one = groups.filter(F.col("n") > HOT).select("at", F.lit(None).cast("bigint").alias("key"))
+    met = stored(probe.withColumnRenamed("key", "other").join(alone.union(few).union(one).hint("shuffle_hash"), "at").filter(F.col("key").isNull() | (F.col("key") != F.col("other"))))
+    same = few.alias("x").join(few.alias("y"), (F.col("x.at") == F.col("y.at")) & (F.col("x.key") < F.col("y.key"))).select(F.col("x.key").alias("ka"), F.col("y.key").alias("kb"))
+    across = met.filter(F.col("key").isNotNull()).select(F.least("key", "other").alias("ka"), F.greatest("key", "other").alias("kb"))
+    pairs = same.union(across)
+    if not hot.isEmpty():
+        reached = met.filter(F.col("key").isNull()).select("at", F.col("other").alias("key")).union(hot)
+        pairs = pairs.union(hot_pairs(distinct.select("key", "wide", "size"), hot, reached.distinct(), edits))
+    text = distinct.select("key", "line")
+    a, b = text.select(F.col("key").alias("ka"), F.col("line").alias("a")), text.select(F.col("key").alias("kb"), F.col("line").alias("b"))
+    return within(pairs.distinct().join(a, "ka").join(b, "kb"), edits).select(F.col("ka").alias("a"), F.col("kb").alias("b"))
+
+
+def hot_pairs(lines: DataFrame, hot: DataFrame, reached: DataFrame, edits: int) -> DataFrame:
+    """Pairs (ka, kb) of lines that meet on a hot piece and again on a finer segment there.
+
+    Of a line's finer segments, ``edits`` can be touched, so any ``edits + 1`` rare ones are enough to meet on; only a line with fewer uses all of them.
     """
-    # length and letter counts once a line; they rule out most lines that only share a piece before a pair is made of them
-    counted = lines.withColumn("size", F.length("line")).withColumn("bag", bag(F.col("line"), F.col("size")))
-    # two lines with one 64-bit hash count as the smaller of them
-    least = F.min(F.struct("line", "size", "bag"))
-    distinct = counted.groupBy("key").agg(least.alias("l")).select("key", "l.line", "l.size", "l.bag")
-    line, size = F.col("line"), F.col("size")
-    index = distinct.select("key", "bag", F.explode(index_keys(line, size, edits)).alias("at"))
-    probe = distinct.select("key", "bag", F.explode(probe_keys(line, size, edits)).alias("at"))
-
-    def met(one: DataFrame, other: DataFrame, ordered: bool) -> DataFrame:
-        # hashing the smaller side spares sorting the probes; a hot piece is split like in any join
-        j = one.alias("x").join(other.hint("shuffle_hash").alias("y"), (F.col("x.at") == F.col("y.at")) & bags_within(F.col("x.bag"), F.col("y.bag"), edits)
-                                & (F.col("x.key") < F.col("y.key") if ordered else F.col("x.key") != F.col("y.key")))
-        return j.select(F.least("x.key", "y.key").alias("ka"), F.greatest("x.key", "y.key").alias("kb"))
-
-    pairs = met(probe, index, False).union(met(index, index, True)).distinct()
-    # the same columns as the index reads, so that the lines are dealt only once
-    one = distinct.select(F.col("key").alias("ka"), F.col("line").alias("a"), F.col("size").alias("na"), F.col("bag").alias("va"))
-    two = distinct.select(F.col("key").alias("kb"), F.col("line").alias("b"), F.col("size").alias("nb"), F.col("bag").alias("vb"))
-    close = (F.abs(F.col("na") - F.col("nb")) <= edits) & bags_within(F.col("va"), F.col("vb"), edits)
-    return within(pairs.join(one, "ka").join(two, "kb").filter(close), edits).select(F.col("ka").alias("a"), F.col("kb").alias("b"))
+    group = F.col("at").alias("group")
+    fine = stored(keys(hot.select("key", group).join(lines, "key"), ["key", "group"], fine_keys(edits, False)).withColumnRenamed("at", "fine"))
+    rare = fine.groupBy("fine").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= HOT).select("fine")
+    chosen = stored(fine.join(rare, "fine"))
+    enough = chosen.groupBy("key", "group").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > edits).select("key", "group")
+    index = chosen.join(enough, ["key", "group"], "left_semi").unionByName(fine.join(enough, ["key", "group"], "left_anti"))
+    probe = keys(reached.select("key", group).join(lines, "key"), ["key"], fine_keys(edits, True)).select(F.col("key").alias("other"), F.col("at").alias("fine"))
+    met = probe.join(index.select("key", "fine"), "fine").filter(F.col("key") != F.col("other"))
+    return met.select(F.least("key", "other").alias("ka"), F.greatest("key", "other").alias("kb"))
 
 
 def removals(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, least: int = LEAST, exact: int | None = None) -> DataFrame:
-    """Per distinct row with a judged line that repeats or has near copies: doc, mark, exact and near (places of removed lines) and n_links.
+    """Per distinct row with a judged line that repeats or has near copies: doc, mark, exact and near (places of removed lines), n_links and classes.
 
     A line of ``exact`` characters or more (default: ``least``) is removed if it occurs before, in the order of id, hash of the text and place (exact), and
     one of ``least`` or more also if a different one at most ``edits`` apart occurs first before it (near). n_links sums, over the row's lines, the different lines that each is linked to.
+    classes holds, for each of these lines, its place and its class: the id of the first document with a line that repeats and links lead to.
     """
     lines = judged(df, id_col, text_col, least if exact is None else exact)
     links = stored(near_lines(lines.filter(F.length("line") >= least), edits))
@@ -194,33 +224,38 @@ def removals(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", edit
     linked = both.join(own, "a").join(other, "b").groupBy(F.col("a").alias("key")).agg(F.max(F.col("fb") < F.col("fa")).alias("later"), F.count(F.lit(1)).alias("links"))
     # stored, so that the join deals both sides itself and can split a line that very many rows have
     known = stored(firsts.join(linked, "key", "left").filter((F.col("n") > 1) | F.col("links").isNotNull()))
+    rooted = known.filter(F.col("links").isNotNull()).join(components(links), F.col("key") == F.col("node")).select("key", "root", "first")
+    classes = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("top")), "root").select("key", "top")
+    known = known.join(classes, "key", "left").withColumn("class", F.coalesce("top", "first")["doc"]).drop("top")
     found = light.join(known, "key").withColumn("again", ~F.struct("doc", "mark", "place").eqNullSafe(F.col("first")))
     gone = F.when(F.col("again"), F.lit("exact")).when(F.col("later"), F.lit("near"))
     return found.withColumn("gone", gone).groupBy("doc", "mark").agg(
         F.sort_array(F.collect_set(F.when(F.col("gone") == "exact", F.col("place")))).alias("exact"),
         F.sort_array(F.collect_set(F.when(F.col("gone") == "near", F.col("place")))).alias("near"),
-        F.sum(F.coalesce("links", F.lit(0))).alias("n_links"))
+        F.sum(F.coalesce("links", F.lit(0))).alias("n_links"),
+        F.sort_array(F.collect_set(F.struct("place", "class"))).alias("classes"))
 
 
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, least: int = LEAST, exact: int | None = None) -> DataFrame:
     """``df`` with the removed lines taken out of the text; every row stays, a text may become empty.
 
     A null text stays null and an empty one empty. Null ids come first in the order. Rows with the same id and text count as one place, so they do not
-    remove each other's lines. Lines shorter than ``exact`` (default: ``least``) and all others keep their order and line ends. Long lines are compared whole. Clashing column names
-    do not matter; an empty table gives an empty result.
+    remove each other's lines. Lines shorter than ``exact`` (default: ``least``) and all others keep their order and line ends. Long lines are compared whole. Other columns are carried along,
+    whatever their names; an empty table gives an empty result.
     """
-    gone = removals(df, id_col, text_col, edits, least, exact).select(F.col("doc").alias("__doc"), F.col("mark").alias("__mark"), F.array_union("exact", "near").alias("__gone"))
-    names = df.columns
-    rows = df.withColumn("__key", F.xxhash64(text_of(text_col)))
-    out = rows.join(gone, col(id_col).eqNullSafe(F.col("__doc")) & (F.col("__key") == F.col("__mark")), "left")
-    parts = F.split(col(text_col), "\n")
-    stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("__gone"))
-    text = F.when(F.size("__gone") > 0, let(parts, lambda p: F.array_join(F.transform(stay, lambda i: F.get(p, i)), "\n"))).otherwise(col(text_col))
-    return out.withColumn("__text", text).select(*[F.col("__text").alias(c) if c.lower() == text_col.lower() else col(c) for c in names])
+    names = {c: f"c{i}" for i, c in enumerate(df.columns)}
+    id_, text = names[id_col], names[text_col]
+    rows = df.select(*[col(c).alias(n) for c, n in names.items()])
+    gone = removals(rows, id_, text, edits, least, exact).select("doc", "mark", F.array_union("exact", "near").alias("gone"))
+    out = rows.withColumn("key", F.xxhash64(text_of(text))).join(gone, F.col(id_).eqNullSafe(F.col("doc")) & (F.col("key") == F.col("mark")), "left")
+    parts = F.split(text, "\n")
+    stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("gone"))
+    left = F.when(F.size("gone") > 0, let(parts, lambda p: F.array_join(F.transform(stay, lambda i: F.get(p, i)), "\n"))).otherwise(F.col(text))
+    return out.select(*[(left if n == text else F.col(n)).alias(c) for c, n in names.items()])
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: its lines, the judged ones (all but empty), removed exact and near copies, links of its lines, and the digest of the removed places."""
+    """Per document: its lines, the judged ones (all but empty), removed exact and near copies, links of its lines, the removed places, and place:class of its lines that repeat or are linked."""
     docs = table(spark, sf_dir, "documents")
     gone = removals(docs, exact=EXACT)
     parts = F.split(text_of("text"), "\n")
@@ -228,5 +263,6 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = rows.join(gone, rows.doc_id.eqNullSafe(gone.doc) & (rows.mark == gone.mark), "left")
     none = F.array().cast("array<int>")
     exact, near = F.coalesce("exact", none), F.coalesce("near", none)
+    classes = F.array_join(F.transform(F.coalesce("classes", F.array().cast(gone.schema["classes"].dataType)), lambda x: F.concat_ws(":", x["place"].cast("string"), F.coalesce(x["class"].cast("string"), F.lit("")))), ",")
     return out.select("doc_id", "n_lines", "n_judged", F.size(exact).cast("bigint").alias("n_exact"), F.size(near).cast("bigint").alias("n_near"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"),
-                      F.array_join(F.sort_array(F.array_union(exact, near)).cast("array<string>"), ",").alias("removed"))
+                      F.array_join(F.sort_array(F.array_union(exact, near)).cast("array<string>"), ",").alias("removed"), classes.alias("classes"))

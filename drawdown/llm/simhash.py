@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .common import col, map_texts, schema, stored, table, text_of
 from .components import components
@@ -63,6 +63,14 @@ def links(distinct: DataFrame) -> DataFrame:
     return pairs.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS)
 
 
+def grouped(docs: DataFrame, *least: Column) -> DataFrame:
+    """fp and root (one fingerprint of its component) of every fingerprint of ``docs``, with the smallest ``least`` among the documents that have it."""
+    seen = stored(docs.groupBy("fp").agg(*least))
+    # few bytes, but many variants each: spread over the cluster before they are made
+    label = components(links(seen.select("fp").repartition("fp")))
+    return seen.join(label, seen.fp == label.node, "left").drop("node").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """One row per input row: ``id_col``, fp (signed long) and component_id, the smallest id that links reach.
 
@@ -70,21 +78,33 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     links; a component of null ids only has a null component_id. Repeated rows repeat. An empty table gives an empty result.
     """
     docs = stored(fingerprints(df.select(col(id_col).alias("id"), text_of(text_col).alias("text")), ["id"], shingle=shingle, seed=seed))
-    seen = stored(docs.groupBy("fp").agg(F.min("id").alias("id")))
-    label = components(links(seen.select("fp")))
-    least = seen.join(label, seen.fp == label.node, "left").select("fp", "id", F.coalesce("root", "fp").alias("root"))
+    least = grouped(docs, F.min("id").alias("id"))
     smallest = least.groupBy("root").agg(F.min("id").alias("component_id"))
     by_fp = least.join(smallest, "root").select("fp", "component_id")
     return docs.join(by_fp, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
-def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` without those whose id is not the smallest of its component; rows with a null id stay.
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
+    """The rows of ``df`` but for near duplicates: of each component one row stays, that with the smallest id (null last), then the smallest hash of its text.
 
-    Of repeated rows with one id all stay: they are told apart by nothing.
+    Rows are told apart by id and text, so rows of one id with other texts stand for themselves, and of rows that share both one stays. Any other columns are carried along, whatever
+    their names.
     """
-    drop = near_duplicates(df, id_col, text_col).filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__gone")).distinct()
-    return df.join(drop, col(id_col) == F.col("__gone"), "left_anti")
+    names = {c: f"c{i}" for i, c in enumerate(df.columns)}
+    rows = df.select(*[col(c).alias(n) for c, n in names.items()]).withColumn("mark", F.xxhash64(text_of(names[text_col])))
+    key, mark = F.col(names[id_col]), F.col("mark")
+    docs = stored(fingerprints(rows.select(key.alias("id"), "mark", text_of(names[text_col]).alias("text")), ["id", "mark"], shingle=shingle, seed=seed))
+    place = F.struct(F.col("id").isNull().alias("last"), "id", "mark")
+    roots = grouped(docs, F.min(place).alias("place"))
+    first = roots.groupBy("root").agg(F.min("place").alias("first"))
+    best = roots.join(first, "root").select("fp", "first")
+    judged = stored(docs.groupBy("id", "mark", "fp").agg(F.count(F.lit(1)).alias("n")).join(best, "fp").select("id", "mark", "n", (place == F.col("first")).alias("stays")))
+    gone, repeated = (judged.filter(c).select(F.col("id").alias("i"), F.col("mark").alias("m")) for c in ("not stays", "stays and n > 1"))
+    same = key.eqNullSafe(F.col("i")) & (mark == F.col("m"))
+    kept = rows.join(gone, same, "left_anti")
+    if not repeated.isEmpty():
+        kept = kept.join(repeated, same, "left_anti").union(kept.join(repeated, same, "left_semi").dropDuplicates([names[id_col], "mark"]))
+    return kept.select(*[F.col(n).alias(c) for c, n in names.items()])
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -77,6 +77,33 @@ def test_short_lines_that_repeat_exactly_go(spark, tmp_path):
     assert got == {1: (3, 0, 0, ""), 2: (3, 1, 0, "0"), 3: (4, 3, 1, "0,1,2,3")}
 
 
+def test_lines_of_one_template(spark, monkeypatch):
+    """Lines that share most of their text are linked only where they are near, whether their common pieces count as hot or not."""
+    rng = random.Random(11)
+    lines = ["Order shipped to depot: %012d" % rng.choice([rng.randrange(10 ** 12), rng.randrange(100)]) for _ in range(150)]
+    lines += ["".join(rng.choice(["", c, c, c, c, c, c, "é"]) for c in x) for x in rng.sample(lines, 60)] + ["Order shipped to depot:" + x for x in ("", " 7", " 8", "  9")]
+    lines = sorted({x for x in lines if len(x) >= 16})
+    want = {(x, y) for x in lines for y in lines if x < y and abs(len(x) - len(y)) <= 2 and edit(x, y) <= 2}
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string")
+    of = {r.key: r.line for r in L.judged(df, "doc_id", "text", 16).collect()}
+    for hot in (64, 4):
+        monkeypatch.setattr(L, "HOT", hot)
+        got = L.near_lines(L.judged(df, "doc_id", "text", 16), 2).collect()
+        assert {tuple(sorted((of[r.a], of[r.b]))) for r in got} == want and len(got) == len(want) > 20
+
+
+def test_line_classes_and_clashing_names(spark, tmp_path):
+    rows = [(5, "alpha beta gamma delta 1\nHome"), (2, "alpha beta gamma delta 22\nunlike all the others here"), (9, "alpha beta gamma delta 22\nHome"), (None, "Home")]
+    df = spark.createDataFrame([(i, t, "k", 3, 4, 5) for i, t in rows], "doc_id long, text string, __key string, gone int, doc int, mark int")
+    got = L.dedup_lines(df, exact=1)
+    assert got.columns == df.columns and {(r.doc_id, r.text, r["__key"], r.gone, r.doc, r.mark) for r in got.collect()} == {
+        (None, "Home", "k", 3, 4, 5), (2, rows[1][1], "k", 3, 4, 5), (5, "", "k", 3, 4, 5), (9, "", "k", 3, 4, 5)}
+    classes = {r.doc: [(c["place"], c["class"]) for c in r.classes] for r in L.removals(df, exact=1).collect()}
+    assert classes == {None: [(0, None)], 2: [(0, 2)], 5: [(0, 2), (1, None)], 9: [(0, 2), (1, None)]}
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id: r.classes for r in L.op1_line_dedup(spark, str(tmp_path)).collect()} == {None: "0:", 2: "0:2", 5: "0:2,1:", 9: "0:2,1:"}
+
+
 def plain_fp(text):
     w = bytes(c + 32 if 65 <= c <= 90 else c for c in text.encode()).split()
     if not w:
@@ -112,6 +139,16 @@ def test_simhash_components(spark):
     assert h & (1 << 64) - 1 == plain_fp("alpha beta gamma")
 
 
+def test_one_row_of_a_group_stays(spark):
+    """Rows are judged, not ids: null and repeated ids, repeated rows, and names of helper columns."""
+    rows = [(5, "a b c d e f"), (7, "a b c d e f"), (5, "quite another text is this"), (5, "quite another text is this"), (None, "a b c d e f"), (None, "only null ids have these words"), (None, "only null ids have these words"), (8, None), (9, "")]
+    df = spark.createDataFrame([(i, t, k, k, k, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, __gone int, fp int, mark int, c0 int")
+    kept = H.keep_one(df)
+    assert kept.columns == df.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(5, "a b c d e f"), (5, "quite another text is this"), (None, "only null ids have these words"), (8, None)], key=str)
+    assert H.keep_one(df.limit(0)).count() == 0
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 100 + i) for i in range(1, 40)] + [(200, 200)]
     got = {r.node: r.root for r in G.components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -1,4 +1,5 @@
 """URL model, classifier, quality rules and the pipeline."""
+import hashlib
 import random
 import zlib
 from collections import Counter
@@ -216,14 +217,14 @@ def test_pipeline_stages(spark):
         if name == "quality_rules":
             assert {i for i, t in before.items() if R.base_failed(R.measures(t.encode())[0])}.isdisjoint(after) and len(after) > 0.7 * len(before)
         elif name == "line_dedup":
-            first, place = {}, [(i, p, x) for i in sorted(before) for p, x in enumerate(before[i].split("\n")) if len(x) >= 16]
+            first, place = {}, [(i, p, x) for i in sorted(before) for p, x in enumerate(before[i].split("\n")) if x]
             for i, p, x in place:
                 first.setdefault(x, (i, p))
             by_size = {}
             for x in first:
                 by_size.setdefault(len(x), []).append(x)
-            near = lambda x: any(first[y] < first[x] and edit(x, y) <= 2 for d in range(-2, 3) for y in by_size.get(len(x) + d, []) if y != x and sum((Counter(x) - Counter(y)).values()) <= 2)
-            gone = {(i, p) for i, p, x in place if first[x] != (i, p) or near(x)}
+            near = lambda x: any(first[y] < first[x] and edit(x, y) <= 2 for d in range(-2, 3) for y in by_size.get(len(x) + d, []) if len(y) >= 16 and y != x and sum((Counter(x) - Counter(y)).values()) <= 2)
+            gone = {(i, p) for i, p, x in place if first[x] != (i, p) or len(x) >= 16 and near(x)}
             assert after == {i: "\n".join(x for p, x in enumerate(t.split("\n")) if (i, p) not in gone) for i, t in before.items()}
         elif name == "near_duplicates":
             ids, fp = sorted(before), {i: plain_fp(t) for i, t in before.items()}
@@ -240,4 +241,5 @@ def test_pipeline_stages(spark):
     coded = P.STAGES[-1][1](spark, now, SMALL)
     from drawdown.llm.bytebpe import decode
     assert {r.doc_id: bytes(r.decoded).decode() for r in decode(coded).collect()} == before
+    assert {r.doc_id: r.decoded_sha256 for r in coded.collect()} == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in before.items()}
     assert P.run(spark, SMALL).count() == len(before)
