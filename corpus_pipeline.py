@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from drawdown.llm.bytebpe import encode
+from drawdown.llm.bytebpe import round_trip
 from drawdown.llm.common import stored, table
 from drawdown.llm.decontaminate import drop_contaminated
 from drawdown.llm.lines import EXACT, dedup_lines
@@ -39,8 +39,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and ids (little-endian unsigned 32-bit integers) of every text that is left."""
-    return encode(docs)
+    """doc_id, n_tokens, ids (little-endian unsigned 32-bit integers) and the digest of the text that the ids decode to, of every text that is left."""
+    return round_trip(docs)
 
 
 STAGES: list[tuple[str, Stage]] = [
