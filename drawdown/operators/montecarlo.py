@@ -4,12 +4,18 @@ Draws come from a hash of (seed, keys, draw number), so a re-run task or another
 """
 from __future__ import annotations
 
+import hashlib
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from ..functions.columns import array_lerp, c, normal_cdf, normal_ppf, with_normal
+from ..functions.columns import PPF_A, PPF_B, PPF_C, PPF_D, PPF_LOW, c, normal_cdf, normal_ppf
+from ..session import materialise, spread
+from .ranking import range_rank
 
 # Volumetric constants.
 RHO, BO = 0.85, 1.15
@@ -45,57 +51,124 @@ def sample(u: Column, mean, cv: float, dist: str = "lognormal", low: float | Non
     return F.least(v, F.lit(high)) if high is not None else v
 
 
+def draws(seed: int, tag: str, key, n: int) -> np.ndarray:
+    """``n`` standard normal draws of one key: the numbers of ``hash_uniform(seed, tag, key, i)`` through the normal quantile."""
+    head = hashlib.md5(f"{seed}|{tag}|{key}|".encode())
+
+    def one(i: bytes) -> bytes:
+        h = head.copy()
+        h.update(i)
+        return h.digest()
+
+    # the first 13 hex digits are the upper 52 bits of the first 8 bytes
+    bits = np.frombuffer(b"".join(map(one, _numbers(n))), ">u8")[::2] >> np.uint64(12)
+    u = (bits.astype(float) + 0.5) / 2.0 ** 52
+    tail = np.sqrt(-2.0 * np.log(np.where(u < 0.5, u, 1.0 - u)))
+    t = np.polyval(PPF_C, tail) / (np.polyval(PPF_D, tail) * tail + 1.0)
+    q = u - 0.5
+    mid = np.polyval(PPF_A, q * q) * q / (np.polyval(PPF_B, q * q) * q * q + 1.0)
+    return np.where(u < PPF_LOW, t, np.where(u > 1 - PPF_LOW, -t, mid))
+
+
+@lru_cache(maxsize=2)
+def _numbers(n: int) -> list[bytes]:
+    return [b"%d" % i for i in range(n)]
+
+
+def _lognormal(z: np.ndarray, mean: float, cv: float, high: float = math.inf) -> np.ndarray:
+    sigma = math.sqrt(math.log(1 + cv * cv))
+    return np.minimum(np.maximum(np.exp(math.log(max(mean, 1e-9)) - sigma * sigma / 2 + sigma * z), 1e-9), high)
+
+
+LEVELS = (0.1, 0.5, 0.9)
+
+
 def volumetric(df: DataFrame, n: int, seed: int, *, entity: str = "entity_id", lateral: str = "lateral", pay: str = "pay",
                porosity: str = "porosity", saturation: str = "saturation", recovery: str | None = None, cv: float = CV_PAY) -> DataFrame:
-    """p10/p50/p90/mean/sd of the oil in place per entity (and of the recoverable volume). ``n`` draws per entity."""
-    d = df.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    tags = ("area", "pay", "porosity", "saturation") + (("recovery",) if recovery else ())
-    for tag in tags:
-        d = with_normal(d, f"_z_{tag}", F.lit(seed), F.lit(tag), entity, "_i")
-    def draw(tag, mean, spread, high=None):
-        return sample(None, mean, spread, high=high, z=F.col(f"_z_{tag}"))
-    v = ooip(draw("area", drainage_area(lateral), CV_AREA), draw("pay", pay, cv), draw("porosity", porosity, cv * 0.8, POROSITY_MAX),
-             draw("saturation", saturation, cv * 0.6, SATURATION_MAX))
-    d = d.withColumn("_v", v)
-    aggs = [F.percentile("_v", F.array(F.lit(.1), F.lit(.5), F.lit(.9))).alias("_p"), F.avg("_v").alias("mean"), F.stddev_pop("_v").alias("sd")]
-    out = [*[F.get("_p", i).alias(x) for i, x in enumerate(("p10", "p50", "p90"))], "mean", "sd"]
-    if recovery:
-        d = d.withColumn("_r", F.col("_v") * draw("recovery", recovery, 0.2) / 100.0)
-        aggs.append(F.percentile("_r", F.array(F.lit(.1), F.lit(.5), F.lit(.9))).alias("_pr"))
-        out += [F.get("_pr", i).alias(f"rec_{x}") for i, x in enumerate(("p10", "p50", "p90"))]
-    return d.groupBy(entity).agg(*aggs).select(entity, *out)
+    """p10/p50/p90/mean/sd of the oil in place per entity, and rec_p10/p50/p90 of what a ``recovery`` factor in percent leaves recoverable.
+
+    The ``n`` draws of an entity stay where its row is: one array each, of which only the figures leave the task. A null parameter gives null figures.
+    """
+    base = ["p10", "p50", "p90", "mean", "sd"]
+    out = base + ([f"rec_{x}" for x in ("p10", "p50", "p90")] if recovery else [])
+    names = [pay, porosity, saturation] + ([recovery] if recovery else [])
+    rows = df.select(F.col(entity).alias("entity"), drainage_area(lateral).cast("double").alias("area"), *[F.col(x).cast("double").alias(f"v{i}") for i, x in enumerate(names)])
+    ddl = T.StructType([T.StructField(entity, rows.schema["entity"].dataType), *[T.StructField(x, T.DoubleType()) for x in out]])
+    plan = [("area", CV_AREA, math.inf), ("pay", cv, math.inf), ("porosity", cv * 0.8, POROSITY_MAX), ("saturation", cv * 0.6, SATURATION_MAX), ("recovery", 0.2, math.inf)]
+
+    def figures(key, means: list) -> list:
+        if any(m is None for m in means):
+            return [None] * len(out)
+        area, pay_, por, sat, *rest = (_lognormal(draws(seed, tag, key, n), m, spread, high) for (tag, spread, high), m in zip(plan, means))
+        v = area * pay_ * (por / 100.0) * (sat / 100.0) * RHO / BO
+        got = [*np.quantile(v, LEVELS).tolist(), float(v.mean()), float(v.std())]
+        return got + np.quantile(v * rest[0] / 100.0, LEVELS).tolist() if rest else got
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, *means = (c_.to_pylist() for c_ in batch.columns)
+            rows_ = [figures(k, list(m)) for k, *m in zip(keys, *means)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in rows_], pa.float64()) for i in range(len(out)))], names=[entity, *out])
+
+    # few bytes but much work each: over all cores, whatever the size of the files
+    return spread(rows, "entity").mapInArrow(run, ddl)
 
 
 # ------------------------------------------------------------------ copula aggregation
-def error_quantiles(errors: DataFrame, bucket: str, value: str) -> DataFrame:
-    """Sorted error sample per bucket as one array.
+def order_statistics(errors: DataFrame, bucket: str, value: str) -> DataFrame:
+    """The sorted sample of every bucket as rows: bucket, k (from 0), lo (the k-th smallest value), hi (the next one, or the last itself), n.
 
-    The sample is the hindcast of one library (hundreds of errors per history class, a size fixed by the hindcast
-    design, see ``hindcast_errors``), not a figure that grows with the evaluated entities.
+    Ranks come from ranges of (bucket, value) and the counts of the ranges before, so no task and no row holds a bucket.
     """
-    return errors.groupBy(bucket).agg(F.array_sort(F.collect_list(value)).alias("sample"))
+    r = range_rank(errors.where(F.col(value).isNotNull()).select(bucket, F.col(value).cast("double").alias("lo")), [bucket], ["lo"], "k")
+    following = r.select(bucket, (F.col("k") - 1).alias("k"), F.col("lo").alias("hi"))
+    total = r.groupBy(bucket).agg(F.count(F.lit(1)).alias("n"))
+    return materialise(r.join(following, [bucket, "k"], "left").join(total, bucket).select(bucket, "k", "lo", F.coalesce("hi", "lo").alias("hi"), "n"))
+
+
+def mapped(df: DataFrame, sample: DataFrame, bucket: str, u: str, out: str) -> DataFrame:
+    """Empirical quantile ``out`` at level ``u`` of every row's bucket: linear between the plotting positions (i + .5)/n, by a join at the position's rank."""
+    size = sample.where("k = 0").select(bucket, F.col("n").alias("_n"))
+    d = df.join(size, bucket).withColumn("_pos", F.greatest(F.lit(0.0), F.least(F.col(u) * F.col("_n") - 0.5, (F.col("_n") - 1).cast("double"))))
+    d = d.withColumn("_k", F.floor("_pos"))
+    at = sample.select(F.col(bucket).alias("_b"), F.col("k").alias("_k"), "lo", "hi")
+    return d.join(at, (F.col(bucket) == F.col("_b")) & (d["_k"] == at["_k"])).withColumn(out, F.col("lo") + (F.col("hi") - F.col("lo")) * (F.col("_pos") - d["_k"])).drop("_n", "_pos", "_b", "_k", "lo", "hi")
 
 
 def aggregate_copula(wells: DataFrame, samples: DataFrame, rhos: Sequence[float], n_sims: int, seed: int, *, scope: Sequence[str] = (), entity: str = "entity_id",
                      best: str = "best", group: str = "grp", bucket: str = "bucket") -> DataFrame:
-    """Total p10/p50/p90 per scope and ρ with wells of a group sharing one Gaussian factor.
+    """Total p10/p50/p90 per scope and ρ with wells of a group sharing one Gaussian factor. ``samples``: :func:`order_statistics` of the errors.
 
-    Rows are entity × ρ × simulation; totals are summed map-side, so what is shuffled is one row per (scope, ρ, simulation).
+    Rows are entity × ρ × simulation; totals are summed map-side, so what is shuffled is one row per (scope, ρ, simulation), as long as the
+    sample is small enough for Spark to send it to the draws; a larger one is joined by rank.
     """
     scope = list(scope)
-    w = wells.join(samples.select(bucket, "sample"), bucket)
-    w = w.withColumn("_q10", F.col(best) * F.exp(array_lerp("sample", F.lit(0.10))))
-    d = w.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(n_sims - 1))))
-    d = with_normal(with_normal(d, "_zg", F.lit(seed), F.lit("group"), group, "_s"), "_ze", F.lit(seed), F.lit("entity"), entity, "_s")
+    w = wells.select(*scope, entity, best, group, bucket)
+    ref = mapped(w.withColumn("_u", F.lit(0.10)), samples, bucket, "_u", "_e")
+    ref = ref.groupBy(*scope).agg(F.sum(F.col(best) * F.exp("_e")).alias("sum_well_p10"), F.sum(best).alias("sum_best"), F.count(F.lit(1)).alias("n_wells"))
+    fields = T.StructType([T.StructField("_x", w.schema[entity].dataType), T.StructField("_g", w.schema[group].dataType), T.StructField("_s", T.IntegerType()), T.StructField("_zg", T.DoubleType()), T.StructField("_ze", T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = pa.array(np.arange(n_sims), pa.int32())
+        shared: dict = {}
+        for batch in batches:
+            for i, (x, g) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                if g not in shared:
+                    if len(shared) >= 256:
+                        shared.clear()
+                    shared[g] = draws(seed, "group", g, n_sims)
+                one = pa.array([0] * n_sims, pa.int32())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1).take(one), batch.column(1).slice(i, 1).take(one), number, pa.array(shared[g]), pa.array(draws(seed, "entity", x, n_sims))],
+                                                 names=["_x", "_g", "_s", "_zg", "_ze"])
+
+    drawn = spread(w.select(entity, group), entity).mapInArrow(run, fields).select(F.col("_x").alias(entity), "_s", "_zg", "_ze")
+    # the wells are few against their draws: Spark sends them along where their size allows
+    d = drawn.join(materialise(w), entity)
     d = d.withColumn("rho", F.explode(F.array(*[F.lit(float(r)) for r in rhos])))  # the draws are shared by all ρ
-    d = d.withColumn("_z", F.sqrt("rho") * F.col("_zg") + F.sqrt(1.0 - F.col("rho")) * F.col("_ze")).withColumn("_u", normal_cdf("_z"))
-    n = F.size("sample")
-    d = d.withColumn("_pos", F.greatest(F.lit(0.0), F.least(F.col("_u") * n - 0.5, (n - 1).cast("double")))).withColumn("_k", F.floor("_pos").cast("int"))
-    lo, hi = F.get("sample", F.col("_k")), F.get("sample", F.least(F.col("_k") + 1, n - 1))
-    d = d.withColumn("_v", F.col(best) * F.exp(lo + (hi - lo) * (F.col("_pos") - F.col("_k"))))
+    d = d.withColumn("_u", normal_cdf(F.sqrt("rho") * F.col("_zg") + F.sqrt(1.0 - F.col("rho")) * F.col("_ze")))
+    d = mapped(d, samples, bucket, "_u", "_e").withColumn("_v", F.col(best) * F.exp("_e"))
     sims = d.groupBy(*scope, "rho", "_s").agg(F.sum("_v").alias("_t"))
-    p = sims.groupBy(*scope, "rho").agg(F.percentile("_t", F.array(F.lit(.1), F.lit(.5), F.lit(.9))).alias("_p"), F.avg("_t").alias("mean"))  # n_sims values
-    ref = w.groupBy(*scope).agg(F.sum("_q10").alias("sum_well_p10"), F.sum(best).alias("sum_best"), F.count(F.lit(1)).alias("n_wells"))
+    p = sims.groupBy(*scope, "rho").agg(F.percentile("_t", F.array(*map(F.lit, LEVELS))).alias("_p"), F.avg("_t").alias("mean"))  # n_sims values
     if scope:
         j = p.join(ref, scope)
     else:

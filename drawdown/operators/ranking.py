@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from ..functions.columns import c
+from ..session import materialise
 
 
 def _below(cuts: str, value: str):
@@ -88,6 +89,20 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: dic
         *[F.max(F.when(F.col("_name") == name, F.col("_x"))).alias(name) for name in probs])
 
 
+def range_rank(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str) -> DataFrame:
+    """``df`` with its 0-based rank by ``order`` inside ``keys``.
+
+    Rows are dealt by ranges of keys and order together, so a key with most of the rows lies in many tasks; of each task only its count of a key
+    meets the others. Ties share their range and are numbered in no stated order.
+    """
+    keys = list(keys)
+    rows = materialise(df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order).withColumn("_row", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_row", 33)))
+    parts = rows.groupBy(*keys, "_part").agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_rows"))
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0))).drop("_rows")
+    return rows.join(parts, [*keys, "_part"]).withColumn(out, F.col("_row") - F.col("_first") + F.col("_before")).drop("_row", "_part", "_first", "_before")
+
+
 def dated_row_number(df: DataFrame, keys: Sequence[str], date: str, ident: str, out: str = "rn",
                      total: str | None = "n_total", fan: int = 64) -> DataFrame:
     """1-based row number by (date, ident) inside ``keys``.

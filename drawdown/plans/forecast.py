@@ -124,15 +124,16 @@ def _logn(u, m, cv):
     return f"exp(ln({m})-{s * s / 2!r}+{s!r}*z_{u})"
 
 
-DRAWS = [ROCK, f"""uu AS (SELECT *, {S.uniform("7", "'area'", "entity_id", "i")} AS u1, {S.uniform("7", "'pay'", "entity_id", "i")} AS u2, {S.uniform("7", "'porosity'", "entity_id", "i")} AS u3, {S.uniform("7", "'saturation'", "entity_id", "i")} AS u4 FROM rk, range(10000) r(i))""",
-         f"""zz AS (SELECT *, {S.ppf('u1')} AS z_1, {S.ppf('u2')} AS z_2, {S.ppf('u3')} AS z_3, {S.ppf('u4')} AS z_4 FROM uu)""",
-         f"""vv AS (SELECT entity_id, {_logn(1, AREA, .25)}*{_logn(2, 'pay', .18)}*least({_logn(3, 'porosity', .18 * .8)},35)/100*least({_logn(4, 'saturation', .18 * .6)},95)/100*.85/1.15 AS v FROM zz)"""]
+DRAWS = [ROCK, f"""uu AS (SELECT *, {S.uniform("7", "'area'", "entity_id", "i")} AS u1, {S.uniform("7", "'pay'", "entity_id", "i")} AS u2, {S.uniform("7", "'porosity'", "entity_id", "i")} AS u3, {S.uniform("7", "'saturation'", "entity_id", "i")} AS u4, {S.uniform("7", "'recovery'", "entity_id", "i")} AS u5 FROM rk, range(10000) r(i))""",
+         f"""zz AS (SELECT *, {S.ppf('u1')} AS z_1, {S.ppf('u2')} AS z_2, {S.ppf('u3')} AS z_3, {S.ppf('u4')} AS z_4, {S.ppf('u5')} AS z_5 FROM uu)""",
+         f"""vv AS (SELECT entity_id, {_logn(1, AREA, .25)}*{_logn(2, 'pay', .18)}*least({_logn(3, 'porosity', .18 * .8)},35)/100*least({_logn(4, 'saturation', .18 * .6)},95)/100*.85/1.15 AS v, {_logn(5, '(3.0::DOUBLE+entity_id%6)', .2)} AS r FROM zz)"""]
 
 
-@query("volumetric_monte_carlo", sql=with_ctes(DRAWS, select="SELECT entity_id, round(quantile_cont(v,.1),1) AS p10, round(median(v),1) AS p50, round(quantile_cont(v,.9),1) AS p90, round(avg(v),1) AS mean, round(stddev_pop(v),1) AS sd FROM vv GROUP BY 1"))
+@query("volumetric_monte_carlo", sql=with_ctes(DRAWS, select="SELECT entity_id, round(quantile_cont(v,.1),1) AS p10, round(median(v),1) AS p50, round(quantile_cont(v,.9),1) AS p90, round(avg(v),1) AS mean, round(stddev_pop(v),1) AS sd, round(quantile_cont(v*r/100,.1),1) AS rec_p10, round(median(v*r/100),1) AS rec_p50, round(quantile_cont(v*r/100,.9),1) AS rec_p90 FROM vv GROUP BY 1"))
 def volumetric_monte_carlo(spark, sf):
-    v = M.volumetric(_rock(spark, sf), 10_000, 7)
-    return v.select("entity_id", *[rnd(x, 1).alias(x) for x in ("p10", "p50", "p90", "mean", "sd")])
+    """Oil in place and recoverable volume, 10 000 draws an entity."""
+    v = M.volumetric(_rock(spark, sf).withColumn("recovery", 3.0 + F.col("entity_id") % 6), 10_000, 7, recovery="recovery")
+    return v.select("entity_id", *[rnd(x, 1).alias(x) for x in ("p10", "p50", "p90", "mean", "sd", "rec_p10", "rec_p50", "rec_p90")])
 
 
 @query("parameter_draws", sql=with_ctes(ROCK, f"uu AS (SELECT entity_id, pay, i, {S.uniform('3', 'entity_id', 'i')} AS u FROM rk, range(5) r(i))", select=f"""
@@ -158,14 +159,14 @@ def _copula_inputs(spark, sf):
     err = e.where("a IS NOT NULL AND b IS NOT NULL").select(F.when(F.col("user_id") % 2 == 0, 12).otherwise(24).alias("bucket"), F.ln(F.col("a") / F.col("b")).alias("e"))
     w = monthly(spark, sf, "supplier").groupBy("entity_id").agg((F.sum("oil") / 10).alias("best"), F.count(F.lit(1)).alias("n"))
     w = w.join(table(spark, sf, "supplier").select(F.col("s_suppkey").alias("entity_id"), F.concat(F.lit("g"), F.col("s_nationkey").cast("string")).alias("grp")), "entity_id")
-    return w.withColumn("bucket", F.when(F.col("n") >= 80, 24).otherwise(12)), M.error_quantiles(err, "bucket", "e")
+    return w.withColumn("bucket", F.when(F.col("n") >= 80, 24).otherwise(12)), M.order_statistics(err, "bucket", "e")
 
 
 @query("quantile_mapping", sql=with_ctes(ERR, select=f"SELECT bucket, u, round({lerp('u')},6) AS e FROM er, (SELECT unnest([0.001::DOUBLE,0.1,0.5,0.9,0.999]) AS u)"))
 def quantile_mapping(spark, sf):
-    from ..functions.columns import array_lerp
-    s = _copula_inputs(spark, sf)[1].withColumn("u", F.explode(F.array(*[F.lit(x) for x in (0.001, 0.1, 0.5, 0.9, 0.999)])))
-    return s.select("bucket", "u", rnd(array_lerp("sample", "u"), 6).alias("e"))
+    s = _copula_inputs(spark, sf)[1]
+    u = s.where("k = 0").select("bucket", F.explode(F.array(*[F.lit(x) for x in (0.001, 0.1, 0.5, 0.9, 0.999)])).alias("u"))
+    return M.mapped(u, s, "bucket", "u", "e").select("bucket", "u", rnd("e", 6).alias("e"))
 
 
 @query("copula_aggregation", sql=with_ctes(CW, f"""
