@@ -10,7 +10,8 @@ from ..operators.stats import error_summary, icc_oneway, running_total
 from ..session import materialise
 from ..sources.bind import calendar_rate, daily, monthly, table
 from . import sqlkit as S
-from .decline import Q_ECON, RAW, points
+from .decline import PTS, Q_ECON, RAW, points
+from .fitsql import best_ctes, fit_rate_sql, remaining_ctes
 from .registry import query, with_ctes
 
 PAR = """pp AS (SELECT p_partkey AS id, p_brand AS layer, p_retailprice/10 AS qi, 0.004::DOUBLE*p_size AS di, (p_size % 13)::DOUBLE AS te, 0.1::DOUBLE + 0.09::DOUBLE*(p_partkey % 11) AS b, 0.00625::DOUBLE AS dm FROM part)"""
@@ -203,28 +204,63 @@ def hindcast_summary(spark, sf):
     return error_summary(H.hindcast_errors(_hindcast(spark, sf)), ["H", "method", "win"], "err")
 
 
-@query("error_model")
+RATIOS = [S.monthly("supplier"), f"""sr AS (SELECT entity_id, mi, oil/{S.dim('mi')} AS rate, min(mi) OVER (PARTITION BY entity_id) AS sm FROM monthly)""",
+          """lb AS (SELECT entity_id, row_number() OVER (ORDER BY sm, entity_id) % 2 = 1 AS lib FROM (SELECT entity_id, min(sm) AS sm FROM sr GROUP BY 1))""",
+          """sv AS (SELECT entity_id, (mi-sm)::DOUBLE AS t, rate AS q, 'b'||(s_nationkey%5) AS grp, max(mi-sm) OVER (PARTITION BY entity_id) + 0.5 AS last FROM sr JOIN lb USING (entity_id) JOIN supplier ON s_suppkey=entity_id WHERE NOT lib)""",
+          """hz AS (SELECT entity_id||'/'||H AS ek, H, grp, t, t+0.5 AS x, q FROM sv, (SELECT unnest([6,12,24]) AS H) WHERE last >= 20)""",
+          """hk AS (SELECT ek FROM hz GROUP BY ek HAVING count(*) FILTER (WHERE x < H) >= 5 AND count(*) FILTER (WHERE x > H AND x < H+12) >= 8)""",
+          """hs AS (SELECT ek, t, q FROM hz JOIN hk USING (ek) WHERE x < H)""", best_ctes("hs", "hf", D.BEST, "ek"),
+          f"""lr AS (SELECT H, grp, ln(a/p) AS e FROM (SELECT z.ek, any_value(H) AS H, any_value(grp) AS grp, sum(z.q)*30.4 AS a, sum({fit_rate_sql('z.t', 'f', ('arps', 'duong'))})*30.4 AS p FROM hz z JOIN hf f ON f.ek=z.ek WHERE x > H GROUP BY z.ek) WHERE a > 0 AND p > 0)""",
+          """lk AS (SELECT * FROM lr WHERE H IN (SELECT H FROM lr GROUP BY 1 HAVING count(*) >= 20))""",
+          """ig AS (SELECT grp, count(*) AS n, avg(e) AS m, var_pop(e) AS vp FROM lk WHERE H = 24 GROUP BY 1)""",
+          """it AS (SELECT count(*) AS k, sum(n) AS n, sum(n*(m-(SELECT avg(e) FROM lk WHERE H = 24))**2)/(count(*)-1) AS msb, sum(n*vp)/(sum(n)-count(*)) AS msw FROM ig)""",
+          """ic AS (SELECT k, CASE WHEN k < 2 OR n <= k THEN 0.0::DOUBLE ELSE greatest(0.0::DOUBLE,(msb-msw)/(msb+(n/k-1)*msw)) END AS icc FROM it)"""]
+
+
+def _ratios(spark, sf):
+    return materialise(H.log_ratios(H.horizon_rows(materialise(_series(spark, sf)).where("NOT in_library"), (6, 12, 24)), at_least=20))
+
+
+@query("error_model", sql=with_ctes(*RATIOS, select="SELECT H, count(*) AS n, round(quantile_cont(e,.1),4) AS p10, round(median(e),4) AS p50, round(quantile_cont(e,.9),4) AS p90, round((SELECT icc FROM ic),4) AS icc FROM lk GROUP BY H"))
 def error_model(spark, sf):
     """Log-ratio error classes of the hindcast and their intra-block correlation."""
     from ..operators.ranking import exact_percentiles
-    r = materialise(H.log_ratios(_hindcast(spark, sf), at_least=20))
+    r = _ratios(spark, sf)
     p = exact_percentiles(r, ["H"], "e", {"p10": .1, "p50": .5, "p90": .9})
     icc = icc_oneway(r.where("H = 24"), "e", "grp").select("icc").scalar()
     n = r.groupBy("H").agg(F.count(F.lit(1)).alias("n"))
     return n.join(p, "H").select("H", "n", rnd("p10").alias("p10"), rnd("p50").alias("p50"), rnd("p90").alias("p90"), rnd(icc).alias("icc"))
 
 
-@query("probabilistic_reserves")
+def _total(scope: str, rhos: str) -> str:
+    return f"""SELECT {scope} AS scope, rho, count(DISTINCT entity_id) AS n_wells, i, sum(best*exp({lerp('u')})) AS t FROM su WHERE rho IN ({rhos}) GROUP BY ALL"""
+
+
+@query("probabilistic_reserves", sql=with_ctes(PTS, best_ctes("pts", "pf", D.TERMINAL), "tn AS (SELECT entity_id, max(t)-min(t) AS t_now FROM pts GROUP BY 1)", "bt AS (SELECT * FROM pf JOIN tn USING (entity_id))",
+       remaining_ctes("bt", "rm", "entity_id", str(Q_ECON), "f.t_now", ("arps",), keep=", n"), *RATIOS, """
+er AS (SELECT H AS bucket, list(e ORDER BY e) AS sample, count(*) AS n FROM lk WHERE H IN (12, 24) GROUP BY 1)""", """
+cw AS (SELECT entity_id, 'b'||(s_nationkey%5) AS grp, 'u'||s_nationkey AS unit, remaining AS best, CASE WHEN n >= 18 THEN 24 ELSE 12 END AS bucket FROM rm JOIN supplier ON s_suppkey=entity_id WHERE remaining > 0)""", """
+rr AS (SELECT DISTINCT unnest([0.0::DOUBLE, 0.5, 1.0, CASE WHEN k >= 5 THEN round(icc,3) ELSE 0.5 END]) AS rho FROM ic)""", "rf AS (SELECT CASE WHEN k >= 5 THEN round(icc,3) ELSE 0.5 END AS rho FROM ic)", f"""
+sm AS (SELECT c.*, sample, n, rho, i, {S.uniform("7", "'group'", "grp", "i")} AS ug, {S.uniform("7", "'entity'", "entity_id", "i")} AS ue FROM cw c JOIN er USING (bucket), rr, range(4000) r(i))""", f"""
+sz AS (SELECT *, sqrt(rho)*{S.ppf('ug')} + sqrt(1-rho)*{S.ppf('ue')} AS z FROM sm)""", f"su AS (SELECT *, {S.cdf('z')} AS u FROM sz)", f"""
+st AS ({_total("'all'", 'SELECT rho FROM rr')} UNION ALL {_total('unit', 'SELECT rho FROM rf')})""", f"""
+ref AS (SELECT unit AS scope, sum(best*exp({lerp('0.10::DOUBLE')})) AS p, sum(best) AS b FROM cw JOIN er USING (bucket) GROUP BY 1 UNION ALL SELECT 'all', sum(best*exp({lerp('0.10::DOUBLE')})), sum(best) FROM cw JOIN er USING (bucket))""", select="""
+SELECT scope, rho, any_value(n_wells) AS n_wells, round(quantile_cont(t,.1),1) AS p10, round(median(t),1) AS p50, round(quantile_cont(t,.9),1) AS p90, round(any_value(b),1) AS sum_best, round(any_value(p),1) AS sum_well_p10, round(quantile_cont(t,.1)-any_value(p),1) AS aggregation_gain FROM st JOIN ref USING (scope) GROUP BY scope, rho"""))
 def probabilistic_reserves(spark, sf):
-    """Copula totals of fitted suppliers with the hindcast error classes, ρ from {0, .5, 1}."""
-    r = materialise(H.log_ratios(_hindcast(spark, sf), at_least=20))
-    sm = M.error_quantiles(r.withColumn("bucket", F.when(F.col("H") >= 18, 24).otherwise(12)), "bucket", "e")
+    """Copula totals of fitted suppliers with the hindcast's error classes: all of them for ρ from {0, .5, 1} and the estimated correlation, every unit for
+    the reference ρ. With fewer than 5 groups the estimate counts for nothing and the reference is 0.5."""
+    r = _ratios(spark, sf)
+    sm = M.order_statistics(r.where("H IN (12, 24)").withColumnRenamed("H", "bucket"), "bucket", "e")
     p = D.pack(points(spark, sf), "entity_id").withColumn("fit", fit_udf(D.TERMINAL)("ts", "qs")).where("fit.converged")
     v = p.withColumn("best", remaining_struct(F.col("fit"), F.lit(Q_ECON), F.array_max("ts") - F.array_min("ts"))["remaining"])
-    g = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("entity_id"), F.concat(F.lit("b"), (F.col("s_nationkey") % 5).cast("string")).alias("grp"))
-    w = v.where("best > 0").join(g, "entity_id").select("entity_id", "grp", "best", F.when(F.col("fit.n") >= 18, 24).otherwise(12).alias("bucket"))
-    a = M.aggregate_copula(w, sm, (0.0, 0.5, 1.0), 4000, 7)
-    return a.select("rho", "n_wells", *[rnd(x, 1).alias(x) for x in ("p10", "p50", "p90", "sum_best", "sum_well_p10", "aggregation_gain")])
+    n = F.col("s_nationkey")
+    g = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("entity_id"), F.concat(F.lit("b"), (n % 5).cast("string")).alias("grp"), F.concat(F.lit("u"), n.cast("string")).alias("unit"))
+    w = materialise(v.where("best > 0").join(g, "entity_id").select("entity_id", "grp", "unit", "best", F.when(F.col("fit.n") >= 18, 24).otherwise(12).alias("bucket")))
+    icc = icc_oneway(r.where("H = 24"), "e", "grp").first()
+    reference = round(icc["icc"], 3) if icc["n_groups"] >= 5 else 0.5
+    total = M.aggregate_copula(w, sm, sorted({0.0, 0.5, 1.0, reference}), 4000, 7).withColumn("scope", F.lit("all"))
+    units = M.aggregate_copula(w, sm, [reference], 4000, 7, scope=["unit"]).withColumnRenamed("unit", "scope")
+    return total.unionByName(units).select("scope", "rho", "n_wells", *[rnd(x, 1).alias(x) for x in ("p10", "p50", "p90", "sum_best", "sum_well_p10", "aggregation_gain")])
 
 
 # ------------------------------------------------------------------ rule engines
