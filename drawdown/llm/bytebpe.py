@@ -7,6 +7,7 @@ have resynchronised and the text is stitched. Pieces between such places are enc
 from __future__ import annotations
 
 import base64
+import hashlib
 import re
 from functools import lru_cache
 
@@ -88,31 +89,53 @@ def by_words(text: str, words: Words) -> list:
 HARD = re.compile(r"\S(?= )")
 
 
-def _ids(ranks: str, pattern: str):
+def _ids(ranks: str, pattern: str, back: bool = False):
     def make():
         enc = encoding(ranks, pattern)
         words = Words(lambda t: np.array(enc.encode_ordinary(t), "<u4").tobytes())
+        decoded = decoder(ranks, pattern) if back else None
 
         def work(texts: list[str]) -> dict[str, list]:
             ids = [b"".join(by_words(t, words)) for t in texts]
-            return {"n_tokens": [len(x) // 4 for x in ids], "ids": ids}
+            out = {"n_tokens": [len(x) // 4 for x in ids], "ids": ids}
+            return out | {"decoded_sha256": [hashlib.sha256(decoded(x)).hexdigest() for x in ids]} if back else out
 
         return work
 
     return make
 
 
-def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks: str = RANKS, pattern: str = PATTERN, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """Token ids of every whole text: ``id_col``, n_tokens (long), ids (binary, little-endian unsigned 32-bit integers).
+def decoder(ranks: str, pattern: str):
+    """A function from ids (little-endian unsigned 32-bit) to the bytes they stand for, concatenated."""
+    enc = encoding(ranks, pattern)
+    tokens = [b""] * (max(enc._mergeable_ranks.values()) + 1)
+    for data, i in enc._mergeable_ranks.items():
+        tokens[i] = data
+    flat = np.frombuffer(b"".join(tokens), np.uint8)
+    size = np.array([len(x) for x in tokens], np.int32)
+    start = (np.cumsum(size) - size).astype(np.int32)
+
+    def decoded(v: bytes) -> bytes:
+        ids = np.frombuffer(v, "<u4")
+        n = size[ids]
+        end = np.cumsum(n)
+        return flat[np.repeat(start[ids] - end + n, n) + np.arange(end[-1] if len(end) else 0)].tobytes()
+
+    return decoded
+
+
+def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks: str = RANKS, pattern: str = PATTERN, chunk: int = CHUNK, overlap: int = OVERLAP, back: bool = False) -> DataFrame:
+    """Token ids of every whole text: ``id_col``, n_tokens (long), ids (binary, little-endian unsigned 32-bit integers); with ``back`` also decoded_sha256, lowercase hex of
+    what the ids decode to.
 
     One row per input row. A null or empty text has no tokens; a null id stays null; repeated rows give repeated results; an empty
     table gives an empty result; further columns of ``df`` are not looked at. The pattern must be one in which no match goes on from
     a non-space character into a space, as in all byte-level BPE patterns. Texts up to one chunk are encoded where they are read;
     pieces of longer ones are spread over the cluster and only their ids come together again, per text.
     """
-    out = schema("n_tokens bigint, ids binary")
+    out = schema("n_tokens bigint, ids binary" + (", decoded_sha256 string" if back else ""))
     texts = df.select(col(id_col).alias("id"), text_of(text_col).alias("text"))
-    short = map_texts(texts.filter(F.length("text") <= chunk), ["id"], F.col("text"), out, _ids(ranks, pattern))
+    short = map_texts(texts.filter(F.length("text") <= chunk), ["id"], F.col("text"), out, _ids(ranks, pattern, back))
 
     def make():
         compiled = regex.compile(pattern)
@@ -127,12 +150,14 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks:
     parts = map_texts(long, ["id", "digest"], F.col("text"), schema("part array<string>"), make).select("id", "digest", F.size("part").alias("n"), F.posexplode("part").alias("no", "text"))
     # the parts of one very long text go to different tasks
     parts = parts.repartition("digest", "no", "id")
-    coded = map_texts(parts, ["id", "digest", "n", "no"], F.col("text"), out, _ids(ranks, pattern))
+    coded = map_texts(parts, ["id", "digest", "n", "no"], F.col("text"), schema("n_tokens bigint, ids binary"), _ids(ranks, pattern))
     whole = (coded.groupBy("id", "digest")
              .agg(F.array_sort(F.collect_set(F.struct("no", "ids"))).alias("parts"), (F.count(F.lit(1)) / F.first("n")).cast("int").alias("copies"))
              # joined as one string, which copies every part once
              .select("id", F.unhex(F.array_join(F.transform("parts", lambda p: F.hex(p["ids"])), "")).alias("ids"), F.explode(F.sequence(F.lit(1), F.col("copies"))))
              .select("id", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), "ids"))
+    if back:
+        whole = decode(whole, "id", "ids", ranks, pattern, ("n_tokens", "ids")).select("id", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
     return short.unionByName(whole).withColumnRenamed("id", id_col)
 
 
@@ -140,32 +165,15 @@ def decode(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", ranks: s
     """The bytes of every row's ids, concatenated: ``id_col``, ``keep`` and decoded (binary). Null ids decode to no bytes."""
 
     def make():
-        enc = encoding(ranks, pattern)
-        tokens = [b""] * (max(enc._mergeable_ranks.values()) + 1)
-        for data, i in enc._mergeable_ranks.items():
-            tokens[i] = data
-        flat = np.frombuffer(b"".join(tokens), np.uint8)
-        size = np.array([len(x) for x in tokens], np.int32)
-        start = (np.cumsum(size) - size).astype(np.int32)
-
-        def work(values: list[bytes]) -> dict[str, list]:
-            out = []
-            for v in values:
-                ids = np.frombuffer(v, "<u4")
-                n = size[ids]
-                end = np.cumsum(n)
-                out.append(flat[np.repeat(start[ids] - end + n, n) + np.arange(end[-1] if len(end) else 0)].tobytes())
-            return {"decoded": out}
-
-        return work
+        decoded = decoder(ranks, pattern)
+        return lambda values: {"decoded": [decoded(v) for v in values]}
 
     return map_texts(df, [id_col, *keep], F.coalesce(col(ids_col), F.lit(b"")), schema("decoded binary"), make)
 
 
 def round_trip(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """Encode, then decode: ``id_col``, n_tokens, ids and decoded_sha256 (lowercase hex of the bytes that the ids stand for)."""
-    back = decode(encode(df, id_col, text_col, **how), id_col, keep=("n_tokens", "ids"), **{k: how[k] for k in ("ranks", "pattern") if k in how})
-    return back.select(id_col, "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+    """Encode, then decode: ``id_col``, n_tokens, ids and decoded_sha256."""
+    return encode(df, id_col, text_col, back=True, **how)
 
 
 def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:

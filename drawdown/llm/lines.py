@@ -57,11 +57,6 @@ def with_wide(lines: DataFrame) -> DataFrame:
     return lines.withColumn("wide", wide).withColumn("size", (F.octet_length("wide") / 4).cast("int"))
 
 
-def keys(lines: DataFrame, keep: list[str], made: Column) -> DataFrame:
-    """``keep`` and one row for each of the hashes ``made``, which are computed in one pass over a line."""
-    return lines.select(*keep, made.alias("made")).select(*keep, F.explode("made").alias("at"))
-
-
 def index_keys(edits: int) -> list[Column]:
     wide, size = F.col("wide"), F.col("size")
     return [piece(wide, *segment(size, edits + 1, F.lit(i)), F.lit(i), size) for i in range(edits + 1)]
@@ -168,28 +163,39 @@ def judged(df: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame:
 
 
 def near_lines(lines: DataFrame, edits: int) -> DataFrame:
-    """Links between different lines at most ``edits`` apart, by their hashes: a < b."""
-    # two lines with one 64-bit hash would both stand for it
-    distinct = with_wide(lines.select("key", "line").distinct())
-    index = keys(distinct, ["key"], F.array(*index_keys(edits))).repartition("at")
-    probe = keys(distinct, ["key"], F.array(*probe_keys(edits)))
+    """Links between different lines at most ``edits`` apart, by their hashes: a < b.
+
+    Up to the pairs, a line is its hash and the hashes of its pieces; texts are read again for the lines of pairs only.
+    """
+    own, other = index_keys(edits), probe_keys(edits)
+    names = [f"k{i}" for i in range(len(own) + len(other))]
+    # one row a line: whole numbers only, so repeats fall together where they are read
+    distinct = with_wide(lines.select("key", "line")).select("key", *[k.alias(n) for n, k in zip(names, [*own, *other])]).distinct()
+    index = distinct.select("key", F.explode(F.array(*names[:len(own)])).alias("at")).repartition("at")
+    probe = distinct.select(F.col("key").alias("other"), F.explode(F.array(*names[len(own):])).alias("at"))
     groups = index.groupBy("at").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("key"))
-    # most pieces belong to one line; the lines of the others are looked up again where they were dealt to
-    shared = stored(index.join(groups.filter("n > 1").select("at", "n"), "at"))
-    few, hot = shared.filter(F.col("n") <= HOT).select("at", "key"), shared.filter(F.col("n") > HOT).select("at", "key")
-    alone = groups.filter("n = 1").select("at", "key")
+    # most pieces belong to one line; the lines of the others are looked up where they were dealt to
+    members = index.join(groups.filter("n > 1").select("at", "n"), "at")
+    few = members.filter(F.col("n") <= HOT).select("at", "key")
     # a hot piece answers once, not for each of its lines
-    one = groups.filter(F.col("n") > HOT).select("at", F.lit(None).cast("bigint").alias("key"))
-    met = stored(probe.withColumnRenamed("key", "other").join(alone.union(few).union(one).hint("shuffle_hash"), "at").filter(F.col("key").isNull() | (F.col("key") != F.col("other"))))
-    same = few.alias("x").join(few.alias("y"), (F.col("x.at") == F.col("y.at")) & (F.col("x.key") < F.col("y.key"))).select(F.col("x.key").alias("ka"), F.col("y.key").alias("kb"))
-    across = met.filter(F.col("key").isNotNull()).select(F.least("key", "other").alias("ka"), F.greatest("key", "other").alias("kb"))
-    pairs = same.union(across)
-    if not hot.isEmpty():
-        reached = met.filter(F.col("key").isNull()).select("at", F.col("other").alias("key")).union(hot)
-        pairs = pairs.union(hot_pairs(distinct.select("key", "wide", "size"), hot, reached.distinct(), edits))
-    text = distinct.select("key", "line")
+    answers = groups.filter("n = 1").select("at", "key").union(few).union(groups.filter(F.col("n") > HOT).select("at", F.lit(None).cast("bigint")))
+    across = probe.join(answers.hint("shuffle_hash"), "at").filter(F.col("key").isNull() | (F.col("key") != F.col("other"))).select("at", "other", "key")
+    same = few.alias("x").join(few.alias("y"), (F.col("x.at") == F.col("y.at")) & (F.col("x.key") < F.col("y.key"))).select("x.at", F.col("x.key").alias("other"), F.col("y.key").alias("key"))
+    hot = members.filter(F.col("n") > HOT).select("at", F.col("key").alias("other"), F.lit(None).cast("bigint").alias("key"), F.lit(True).alias("hot"))
+    met = stored(across.union(same).withColumn("hot", F.lit(False)).union(hot))
+    pairs = met.filter(F.col("key").isNotNull()).select(F.least("key", "other").alias("ka"), F.greatest("key", "other").alias("kb"))
+    reached = met.filter(F.col("key").isNull()).select("at", F.col("other").alias("key"), "hot")
+    if not reached.isEmpty():
+        pairs = pairs.union(hot_pairs(lines, reached.filter("hot").select("at", "key"), reached.select("at", "key").distinct(), edits))
+    pairs = stored(pairs.distinct())
+    text = stored(texts_of(lines, pairs.select(F.explode(F.array("ka", "kb")).alias("key"))))
     a, b = text.select(F.col("key").alias("ka"), F.col("line").alias("a")), text.select(F.col("key").alias("kb"), F.col("line").alias("b"))
-    return within(pairs.distinct().join(a, "ka").join(b, "kb"), edits).select(F.col("ka").alias("a"), F.col("kb").alias("b"))
+    return within(pairs.join(a, "ka").join(b, "kb"), edits).select(F.col("ka").alias("a"), F.col("kb").alias("b"))
+
+
+def texts_of(lines: DataFrame, wanted: DataFrame) -> DataFrame:
+    """key and line of the wanted lines. Two lines with one 64-bit hash count as the smaller of them."""
+    return lines.select("key", "line").join(stored(wanted.distinct()), "key", "left_semi").distinct().groupBy("key").agg(F.min("line").alias("line"))
 
 
 def hot_pairs(lines: DataFrame, hot: DataFrame, reached: DataFrame, edits: int) -> DataFrame:
@@ -198,12 +204,14 @@ def hot_pairs(lines: DataFrame, hot: DataFrame, reached: DataFrame, edits: int)
     Of a line's finer segments, ``edits`` can be touched, so any ``edits + 1`` rare ones are enough to meet on; only a line with fewer uses all of them.
     """
     group = F.col("at").alias("group")
-    fine = stored(keys(hot.select("key", group).join(lines, "key"), ["key", "group"], fine_keys(edits, False)).withColumnRenamed("at", "fine"))
+    known = stored(with_wide(texts_of(lines, reached.select("key"))).drop("line"))
+    made = lambda rows, probe: rows.select("key", group).join(known, "key").select("key", "group", F.explode(fine_keys(edits, probe)).alias("fine"))
+    fine = stored(made(hot, False))
     rare = fine.groupBy("fine").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= HOT).select("fine")
     chosen = stored(fine.join(rare, "fine"))
     enough = chosen.groupBy("key", "group").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > edits).select("key", "group")
     index = chosen.join(enough, ["key", "group"], "left_semi").unionByName(fine.join(enough, ["key", "group"], "left_anti"))
-    probe = keys(reached.select("key", group).join(lines, "key"), ["key"], fine_keys(edits, True)).select(F.col("key").alias("other"), F.col("at").alias("fine"))
+    probe = made(reached, True).select(F.col("key").alias("other"), "fine")
     met = probe.join(index.select("key", "fine"), "fine").filter(F.col("key") != F.col("other"))
     return met.select(F.least("key", "other").alias("ka"), F.greatest("key", "other").alias("kb"))
 
@@ -217,7 +225,7 @@ def removals(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", edit
     """
     lines = judged(df, id_col, text_col, least if exact is None else exact)
     links = stored(near_lines(lines.filter(F.length("line") >= least), edits))
-    light = lines.select("doc", "mark", "place", "key")
+    light = stored(lines.select("doc", "mark", "place", "key"))
     firsts = light.groupBy("key").agg(F.min(F.struct("doc", "mark", "place")).alias("first"), F.count(F.lit(1)).alias("n"))
     both = links.select("a", "b").union(links.select("b", "a"))
     own, other = firsts.select(F.col("key").alias("a"), F.col("first").alias("fa")), firsts.select(F.col("key").alias("b"), F.col("first").alias("fb"))
