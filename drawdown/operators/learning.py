@@ -1,83 +1,81 @@
-"""Gradient-boosted quantiles, attributions and permutation importance on Spark ML."""
+"""Attributions and importance of fitted quantile models (:mod:`.boosting`)."""
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import factorial
 
-from pyspark.ml import PipelineModel, Pipeline
-from pyspark.ml.feature import Imputer, VectorAssembler
-from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.columns import hash_uniform
+from ..session import materialise
+from .boosting import Models, scored
+from .ranking import range_rank
 
-Z80 = 1.2815515655446004  # fixed value: 90 % quantile of the normal distribution
 
+def medians(background: DataFrame, features: Sequence[str]) -> Column:
+    """The background's median of every feature, as one struct."""
+    return background.agg(F.struct(*[F.percentile_approx(F.col(f).cast("double"), 0.5, 10000).alias(f) for f in features])).scalar()
 
-def fit_quantiles(train: DataFrame, features: Sequence[str], label: str, *, trees: int = 20, depth: int = 3, seed: int = 0,
-                  at_least: int = 25) -> tuple[PipelineModel, PipelineModel] | None:
-    """Median by boosted L1 trees, spread by a second ensemble on the absolute residual; conformal calibration follows.
 
-    Returns None with fewer than ``at_least`` labels.
-    """
-    t = train.where(F.col(label).isNotNull())
-    if t.limit(at_least).count() < at_least:
-        return None
-    prep = [Imputer(inputCols=list(features), outputCols=[f"{f}__i" for f in features], strategy="median"),
-            VectorAssembler(inputCols=[f"{f}__i" for f in features], outputCol="features")]
-    gbt = dict(featuresCol="features", lossType="absolute", maxIter=trees, maxDepth=depth, seed=seed, subsamplingRate=0.8)
-    mid = Pipeline(stages=[*prep, GBTRegressor(labelCol=label, predictionCol="p50", **gbt)]).fit(t)
-    r = mid.transform(t).select(*features, F.abs(F.col(label) - F.col("p50")).alias("_r"))
-    spread = Pipeline(stages=[*prep, GBTRegressor(labelCol="_r", predictionCol="spread", **gbt)]).fit(r)
-    return mid, spread
-
-
-def predict_quantiles(models: tuple[PipelineModel, PipelineModel], df: DataFrame, features: Sequence[str]) -> DataFrame:
-    mid, spread = models
-    drop = [f"{f}__i" for f in features] + ["features"]
-    d = spread.transform(mid.transform(df).drop(*drop)).drop(*drop)
-    s = F.greatest("spread", F.lit(0.0)) * Z80
-    q = F.array_sort(F.array(F.col("p50") - s, F.col("p50"), F.col("p50") + s))
-    return d.withColumn("_q", q).drop("p50", "spread").select("*", *[F.get("_q", i).alias(n) for i, n in enumerate(("p10", "p50", "p90"))]).drop("_q")
-
-
-def ablation_attribution(models, df: DataFrame, background: DataFrame, features: Sequence[str], *, ident: str = "entity_id", k: int = 5) -> DataFrame:
-    """Effect on the median of replacing one feature by its background median; all substitutions in one batch transform."""
-    med = background.agg(F.struct(*[F.percentile_approx(f, 0.5, 10000).alias(f) for f in features])).scalar()
-    b = df.select(ident, *features).withColumn("_m", med)
+def ablation_attribution(models: Models, target: str, df: DataFrame, background: DataFrame, features: Sequence[str], *, ident: str = "entity_id", level: float = 0.5, k: int = 5) -> DataFrame:
+    """Effect on the prediction of replacing one feature by its background median; all substitutions in one pass."""
+    b = df.select(ident, *[F.col(f).cast("double").alias(f) for f in features]).withColumn("_m", medians(background, features))
     alt = F.array(F.struct(F.lit("").alias("n"), *[F.col(f).alias(f) for f in features]), *[
-        F.struct(F.lit(g).alias("n"), *[(F.col(f"_m.{f}") if f == g else F.col(f)).cast("double").alias(f) for f in features]) for g in features])
+        F.struct(F.lit(g).alias("n"), *[(F.col(f"_m.{f}") if f == g else F.col(f)).alias(f) for f in features]) for g in features])
     x = b.withColumn("_a", F.explode(alt)).select(ident, F.col("_a.n").alias("feature"), *[F.col(f"_a.{f}").alias(f) for f in features])
-    p = models[0].transform(x).select(ident, "feature", "p50")
+    p = x.withColumn("_p", scored(models, features, target, level)).select(ident, "feature", "_p")
     w = Window.partitionBy(ident)
-    d = p.withColumn("_base", F.max(F.when(F.col("feature") == "", F.col("p50"))).over(w)).where("feature <> ''")
-    d = d.withColumn("effect", F.col("_base") - F.col("p50"))
+    d = p.withColumn("_base", F.max(F.when(F.col("feature") == "", F.col("_p"))).over(w)).where("feature <> ''")
+    d = d.withColumn("effect", F.col("_base") - F.col("_p"))
     return d.withColumn("rk", F.row_number().over(w.orderBy(F.desc(F.abs("effect")), "feature"))).where(F.col("rk") <= k).select(ident, "feature", "effect", "rk")
 
 
-def shapley_attribution(models, df: DataFrame, background: DataFrame, features: Sequence[str], *, ident: str = "entity_id", orders: int = 8,
-                        seed: int = 0) -> DataFrame:
-    """Sampled-permutation Shapley values; along one order the differences telescope, so they add up exactly."""
-    med = background.agg(F.struct(*[F.percentile_approx(f, 0.5, 10000).alias(f) for f in features])).scalar()
-    b = df.select(ident, *features).withColumn("_m", med).withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(orders - 1))))
-    keyed = F.array_sort(F.array(*[F.struct(hash_uniform(F.lit(seed), ident, "perm", F.lit(f)).alias("u"), F.lit(f).alias("f")) for f in features]))
-    b = b.withColumn("_o", F.transform(keyed, lambda s: s["f"])).withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(len(features)))))
-    x = b.select(ident, "perm", "step", F.get("_o", F.col("step") - 1).alias("feature"),
-                 *[F.when(F.array_position("_o", F.lit(f)) <= F.col("step"), F.col(f)).otherwise(F.col(f"_m.{f}")).cast("double").alias(f) for f in features])
-    p = models[0].transform(x).select(ident, "perm", "step", "feature", "p50")
-    d = p.withColumn("phi", F.col("p50") - F.lag("p50").over(Window.partitionBy(ident, "perm").orderBy("step"))).where("step > 0")
-    return d.groupBy(ident, "feature").agg(F.avg("phi").alias("phi"))
+def shapley(models: Models, target: str, df: DataFrame, background: DataFrame, features: Sequence[str], *, ident: str = "entity_id", level: float = 0.5) -> DataFrame:
+    """Exact Shapley values over the lattice of all coalitions: ``ident``, base (every feature at the background's median), prediction, and phi_<feature>.
+
+    A row is predicted for each of the 2^n subsets of features; a value is the sum of those predictions with the weights of their sizes, so base and
+    values add up to the prediction.
+    """
+    n = len(features)
+    if n > 12:
+        raise ValueError("the lattice has 2^n coalitions: at most 12 features")
+    weight = [factorial(s) * factorial(n - s - 1) / factorial(n) for s in range(n)]
+    share = [[weight[bits.bit_count() - 1] if bits >> i & 1 else -weight[bits.bit_count()] for bits in range(1 << n)] for i in range(n)]
+    b = df.select(ident, *[F.col(f).cast("double").alias(f) for f in features]).withColumn("_m", medians(background, features))
+    d = b.withColumn("_bits", F.explode(F.sequence(F.lit(0), F.lit((1 << n) - 1))))
+    d = d.select(ident, "_bits", *[F.when(F.col("_bits").bitwiseAND(F.lit(1 << i)) != 0, F.col(f)).otherwise(F.col(f"_m.{f}")).alias(f) for i, f in enumerate(features)])
+    d = d.withColumn("_p", scored(models, features, target, level))
+    of = lambda row: F.get(F.array(*map(F.lit, row)), F.col("_bits"))
+    at = lambda bits: F.max(F.when(F.col("_bits") == bits, F.col("_p")))
+    return d.groupBy(ident).agg(at(0).alias("base"), at((1 << n) - 1).alias("prediction"), *[F.sum(of(row) * F.col("_p")).alias(f"phi_{f}") for f, row in zip(features, share)])
+
+
+def waterfall(values: DataFrame, features: Sequence[str], *, ident: str = "entity_id", k: int = 3) -> DataFrame:
+    """Steps of every entity in order: the base, its ``k`` largest contributions, the sum of the rest, the prediction."""
+    parts = F.array_sort(F.array(*[F.struct((-F.abs(F.col(f"phi_{f}"))).alias("o"), F.lit(f).alias("step"), F.col(f"phi_{f}").alias("amount")) for f in features]))
+    rest = F.aggregate(F.slice("_p", k + 1, len(features)), F.lit(0.0), lambda s, x: s + x["amount"])
+    one = lambda name, amount: F.struct(F.lit(name).alias("step"), amount.alias("amount"))
+    steps = F.concat(F.array(one("base", F.col("base"))), F.transform(F.slice("_p", 1, k), lambda x: F.struct(x["step"].alias("step"), x["amount"].alias("amount"))),
+                     F.array(one("rest", rest), one("prediction", F.col("prediction"))))
+    return values.withColumn("_p", parts).select(ident, F.posexplode(steps).alias("no", "s")).select(ident, "no", "s.step", "s.amount")
 
 
-def permutation_importance(models, df: DataFrame, features: Sequence[str], label: str, *, ident: str = "entity_id", seed: int = 0) -> DataFrame:
-    """MAE increase when a feature is exchanged between hash-paired rows (a rank shift by one in a hash order of 64 bins)."""
-    base = df.where(F.col(label).isNotNull()).select(ident, label, *[F.col(f).cast("double").alias(f) for f in features])
-    out = models[0].transform(base).agg(F.avg(F.abs(F.col("p50") - F.col(label))).alias("mae")).scalar()
-    parts = None
-    for f in features:
-        u = hash_uniform(F.lit(seed), F.lit(f), ident)
-        w = Window.partitionBy(F.floor(u * 4096)).orderBy(u)
-        first = F.first(f).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-        p = models[0].transform(base.withColumn(f, F.coalesce(F.lead(f).over(w), first)))
-        r = p.agg(F.lit(f).alias("feature"), F.avg(F.abs(F.col("p50") - F.col(label))).alias("_m"))
-        parts = r if parts is None else parts.unionByName(r)
-    return parts.select("feature", (F.col("_m") - out).alias("mae_increase"))
+def permutation_importance(models: Models, target: str, df: DataFrame, features: Sequence[str], label: str, *, ident: str = "entity_id", level: float = 0.5, repeats: int = 5, seed: int = 0) -> DataFrame:
+    """feature, mae_increase (mean over ``repeats``) and sd when a feature's values are taken from other rows.
+
+    Every repeat ranks all rows by a hash of their own and takes the values of the next row, the last of the first: a permutation without
+    bins, from one ranking for all features.
+    """
+    base = df.where(F.col(label).isNotNull()).select(ident, F.col(label).alias("_y"), *[F.col(f).cast("double").alias(f) for f in features])
+    d = base.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))).withColumn("_h", hash_uniform(F.lit(seed), "rep", ident))
+    d = materialise(range_rank(d, ["rep"], ["_h", ident], "_k"))
+    n = base.agg(F.count(F.lit(1)).alias("n")).scalar()
+    other = d.select("rep", ((F.col("_k") + n - 1) % n).alias("_k"), *[F.col(f).alias(f"_o_{f}") for f in features])
+    j = d.join(other, ["rep", "_k"])
+    alt = F.array(F.struct(F.lit("").alias("n"), *[F.col(f).alias(f) for f in features]), *[
+        F.struct(F.lit(g).alias("n"), *[(F.col(f"_o_{f}") if f == g else F.col(f)).alias(f) for f in features]) for g in features])
+    x = j.withColumn("_a", F.explode(alt)).select("rep", "_y", F.col("_a.n").alias("feature"), *[F.col(f"_a.{f}").alias(f) for f in features])
+    mae = x.withColumn("_p", scored(models, features, target, level)).groupBy("rep", "feature").agg(F.avg(F.abs(F.col("_p") - F.col("_y"))).alias("mae"))
+    w = Window.partitionBy("rep")  # one row a feature
+    gain = mae.withColumn("_g", F.col("mae") - F.max(F.when(F.col("feature") == "", F.col("mae"))).over(w)).where("feature <> ''")
+    return gain.groupBy("feature").agg(F.avg("_g").alias("mae_increase"), F.stddev_pop("_g").alias("sd"))
