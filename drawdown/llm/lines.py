@@ -19,7 +19,7 @@ from .components import components
 #: exact repeats from EXACT characters on: all but empty lines.
 EDITS, LEAST, EXACT = 2, 16, 1
 #: Lines that one piece pairs at most with a probe, and how much finer the segments are beyond that.
-HOT, FINE = 64, 3
+HOT, FINE = 8, 3
 #: Steps of the search for common prefixes and suffixes; they reach twice the largest.
 STEPS = [1 << k for k in range(30, -1, -1)]
 
@@ -171,22 +171,20 @@ def near_lines(lines: DataFrame, edits: int) -> DataFrame:
     names = [f"k{i}" for i in range(len(own) + len(other))]
     # one row a line: whole numbers only, so repeats fall together where they are read
     distinct = with_wide(lines.select("key", "line")).select("key", *[k.alias(n) for n, k in zip(names, [*own, *other])]).distinct()
-    index = distinct.select("key", F.explode(F.array(*names[:len(own)])).alias("at")).repartition("at")
-    probe = distinct.select(F.col("key").alias("other"), F.explode(F.array(*names[len(own):])).alias("at"))
-    groups = index.groupBy("at").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("key"))
-    # most pieces belong to one line; the lines of the others are looked up where they were dealt to
-    members = index.join(groups.filter("n > 1").select("at", "n"), "at")
-    few = members.filter(F.col("n") <= HOT).select("at", "key")
-    # a hot piece answers once, not for each of its lines
-    answers = groups.filter("n = 1").select("at", "key").union(few).union(groups.filter(F.col("n") > HOT).select("at", F.lit(None).cast("bigint")))
-    across = probe.join(answers.hint("shuffle_hash"), "at").filter(F.col("key").isNull() | (F.col("key") != F.col("other"))).select("at", "other", "key")
-    same = few.alias("x").join(few.alias("y"), (F.col("x.at") == F.col("y.at")) & (F.col("x.key") < F.col("y.key"))).select("x.at", F.col("x.key").alias("other"), F.col("y.key").alias("key"))
-    hot = members.filter(F.col("n") > HOT).select("at", F.col("key").alias("other"), F.lit(None).cast("bigint").alias("key"), F.lit(True).alias("hot"))
-    met = stored(across.union(same).withColumn("hot", F.lit(False)).union(hot))
+    mine, theirs = (F.explode(F.array(*n)).alias("at") for n in (names[:len(own)], names[len(own):]))
+    # a piece answers once: with its line if it belongs to one, as most do, and else with the number of its lines
+    pieces = distinct.select("key", mine).groupBy("at").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("key"))
+    answers = pieces.select("at", "n", F.when(F.col("n") == 1, F.col("key")).alias("key"))
+    asked = distinct.select(F.col("key").alias("other"), mine, F.lit(True).alias("own")).union(distinct.select(F.col("key").alias("other"), theirs, F.lit(False).alias("own")))
+    met = stored(asked.join(answers.hint("shuffle_hash"), "at").filter(F.col("key").isNull() | (F.col("key") != F.col("other"))))
     pairs = met.filter(F.col("key").isNotNull()).select(F.least("key", "other").alias("ka"), F.greatest("key", "other").alias("kb"))
-    reached = met.filter(F.col("key").isNull()).select("at", F.col("other").alias("key"), "hot")
-    if not reached.isEmpty():
-        pairs = pairs.union(hot_pairs(lines, reached.filter("hot").select("at", "key"), reached.select("at", "key").distinct(), edits))
+    shared = met.filter(F.col("key").isNull()).select("at", F.col("other").alias("key"), "own", "n")
+    few = shared.filter(F.col("n") <= HOT)
+    both = few.filter("own").select("at", F.col("key").alias("x")).join(few.select("at", F.col("key").alias("y")), "at").filter("x != y")
+    pairs = pairs.union(both.select(F.least("x", "y").alias("ka"), F.greatest("x", "y").alias("kb")))
+    hot = shared.filter(F.col("n") > HOT)
+    if not hot.isEmpty():
+        pairs = pairs.union(hot_pairs(lines, hot.filter("own").select("at", "key"), hot.select("at", "key").distinct(), edits))
     pairs = stored(pairs.distinct())
     text = stored(texts_of(lines, pairs.select(F.explode(F.array("ka", "kb")).alias("key"))))
     a, b = text.select(F.col("key").alias("ka"), F.col("line").alias("a")), text.select(F.col("key").alias("kb"), F.col("line").alias("b"))
@@ -230,11 +228,11 @@ def removals(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", edit
     both = links.select("a", "b").union(links.select("b", "a"))
     own, other = firsts.select(F.col("key").alias("a"), F.col("first").alias("fa")), firsts.select(F.col("key").alias("b"), F.col("first").alias("fb"))
     linked = both.join(own, "a").join(other, "b").groupBy(F.col("a").alias("key")).agg(F.max(F.col("fb") < F.col("fa")).alias("later"), F.count(F.lit(1)).alias("links"))
-    # stored, so that the join deals both sides itself and can split a line that very many rows have
     known = stored(firsts.join(linked, "key", "left").filter((F.col("n") > 1) | F.col("links").isNotNull()))
     rooted = known.filter(F.col("links").isNotNull()).join(components(links), F.col("key") == F.col("node")).select("key", "root", "first")
     classes = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("top")), "root").select("key", "top")
-    known = known.join(classes, "key", "left").withColumn("class", F.coalesce("top", "first")["doc"]).drop("top")
+    known = stored(known.join(classes, "key", "left").withColumn("class", F.coalesce("top", "first")["doc"]).drop("top"))
+    # known is stored, so that the join deals both sides itself and can split a line that very many rows have
     found = light.join(known, "key").withColumn("again", ~F.struct("doc", "mark", "place").eqNullSafe(F.col("first")))
     gone = F.when(F.col("again"), F.lit("exact")).when(F.col("later"), F.lit("near"))
     return found.withColumn("gone", gone).groupBy("doc", "mark").agg(

@@ -67,7 +67,9 @@ def grouped(docs: DataFrame, *least: Column) -> DataFrame:
     """fp and root (one fingerprint of its component) of every fingerprint of ``docs``, with the smallest ``least`` among the documents that have it."""
     seen = stored(docs.groupBy("fp").agg(*least))
     # few bytes, but many variants each: spread over the cluster before they are made
-    label = components(links(seen.select("fp").repartition("fp")))
+    spark = docs.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    label = components(links(seen.select("fp").repartition(tasks, "fp")))
     return seen.join(label, seen.fp == label.node, "left").drop("node").withColumn("root", F.coalesce("root", "fp"))
 
 
