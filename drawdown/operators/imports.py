@@ -112,11 +112,12 @@ def plan_warnings(plan: DataFrame, actual: DataFrame, *, keys: Sequence[str], pl
     return j.where(F.abs(dev) > limit).select(*keys, F.col("_plan").alias("planned"), F.col("_actual").alias("actual"), (100 * dev).alias("deviation_pct"))
 
 
-def preview(rows: DataFrame, existing: DataFrame, keys: Sequence[str], unit: str) -> DataFrame:
+def preview(rows: DataFrame, existing: DataFrame, keys: Sequence[str], unit: str, *, ranges: Sequence[str] = ()) -> DataFrame:
+    """Rows to insert and to replace, units, and the smallest and largest value of every column in ``ranges``."""
     have = existing.select(*keys).distinct().withColumn("_have", F.lit(1))
     j = rows.join(have, list(keys), "left")
     return j.agg(F.count(F.lit(1)).alias("n_rows"), F.sum(F.col("_have").isNull().cast("long")).alias("n_insert"), F.count("_have").alias("n_replace"),
-                 F.count_distinct(unit).alias("n_units"))
+                 F.count_distinct(unit).alias("n_units"), *[f(x).alias(f"{n}_{x}") for x in ranges for n, f in (("min", F.min), ("max", F.max))])
 
 
 def commit(existing: DataFrame, rows: DataFrame, keys: Sequence[str], batch_id: str) -> tuple[DataFrame, DataFrame]:

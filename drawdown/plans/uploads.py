@@ -1,13 +1,16 @@
 """Queries: validation, preview, commit and undo of uploaded tables; anchor-set validation; unit assignment."""
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions.columns import month_label, rnd
 from ..operators import imports as M, indicators as I
-from ..session import materialise
+from ..session import materialise, shared_folder
 from ..sources.bind import monthly, table, wells
-from ..sources.tables import entities_to_units, upsert
+from ..sources import versions as V
+from ..sources.tables import entities_to_units, read_upload, upsert
 from . import sqlkit as S
 from .registry import query, with_ctes
 
@@ -34,7 +37,12 @@ ok AS (SELECT upper(unit_id) AS unit_id, ymv AS ym, CAST(replace(volume,',','')
 
 
 def _checked(spark, sf):
-    return M.validate(upload(spark, sf), RULES, ["unit_id", "ym"], references={"unit_id": table(spark, sf, "supplier").select("s_name")})
+    # the header of the file names the labels, in capitals, and has a column of no use
+    sent = upload(spark, sf).withColumnsRenamed({r.name: r.label.upper() for r in RULES}).withColumn("remark", F.lit("x"))
+    mapping, ignored, missing = M.map_headers([x for x in sent.columns if x != "line"], RULES)
+    if missing or ignored != ["remark"]:
+        raise ValueError(f"columns not found: {missing}; not used: {ignored}")
+    return M.validate(sent.withColumnsRenamed(mapping).drop(*ignored), RULES, ["unit_id", "ym"], references={"unit_id": table(spark, sf, "supplier").select("s_name")})
 
 
 @query("import_issues", sql=with_ctes(UP, select="""SELECT * FROM iss UNION ALL SELECT line, 'unit_id,ym', unit_id || ' / ' || ym, 'same key as line ' || fl FROM ok WHERE line > fl"""))
@@ -45,10 +53,10 @@ def import_issues(spark, sf):
 @query("import_preview", sql=with_ctes(UP, """
 ex AS (SELECT upper(s_name) AS unit_id, '2007-05' AS ym FROM supplier)""", """
 g AS (SELECT o.*, e.unit_id IS NOT NULL AS have FROM (SELECT * FROM ok WHERE line=fl) o LEFT JOIN ex e ON e.unit_id=o.unit_id AND e.ym=o.ym)""",
-       select="SELECT count(*) AS n_rows, count(*) FILTER (WHERE NOT have) AS n_insert, count(*) FILTER (WHERE have) AS n_replace, count(DISTINCT unit_id) AS n_units FROM g"))
+       select="SELECT count(*) AS n_rows, count(*) FILTER (WHERE NOT have) AS n_insert, count(*) FILTER (WHERE have) AS n_replace, count(DISTINCT unit_id) AS n_units, min(ym) AS min_ym, max(ym) AS max_ym, min(volume) AS min_volume, max(volume) AS max_volume, min(wells) AS min_wells, max(wells) AS max_wells FROM g"))
 def import_preview(spark, sf):
     ex = table(spark, sf, "supplier").select(F.upper("s_name").alias("unit_id"), F.lit("2007-05").alias("ym"))
-    return M.preview(_checked(spark, sf)[0], ex, ["unit_id", "ym"], "unit_id")
+    return M.preview(_checked(spark, sf)[0], ex, ["unit_id", "ym"], "unit_id", ranges=["ym", "volume", "wells"])
 
 
 @query("import_commit_undo", sql=with_ctes(UP, """
@@ -65,6 +73,60 @@ def import_commit_undo(spark, sf):
     return row("committed", state).unionByName(row("undone", back))
 
 
+@query("csv_upload", sql="""
+SELECT 'C' || c_custkey AS code, CASE WHEN c_custkey%2=0 THEN 'Customer ' || c_custkey || CASE WHEN c_custkey%3=0 THEN chr(10) || 'second, "line"' ELSE '' END END AS name, CAST(CAST(round(c_acctbal*100) AS BIGINT) AS VARCHAR) AS cents, CASE WHEN c_custkey%2=1 THEN '油井 ' || (c_custkey%7) END AS note FROM customer""")
+def csv_upload(spark, sf):
+    """All customers written as CSV files of two kinds and read back: UTF-8 with quoted line ends, and GBK with other columns in another order."""
+    k = F.col("c_custkey")
+    root = f"{shared_folder(spark).rstrip('/')}/upload-{uuid.uuid4().hex}"
+    cents = F.round(F.col("c_acctbal") * 100).cast("long").alias("cents")
+    code = F.concat(F.lit("C"), k.cast("string")).alias("code")
+    name = F.concat(F.lit("Customer "), k.cast("string"), F.when(k % 3 == 0, '\nsecond, "line"').otherwise("")).alias("name")
+    note = F.concat(F.lit("油井 "), (k % 7).cast("string")).alias("note")
+    c = table(spark, sf, "customer")
+    how = {"header": True, "quoteAll": True, "escape": '"'}
+    c.where(k % 2 == 0).select(code, name, cents).write.options(**how).csv(f"{root}/a")
+    # Spark writes no GBK; a task encodes its own file's lines, and the reader must find out
+    odd = c.where(k % 2 == 1).select(F.concat_ws(",", cents, note, code).alias("value"))
+
+    def lines(batches):
+        for batch in batches:
+            body = "cents,note,code\n" + "".join(v + "\n" for v in batch.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array([body.encode("gbk")])], names=["content"])
+
+    odd.mapInArrow(lines, "content binary").write.format("parquet").save(f"{root}/b")
+    return read_upload(spark, f"{root}/*/part-*").select("code", "name", "cents", "note")
+
+
+@query("versioned_table", sql="""
+WITH s AS (SELECT s_suppkey AS k, s_acctbal AS v FROM supplier), c AS (SELECT c_custkey AS k, c_acctbal AS v FROM customer), u AS (SELECT * FROM s WHERE k NOT IN (SELECT k FROM c) UNION ALL SELECT * FROM c),
+t AS (SELECT 1 AS number, 'first' AS version, 'committed' AS outcome, v FROM s UNION ALL SELECT 2, 'second', 'committed', v FROM u UNION ALL SELECT 3, 'third', 'committed', v FROM (SELECT * FROM u UNION ALL SELECT * FROM s) UNION ALL SELECT 4, 'second', 'committed', v FROM u
+ UNION ALL SELECT 0, 'late', 'conflict', v FROM s UNION ALL SELECT 9, 'first', 'by name', v FROM s UNION ALL SELECT 9, 'second', 'latest', v FROM u)
+SELECT number, version, outcome, count(*) AS n_rows, round(sum(v),2) AS total FROM t GROUP BY ALL""")
+def versioned_table(spark, sf):
+    """Publish, upsert, append and revert; a writer that read an older commit is refused; the latest and a named version are read."""
+    root = f"{shared_folder(spark).rstrip('/')}/versions-{uuid.uuid4().hex}"
+    s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_acctbal").alias("v"))
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v"))
+    V.publish(s, root, "first", after=0)
+    V.publish(upsert(V.read_version(spark, root), c, ["k"]), root, "second", after=1)
+    try:
+        V.publish(s, root, "late", after=1)
+        outcome = "committed"
+    except V.Conflict:
+        outcome = "conflict"
+    V.append(s, root, "third")
+    V.revert(spark, root)
+
+    def row(d, number, version, outcome):
+        return d.agg(F.lit(number).alias("number"), F.lit(version).alias("version"), F.lit(outcome).alias("outcome"), F.count(F.lit(1)).alias("n_rows"), rnd(F.sum("v"), 2).alias("total"))
+
+    out = row(s, 0, "late", outcome).unionByName(row(V.read_version(spark, root, "first"), 9, "first", "by name")).unionByName(row(V.read_version(spark, root), 9, V.commits(spark, root)[-1]["version"], "latest"))
+    for e in V.commits(spark, root):
+        out = out.unionByName(row(spark.read.parquet(f"{root}/{e['folder']}"), e["number"], e["version"], "committed"))
+    return out
+
+
 @query("plan_deviation", sql=with_ctes(S.monthly("supplier"), """
 pl AS (SELECT s_suppkey AS entity_id, 23952+s_suppkey%12 AS mi, s_acctbal/20 AS p FROM supplier WHERE s_acctbal > 0)""", select=f"""
 SELECT entity_id, {S.ym('mi')} AS ym, round(p,6) AS planned, oil AS actual, round(100*(p-oil)/oil,3) AS deviation_pct FROM pl JOIN monthly USING (entity_id, mi) WHERE oil > 0 AND abs(p-oil)/oil > .5"""))

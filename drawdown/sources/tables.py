@@ -1,42 +1,50 @@
-"""Readers and writers: CSV uploads, monthly report files, clause markdown, keyed upsert, staged overwrite, versions."""
+"""Readers and writers: CSV uploads, monthly report files, clause markdown, keyed upsert."""
 from __future__ import annotations
 
 import csv
+import io
 from collections.abc import Sequence
 
 import pandas as pd
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from ..session import materialise
+
 BBL_TO_T = 0.1364  # fixed value: barrels to tonnes
 
 
-def read_upload(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
-    """Header CSV as strings, blank rows dropped, BOM removed. Without ``encoding`` every file is decided on its own and on all its bytes: UTF-8
-    if they are valid UTF-8, else GBK. An upload is a file that a person sends, so a file is read whole by one task."""
-    if encoding is None:
-        files = spark.read.format("binaryFile").load(path).select("path", "content")
-
-        @F.pandas_udf("array<string>")
-        def lines(content: pd.Series) -> pd.Series:
-            def text(b: bytes) -> str:
-                try:
-                    return b.decode("utf-8")
-                except UnicodeDecodeError:
-                    return b.decode("gbk", errors="replace")
-            return content.map(lambda b: text(b).lstrip("\ufeff").splitlines())
-
-        rows = files.select("path", F.posexplode(lines("content")).alias("pos", "value"))
-        head = rows.where("pos = 0").orderBy("path").select("value").first()
-        if head is None:
-            raise ValueError(f"no file with a header at {path}")
-        names = next(csv.reader([head["value"]]))
-        ddl = ", ".join(f"`{n.replace('`', '``')}` string" for n in names)
-        df = rows.where("pos > 0").select(F.from_csv("value", ddl).alias("r")).select("r.*")
-    else:
-        df = spark.read.option("header", True).option("encoding", encoding).csv(path)
-        df = df.toDF(*[x.lstrip("\ufeff") for x in df.columns])
-    return df.where(F.concat_ws("", *[F.trim(F.coalesce(F.col(x), F.lit(""))) for x in df.columns]) != "")
+def _records(content: pd.Series) -> pd.Series:
+    """The records of CSV files by their own header; a file is UTF-8 if all its bytes are, else GBK. Quoted fields may hold line ends."""
+
+    def parsed(b: bytes) -> list[list[tuple[str, str]]]:
+        try:
+            text = b.decode("utf-8")
+        except UnicodeDecodeError:
+            text = b.decode("gbk", errors="replace")
+        rows = csv.reader(io.StringIO(text.removeprefix("\ufeff"), newline=""))
+        head = [h.strip() for h in next(rows, [])]
+        # a header on its own still names the columns
+        return [[(h, "") for h in dict.fromkeys(head)], *[list(dict(zip(head, r)).items()) for r in rows if any(x.strip() for x in r)]]
+
+    return content.map(parsed)
+
+
+def read_upload(spark: SparkSession, path: str) -> DataFrame:
+    """Header CSV files as strings: BOM removed, blank rows dropped, quoted line ends kept, every file read by its own encoding and its own header.
+
+    Columns come in the order of the first file (by path), then those that only others have; a row has null where its file has no such column or the
+    record is short. An upload is a file that a person sends, so a file is read whole by one task.
+    """
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    read = F.pandas_udf(_records, "array<map<string,string>>")
+    rows = files.select("path", F.posexplode(read("content")).alias("pos", "r"))
+    rows = materialise(rows)
+    heads = [r["h"] for r in rows.where("pos = 0").groupBy(F.map_keys("r").alias("h")).agg(F.min("path").alias("p")).orderBy("p").collect()]  # one row for each header in use
+    names = list(dict.fromkeys(n for h in heads for n in h))
+    if not names:
+        raise ValueError(f"no file with a header at {path}")
+    return rows.where("pos > 0").select(*[F.try_element_at("r", F.lit(n)).alias(n) for n in names])
 
 
 def read_reports(spark: SparkSession, path: str, pools: Sequence[str]) -> DataFrame:
@@ -69,41 +77,12 @@ def read_clauses(spark: SparkSession, path: str) -> DataFrame:
                     strip(F.split_part(text, F.lit(note), F.lit(1))).alias("text"), F.nullif(strip(F.split_part(text, F.lit(note), F.lit(2))), F.lit("")).alias("note"), "meta")
 
 
-def read_statute(spark: SparkSession, path: str) -> DataFrame:
-    """Paragraphs of statute XML in document order, one row per P element with its leading marker."""
-    raw = spark.read.text(path, wholetext=True)
-    p = F.regexp_extract_all("value", F.lit(r"(?s)<F?P>(.*?)</F?P>"), F.lit(1))
-    d = raw.select(F.input_file_name().alias("source"), F.posexplode(p).alias("pos", "raw"))
-    txt = F.trim(F.regexp_replace(F.regexp_replace("raw", "<[^>]+>", ""), r"\s+", " "))
-    return d.select("source", "pos", txt.alias("text"), F.nullif(F.regexp_extract(txt, r"^\(([0-9]{1,2}|[ivxlc]+|[a-z]{1,2}|[A-Z]{1,2})\)", 1), F.lit("")).alias("marker")).where("text <> ''")
-
-
 # ------------------------------------------------------------------ writers
 def upsert(existing: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
     """State after replacing the rows whose keys occur in ``new``."""
     return existing.join(new.select(*keys).distinct(), list(keys), "left_anti").unionByName(new.select(*existing.columns))
 
 
-def staged_overwrite(df: DataFrame, root: str, version: str, *, partition_by: Sequence[str] = ()) -> str:
-    """Write a complete new version next to the old ones; readers follow :func:`latest` once the pointer moves."""
-    path = f"{root.rstrip('/')}/version={version}"
-    w = df.write.mode("overwrite")
-    (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
-    df.sparkSession.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").json(f"{root.rstrip('/')}/LATEST")
-    return path
-
-
-def latest(spark: SparkSession, root: str, version: str | None = None) -> DataFrame:
-    if version is None:
-        version = spark.read.schema("version string").json(f"{root.rstrip('/')}/LATEST").first()["version"]
-    return spark.read.parquet(f"{root.rstrip('/')}/version={version}")
-
-
-def append(df: DataFrame, path: str, *, partition_by: Sequence[str] = ()) -> None:
-    w = df.write.mode("append")
-    (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
-
-
 def entities_to_units(master: DataFrame, rules: DataFrame, on: Sequence[str]) -> DataFrame:
     """Assignment by rule table; entities outside the rules stay unassigned (NULL)."""
     return master.join(rules, list(on), "left")
