@@ -6,6 +6,8 @@ circle are compared point by point.
 """
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
@@ -236,38 +238,66 @@ def fit_variogram(experimental: DataFrame, variance: DataFrame, *, steps: int =
                       F.coalesce("rng", F.col("span_x") / 3 + 1).alias("rng"))
 
 
+def solve_kriging(at: np.ndarray, value: np.ndarray, far: np.ndarray, shape: np.ndarray, drift: np.ndarray | None = None, drift0: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Estimates and standard deviations of a batch of targets, their systems solved as one stacked array.
+
+    ``at`` (targets × k × 2), ``value`` and ``far`` (distance to the target) describe the neighbours, NaN where a target has fewer; ``shape`` holds nugget, sill
+    and range. ``drift`` (targets × k × p) adds p conditions, that the weights reproduce the target's ``drift0``: the universal system. Without it
+    the weights only sum to one.
+    """
+    n, k = value.shape
+    nugget, sill, rng = (c[:, None, None] for c in shape.T)
+    held = ~np.isnan(value)
+    v, h0 = np.where(held, value, 0.0), np.where(held, far, 0.0)
+    gamma = lambda h: nugget + (sill - nugget) * (1 - np.exp(-3 * h / np.maximum(rng, 1e-6)))
+    points = np.where(held[:, :, None], at, 0.0)
+    conditions = held[:, :, None].astype(float)
+    target = np.ones((n, 1))
+    if drift is not None:
+        conditions = np.concatenate([conditions, np.where(held[:, :, None], drift, 0.0)], 2)
+        target = np.concatenate([target, drift0], 1)
+    p = conditions.shape[2]
+    system = np.zeros((n, k + p, k + p))
+    both = held[:, :, None] & held[:, None, :]
+    system[:, :k, :k] = np.where(both, gamma(np.hypot(*np.moveaxis(points[:, :, None] - points[:, None], 3, 0))), 0.0)
+    system[:, :k, k:] = conditions
+    system[:, k:, :k] = conditions.transpose(0, 2, 1)
+    system[:, np.arange(k), np.arange(k)] += np.where(held, 1e-8, 1.0)  # an absent neighbour has a row of its own and weighs nothing
+    system[:, np.arange(k, k + p), np.arange(k, k + p)] += 1e-8
+    rhs = np.concatenate([np.where(held, gamma(h0[:, :, None])[:, :, 0], 0.0), target], 1)
+    try:
+        w = np.linalg.solve(system, rhs[:, :, None])[:, :, 0]
+    except np.linalg.LinAlgError:  # one of them has no solution: the closest weights for all
+        w = np.stack([np.linalg.lstsq(a, b, rcond=None)[0] for a, b in zip(system, rhs)])
+    return (w[:, :k] * v).sum(1), np.sqrt(np.maximum((w * rhs).sum(1), 0.0))
+
+
 def ordinary_kriging(targets: DataFrame, refs: DataFrame, model: DataFrame, k: int = 12, *, ident: str = "entity_id",
                      ref_ident: str = "ref_id", x: str = "x", y: str = "y", value: str = "v", group: str = "grp",
-                     cell: float = 4.0) -> DataFrame:
-    """Estimate and standard deviation from the k nearest refs; the k×k system is solved per Arrow batch row."""
+                     cell: float = 4.0, drift: Sequence[str] = ()) -> DataFrame:
+    """Estimate and standard deviation from the k nearest refs. ``drift``: columns of targets and refs that the mean is linear in (universal kriging)."""
+    drift = list(drift)
     nb = nearest(targets, refs, k, ident=ident, ref_ident=ref_ident, group=group, x=x, y=y, cell=cell)
+    own = F.array(*[F.col(d).cast("double") for d in drift]).cast("array<double>")
+    seen = refs.select(ref_ident, group, F.array(F.col(x).cast("double"), F.col(y).cast("double"), F.col(value).cast("double"), *[F.col(d).cast("double") for d in drift]).alias("_f"))
     packed = (
-        nb.join(refs.select(ref_ident, group, F.col(x).alias("_x"), F.col(y).alias("_y"), F.col(value).alias("_v")), ref_ident)
-        .groupBy(ident, group).agg(F.array_sort(F.collect_list(F.struct("rk", "_x", "_y", "_v", "dist"))).alias("n"))
-        .join(model, group)
-        .select(ident, F.col("n._x").alias("nx"), F.col("n._y").alias("ny"), F.col("n._v").alias("nv"),
-                F.col("n.dist").alias("nd"), "nugget", "sill", "rng")
+        nb.join(seen, ref_ident).groupBy(ident, group).agg(F.array_sort(F.collect_list(F.struct("rk", "dist", "_f"))).alias("n"))  # at most k
+        .join(model, group).join(targets.select(ident, own.alias("_d0")), ident)
+        .select(ident, F.col("n.dist").alias("nd"), F.flatten("n._f").alias("nf"), "_d0", F.array("nugget", "sill", "rng").alias("shape"))
     )
+    width = 3 + len(drift)
 
-    @F.pandas_udf("est double, sd double")
-    def solve(nx: pd.Series, ny: pd.Series, nv: pd.Series, nd: pd.Series, nugget: pd.Series, sill: pd.Series,
-              rng: pd.Series) -> pd.DataFrame:
-        est, sd = [], []
-        for cx, cy, v, d, c0, c1, a in zip(nx, ny, nv, nd, nugget, sill, rng):
-            cx, cy, v, d = (np.asarray(q, float) for q in (cx, cy, v, d))
-            n = len(v)
-            gamma = lambda h: c0 + (c1 - c0) * (1 - np.exp(-3 * h / max(a, 1e-6)))
-            system = np.ones((n + 1, n + 1))
-            system[:n, :n] = gamma(np.hypot(cx[:, None] - cx[None, :], cy[:, None] - cy[None, :]))
-            system[n, n] = 0.0
-            rhs = np.append(gamma(d), 1.0)
-            try:
-                w = np.linalg.solve(system + np.eye(n + 1) * 1e-8, rhs)
-                est.append(float(w[:n] @ v))
-                sd.append(float(np.sqrt(max(w[:n] @ rhs[:n] + w[n], 0.0))))
-            except np.linalg.LinAlgError:
-                est.append(float(v.mean()))
-                sd.append(float(np.sqrt(c1)))
+    def solve(nd: pd.Series, nf: pd.Series, d0: pd.Series, shape: pd.Series) -> pd.DataFrame:
+        far, flat = np.full((len(nd), k), np.nan), np.full((len(nd), k, width), np.nan)
+        for i, (d, f) in enumerate(zip(nd, nf)):
+            far[i, :len(d)], flat[i, :len(d)] = d, np.asarray(f).reshape(-1, width)
+        est, sd = solve_kriging(flat[:, :, :2], flat[:, :, 2], far, np.stack(shape.to_list()), *((flat[:, :, 3:], np.stack(d0.to_list())) if drift else ()))
         return pd.DataFrame({"est": est, "sd": sd})
 
-    return packed.withColumn("_k", solve("nx", "ny", "nv", "nd", "nugget", "sill", "rng")).select(ident, "_k.est", "_k.sd")
+    return packed.withColumn("_k", F.pandas_udf(solve, "est double, sd double")("nd", "nf", "_d0", "shape")).select(ident, "_k.est", "_k.sd")
+
+
+def detrended(points: DataFrame, drift: str, *, group: str, value: str = "v") -> DataFrame:
+    """``points`` with the residual of each group's straight line of ``value`` on ``drift`` as ``resid``: what the variogram of a universal model is made from."""
+    line = points.groupBy(group).agg(F.coalesce(F.regr_slope(value, drift), F.lit(0.0)).alias("_b"), F.avg(value).alias("_m"), F.avg(drift).alias("_c"))
+    return points.join(line, group).withColumn("resid", F.col(value) - F.col("_m") - F.col("_b") * (F.col(drift) - F.col("_c"))).drop("_b", "_m", "_c")

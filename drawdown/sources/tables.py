@@ -17,7 +17,7 @@ BBL_TO_T = 0.1364  # fixed value: barrels to tonnes
 def _records(content: pd.Series) -> pd.Series:
     """The records of CSV files by their own header; a file is UTF-8 if all its bytes are, else GBK. Quoted fields may hold line ends."""
 
-    def parsed(b: bytes) -> list[list[tuple[str, str]]]:
+    def parsed(b: bytes) -> list[dict[str, str]]:
         try:
             text = b.decode("utf-8")
         except UnicodeDecodeError:
@@ -25,7 +25,7 @@ def _records(content: pd.Series) -> pd.Series:
         rows = csv.reader(io.StringIO(text.removeprefix("\ufeff"), newline=""))
         head = [h.strip() for h in next(rows, [])]
         # a header on its own still names the columns
-        return [[(h, "") for h in dict.fromkeys(head)], *[list(dict(zip(head, r)).items()) for r in rows if any(x.strip() for x in r)]]
+        return [dict.fromkeys(head, ""), *(dict(zip(head, r)) for r in rows if any(x.strip() for x in r))]
 
     return content.map(parsed)
 
