@@ -1,13 +1,15 @@
 """Physics-constrained decline: linear flow, boundary-dominated flow, terminal decline; diagnostics, priors, hindcast."""
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions.columns import DAYS_PER_MONTH, c
-from .ranking import exact_percentiles
-from ..session import spread
+from .ranking import exact_percentiles, others_median
+from ..session import materialise, spread
 from .stats import steep_onset
 
 # Bounds, noise and default prior of the constrained model.
@@ -205,20 +207,45 @@ def pressure_diagnostic(df: DataFrame, entity: str, *, order: str, cum: str, q:
 
 
 # ------------------------------------------------------------------ priors
+def _parameters(fits: DataFrame, group: str, min_points: int, *keep: str) -> DataFrame:
+    f = fits.where(F.col("pfit.converged") & (F.col("pfit.n") >= min_points))
+    return f.select(group, *keep, F.expr("stack(3, 'b', pfit.b_bdf, 'te', ln(greatest(pfit.t_elf, 0.05)), 'di', ln(pfit.di)) as (par, x)"))
+
+
+def _prior(per_parameter: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, n_analogs, prior) from rows (keys, par, n_analogs, m, d)."""
+    j = per_parameter.groupBy(*keys).agg(F.max("n_analogs").alias("n_analogs"), *[F.max(F.when(F.col("par") == p, F.col(v))).alias(f"{p}_{v}") for p in ("b", "te", "di") for v in ("m", "d")])
+    sd = lambda p, floor: F.greatest(1.4826 * F.col(f"{p}_d"), F.lit(floor))
+    prior = F.struct(F.col("b_m").alias("b_mean"), sd("b", 0.12).alias("b_sd"), F.exp("te_m").alias("t_elf"), sd("te", 0.5).alias("t_elf_sd"), F.col("di_m").alias("ln_di"), sd("di", 0.25).alias("ln_di_sd"))
+    return j.select(*keys, "n_analogs", prior.alias("prior"))
+
+
 def analog_prior(fits: DataFrame, group: str, *, min_n: int = 5, min_points: int = 24) -> DataFrame:
     """Median and robust spread of the fitted parameters per group as a prior struct; exact medians of any group size."""
-    f = fits.where((F.col("pfit.converged")) & (F.col("pfit.n") >= min_points)).select(
-        group, F.col("pfit.b_bdf").alias("b"), F.ln(F.greatest("pfit.t_elf", F.lit(0.05))).alias("te"), F.ln("pfit.di").alias("di"))
-    n = f.groupBy(group).agg(F.count(F.lit(1)).alias("n_analogs")).where(F.col("n_analogs") >= min_n)
-    long = f.join(n, group).select(group, "n_analogs", F.expr("stack(3, 'b', b, 'te', te, 'di', di) as (par, x)"))
+    f = _parameters(fits, group, min_points)
+    n = f.where("par = 'b'").groupBy(group).agg(F.count(F.lit(1)).alias("n_analogs")).where(F.col("n_analogs") >= min_n)
+    long = f.join(n, group)
     med = exact_percentiles(long, [group, "par"], "x", {"m": .5})
     dev = long.join(med, [group, "par"]).withColumn("_d", F.abs(F.col("x") - F.col("m")))
     mad = exact_percentiles(dev, [group, "par"], "_d", {"d": .5})
-    j = med.join(mad, [group, "par"]).groupBy(group).agg(*[F.max(F.when(F.col("par") == p, F.col(v))).alias(f"{p}_{v}") for p in ("b", "te", "di") for v in ("m", "d")])
-    def sd(p, floor):
-        return F.greatest(1.4826 * F.col(f"{p}_d"), F.lit(floor))
-    prior = F.struct(F.col("b_m").alias("b_mean"), sd("b", 0.12).alias("b_sd"), F.exp("te_m").alias("t_elf"), sd("te", 0.5).alias("t_elf_sd"), F.col("di_m").alias("ln_di"), sd("di", 0.25).alias("ln_di_sd"))
-    return j.join(n, group).select(group, "n_analogs", prior.alias("prior"))
+    return _prior(med.join(mad, [group, "par"]).join(n, group), [group])
+
+
+def analog_prior_of_others(fits: DataFrame, group: str, *, entity: str = "entity_id", min_n: int = 5, min_points: int = 24) -> DataFrame:
+    """The same for every entity from the other members of its group: ``entity``, n_analogs, prior. Entities outside the library take all of its members.
+
+    Medians without a member come from ranks (:func:`.ranking.others_median`). They take at most three values in a group, so the deviations are ranked around
+    each of these, again without the member.
+    """
+    f = materialise(_parameters(fits, group, min_points, entity))
+    n = f.where("par = 'b'").groupBy(group).agg((F.count(F.lit(1)) - 1).alias("n_analogs"))
+    m = materialise(others_median(f, [group, "par"], "x", "m").where("m IS NOT NULL"))
+    around = m.select(group, "par", "m").distinct()
+    dev = f.join(around, [group, "par"]).withColumn("_d", F.abs(F.col("x") - F.col("m")))
+    d = others_median(dev, [group, "par", "m"], "_d", "d").select(entity, group, "par", "m", "d")
+    own = _prior(m.join(d, [entity, group, "par", "m"]).join(n.where(F.col("n_analogs") >= min_n), group), [entity, group])
+    outside = fits.select(entity, group).join(f.select(entity).distinct(), entity, "left_anti").join(analog_prior(fits, group, min_n=min_n, min_points=min_points), group)
+    return own.select(entity, "n_analogs", "prior").unionByName(outside.select(entity, "n_analogs", "prior"))
 
 
 def bootstrap_physics(packed: DataFrame, entity: str, *, q_econ: float, n_boot: int = 40, seed: int = 0, cum: str | None = None, cap: str | None = None, prior: str | None = None) -> DataFrame:

@@ -151,3 +151,22 @@ def scored_rank(df: DataFrame, keys: Sequence[str], score: str, ident: str, out:
     per = per.withColumn("_off", F.coalesce(F.sum("_m").over(w), F.lit(0))).drop("_m")
     inside = F.row_number().over(Window.partitionBy(*keys, "_b").orderBy(F.desc(score), ident))
     return spread.join(per, [*keys, "_b"]).withColumn(out, F.col("_off") + inside).drop("_b", "_off")
+
+
+def others_median(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
+    """``df`` with the median of the other rows of its keys as ``out``; null for a row alone.
+
+    Without its own row, every larger rank moves down by one. So all medians of a group are read from three neighbouring ranks, and no group is
+    aggregated anew for each of its rows.
+    """
+    keys = list(keys)
+    r = materialise(range_rank(df, keys, [value], "_k"))
+    size = r.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    lo = F.floor((F.col("_n") - 2) / 2)
+    near = r.join(size, keys).withColumn("_lo", lo).where(F.col("_k").between(F.col("_lo"), F.col("_lo") + 2))
+    three = near.groupBy(*keys).agg(F.max("_n").alias("_n"), *[F.max(F.when(F.col("_k") == F.col("_lo") + i, F.col(value))).alias(f"_s{i}") for i in range(3)])
+    # the j-th of the others is the j-th of all below the row's own rank, and the next one from there on
+    low = F.when(lo < F.col("_k"), F.col("_s0")).otherwise(F.col("_s1"))
+    high = F.when(lo + 1 < F.col("_k"), F.col("_s1")).otherwise(F.col("_s2"))
+    odd = F.col("_n") % 2 == 0  # an odd number of others has one middle
+    return r.join(three, keys).withColumn(out, F.when(F.col("_n") > 1, F.when(odd, low).otherwise((low + high) / 2))).drop("_k", "_n", "_s0", "_s1", "_s2")

@@ -7,7 +7,7 @@ from ..functions.columns import days_in_month, rnd
 from ..operators import economics as E, finance as N, indicators as I, recon as R, stats as A, unit as U
 from ..session import materialise
 from ..sources.bind import account_events, account_monthly, accounts, table
-from ..sources.snapshot import fingerprint, snapshot
+from ..sources.snapshot import files_of, fingerprint, snapshot
 from . import sqlkit as S
 from .fitsql import remaining_ctes
 from .registry import query, with_ctes
@@ -19,15 +19,15 @@ ROWSETS = {"open": (OPEN, SEC25), "close": (CLOSE, CLOSE_ECON), "prices": (CLOSE
 
 
 #: Raised when the evaluation itself changes, so that stored results of older code are not taken.
-VERSION = "2"
-_digests: dict[tuple[str, str], str] = {}
+VERSION = "3"
+_digests: dict[tuple, str] = {}
 
 
 def source_digest(spark, sf) -> str:
-    """Key of the evaluation: every column of the tables behind it, the settings and decks, computed once a session and folder."""
-    known = spark.sparkContext.applicationId, sf
+    """Key of the evaluation: every column of the tables behind it, the settings and decks, computed once for the files as they are: name, size and time of each."""
+    names = ("lineitem", "orders", "customer", "supplier", "nation", "region", "part")
+    known = spark.sparkContext.applicationId, sf, *(files_of(table(spark, sf, n)) for n in names)
     if known not in _digests:
-        names = ("lineitem", "orders", "customer", "supplier", "nation", "region", "part")
         tables = [(d, d.columns) for d in (table(spark, sf, n) for n in names)]
         _digests[known] = fingerprint(tables, sf, repr(CFG), repr(ROWSETS), repr([(k, v) for k, v in vars(E).items() if k.isupper()]), VERSION)
     return _digests[known]

@@ -6,7 +6,7 @@ from pyspark.sql import Window, functions as F
 from ..functions.columns import hash_uniform, rnd
 from ..functions.curves import fit_udf, remaining_struct
 from ..operators import decline as D, hindcast as H, montecarlo as M, physics as P, rules as R
-from ..operators.stats import error_summary, icc_oneway, running_total
+from ..operators.stats import error_summary, icc_oneway, recovery_reference, running_total
 from ..session import materialise
 from ..sources.bind import calendar_rate, daily, monthly, table
 from . import sqlkit as S
@@ -65,16 +65,34 @@ def physics_bootstrap(spark, sf):
     return P.bootstrap_physics(p, "entity_id", q_econ=Q_ECON, n_boot=40).select("entity_id", *[rnd(x, 2).alias(x) for x in ("base", "p10", "p50", "p90")])
 
 
+@query("prior_of_others", sql=with_ctes(PAR, "lg AS (SELECT id, layer, b, ln(greatest(te,.05)) AS te, ln(di) AS di FROM pp)", select="""
+SELECT a.id, count(*) AS n_analogs, round(median(o.b),6) AS b_mean, round(greatest(1.4826*mad(o.b),0.12),6) AS b_sd, round(exp(median(o.te)),6) AS t_elf, round(greatest(1.4826*mad(o.te),0.5),6) AS t_elf_sd,
+ round(median(o.di),6) AS ln_di, round(greatest(1.4826*mad(o.di),0.25),6) AS ln_di_sd FROM lg a JOIN lg o ON o.layer = a.layer AND o.id <> a.id GROUP BY a.id HAVING count(*) >= 5"""))
+def prior_of_others(spark, sf):
+    """The prior of every entity from the others of its layer."""
+    p = P.analog_prior_of_others(materialise(_params(spark, sf)), "layer", entity="id")
+    return p.select("id", "n_analogs", *[rnd(f"prior.{c}", 6).alias(c) for c in P.PRIOR_COLS])
+
+
 @query("physics_review")
 def physics_review(spark, sf):
-    """Constrained against empirical remaining volume, with a volume cap from a volumetric estimate and block recovery."""
-    pts = points(spark, sf)
+    """Constrained against empirical remaining volume: the prior comes from the other mature entities of the block, and the total ends at the volumetric median times
+    the 90 % quantile of the block's recovery; with the band of 30 replicates under the same limits."""
+    block = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("entity_id"), F.concat(F.lit("b"), (F.col("s_nationkey") % 5).cast("string")).alias("block"))
     cum = monthly(spark, sf, "supplier").groupBy("entity_id").agg(F.sum("oil").alias("cum"))
-    p = D.pack(pts, "entity_id").join(cum, "entity_id").withColumn("cap", F.col("cum") * 1.5)
-    p = P.fit_physics(p.withColumn("fit", fit_udf(D.BEST)("ts", "qs")), q_econ=Q_ECON, cum="cum", cap="cap").where("fit.converged")
+    place = materialise(M.volumetric(_rock(spark, sf), 10_000, 7).select("entity_id", F.col("p50").alias("ooip")))
+    known = block.join(cum, "entity_id").join(place, "entity_id")
+    recovery = recovery_reference(known.withColumnRenamed("cum", "eur"), "block").select("block", "high_pct")
+    limits = known.join(recovery, "block").select("entity_id", "block", "cum", (F.col("ooip") * F.col("high_pct") / 100).alias("cap"))
+    p = materialise(D.pack(points(spark, sf), "entity_id").join(limits, "entity_id").withColumn("fit", fit_udf(D.BEST)("ts", "qs")).where("fit.converged"))
+    free = materialise(P.fit_physics(p, q_econ=Q_ECON).select("entity_id", "block", "pfit"))
+    prior = P.analog_prior_of_others(free, "block").select("entity_id", "prior", "n_analogs")
+    p = materialise(P.fit_physics(p.join(prior, "entity_id", "left"), q_econ=Q_ECON, cum="cum", cap="cap", prior="prior"))
     t_now = F.array_max("ts") - F.array_min("ts")
-    p = p.withColumn("a", remaining_struct(F.col("fit"), F.lit(Q_ECON), t_now)["remaining"]).withColumn("p", P.remaining_struct(F.col("pfit"), F.lit(Q_ECON), t_now)["remaining"])
-    return p.select("entity_id", "pfit.cap_binding", rnd("a", 2).alias("arps_remaining"), rnd("p", 2).alias("physics_remaining"), rnd(F.try_divide(100 * (F.col("p") - F.col("a")), F.col("a")), 2).alias("delta_pct"))
+    r = p.withColumn("a", remaining_struct(F.col("fit"), F.lit(Q_ECON), t_now)["remaining"])
+    band = P.bootstrap_physics(p, "entity_id", q_econ=Q_ECON, n_boot=30, cum="cum", cap="cap", prior="prior")
+    return r.join(band, "entity_id").select("entity_id", F.coalesce("n_analogs", F.lit(0)).alias("n_analogs"), rnd("cap", 1).alias("cap"), "pfit.cap_binding", rnd("a", 2).alias("arps_remaining"), rnd("base", 2).alias("physics_remaining"),
+                                            rnd(F.try_divide(100 * (F.col("base") - F.col("a")), F.col("cum") + F.col("a")), 2).alias("delta_pct"), *[rnd(F.col("cum") + F.col(x), 1).alias(f"eur_{x}") for x in ("p10", "p50", "p90")])
 
 
 FRP = """fl AS (SELECT *, ln(t) AS lx, ln(q) AS ly, row_number() OVER (PARTITION BY entity_id ORDER BY t) AS i, count(*) OVER (PARTITION BY entity_id) AS n FROM (SELECT entity_id, (t-min(t) OVER (PARTITION BY entity_id)+1)::DOUBLE AS t, q FROM raw) WHERE q > 0)"""

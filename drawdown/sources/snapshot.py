@@ -2,7 +2,7 @@
 from __future__ import annotations
 
 import hashlib
-import os
+import uuid
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -23,16 +23,34 @@ def fingerprint(inputs: Sequence[tuple[DataFrame, Sequence[str]]], *extra: str)
     return hashlib.sha256("|".join(parts).encode()).hexdigest()[:24]
 
 
+def files_of(df: DataFrame) -> tuple:
+    """Name, length and time of change of the files behind a table: no data is read, and a rewritten file is another one."""
+    spark = df.sparkSession
+    out = []
+    for name in sorted(df.inputFiles()):
+        at = spark._jvm.org.apache.hadoop.fs.Path(name)
+        s = at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at)
+        out.append((name, s.getLen(), s.getModificationTime()))
+    return tuple(out)
+
+
 def snapshot(spark: SparkSession, key: str, build: Callable[[], Mapping[str, DataFrame]], names: Sequence[str]) -> dict[str, DataFrame]:
     """Tables stored under ``key``; built and written only when one of them is missing. The key names the content, not the session, so another
     session with the same folder finds them."""
     root = f"{shared_folder(spark).rstrip('/')}/snapshots/{key}"
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path(root)
-    fs = fs_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    path = {n: f"{root}/{n}" for n in names}
-    done = all(fs.exists(spark._jvm.org.apache.hadoop.fs.Path(os.path.join(p, "_SUCCESS"))) for p in path.values())
-    if not done:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    fs = hadoop(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(hadoop(f"{root}/{DONE}")):
+        # written aside and named at the end: of two sessions that build one key, the later finds the place taken and drops its copy
+        aside = f"{root}-{uuid.uuid4().hex}"
         made = build()
         for n in names:
-            made[n].write.mode("overwrite").parquet(path[n])
-    return {n: spark.read.parquet(p) for n, p in path.items()}
+            made[n].write.mode("errorifexists").parquet(f"{aside}/{n}")
+        fs.create(hadoop(f"{aside}/{DONE}"), True).close()
+        if fs.exists(hadoop(root)) or not fs.rename(hadoop(aside), hadoop(root)):
+            fs.delete(hadoop(aside), True)
+    return {n: spark.read.parquet(f"{root}/{n}") for n in names}
+
+
+#: Name of the file that a finished snapshot holds.
+DONE = "_COMPLETE"

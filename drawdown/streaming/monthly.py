@@ -1,4 +1,4 @@
-"""Incremental monthly roll-up: daily files arrive, finished months leave once the watermark passes them."""
+"""Incremental roll-up: records arrive, a day leaves once the watermark passes it, and days add up to months."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.columns import month_index
 
 
-def monthly_stream(daily: DataFrame, *, entity: str = "entity_id", time: str = "ts", oil: str = "oil", water: str = "water", on: str = "hours_on",
+def daily_stream(daily: DataFrame, *, entity: str = "entity_id", time: str = "ts", oil: str = "oil", water: str = "water", on: str = "hours_on",
                    lateness: str = "35 days") -> DataFrame:
-    """Streaming form of the monthly aggregation. A month closes when no record of it can arrive any more."""
+    """One row per entity and day, with the month it belongs to. A day closes when no record of it can arrive any more; :func:`merge_days` gives the months."""
     m = F.date_trunc("month", F.col(time)).alias("month_start")
     return (daily.withWatermark(time, lateness).groupBy(F.col(entity), F.window(time, "1 day"), m)
             .agg(F.sum(oil).alias("oil"), F.sum(water).alias("water"), F.max((F.col(on) > 0).cast("int")).alias("on")))
