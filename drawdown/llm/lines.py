@@ -20,6 +20,8 @@ from .components import components
 EDITS, LEAST, EXACT = 2, 16, 1
 #: Lines that one piece pairs at most with a probe, and how much finer the segments are beyond that.
 HOT, FINE = 8, 3
+#: Frequent letters that are counted in lines of hot pieces; an edit changes at most two of the counts by one.
+COUNTED = "enatirs"
 #: Steps of the search for common prefixes and suffixes; they reach twice the largest.
 STEPS = [1 << k for k in range(30, -1, -1)]
 
@@ -84,6 +86,21 @@ def fine_keys(edits: int, probe: bool) -> Column:
     return F.transform(F.from_json(F.lit(json.dumps([{"d": d, "i": i, "o": o} for d, i, o in wanted])), "array<struct<d:int,i:int,o:int>>"), key)
 
 
+def bag(line: Column, size: Column) -> Column:
+    """The numbers of the counted letters and the length, each modulo 256, in one long."""
+    counts = [F.octet_length(line) - F.octet_length(F.replace(line, F.lit(x), F.lit(""))) for x in COUNTED]
+    return reduce(lambda x, y: x.bitwiseOR(y), [F.shiftleft(n.bitwiseAND(F.lit(255)).cast("bigint"), 8 * k) for k, n in enumerate([*counts, size])])
+
+
+def bags_within(x: Column, y: Column, edits: int) -> Column:
+    """Whether two bags can belong to lines at most ``edits`` apart: neither has more than that many characters too many."""
+    part = lambda v, k: F.shiftrightunsigned(v, 8 * k).bitwiseAND(F.lit(255))
+    apart = [(part(x, k) - part(y, k) + 128).bitwiseAND(F.lit(255)) - 128 for k in range(len(COUNTED) + 1)]
+    apart[-1] = apart[-1] - sum(apart[1:-1], apart[0])  # all other characters
+    more, less = (sum(v[1:], v[0]) for v in ([F.greatest(a, F.lit(0)) for a in apart], [F.greatest(-a, F.lit(0)) for a in apart]))
+    return (more <= edits) & (less <= edits)
+
+
 def common(a: Column, b: Column, most: Column, end: bool) -> Column:
     """Length of the common prefix, or suffix, up to ``most``, by doubling steps from large to small."""
 
@@ -193,24 +210,26 @@ def near_lines(lines: DataFrame, edits: int) -> DataFrame:
 
 def texts_of(lines: DataFrame, wanted: DataFrame) -> DataFrame:
     """key and line of the wanted lines. Two lines with one 64-bit hash count as the smaller of them."""
-    return lines.select("key", "line").join(stored(wanted.distinct()), "key", "left_semi").distinct().groupBy("key").agg(F.min("line").alias("line"))
+    return lines.select("key", "line").join(stored(wanted.distinct()), "key", "left_semi").groupBy("key").agg(F.min("line").alias("line"))
 
 
 def hot_pairs(lines: DataFrame, hot: DataFrame, reached: DataFrame, edits: int) -> DataFrame:
     """Pairs (ka, kb) of lines that meet on a hot piece and again on a finer segment there.
 
-    Of a line's finer segments, ``edits`` can be touched, so any ``edits + 1`` rare ones are enough to meet on; only a line with fewer uses all of them.
+    Of a line's finer segments, ``edits`` can be touched, so any ``edits + 1`` rare ones are enough to meet on; only a line with fewer uses all of them. There lines
+    meet that differ in a few characters of a long common text; the join makes a row only of those whose letter counts allow it.
     """
     group = F.col("at").alias("group")
-    known = stored(with_wide(texts_of(lines, reached.select("key"))).drop("line"))
-    made = lambda rows, probe: rows.select("key", group).join(known, "key").select("key", "group", F.explode(fine_keys(edits, probe)).alias("fine"))
+    known = stored(texts_of(lines, reached.select("key")))
+    known = with_wide(known).withColumn("bag", bag(F.col("line"), F.col("size")))
+    made = lambda rows, probe: rows.select("key", group).join(known, "key").select("key", "group", "bag", F.explode(fine_keys(edits, probe)).alias("fine"))
     fine = stored(made(hot, False))
     rare = fine.groupBy("fine").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= HOT).select("fine")
     chosen = stored(fine.join(rare, "fine"))
     enough = chosen.groupBy("key", "group").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > edits).select("key", "group")
     index = chosen.join(enough, ["key", "group"], "left_semi").unionByName(fine.join(enough, ["key", "group"], "left_anti"))
-    probe = made(reached, True).select(F.col("key").alias("other"), "fine")
-    met = probe.join(index.select("key", "fine"), "fine").filter(F.col("key") != F.col("other"))
+    probe = made(reached, True).select(F.col("key").alias("other"), "fine", F.col("bag").alias("theirs"))
+    met = probe.join(index.select("key", "fine", "bag"), "fine").filter((F.col("key") != F.col("other")) & bags_within(F.col("bag"), F.col("theirs"), edits))
     return met.select(F.least("key", "other").alias("ka"), F.greatest("key", "other").alias("kb"))
 
 
@@ -224,7 +243,7 @@ def removals(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", edit
     lines = judged(df, id_col, text_col, least if exact is None else exact)
     links = stored(near_lines(lines.filter(F.length("line") >= least), edits))
     light = stored(lines.select("doc", "mark", "place", "key"))
-    firsts = light.groupBy("key").agg(F.min(F.struct("doc", "mark", "place")).alias("first"), F.count(F.lit(1)).alias("n"))
+    firsts = stored(light.groupBy("key").agg(F.min(F.struct("doc", "mark", "place")).alias("first"), F.count(F.lit(1)).alias("n")))
     both = links.select("a", "b").union(links.select("b", "a"))
     own, other = firsts.select(F.col("key").alias("a"), F.col("first").alias("fa")), firsts.select(F.col("key").alias("b"), F.col("first").alias("fb"))
     linked = both.join(own, "a").join(other, "b").groupBy(F.col("a").alias("key")).agg(F.max(F.col("fb") < F.col("fa")).alias("later"), F.count(F.lit(1)).alias("links"))
