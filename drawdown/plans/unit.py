@@ -11,7 +11,7 @@ from ..operators import economics as E, stats as A, unit as U
 from ..operators.ranking import top_k
 from ..operators.spatial import radius_count
 from ..session import materialise
-from ..sources.bind import account_events, account_monthly, accounts, locations
+from ..sources.bind import account_events, account_monthly, accounts, locations, table
 from . import sqlkit as S
 from .registry import query, with_ctes
 from .unitsql import BASE, LOC, evaluation
@@ -68,6 +68,17 @@ def ev_sql(p, as_of, econ, model=None):
     return [*BASE, *evaluation(p, as_of, cfg_of(as_of), econ, RADIUS, MIN_OLD, model)]
 
 
+@query("deck_lookup", sql="""
+SELECT as_of, 'deck_' || year(as_of) || '_12' AS deck, n FROM (SELECT make_date(year(o_orderdate), 12, 31) AS as_of, count(*) AS n FROM orders GROUP BY 1)""")
+def deck_lookup(spark, sf):
+    """The price deck of every evaluation date, by exact match; a date without a deck would stop the query."""
+    dates = table(spark, sf, "orders").groupBy(F.make_date(F.year("o_orderdate"), F.lit(12), F.lit(31)).alias("as_of")).agg(F.count(F.lit(1)).alias("n"))
+    first = F.year(F.min(F.to_date("l_shipdate")))
+    years = table(spark, sf, "lineitem").agg(first.alias("a"), F.year(F.max(F.to_date("l_shipdate"))).alias("b")).select(F.explode(F.sequence(F.col("a") - 1, F.col("b") + 1)).alias("y"))
+    decks = years.select(F.make_date("y", F.lit(12), F.lit(31)).alias("as_of"), F.concat(F.lit("deck_"), F.col("y").cast("string"), F.lit("_12")).alias("deck"))
+    return E.deck_for(dates, decks).select("as_of", "deck", "n")
+
+
 @query("economic_limits", sql=with_ctes(BASE, select="SELECT unit_id, deck, scenario, round(price,4) AS price, round(net_t,4) AS net_t, round(opex_month,2) AS opex_month, round(q_econ,6) AS q_econ FROM lim"))
 def economic_limits(spark, sf):
     lim = limits(spark, accounts(spark, sf))

@@ -89,3 +89,36 @@ def test_stacked_kriging_equals_dense_solves():
     # a value that is linear in the drift is met exactly
     est, _ = P.solve_kriging(at[:3], 2 + 3 * drift[:3, :, 0], far[:3], shape[:3], drift[:3], d0[:3])
     assert np.allclose(est, 2 + 3 * d0[:3, 0], atol=1e-4)
+
+
+def test_a_date_without_its_own_deck_fails(spark):
+    from drawdown.operators.economics import deck_for
+    decks = spark.createDataFrame([("2024-12-31", "d24")], "as_of string, deck string")
+    assert deck_for(spark.createDataFrame([("2024-12-31",)], "as_of string"), decks).first().deck == "d24"
+    with pytest.raises(Exception, match="no price deck for 2025-12-31"):
+        deck_for(spark.createDataFrame([("2025-12-31",)], "as_of string"), decks).collect()
+
+
+def test_medians_of_the_others(spark):
+    from drawdown.operators import physics as H, ranking
+    rng = np.random.default_rng(6)
+    v = {"a": rng.normal(size=9).round(1), "b": rng.normal(size=10).round(1), "c": np.array([1.0, 5.0]), "d": np.array([2.0])}
+    df = spark.createDataFrame([(g, i, float(x)) for g, xs in v.items() for i, x in enumerate(xs)], "g string, i int, x double")
+    for r in ranking.others_median(df, ["g"], "x", "m").collect():
+        rest = np.delete(v[r.g], r.i)
+        assert r.m == pytest.approx(np.median(rest)) if len(rest) else r.m is None
+    n = {"p": 12, "q": 7, "s": 4}
+    rows = [(f"{g}{i}", g, (float(rng.uniform(.1, .9)), float(rng.uniform(1, 9)), float(rng.uniform(.01, .2)), i % 6 != 5, 30)) for g, k in n.items() for i in range(k)]
+    fits = spark.createDataFrame(rows, "entity_id string, g string, pfit struct<b_bdf:double,t_elf:double,di:double,converged:boolean,n:int>")
+    got = {r.entity_id: r for r in H.analog_prior_of_others(fits, "g").collect()}
+    library = {g: [(e, f[0], np.log(max(f[1], .05)), np.log(f[2])) for e, gg, f in rows if gg == g and f[3]] for g in n}
+    for e, g, f in rows:
+        rest = [x[1:] for x in library[g] if x[0] != e]
+        if len(rest) < 5:
+            assert e not in got
+            continue
+        b, te, di = np.array(rest).T
+        mad = lambda x: 1.4826 * np.median(np.abs(x - np.median(x)))
+        p = got[e].prior
+        assert got[e].n_analogs == len(rest)
+        assert [p.b_mean, p.b_sd, p.t_elf, p.t_elf_sd, p.ln_di, p.ln_di_sd] == pytest.approx([np.median(b), max(mad(b), .12), np.exp(np.median(te)), max(mad(te), .5), np.median(di), max(mad(di), .25)])
