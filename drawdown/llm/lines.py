@@ -19,8 +19,8 @@ from .components import components
 #: exact repeats from EXACT characters on: all but empty lines.
 EDITS, LEAST, EXACT = 2, 16, 1
 #: Lines that one piece pairs at most with a probe, and how much finer the segments are beyond that.
-HOT, FINE = 8, 3
-#: Frequent letters that are counted in lines of hot pieces; an edit changes at most two of the counts by one.
+HOT, FINE = 1024, 3
+#: Frequent letters that are counted in every line; an edit changes at most two of the counts by one.
 COUNTED = "enatirs"
 #: Steps of the search for common prefixes and suffixes; they reach twice the largest.
 STEPS = [1 << k for k in range(30, -1, -1)]
@@ -187,17 +187,20 @@ def near_lines(lines: DataFrame, edits: int) -> DataFrame:
     own, other = index_keys(edits), probe_keys(edits)
     names = [f"k{i}" for i in range(len(own) + len(other))]
     # one row a line: whole numbers only, so repeats fall together where they are read
-    distinct = with_wide(lines.select("key", "line")).select("key", *[k.alias(n) for n, k in zip(names, [*own, *other])]).distinct()
+    made = [bag(F.col("line"), F.col("size")).alias("bag"), *[k.alias(n) for n, k in zip(names, [*own, *other])]]
+    distinct = with_wide(lines.select("key", "line")).select("key", *made).distinct()
     mine, theirs = (F.explode(F.array(*n)).alias("at") for n in (names[:len(own)], names[len(own):]))
     # a piece answers once: with its line if it belongs to one, as most do, and else with the number of its lines
     pieces = distinct.select("key", mine).groupBy("at").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("key"))
     answers = pieces.select("at", "n", F.when(F.col("n") == 1, F.col("key")).alias("key"))
-    asked = distinct.select(F.col("key").alias("other"), mine, F.lit(True).alias("own")).union(distinct.select(F.col("key").alias("other"), theirs, F.lit(False).alias("own")))
+    asked = distinct.select(F.col("key").alias("other"), "bag", mine, F.lit(True).alias("own")).union(distinct.select(F.col("key").alias("other"), "bag", theirs, F.lit(False).alias("own")))
     met = stored(asked.join(answers.hint("shuffle_hash"), "at").filter(F.col("key").isNull() | (F.col("key") != F.col("other"))))
     pairs = met.filter(F.col("key").isNotNull()).select(F.least("key", "other").alias("ka"), F.greatest("key", "other").alias("kb"))
-    shared = met.filter(F.col("key").isNull()).select("at", F.col("other").alias("key"), "own", "n")
+    shared = met.filter(F.col("key").isNull()).select("at", F.col("other").alias("key"), "bag", "own", "n")
+    # letter counts rule out most lines that only share a piece before a pair is made of them
     few = shared.filter(F.col("n") <= HOT)
-    both = few.filter("own").select("at", F.col("key").alias("x")).join(few.select("at", F.col("key").alias("y")), "at").filter("x != y")
+    one, two = few.filter("own").select("at", F.col("key").alias("x"), F.col("bag").alias("bx")), few.select("at", F.col("key").alias("y"), F.col("bag").alias("by"))
+    both = one.join(two, "at").filter((F.col("x") != F.col("y")) & bags_within(F.col("bx"), F.col("by"), edits))
     pairs = pairs.union(both.select(F.least("x", "y").alias("ka"), F.greatest("x", "y").alias("kb")))
     hot = shared.filter(F.col("n") > HOT)
     if not hot.isEmpty():

@@ -86,7 +86,7 @@ def test_lines_of_one_template(spark, monkeypatch):
     want = {(x, y) for x in lines for y in lines if x < y and abs(len(x) - len(y)) <= 2 and edit(x, y) <= 2}
     df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string")
     of = {r.key: r.line for r in L.judged(df, "doc_id", "text", 16).collect()}
-    for hot in (64, 4):
+    for hot in (1024, 4):
         monkeypatch.setattr(L, "HOT", hot)
         got = L.near_lines(L.judged(df, "doc_id", "text", 16), 2).collect()
         assert {tuple(sorted((of[r.a], of[r.b]))) for r in got} == want and len(got) == len(want) > 20
