@@ -22,6 +22,8 @@ EDITS, LEAST, EXACT = 2, 16, 1
 HOT, FINE = 1024, 3
 #: Frequent letters that are counted in every line; an edit changes at most two of the counts by one.
 COUNTED = "enatirs"
+#: Hashes of 8 bytes that are sent to all lines at most, instead of dealing the lines.
+BROADCAST = 1_000_000
 #: Steps of the search for common prefixes and suffixes; they reach twice the largest.
 STEPS = [1 << k for k in range(30, -1, -1)]
 
@@ -199,8 +201,8 @@ def near_lines(lines: DataFrame, edits: int) -> DataFrame:
     shared = met.filter(F.col("key").isNull()).select("at", F.col("other").alias("key"), "bag", "own", "n")
     # letter counts rule out most lines that only share a piece before a pair is made of them
     few = shared.filter(F.col("n") <= HOT)
-    one, two = few.filter("own").select("at", F.col("key").alias("x"), F.col("bag").alias("bx")), few.select("at", F.col("key").alias("y"), F.col("bag").alias("by"))
-    both = one.join(two, "at").filter((F.col("x") != F.col("y")) & bags_within(F.col("bx"), F.col("by"), edits))
+    one, two = few.filter("own").select("at", F.col("key").alias("x"), F.col("bag").alias("bx")), few.select("at", F.col("key").alias("y"), F.col("bag").alias("by"), "own")
+    both = one.join(two, "at").filter(((F.col("x") < F.col("y")) | (~F.col("own") & (F.col("x") != F.col("y")))) & bags_within(F.col("bx"), F.col("by"), edits))
     pairs = pairs.union(both.select(F.least("x", "y").alias("ka"), F.greatest("x", "y").alias("kb")))
     hot = shared.filter(F.col("n") > HOT)
     if not hot.isEmpty():
@@ -212,8 +214,10 @@ def near_lines(lines: DataFrame, edits: int) -> DataFrame:
 
 
 def texts_of(lines: DataFrame, wanted: DataFrame) -> DataFrame:
-    """key and line of the wanted lines. Two lines with one 64-bit hash count as the smaller of them."""
-    return lines.select("key", "line").join(stored(wanted.distinct()), "key", "left_semi").groupBy("key").agg(F.min("line").alias("line"))
+    """key and line of the wanted lines. Two lines with one 64-bit hash count as the smaller of them. Up to BROADCAST hashes go to the lines; beyond, both are dealt by hash."""
+    wanted = stored(wanted.distinct())
+    few = wanted.count() <= BROADCAST
+    return lines.select("key", "line").join(F.broadcast(wanted) if few else wanted, "key", "left_semi").groupBy("key").agg(F.min("line").alias("line"))
 
 
 def hot_pairs(lines: DataFrame, hot: DataFrame, reached: DataFrame, edits: int) -> DataFrame:
