@@ -276,7 +276,7 @@ def old_entities(monthly: DataFrame, master: DataFrame, effects: DataFrame, curv
     pts = m.where(usable).select(entity, F.col("ptime").alias("t"), F.col("fit_rate").alias("q"))
     fits = entity_decline_fit(pts, entity, min_tail=cfg.min_fit)
     j = head.join(fits, entity, "left")
-    j = materialise(j.withColumn("now_eff", F.when(F.col("_prod") == 1, as_of - F.col("gap")).otherwise(F.col("_last_eff"))))
+    j = materialise(j.withColumn("now_eff", F.when(F.col("_prod") == 1, as_of - F.col("gap")).otherwise(F.col("_last_eff"))), plain=True)
     fitted = spread(j.where("best IS NOT NULL"), entity).join(econ.select(unit, "scenario", "q_econ", "restart_min"), unit)
     fitted = remaining_low_best(fitted, q_econ=F.col("q_econ"), now=F.col("now_eff"))
     fitted = fitted.withColumn("rate_now", rate(F.col("now_eff") - F.col("fit_start"), F.col("best")))
@@ -369,22 +369,27 @@ class Evaluation:
 
 
 def evaluate(monthly: DataFrame, master: DataFrame, events: DataFrame, new_entities: DataFrame, econ: DataFrame, as_of: int, cfg: Config, *,
-             model: DataFrame | None = None, entity: str = "entity_id", unit: str = "unit_id") -> Evaluation:
-    """All units and scenarios of one evaluation date in one plan. Components come out long: (unit, scenario, component, …)."""
+             model: DataFrame | None = None, entity: str = "entity_id", unit: str = "unit_id", store: bool = False) -> Evaluation:
+    """All units and scenarios of one evaluation date in one plan. Components come out long: (unit, scenario, component, …).
+
+    ``store`` writes the rows of old and new entities and of measures once, for callers that take several of the tables.
+    """
     start = as_of - cfg.period + 1
     info = master.select(entity, unit, "fmi")
     m = monthly.where(F.col("mi") <= as_of)
     eff = materialise(measure_effects(m, events, as_of, cfg, entity=entity).join(info, entity).withColumn(
-        "in_period", (F.col("emi") >= start) & (F.col("fmi") < start)))
+        "in_period", (F.col("emi") >= start) & (F.col("fmi") < start)), plain=True)
     curves = materialise(packed_curve(type_curve(m, master, as_of, cfg, unit=unit, entity=entity), unit=unit))
     old = old_entities(m, master, eff.where("in_period"), curves, econ, as_of, cfg, entity=entity, unit=unit)
-    fresh = new_entities.select(entity, unit, "fmi", "category", "n_old")
+    fresh = materialise(new_entities.select(entity, unit, "fmi", "category", "n_old"), plain=True)
     rows = m.join(fresh.select(entity), entity, "left_semi")
     new = new_entity_reserves(rows, fresh, curves, econ, as_of, cfg, model=model, entity=entity, unit=unit).join(
         fresh.select(entity, "category", "n_old"), entity)
     done = eff.where("in_period AND status = 'ok'").join(econ.select(unit, "scenario", "q_econ"), unit)
     done = done.withColumn("inc_remaining", increment_remaining("q_econ"))
     prod = m.where(F.col("mi") >= start).groupBy(entity).agg(F.sum("oil").alias("production")).join(info, entity, "inner")
+    if store:
+        old, new, done = (materialise(d, plain=True) for d in (old, new, done))
     a = old.groupBy(unit, "scenario").agg(
         F.lit("old_base").alias("component"), F.sum("remaining_low").alias("reserves"),
         F.sum(F.col("status").isin("ok", "short_history").cast("long")).alias("n_items"))

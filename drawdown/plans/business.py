@@ -45,7 +45,7 @@ def evaluated(spark, sf, which):
 
     def build():
         m, acc = base(spark, sf, digest)
-        ev = U.evaluate(m, acc, account_events(spark, sf), fresh(acc, as_of), labelled(limits(spark, acc), rows), as_of, cfg_of(as_of))
+        ev = U.evaluate(m, acc, account_events(spark, sf), fresh(acc, as_of), labelled(limits(spark, acc), rows), as_of, cfg_of(as_of), store=True)
         return {"old": ev.old, "new": ev.new, "done": ev.effects, "components": ev.components, "production": ev.production, "curves": ev.curves}
 
     t = snapshot(spark, f"{digest}/{which}", build, NAMES)

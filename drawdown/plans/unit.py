@@ -54,8 +54,8 @@ def fresh(acc: DataFrame, as_of: int) -> DataFrame:
 
 
 def inputs(spark, sf):
-    m = materialise(account_monthly(spark, sf))
-    return m, materialise(accounts(spark, sf, m)), account_events(spark, sf)
+    m = materialise(account_monthly(spark, sf), plain=True)
+    return m, materialise(accounts(spark, sf, m), plain=True), account_events(spark, sf)
 
 
 def run(spark, sf, as_of, econ_rows, model=None):

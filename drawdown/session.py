@@ -38,17 +38,22 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
-def materialise(df: DataFrame, partitions: int | None = None) -> DataFrame:
+#: Writer options of tables whose file size is near their size in memory. Spark judges by file size which side of a join is broadcast,
+#: and compressed files of repeated values take ten times as much and more on the driver.
+PLAIN = {"compression": "uncompressed", "parquet.enable.dictionary": "false"}
+
+
+def materialise(df: DataFrame, partitions: int | None = None, plain: bool = False) -> DataFrame:
     """Write an intermediate table to the shared folder and read it back.
 
     Used where one result feeds several branches (a monthly roll-up, one fit per entity): the branches then
     scan a small columnar table with known size instead of repeating the upstream work, and a lost executor
-    costs a re-read, not a recomputation. The files go when the application ends.
+    costs a re-read, not a recomputation. The files go when the application ends. ``plain``: see PLAIN.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     out = df if partitions is None else df.coalesce(partitions)
-    out.write.mode("errorifexists").parquet(path)
+    out.write.mode("errorifexists").options(**PLAIN if plain else {}).parquet(path)
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)

@@ -7,7 +7,7 @@ from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..session import shared_folder
+from ..session import PLAIN, shared_folder
 
 
 def fingerprint(inputs: Sequence[tuple[DataFrame, Sequence[str]]], *extra: str) -> str:
@@ -45,7 +45,7 @@ def snapshot(spark: SparkSession, key: str, build: Callable[[], Mapping[str, Dat
         aside = f"{root}-{uuid.uuid4().hex}"
         made = build()
         for n in names:
-            made[n].write.mode("errorifexists").parquet(f"{aside}/{n}")
+            made[n].write.mode("errorifexists").options(**PLAIN).parquet(f"{aside}/{n}")
         fs.create(hadoop(f"{aside}/{DONE}"), True).close()
         if fs.exists(hadoop(root)) or not fs.rename(hadoop(aside), hadoop(root)):
             fs.delete(hadoop(aside), True)

@@ -168,3 +168,33 @@ def test_similar_entities_equal_all_pairs(spark):
         want += [(i, n + 1, j) for n, (_, j) in enumerate(far[:5])]
     x = spark.createDataFrame(rows, "entity_id long, z array<double>, curve array<double>")
     assert sorted((r.entity_id, r.rk, r.ref_id) for r in similar_entities(x, x, 5).collect()) == sorted(want)
+
+
+def test_radius_count_never_broadcasts_copies_of_the_points(spark):
+    from drawdown.operators.spatial import radius_count
+    pts = spark.createDataFrame([(i, float(i), 0.0) for i in range(3)], "entity_id long, x double, y double")
+    refs = spark.range(500).select("id", (F.col("id") % 50).cast("double").alias("x"), F.lit(0.0).alias("y"))
+    near = radius_count(pts, refs, 10.0)
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "BuildLeft" not in plan
+    assert {r.entity_id: r.n_near for r in near.collect()} == {0: 110, 1: 120, 2: 130}
+    far = radius_count(pts.withColumn("y", F.lit(1e6)), refs, 10.0)
+    assert [r.n_near for r in far.collect()] == [0, 0, 0]
+
+
+def test_plain_tables_say_their_size(spark):
+    from drawdown.session import materialise
+    same = spark.range(100_000).select(F.lit("one value in all rows").alias("v"))
+    said = [int(str(materialise(same, plain=p)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) for p in (True, False)]
+    assert said[0] > 2_000_000 > 100_000 > said[1]
+
+
+def test_stored_evaluations_write_entities_once(spark):
+    """The components of a stored evaluation read the rows that were written."""
+    from drawdown.operators import unit as U
+    from drawdown.plans import unit as P
+    m, acc, ev = P.inputs(spark, "/root/testdata/sf0.001")
+    econ = P.labelled(P.limits(spark, acc), P.SEC26)
+    e = U.evaluate(m, acc, ev, P.fresh(acc, P.CLOSE), econ, P.CLOSE, P.CFG, store=True)
+    plan = e.components._jdf.queryExecution().optimizedPlan().toString()
+    assert "PythonUDF" not in plan and "ArrowEvalPython" not in plan
