@@ -161,6 +161,44 @@ def np_fit(model: str, t: np.ndarray, q: np.ndarray, half_life: float | None = H
     return (model, float(cq), di, b, d_min, a, m, float(np.sqrt(res / n)), 1.0 - res / tot, n, True)
 
 
+def np_fit_rows(model: str, t: np.ndarray, rows: np.ndarray, half_life: float | None = HALF_LIFE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(qi, first, second parameter) of series with the same times, one a row, all positive: the search of :func:`np_fit` for all rows at once."""
+    t = t - t.min()
+    w = 0.5 ** ((t.max() - t) / half_life) if half_life else np.ones(len(t))
+    w2 = (w / w.mean()) ** 2
+    weighted = w2 * rows
+    syy = (weighted * rows).sum(1)
+    first, second = axes(model)
+    d_min, every = terminal(model), np.arange(len(rows))
+
+    def best(u, v, inside):
+        """Best cell of each row; lattices (rows or one, cells)."""
+        s = np_shape(model, t[:, None], (np.exp(u) if first.log else u)[:, None, :], v[:, None, :], d_min)
+        a = np.einsum("ri,ij->rj", weighted, s[0]) if len(s) == 1 else np.einsum("ri,rij->rj", weighted, s)
+        b = np.einsum("i,rij,rij->rj", w2, s, s)
+        qi = np.clip(a / np.maximum(b, 1e-300), *QI_BOX)
+        sse = np.round((syy[:, None] - 2 * qi * a + qi * qi * b) / syy[:, None], 9)
+        k = np.where(inside, sse, np.inf).argmin(1)
+        return np.broadcast_to(u, qi.shape)[every, k], np.broadcast_to(v, qi.shape)[every, k], qi[every, k]
+
+    def lattice(us, vs):
+        shape = len(us), us.shape[1], vs.shape[1]
+        return (np.broadcast_to(x, shape).reshape(len(us), -1) for x in (us[:, :, None], vs[:, None, :]))
+
+    u, v = lattice(first.origin + first.step * np.arange(first.n)[None], second.origin + second.step * np.arange(second.n)[None])
+    cu, cv, cq = best(u, v, True)
+    su, sv = first.step, second.step
+    offsets = np.arange(-ZOOM_HALF, ZOOM_HALF + 1)
+    for _ in range(ZOOMS):
+        su, sv = su / ZOOM_HALF, sv / ZOOM_HALF
+        u, v = lattice(cu[:, None] + su * offsets, cv[:, None] + sv * offsets if second.n > 1 else cv[:, None])
+        inside = (u >= first.origin - 1e-12) & (u <= first.end + 1e-12)
+        if second.n > 1:
+            inside &= (v >= second.origin - 1e-12) & (v <= second.end + 1e-12)
+        cu, cv, cq = best(u, v, inside)
+    return cq, np.exp(cu) if first.log else cu, cv
+
+
 _NAMES = ["model", "qi", "di", "b", "d_min", "a", "m", "rmse", "r2", "n", "converged"]
 FIT_TYPE = T.StructType([T.StructField(n, T.StringType() if n == "model" else T.LongType() if n == "n" else
                                        T.BooleanType() if n == "converged" else T.DoubleType()) for n in _NAMES])

@@ -35,3 +35,23 @@ def test_physics_fit_follows_linear_flow():
     t = np.arange(0.5, 36)
     f = physics_fit(t, 30 / np.sqrt(1 + 2 * 0.2 * (t - 0.5)), 1.0, 0.0, np.nan, DEFAULT_PRIOR)
     assert f[8] and f[6] > 0.97
+
+
+def test_rows_of_one_series_fit_as_single_ones():
+    from drawdown.functions import curves as C
+    rng = np.random.default_rng(3)
+    t = np.arange(30) + 5.0
+    for model in C.MODELS:
+        rows = np.exp(rng.normal(1.9, 0.3, (6, 30))) * np.exp(-0.02 * t)
+        alone = np.array([[x[1], *(x[5:7] if model == "duong" else x[2:4])] for x in (C.np_fit(model, t, r) for r in rows)])
+        assert np.allclose(np.stack(C.np_fit_rows(model, t, rows), 1), alone, rtol=1e-9)
+
+
+def test_replicates_with_missing_points_take_the_plain_fit():
+    import pandas as pd
+    from drawdown.functions import curves as C
+    from drawdown.operators import decline as D
+    t, q = np.arange(14) * 1.0, np.r_[np.nan, 9 * np.exp(-0.05 * np.arange(13))]
+    fit = pd.DataFrame([C.np_fit("harmonic", t, q)[:7]], columns=["model", "qi", "di", "b", "d_min", "a", "m"])
+    got = D._replicates.func(*(pd.Series([x]) for x in (t, q)), fit, *(pd.Series([x]) for x in ([[0, 0, 0, 0], [2, 6, 1, 9]], 4, 3.0, 13.0)))[0]
+    assert len(got) == 2 and np.isfinite(got).all()
