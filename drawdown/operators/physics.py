@@ -52,18 +52,35 @@ def _shape(t, di, te, b, dm=D_MIN):
 
 
 def _remaining(qi, di, te, b, q_econ, t_now, step=0.5):
-    """First-crossing volume of broadcast parameter arrays (cells in axis 0)."""
-    t = np.arange(t_now, HORIZON, step)[None, :]
-    q = np.asarray(qi)[:, None] * _shape(t, np.asarray(di)[:, None], np.asarray(te)[:, None], np.asarray(b)[:, None])
-    alive = np.cumprod(q >= q_econ, axis=1).astype(bool)
+    """First-crossing volume of parameter arrays (cells in axis 0)."""
+    qi, di, te, b = (np.asarray(x, float) for x in (qi, di, te, b))
+    return _first_crossing(qi, _ahead(qi, di, te, b, q_econ, t_now, step), q_econ, step)
+
+
+def _ahead(qi, di, te, b, q_econ, t_now, step):
+    """Shapes of the cells from t_now to the horizon, zero after the stretch in which a cell falls below the limit; stretches double in length."""
+    t = np.arange(t_now, HORIZON, step)
+    out, live, lo, width = np.zeros((len(qi), len(t))), np.arange(len(qi)), 0, 32
+    while lo < len(t) and len(live):
+        block = _shape(t[None, lo:lo + width], di[live, None], te[live, None], b[live, None])
+        out[live, lo:lo + width] = block
+        live = live[(qi[live, None] * block >= q_econ).all(1)]
+        lo, width = lo + width, 2 * width
+    return out
+
+
+def _first_crossing(qi, shape, q_econ, step):
+    q = qi[:, None] * shape
+    alive = np.logical_and.accumulate(q >= q_econ, axis=1)
     return np.where(alive, q, 0.0).sum(1) * step * DAYS_PER_MONTH, alive
 
 
-def np_fit(t, q, q_econ: float, cum: float, cap, prior: dict) -> tuple:
+def np_fit(t, q, q_econ: float, cum: float, cap, prior: dict, start: dict | None = None) -> tuple:
     """(qi, di, t_elf, b_bdf, d_min, rmse, r2, n, converged, cap_binding): penalised least squares on log rates.
 
     ln qi is solved in closed form for every cell of a (di, t_elf, b) lattice that is narrowed around its best cell.
     A volume cap adds a fourth axis that lowers ln qi, because the penalty couples it to the other parameters.
+    ``start`` keeps the shapes of the first lattice for further fits at the same times.
     """
     ok = np.isfinite(t) & np.isfinite(q) & (q > 0)
     t, q = t[ok], q[ok]
@@ -77,15 +94,32 @@ def np_fit(t, q, q_econ: float, cum: float, cap, prior: dict) -> tuple:
     has_cap = cap is not None and np.isfinite(cap) and cap > 0
 
     def cost(u, v, b, s):
-        ls = np.log(np.maximum(_shape(t[:, None], np.exp(u)[None, :], np.exp(v)[None, :], b[None, :]), 1e-300))
-        lnq = np.einsum("i,ij->j", w, lq[:, None] - ls) / w.sum() + s
-        r = lnq[None, :] + ls - lq[:, None]
-        z = (np.einsum("i,ij,ij->j", w, r, r) + ((b - prior["b_mean"]) / prior["b_sd"]) ** 2 + ((v - np.log(prior["t_elf"])) / prior["t_elf_sd"]) ** 2
-             + ((u - prior["ln_di"]) / prior["ln_di_sd"]) ** 2)
-        if has_cap:
-            rem, _ = _remaining(np.exp(lnq), np.exp(u), np.exp(v), b, q_econ, t_now, 2.0)
-            z = z + (50.0 * np.maximum(0.0, (cum + rem) / cap - 1.0)) ** 2
-        return z, lnq
+        """Costs and ln qi of all cells of a lattice: s lowers ln qi only, so the shapes of (u, v, b) serve all of its values."""
+        u, v, b = (x.ravel() for x in np.meshgrid(u, v, b, indexing="ij"))
+        di, te = np.exp(u), np.exp(v)
+        at = (n, len(u)) if start is not None and ok.all() and best is None else None
+        ls = start.get(at) if at else None
+        if ls is None:
+            ls = np.log(np.maximum(_shape(t[:, None], di[None, :], te[None, :], b[None, :]), 1e-300))
+            if at:
+                start[at] = ls
+        free = np.einsum("i,ij->j", w, lq[:, None] - ls) / w.sum()
+        zs, lnqs, over = [], [], np.arange(len(u))
+        ahead = _ahead(np.exp(free + s.max()), di, te, b, q_econ, t_now, 2.0) if has_cap else None
+        for lower in s[::-1]:
+            lnq = free + lower
+            r = lnq[None, :] + ls - lq[:, None]
+            z = (np.einsum("i,ij,ij->j", w, r, r) + ((b - prior["b_mean"]) / prior["b_sd"]) ** 2 + ((v - np.log(prior["t_elf"])) / prior["t_elf_sd"]) ** 2
+                 + ((u - prior["ln_di"]) / prior["ln_di_sd"]) ** 2)
+            if has_cap and len(over):  # a cell under the cap stays under it at lower rates
+                rem, _ = _first_crossing(np.exp(lnq[over]), ahead[over], q_econ, 2.0)
+                beyond = np.maximum(0.0, (cum + rem) / cap - 1.0)
+                z[over] += (50.0 * beyond) ** 2
+                over = over[~(beyond <= 0)]
+            zs.append(z)
+            lnqs.append(lnq)
+        zs, lnqs = zs[::-1], lnqs[::-1]
+        return np.stack(zs, 1).ravel(), np.stack(lnqs, 1).ravel()
 
     def axis(mid, half, k, box):
         a = mid + half * np.linspace(-1, 1, k)
@@ -96,10 +130,10 @@ def np_fit(t, q, q_econ: float, cum: float, cap, prior: dict) -> tuple:
     best = None
     for r in range(6):
         k = (15, 11, 6) if r == 0 else (7, 7, 5)
-        g = np.meshgrid(axis(mid[0], half[0], k[0], LN_DI), axis(mid[1], half[1], k[1], LN_TELF), axis(mid[2], half[2], k[2], (B_MIN, B_MAX)),
-                        axis(mid[3], half[3], 6, (-1.0, 0.0)) if has_cap else np.array([0.0]), indexing="ij")
-        u, v, b, s = (x.ravel() for x in g)
-        z, lnq = cost(u, v, b, s)
+        sides = (axis(mid[0], half[0], k[0], LN_DI), axis(mid[1], half[1], k[1], LN_TELF), axis(mid[2], half[2], k[2], (B_MIN, B_MAX)),
+                 axis(mid[3], half[3], 6, (-1.0, 0.0)) if has_cap else np.array([0.0]))
+        u, v, b, s = (x.ravel() for x in np.meshgrid(*sides, indexing="ij"))
+        z, lnq = cost(*sides)
         i = int(np.argmin(np.round(z, 9)))
         if best is None or z[i] <= best[0]:
             best = (z[i], u[i], v[i], b[i], s[i], lnq[i])
@@ -146,12 +180,16 @@ _REM = T.StructType([T.StructField("remaining", T.DoubleType()), T.StructField("
 
 @F.pandas_udf(_REM)
 def _rem(qi: pd.Series, di: pd.Series, te: pd.Series, b: pd.Series, q_econ: pd.Series, t_now: pd.Series) -> pd.DataFrame:
-    rows = []
-    for a, d, e, k, q, t in zip(qi, di, te, b, q_econ, t_now):
-        v, alive = _remaining([a], [d], [e], [k], q, t)
-        n = int(alive[0].sum())
-        rows.append((float(v[0]), float(t + 0.5 * (n - 1)) if n else float(t), bool(alive[0, -1]) if alive.shape[1] else False))
-    return pd.DataFrame(rows, columns=["remaining", "t_econ", "capped"])
+    p = np.stack([x.to_numpy(float) for x in (qi, di, te, b, q_econ, t_now)])
+    volume, end, capped = np.zeros(len(qi)), p[5].copy(), np.zeros(len(qi), bool)
+    for limit, start in np.unique(p[4:], axis=1).T:  # rows of one limit and time share their steps
+        same = np.flatnonzero((p[4] == limit) & (p[5] == start))
+        for k in (same[i:i + 256] for i in range(0, len(same), 256)):
+            volume[k], alive = _remaining(*p[:4, k], limit, start)
+            n = alive.sum(1)
+            end[k] = np.where(n > 0, start + 0.5 * (n - 1), start)
+            capped[k] = alive[:, -1] if alive.shape[1] else False
+    return pd.DataFrame({"remaining": volume, "t_econ": end, "capped": capped})
 
 
 _rem = _rem.asNondeterministic()
@@ -265,7 +303,8 @@ def bootstrap_physics(packed: DataFrame, entity: str, *, q_econ: float, n_boot:
             curve = np.maximum(f.qi * _shape(t, f.di, f.t_elf, f.b_bdf), 1e-9)
             drawn = curve * np.exp(resampled(np.log(q / curve), draws.iloc[i], int(block.iloc[i])))
             known = {k: float(pr.iloc[i][k]) if np.isfinite(pr.iloc[i][k]) else default[k] for k in PRIOR_COLS}
-            fits = np.array([np_fit(t, row, q_econ, float(cut.cum), float(cut.cap), known)[:4] for row in drawn], float)
+            start: dict = {}
+            fits = np.array([np_fit(t, row, q_econ, float(cut.cum), float(cut.cap), known, start)[:4] for row in drawn], float)
             out.append(_remaining(*fits.T, q_econ, float(t.max()))[0].tolist())
         return pd.Series(out)
 

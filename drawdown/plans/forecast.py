@@ -7,7 +7,7 @@ from ..functions.columns import hash_uniform, rnd
 from ..functions.curves import fit_udf, remaining_struct
 from ..operators import decline as D, hindcast as H, montecarlo as M, physics as P, rules as R
 from ..operators.stats import error_summary, icc_oneway, recovery_reference, running_total
-from ..session import materialise
+from ..session import materialise, spread
 from ..sources.bind import calendar_rate, daily, monthly, table
 from . import sqlkit as S
 from .decline import PTS, Q_ECON, RAW, points
@@ -84,10 +84,11 @@ def physics_review(spark, sf):
     known = block.join(cum, "entity_id").join(place, "entity_id")
     recovery = recovery_reference(known.withColumnRenamed("cum", "eur"), "block").select("block", "high_pct")
     limits = known.join(recovery, "block").select("entity_id", "block", "cum", (F.col("ooip") * F.col("high_pct") / 100).alias("cap"))
-    p = materialise(D.pack(points(spark, sf), "entity_id").join(limits, "entity_id").withColumn("fit", fit_udf(D.BEST)("ts", "qs")).where("fit.converged"))
-    free = materialise(P.fit_physics(p, q_econ=Q_ECON).select("entity_id", "block", "pfit"))
+    # few bytes, long fits: every step deals the series over all tasks
+    p = materialise(spread(D.pack(points(spark, sf), "entity_id").join(limits, "entity_id"), "entity_id").withColumn("fit", fit_udf(D.BEST)("ts", "qs")).where("fit.converged"))
+    free = materialise(P.fit_physics(spread(p, "entity_id"), q_econ=Q_ECON).select("entity_id", "block", "pfit"))
     prior = P.analog_prior_of_others(free, "block").select("entity_id", "prior", "n_analogs")
-    p = materialise(P.fit_physics(p.join(prior, "entity_id", "left"), q_econ=Q_ECON, cum="cum", cap="cap", prior="prior"))
+    p = materialise(P.fit_physics(spread(p.join(prior, "entity_id", "left"), "entity_id"), q_econ=Q_ECON, cum="cum", cap="cap", prior="prior"))
     t_now = F.array_max("ts") - F.array_min("ts")
     r = p.withColumn("a", remaining_struct(F.col("fit"), F.lit(Q_ECON), t_now)["remaining"])
     band = P.bootstrap_physics(p, "entity_id", q_econ=Q_ECON, n_boot=30, cum="cum", cap="cap", prior="prior")

@@ -55,3 +55,18 @@ def test_replicates_with_missing_points_take_the_plain_fit():
     fit = pd.DataFrame([C.np_fit("harmonic", t, q)[:7]], columns=["model", "qi", "di", "b", "d_min", "a", "m"])
     got = D._replicates.func(*(pd.Series([x]) for x in (t, q)), fit, *(pd.Series([x]) for x in ([[0, 0, 0, 0], [2, 6, 1, 9]], 4, 3.0, 13.0)))[0]
     assert len(got) == 2 and np.isfinite(got).all()
+
+
+def test_shapes_end_where_cells_cross_and_rows_share_their_steps(monkeypatch):
+    import pandas as pd
+    from drawdown.operators import physics as P
+    rng = np.random.default_rng(4)
+    p = [rng.uniform(1, 90, 300), rng.uniform(0.005, 0.3, 300), rng.uniform(0, 12, 300), rng.uniform(0.05, 1, 300)]
+    q = p[0][:, None] * P._shape(np.arange(10.0, P.HORIZON, 0.5)[None, :], *(x[:, None] for x in p[1:]))
+    alive = np.cumprod(q >= 20.0, axis=1).astype(bool)
+    calls, plain = [], P._shape
+    monkeypatch.setattr(P, "_shape", lambda t, *a: calls.append(np.broadcast(t, *a).size) or plain(t, *a))
+    r = P._rem.func(*(pd.Series(x) for x in p), pd.Series([20.0] * 300), pd.Series([10.0] * 300))
+    assert np.array_equal(r.remaining, np.where(alive, q, 0.0).sum(1) * 0.5 * P.DAYS_PER_MONTH)
+    assert np.array_equal(r.t_econ, np.where(alive.any(1), 10 + 0.5 * (alive.sum(1) - 1), 10.0)) and not r.capped.any()
+    assert len(calls) < 20 and sum(calls) < q.size / 2
