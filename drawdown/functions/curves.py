@@ -199,6 +199,109 @@ def np_fit_rows(model: str, t: np.ndarray, rows: np.ndarray, half_life: float |
     return cq, np.exp(cu) if first.log else cu, cv
 
 
+#: Series that are fitted side by side: enough to spread the cost of a numpy call, few enough for their lattices to stay in the cache.
+FIT_ROWS = 48
+
+
+def _shape_of(model: str, t: np.ndarray, p: np.ndarray, s: np.ndarray, d_min) -> np.ndarray:
+    """:func:`np_shape` for parameters that do not vary along the times: what depends on the parameters alone is computed once."""
+    if model == "duong":
+        return np_shape(model, t, p, s, d_min)
+    if model == "exponential":
+        return np.exp(-p * t)
+    with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
+        flat = s <= B_FLOOR
+        b = np.where(flat, 1.0, s)
+        out = 1.0 + b * p * t
+        np.power(out, -1.0 / b, out=out)
+        if flat.any():
+            out = np.where(flat, np.exp(-p * t), out)
+        if np.any(d_min > 0):
+            t_sw = np.where(d_min > 0, (p / np.where(d_min > 0, d_min, 1.0) - 1.0) / (b * p), 0.0)
+            late = (~flat) & (t_sw > 0) & (t > t_sw)
+            if late.any():
+                start = (1.0 + b * p * np.maximum(t_sw, 0)) ** (-1.0 / b)
+                out = np.where(late, start * np.exp(-d_min * (t - t_sw)), out)
+    return out
+
+
+def np_fit_many(model: str, series: list[tuple[np.ndarray, np.ndarray]], half_life: float | None = HALF_LIFE) -> list[tuple]:
+    """The rows of :func:`np_fit` for many series (t, q): FIT_ROWS of about the same length are padded to one matrix and searched together."""
+    out: list = [None] * len(series)
+    rows = []
+    for i, (t, q) in enumerate(series):
+        ok = np.isfinite(t) & np.isfinite(q) & (q > 0)
+        if ok.sum() < MIN_POINTS:
+            out[i] = np_fit(model, t, q, half_life)
+        else:
+            rows.append((i, t[ok] - t[ok].min(), q[ok]))
+    rows.sort(key=lambda r: len(r[1]))
+    for lo in range(0, len(rows), FIT_ROWS):
+        part = rows[lo:lo + FIT_ROWS]
+        for (i, *_), fit in zip(part, _fit_padded(model, [r[1] for r in part], [r[2] for r in part], half_life)):
+            out[i] = fit
+    return out
+
+
+def _fit_padded(model: str, times: list[np.ndarray], rates: list[np.ndarray], half_life: float | None) -> list[tuple]:
+    size = np.array([len(x) for x in times])
+    own = np.arange(size.max()) < size[:, None]
+    t, q = np.zeros(own.shape), np.zeros(own.shape)
+    t[own], q[own] = np.concatenate(times), np.concatenate(rates)
+    t = np.where(own, t, t.max(1, keepdims=True))  # padding weighs nothing, so its shapes have to be finite
+    w = np.where(own, 0.5 ** ((t.max(1, keepdims=True) - t) / half_life) if half_life else 1.0, 0.0)
+    w2 = (w / (w.sum(1) / size)[:, None]) ** 2
+    weighted = w2 * q
+    syy = (weighted * q).sum(1)
+    first, second = axes(model)
+    d_min, every = terminal(model), np.arange(len(size))
+
+    def best(u, v, inside, a, b):
+        """Best cell of each row, from the weighted sums of rate times shape and of squared shapes."""
+        qi = np.clip(a / np.maximum(b, 1e-300), *QI_BOX)
+        sse = np.round((syy[:, None] - 2 * qi * a + qi * qi * b) / syy[:, None], 9)
+        k = np.where(inside, sse, np.inf).argmin(1)
+        return np.broadcast_to(u, qi.shape)[every, k], np.broadcast_to(v, qi.shape)[every, k], qi[every, k]
+
+    def lattice(us, vs):
+        shape = len(us), us.shape[1], vs.shape[1]
+        return (np.broadcast_to(x, shape).reshape(len(us), -1) for x in (us[:, :, None], vs[:, None, :]))
+
+    def sums(u, v):
+        s = _shape_of(model, t[:, :, None], (np.exp(u) if first.log else u)[:, None, :], v[:, None, :], d_min)
+        return np.einsum("ri,rij->rj", weighted, s), np.einsum("rij,rij->rj", w2[:, :, None] * s, s)
+
+    u, v = lattice(first.origin + first.step * np.arange(first.n)[None], second.origin + second.step * np.arange(second.n)[None])
+    seen, at = np.unique(t[own], return_inverse=True)
+    if model != "duong" and len(seen) <= 2 * own.shape[1]:  # months: the first lattice is the same for all rows, so its shapes are made once for every time that occurs
+        place = np.nonzero(own)[0], at.reshape(-1)
+        wide, wide_q = np.zeros((len(size), len(seen))), np.zeros((len(size), len(seen)))
+        np.add.at(wide, place, w2[own])
+        np.add.at(wide_q, place, weighted[own])
+        s = _shape_of(model, seen[:, None], (np.exp(u) if first.log else u), v, d_min)
+        cu, cv, cq = best(u, v, True, np.einsum("ri,ij->rj", wide_q, s), np.einsum("ri,ij->rj", wide, s * s))
+    else:
+        cu, cv, cq = best(u, v, True, *sums(np.broadcast_to(u, (len(size), u.shape[1])), np.broadcast_to(v, (len(size), v.shape[1]))))
+    su, sv = first.step, second.step
+    offsets = np.arange(-ZOOM_HALF, ZOOM_HALF + 1)
+    for _ in range(ZOOMS):
+        su, sv = su / ZOOM_HALF, sv / ZOOM_HALF
+        u, v = lattice(cu[:, None] + su * offsets, cv[:, None] + sv * offsets if second.n > 1 else cv[:, None])
+        inside = (u >= first.origin - 1e-12) & (u <= first.end + 1e-12)
+        if second.n > 1:
+            inside &= (v >= second.origin - 1e-12) & (v <= second.end + 1e-12)
+        cu, cv, cq = best(u, v, inside, *sums(u, v))
+    p = np.exp(cu) if first.log else cu
+    pred = cq[:, None] * np_shape(model, t, p[:, None], cv[:, None], d_min)
+    res = np.where(own, (pred - q) ** 2, 0.0).sum(1)
+    tot = np.where(own, (q - (q.sum(1) / size)[:, None]) ** 2, 0.0).sum(1)
+    tot[tot == 0] = 1.0
+    rmse, r2 = np.sqrt(res / size), 1.0 - res / tot
+    nil = np.zeros(len(size))
+    di, b, a, m = (nil, nil, p, cv) if model == "duong" else (p, cv, nil, nil)
+    return [(model, *row, True) for row in zip(*(x.tolist() for x in (cq, di, b, np.full(len(size), d_min), a, m, rmse, r2, size)))]
+
+
 _NAMES = ["model", "qi", "di", "b", "d_min", "a", "m", "rmse", "r2", "n", "converged"]
 FIT_TYPE = T.StructType([T.StructField(n, T.StringType() if n == "model" else T.LongType() if n == "n" else
                                        T.BooleanType() if n == "converged" else T.DoubleType()) for n in _NAMES])
@@ -212,13 +315,11 @@ def fit_udf(candidates: tuple[str, ...], half_life: float | None = HALF_LIFE):
 
     @F.pandas_udf(FIT_TYPE)
     def run(t: pd.Series, q: pd.Series) -> pd.DataFrame:
+        series = [tuple(np.asarray(x if x is not None else [], float) for x in pair) for pair in zip(t, q)]
         rows = []
-        for ts, qs in zip(t, q):
-            ts = np.asarray(ts if ts is not None else [], float)
-            qs = np.asarray(qs if qs is not None else [], float)
+        for (ts, qs), *found in zip(series, *(np_fit_many(m, series, half_life) for m in candidates)):
             best = None
-            for m in candidates:
-                f = np_fit(m, ts, qs, half_life)
+            for f in found:
                 if f[-1] and (best is None or round(f[7], 6) < round(best[7], 6)):
                     best = f
             rows.append(best if best is not None else np_fit("exponential", ts, qs, half_life))
@@ -239,12 +340,15 @@ def volumes(model: pd.Series, qi: pd.Series, di: pd.Series, b: pd.Series, d_min:
     total, rem, last, cap = (np.full(size, np.nan) for _ in range(4))
     cols = [x.to_numpy(float) for x in (qi, di, b, d_min, a, m, q_econ, t_start)]
     names = model.to_numpy()
-    for lo in range(0, size, 512):
-        k = slice(lo, min(lo + 512, size))
+    for lo in range(0, size, 64):
+        k = slice(lo, min(lo + 64, size))
         q0, d, bb, dm, aa, mm, qe, ts = (x[k, None] for x in cols)
         duong = (names[k] == "duong")[:, None]
         with np.errstate(all="ignore"):
-            arps = np_shape("arps", t[None, :], np.nan_to_num(d), np.nan_to_num(bb), np.nan_to_num(dm))
+            arps = np.empty((len(d), len(t)))
+            flat = np.nan_to_num(bb)[:, 0] <= B_FLOOR
+            arps[flat] = np.exp(-np.nan_to_num(d[flat]) * t)
+            arps[~flat] = _shape_of("arps", t[None, :], np.nan_to_num(d[~flat]), np.nan_to_num(bb[~flat]), np.nan_to_num(dm[~flat]))
             q = q0 * (np.where(duong, np_shape("duong", t[None, :], aa, mm, 0.0), arps) if duong.any() else arps)
             ok = q >= qe
         total[k] = np.where(ok, q, 0.0).sum(1) * STEP * DAYS_PER_MONTH

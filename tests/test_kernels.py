@@ -70,3 +70,18 @@ def test_shapes_end_where_cells_cross_and_rows_share_their_steps(monkeypatch):
     assert np.array_equal(r.remaining, np.where(alive, q, 0.0).sum(1) * 0.5 * P.DAYS_PER_MONTH)
     assert np.array_equal(r.t_econ, np.where(alive.any(1), 10 + 0.5 * (alive.sum(1) - 1), 10.0)) and not r.capped.any()
     assert len(calls) < 20 and sum(calls) < q.size / 2
+
+
+def test_series_fitted_side_by_side_equal_those_fitted_alone():
+    from drawdown.functions import curves as C
+    r = np.random.default_rng(5)
+    series = []
+    for n in (0, 3, 6, 7, 20, 45, 60) * 8:
+        t = np.sort(r.choice(84, n, replace=False)).astype(float)
+        series.append((t, 40 * np.exp(-r.uniform(0, 0.2) * t) * r.lognormal(0, 0.5, n)))
+    series += [(np.arange(9.0), np.full(9, 7.0)), (np.arange(9.0), np.array([np.nan, 9, 8, 0, 7, 6, 5, 4, 3])), (np.sort(r.uniform(0, 90, 30)), r.lognormal(2, 1, 30))]
+    for model in C.MODELS:
+        for fit, (t, q) in zip(C.np_fit_many(model, series), series):
+            alone = C.np_fit(model, t, q)
+            assert [fit[i] for i in (0, 9, 10)] == [alone[i] for i in (0, 9, 10)]
+            assert np.allclose(np.array(fit[1:9], float), np.array(alone[1:9], float), rtol=1e-9, atol=1e-9, equal_nan=True)
