@@ -24,11 +24,11 @@ def category_moves(open_old: DataFrame, open_new: DataFrame, close_old: DataFram
     live = ("ok", "short_history")
     prod = production.select(entity, "production")
     was_idle = open_old.where("status = 'not_producing'").select(entity)
-    back = (close_old.where(F.col("status").isin(*live)).join(was_idle, entity, "left_semi").join(prod, entity, "left")
+    back = (close_old.where(F.col("status").isin(*live)).join(was_idle.hint("merge"), entity, "left_semi").join(prod.hint("merge"), entity, "left")
             .select(entity, unit, F.lit("reactivated").alias("change"), (F.col("remaining_low") + F.coalesce("production", F.lit(0.0))).alias("value")))
     was_on = open_old.where(F.col("status").isin(*live)).select(entity, F.col("remaining_low").alias("_v")).unionByName(
         open_new.select(entity, F.coalesce("reserves", F.lit(0.0)).alias("_v")))
-    shut = (close_old.where("status = 'not_producing'").select(entity, unit).join(was_on.where("_v > 0"), entity).join(prod, entity, "left")
+    shut = (close_old.where("status = 'not_producing'").select(entity, unit).join(was_on.where("_v > 0").hint("merge"), entity).join(prod.hint("merge"), entity, "left")
             .select(entity, unit, F.lit("shut_in").alias("change"), (F.coalesce("production", F.lit(0.0)) - F.col("_v")).alias("value")))
     return back.unionByName(shut)
 
@@ -39,7 +39,7 @@ def reconcile(opening: DataFrame, closing: DataFrame, at_opening_price: DataFram
 
     ``opening`` / ``closing`` / ``at_opening_price``: component rows; ``done``: evaluated in-period measures.
     """
-    nw = new.join(production.select(entity, "production"), entity, "left")
+    nw = new.join(production.select(entity, "production").hint("merge"), entity, "left")  # entities grow with the input: not by way of the driver
     val = F.coalesce("reserves", F.lit(0.0)) + F.coalesce("production", F.lit(0.0))
     parts = [
         _sum_by(opening, unit, F.col("reserves"), "opening"), _sum_by(closing, unit, F.col("reserves"), "closing"),

@@ -1,13 +1,16 @@
 """Evaluation of units: type curves, new / old / measure components, shut-in and planned volumes.
 
 Everything is keyed by (entity) or (entity, scenario); fits depend on the entity and its cut-off only and
-are joined to the price scenarios afterwards, so one fit serves all scenarios.
+are joined to the price scenarios afterwards, so one fit serves all scenarios. Tables with a row per entity meet by
+merge joins: they grow with the input, and a copy of one that is broadcast is built on the driver.
 """
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..session import materialise, spread
 from ..functions.columns import DAYS_PER_MONTH, c, days_in_month, guarded_slope, safe_div
@@ -46,7 +49,7 @@ def type_curve(monthly: DataFrame, master: DataFrame, as_of: int, cfg: Config, *
                entity: str = "entity_id") -> DataFrame:
     """Median calendar rate by months on production, contiguous from month 1, entities with a long history only."""
     old = master.where(as_of - F.col("fmi") + 1 >= cfg.curve_history).select(entity, unit, "fmi")
-    r = monthly.where(F.col("mi") <= as_of).join(old, entity)
+    r = monthly.where(F.col("mi") <= as_of).join(old.hint("merge"), entity)
     r = r.select(unit, (F.col("mi") - F.col("fmi") + 1).alias("k"), (F.col("oil") / days_in_month("mi")).alias("rate"))
     med = exact_percentiles(r, [unit, "k"], "rate", {"rate": 0.5})
     n = r.groupBy(unit, "k").agg(F.count(F.lit(1)).alias("n_wells"))
@@ -87,6 +90,33 @@ def volume_until(rate_at, q_econ, horizon: int = HORIZON, start: int = 1) -> Col
     return F.aggregate(F.sequence(F.lit(start), F.lit(start + horizon - 1)), zero, step)["v"] * DAYS_PER_MONTH
 
 
+@F.pandas_udf(T.DoubleType())
+def analog_volume(tc: pd.Series, ext: pd.Series, months_on: pd.Series, scale: pd.Series, q_econ: pd.Series) -> pd.Series:
+    """``volume_until`` of ``analog_rate``, whole batches at once; a rate or limit that is missing ends the sum."""
+    out = np.full(len(tc), np.nan)
+    j = np.arange(1, HORIZON + 1)
+    known = np.flatnonzero(tc.notna().to_numpy() & scale.notna().to_numpy())
+    for lo in range(0, len(known), 256):
+        at = known[lo:lo + 256]
+        curves = [np.asarray(x, float) for x in tc.iloc[at]]
+        size = np.array([len(x) for x in curves])
+        own = np.arange(max(size.max(), 1)) < size[:, None]
+        flat = np.full(own.shape, np.nan)
+        flat[own] = np.concatenate(curves)
+        e, n, k, q = (x.iloc[at].to_numpy(float)[:, None] for x in (ext, months_on, scale, q_econ))
+        pos = n + j
+        inside = np.take_along_axis(flat, np.clip(pos - 1, 0, flat.shape[1] - 1).astype(int), 1) * k
+        last = np.take_along_axis(flat, np.maximum(size - 1, 0)[:, None], 1)
+        with np.errstate(invalid="ignore", over="ignore"):
+            r = np.where(pos <= size[:, None], np.where(pos >= 1, inside, np.nan), last * k * np.exp(-e * (pos - size[:, None])))
+            on = np.logical_and.accumulate(r >= q, axis=1)
+        out[at] = np.where(on, r, 0.0).sum(1) * DAYS_PER_MONTH
+    return pd.Series(out)
+
+
+analog_volume = analog_volume.asNondeterministic()
+
+
 # ------------------------------------------------------------------ new entities
 def new_entity_reserves(monthly: DataFrame, info: DataFrame, curves: DataFrame, econ: DataFrame, as_of: int, cfg: Config, *,
                         model: DataFrame | None = None, entity: str = "entity_id", unit: str = "unit_id") -> DataFrame:
@@ -94,7 +124,7 @@ def new_entity_reserves(monthly: DataFrame, info: DataFrame, curves: DataFrame,
 
     ``monthly`` holds only the rows that may be used, ``econ`` one row per (unit, scenario).
     """
-    m = monthly.where(F.col("mi") <= as_of).join(info.select(entity, unit, "fmi"), entity)
+    m = monthly.where(F.col("mi") <= as_of).join(info.select(entity, unit, "fmi").hint("merge"), entity)
     m = m.withColumn("rate", F.col("oil") / days_in_month("mi")).withColumn("k", F.col("mi") - F.col("fmi") + 1)
     g = spread(m, entity).groupBy(entity).agg(
         F.max(unit).alias(unit), F.max("fmi").alias("fmi"), F.sum("oil").alias("cum"),
@@ -111,20 +141,20 @@ def new_entity_reserves(monthly: DataFrame, info: DataFrame, curves: DataFrame,
     t = F.transform(F.sequence(F.lit(0), F.size("_post") - 1), lambda i: i.cast("double"))
     dyn = g.where("_post IS NOT NULL").select(entity, t.alias("ts"), F.col("_post").alias("qs"))
     dyn = dyn.withColumn("dyn_fit", fit_udf(TERMINAL)("ts", "qs")).select(entity, "dyn_fit", (F.size("ts") - 1).cast("double").alias("_tn"))
-    g = g.join(dyn, entity, "left").join(curves, unit, "left")
+    g = g.join(dyn.hint("merge"), entity, "left").join(curves, unit, "left")
     inside = F.filter("_s", lambda r: (r["k"] >= 1) & (r["k"] <= F.size("tc")))
     den = total(F.transform(inside, lambda r: F.get("tc", r["k"] - 1)))
     use = (F.size("tc") > F.col("months_on")) & (den > 0)
     g = g.withColumn("scale", F.when(use, total(F.transform(inside, lambda r: r["rate"])) / den))
     g = g.drop("_s", "_r", "_post")
     if model is not None:
-        g = g.join(model.select(entity, F.col("p10").alias("_p10")), entity, "left").withColumn(
+        g = g.join(model.select(entity, F.col("p10").alias("_p10")).hint("merge"), entity, "left").withColumn(
             "model_low", F.greatest(F.col("_p10") - F.col("cum"), F.lit(0.0))).drop("_p10")
     else:
         g = g.withColumn("model_low", F.lit(None).cast("double"))
     e = g.join(econ.select(unit, "scenario", "q_econ"), unit)
     e = e.withColumn("dynamic_t", F.when(F.col("dyn_fit").isNotNull(), remaining_struct(F.col("dyn_fit"), "q_econ", "_tn")["remaining"]))
-    e = e.withColumn("analog_t", F.when(F.col("scale").isNotNull(), volume_until(lambda j: analog_rate(j, "months_on", "scale"), "q_econ")))
+    e = e.withColumn("analog_t", F.when(F.col("scale").isNotNull(), analog_volume("tc", "ext", "months_on", "scale", "q_econ")))
     return pick_new_reserves(e)
 
 
@@ -146,7 +176,7 @@ def measure_effects(monthly: DataFrame, events: DataFrame, as_of: int, cfg: Conf
     """
     ev = events.where(F.col("emi") <= as_of).select(entity, "emi", "event_type").distinct()
     keys = [entity, "emi", "event_type"]
-    m = (monthly.where(F.col("mi") <= as_of).select(entity, "mi", "oil", "days_on").join(ev, entity)
+    m = (monthly.where(F.col("mi") <= as_of).select(entity, "mi", "oil", "days_on").join(ev.hint("merge"), entity)
          .withColumn("rate", F.col("oil") / F.greatest("days_on", F.lit(1)))
          .withColumn("valid", F.col("days_on") >= cfg.min_days_on))
     is_pre = F.col("valid") & (F.col("mi") < F.col("emi")) & (F.col("mi") >= F.col("emi") - cfg.max_pre)
@@ -158,8 +188,8 @@ def measure_effects(monthly: DataFrame, events: DataFrame, as_of: int, cfg: Conf
     base = base.withColumn("ts", F.transform("_p", lambda r: (r["mi"] - t0).cast("double"))).withColumn("qs", F.col("_p.rate"))
     mean = lambda a: F.aggregate(a, F.lit(0.0), lambda p, q: p + q) / F.size(a)
     base = base.withColumn("pre_rate", mean(F.slice("qs", F.greatest(F.size("qs") - 2, F.lit(1)), 3)))
-    base = base.withColumn("fit", fit_udf(TERMINAL)("ts", "qs")).drop("_p", "ts", "qs")
-    after = m.where(F.col("mi") >= F.col("emi")).join(base, keys)
+    base = materialise(base.withColumn("fit", fit_udf(TERMINAL)("ts", "qs")).drop("_p", "ts", "qs"), plain=True)  # two branches take the fits
+    after = m.where(F.col("mi") >= F.col("emi")).join(base.hint("merge"), keys)
     after = after.withColumn("base", rate(F.col("mi") - F.col("t0"), F.col("fit")))
     inc = F.col("rate") - F.col("base")
     is_post = F.col("valid") & (F.col("mi") > F.col("emi"))
@@ -175,7 +205,7 @@ def measure_effects(monthly: DataFrame, events: DataFrame, as_of: int, cfg: Conf
          .withColumn("rate_gain", F.when(F.size("_q") > 0, mean(F.transform(first3, lambda r: r["inc"]))))
          .withColumn("post_rate", F.when(F.size("_q") > 0, mean(F.transform(first3, lambda r: r["rate"])))).drop("_q"))
     n_pre = pre_pts.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_pre"))
-    out = ev.join(n_pre, keys, "left").join(base.drop("n_pre"), keys, "left").join(g, keys, "left")
+    out = ev.join(n_pre.hint("merge"), keys, "left").join(base.drop("n_pre").hint("merge"), keys, "left").join(g.hint("merge"), keys, "left")
     out = out.withColumn("n_pre", F.coalesce("n_pre", F.lit(0))).withColumn("n_post", F.coalesce("n_post", F.lit(0)))
     status = (F.when(F.col("n_pre") < cfg.min_pre, "insufficient_pre").when(F.col("n_post") < cfg.min_post, "insufficient_post").otherwise("ok"))
     tn = (F.col("_last") - F.col("t0")).cast("double")
@@ -201,7 +231,7 @@ def increment_remaining(q_econ) -> Column:
 def measure_increments(monthly: DataFrame, effects: DataFrame, *, entity: str = "entity_id") -> DataFrame:
     """(entity, emi, event_type, mi, inc): monthly production above the baseline since the event month."""
     e = effects.where("fit IS NOT NULL").select(entity, "emi", "event_type", "t0", "fit")
-    j = monthly.select(entity, "mi", "oil", "days_on").join(e, entity).where(F.col("mi") >= F.col("emi"))
+    j = monthly.select(entity, "mi", "oil", "days_on").join(e.hint("merge"), entity).where(F.col("mi") >= F.col("emi"))
     return j.select(entity, "emi", "event_type", "mi",
                     (F.col("oil") - rate(F.col("mi") - F.col("t0"), F.col("fit")) * F.col("days_on")).alias("inc"))
 
@@ -232,13 +262,13 @@ def monthly_composition(monthly: DataFrame, master: DataFrame, increments: DataF
     ``increments`` come from measures; those before ``since`` or on new entities are not separated.
     """
     info = master.select(entity, unit, "fmi")
-    m = monthly.where(F.col("mi").between(start, end)).join(info, entity)
+    m = monthly.where(F.col("mi").between(start, end)).join(info.hint("merge"), entity)
     new = F.col("fmi") >= since
     g = m.groupBy(unit, "mi").agg(
         F.sum("oil").alias("total_oil"), F.sum(F.when(new, F.col("oil")).otherwise(0.0)).alias("new_oil"),
         F.sum((F.col("days_on") > 0).cast("long")).alias("n_producing"),
         F.sum(((F.col("days_on") > 0) & new).cast("long")).alias("n_new_producing"))
-    kept = increments.where(F.col("emi") >= since).join(info.where(~new), entity)
+    kept = increments.where(F.col("emi") >= since).join(info.where(~new).hint("merge"), entity)
     inc = kept.where(F.col("mi").between(start, end)).groupBy(unit, "mi").agg(F.sum("inc").alias("measure_inc"))
     n_ev = kept.select(unit, entity, "emi", "event_type").distinct().groupBy(unit, F.col("emi").alias("mi")).agg(F.count(F.lit(1)).alias("_ev"))
     j = g.join(inc, [unit, "mi"], "left").join(n_ev, [unit, "mi"], "full_outer").na.fill(0.0, ["measure_inc"])
@@ -260,9 +290,9 @@ def old_entities(monthly: DataFrame, master: DataFrame, effects: DataFrame, curv
     start = as_of - cfg.period + 1
     old = master.where(F.col("fmi") < start).select(entity, unit, "fmi")
     cut = effects.where("status IN ('ok', 'insufficient_post')").groupBy(entity).agg(F.max("emi").alias("cutoff"))
-    m = monthly.where(F.col("mi") <= as_of).join(old, entity)
+    m = monthly.where(F.col("mi") <= as_of).join(old.hint("merge"), entity)
     m = producing_time(m, entity=entity)
-    m = fit_rate(m, share=cfg.open_share).join(cut, entity, "left")
+    m = fit_rate(m, share=cfg.open_share).join(cut.hint("merge"), entity, "left")
     w = Window.partitionBy(entity)
     m = (m.withColumn("_recent", F.sum(F.when(F.col("mi") > as_of - cfg.idle, F.col("oil")).otherwise(0.0)).over(w))
          .withColumn("last_prod", F.max(F.when(F.col("oil") > 0, F.col("mi"))).over(w))
@@ -275,21 +305,21 @@ def old_entities(monthly: DataFrame, master: DataFrame, effects: DataFrame, curv
                                  F.max(F.when(F.col("mi") <= F.col("last_prod"), F.col("ptime"))).alias("_last_eff"))
     pts = m.where(usable).select(entity, F.col("ptime").alias("t"), F.col("fit_rate").alias("q"))
     fits = entity_decline_fit(pts, entity, min_tail=cfg.min_fit)
-    j = head.join(fits, entity, "left")
+    j = head.join(fits.hint("merge"), entity, "left")
     j = materialise(j.withColumn("now_eff", F.when(F.col("_prod") == 1, as_of - F.col("gap")).otherwise(F.col("_last_eff"))), plain=True)
     fitted = spread(j.where("best IS NOT NULL"), entity).join(econ.select(unit, "scenario", "q_econ", "restart_min"), unit)
     fitted = remaining_low_best(fitted, q_econ=F.col("q_econ"), now=F.col("now_eff"))
     fitted = fitted.withColumn("rate_now", rate(F.col("now_eff") - F.col("fit_start"), F.col("best")))
     # producing entities without a usable fit fall back to the analog ladder on the same months
     short = j.where("best IS NULL AND _prod = 1")
-    rows = m.where(producing & usable).select(entity, "mi", "oil").join(short.select(entity), entity, "left_semi")
+    rows = m.where(producing & usable).select(entity, "mi", "oil").join(short.select(entity).hint("merge"), entity, "left_semi")
     alt = new_entity_reserves(rows, short.select(entity, unit, "fmi"), curves, econ, as_of, cfg, entity=entity, unit=unit)
     alt = alt.where("reserves IS NOT NULL").select(entity, "scenario", F.col("reserves").alias("_alt"), F.col("basis").alias("_basis"), F.col("rate_now").alias("_alt_rate"))
     base = j.select(entity, unit, "cutoff", "_prod", "last_prod", "gap", F.col("best").isNotNull().alias("_fit"), "n_fit",
                     "best", "low", "fit_start", "now_eff").join(
         econ.select(unit, "scenario"), unit)
     f = fitted.select(entity, "scenario", "remaining_low", "remaining_best", "rate_now", "restart_min")
-    out = base.join(f, [entity, "scenario"], "left").join(alt, [entity, "scenario"], "left")
+    out = base.join(f.hint("merge"), [entity, "scenario"], "left").join(alt.hint("merge"), [entity, "scenario"], "left")
     prod = F.col("_prod") == 1
     status = (F.when(~prod, "not_producing").when(F.col("_fit"), "ok").when(F.col("_alt").isNotNull(), "short_history").otherwise("insufficient"))
     basis = (F.when(F.col("status") == "ok", F.when(F.col("cutoff").isNotNull(), "measure_baseline").otherwise("own_history"))
@@ -317,7 +347,7 @@ def planned_locations(locations: DataFrame, producing: DataFrame, drilled: DataF
     ``locations``: location_id, unit, x, y, planned_mi, first_booked_mi, status, drilled_id, capex.
     ``drilled``: (drilled_id, drilled_fmi). ``econ``: unit, scenario, q_econ, net_t, opex_month.
     """
-    near = radius_count(locations, producing, cfg.pud_radius, ident="location_id", out="n_near").select("location_id", "n_near")
+    near = radius_count(locations, producing, cfg.pud_radius, ident="location_id", split=None, out="n_near").select("location_id", "n_near")
     fc = curves.where(F.size("tc") >= 2).join(econ, unit)
     zero = F.lit(cfg.certainty)
     def at(j):
@@ -336,7 +366,7 @@ def planned_locations(locations: DataFrame, producing: DataFrame, drilled: DataF
     fc = fc.withColumn("_a", F.aggregate(F.sequence(F.lit(1), F.lit(HORIZON)), acc0, step))
     fc = fc.select(unit, "scenario", (F.col("_a.v") * DAYS_PER_MONTH).alias("estimate"), F.col("_a.n").cast("long").alias("n_months"),
                    ((F.col("_a.v") * DAYS_PER_MONTH * F.col("net_t") - F.col("_a.n") * F.col("opex_month")) * fx / 1e4).alias("cash"))
-    j = (locations.join(near, "location_id").join(drilled, "drilled_id", "left")
+    j = (locations.join(near.hint("merge"), "location_id").join(drilled.hint("merge"), "drilled_id", "left")
          .join(econ.select(unit, "scenario"), unit).join(fc, [unit, "scenario"], "left"))
     fb = F.col("first_booked_mi")
     booked_mi = F.when(fb <= as_of, fb).otherwise(as_of)
@@ -362,6 +392,7 @@ class Evaluation:
     as_of: int
     old: DataFrame
     new: DataFrame
+    measures: DataFrame
     effects: DataFrame
     components: DataFrame
     production: DataFrame
@@ -377,17 +408,17 @@ def evaluate(monthly: DataFrame, master: DataFrame, events: DataFrame, new_entit
     start = as_of - cfg.period + 1
     info = master.select(entity, unit, "fmi")
     m = monthly.where(F.col("mi") <= as_of)
-    eff = materialise(measure_effects(m, events, as_of, cfg, entity=entity).join(info, entity).withColumn(
+    eff = materialise(measure_effects(m, events, as_of, cfg, entity=entity).join(info.hint("merge"), entity).withColumn(
         "in_period", (F.col("emi") >= start) & (F.col("fmi") < start)), plain=True)
     curves = materialise(packed_curve(type_curve(m, master, as_of, cfg, unit=unit, entity=entity), unit=unit))
     old = old_entities(m, master, eff.where("in_period"), curves, econ, as_of, cfg, entity=entity, unit=unit)
     fresh = materialise(new_entities.select(entity, unit, "fmi", "category", "n_old"), plain=True)
-    rows = m.join(fresh.select(entity), entity, "left_semi")
+    rows = m.join(fresh.select(entity).hint("merge"), entity, "left_semi")
     new = new_entity_reserves(rows, fresh, curves, econ, as_of, cfg, model=model, entity=entity, unit=unit).join(
-        fresh.select(entity, "category", "n_old"), entity)
+        fresh.select(entity, "category", "n_old").hint("merge"), entity)
     done = eff.where("in_period AND status = 'ok'").join(econ.select(unit, "scenario", "q_econ"), unit)
     done = done.withColumn("inc_remaining", increment_remaining("q_econ"))
-    prod = m.where(F.col("mi") >= start).groupBy(entity).agg(F.sum("oil").alias("production")).join(info, entity, "inner")
+    prod = m.where(F.col("mi") >= start).groupBy(entity).agg(F.sum("oil").alias("production")).join(info.hint("merge"), entity, "inner")
     if store:
         old, new, done = (materialise(d, plain=True) for d in (old, new, done))
     a = old.groupBy(unit, "scenario").agg(
@@ -397,4 +428,4 @@ def evaluate(monthly: DataFrame, master: DataFrame, events: DataFrame, new_entit
     c_ = new.groupBy(unit, "scenario", F.when(F.col("category") == "infill", "new_infill").otherwise("extension").alias("component")).agg(
         F.sum(F.coalesce("reserves", F.lit(0.0))).alias("reserves"), F.count(F.lit(1)).alias("n_items"))
     comp = a.unionByName(b).unionByName(c_.select(unit, "scenario", "component", "reserves", "n_items"))
-    return Evaluation(as_of, old, new, done, comp, prod, curves)
+    return Evaluation(as_of, old, new, eff, done, comp, prod, curves)

@@ -14,12 +14,12 @@ from .registry import query, with_ctes
 from .unit import (ALL26, CFG, cfg_of, CLOSE, CLOSE_ECON, OPEN, SEC25, SEC26, comp_sql, ev_sql, fresh, labelled, limits, planned, pud_sql)
 from .unitsql import new_ctes
 
-NAMES = ("old", "new", "done", "components", "production", "curves")
+NAMES = ("old", "new", "measures", "done", "components", "production", "curves")
 ROWSETS = {"open": (OPEN, SEC25), "close": (CLOSE, CLOSE_ECON), "prices": (CLOSE, ALL26)}
 
 
 #: Raised when the evaluation itself changes, so that stored results of older code are not taken.
-VERSION = "3"
+VERSION = "4"
 _digests: dict[tuple, str] = {}
 
 
@@ -46,7 +46,7 @@ def evaluated(spark, sf, which):
     def build():
         m, acc = base(spark, sf, digest)
         ev = U.evaluate(m, acc, account_events(spark, sf), fresh(acc, as_of), labelled(limits(spark, acc), rows), as_of, cfg_of(as_of), store=True)
-        return {"old": ev.old, "new": ev.new, "done": ev.effects, "components": ev.components, "production": ev.production, "curves": ev.curves}
+        return {"old": ev.old, "new": ev.new, "measures": ev.measures, "done": ev.effects, "components": ev.components, "production": ev.production, "curves": ev.curves}
 
     t = snapshot(spark, f"{digest}/{which}", build, NAMES)
     m, acc = base(spark, sf, digest)
@@ -238,10 +238,10 @@ def sensitivity_totals(spark, sf):
                              pts.select("unit_id", "param", "x", "role", "q_econ", "rate_factor", "decline_delta"))
     short = old.where("status = 'short_history'").select("entity_id", "cutoff")
     m = c["m"].where(F.col("mi") <= CLOSE)
-    rows_s = m.join(short, "entity_id").where(F.col("cutoff").isNull() | (F.col("mi") < F.col("cutoff"))).select("entity_id", "mi", "oil")
+    rows_s = m.join(short.hint("merge"), "entity_id").where(F.col("cutoff").isNull() | (F.col("mi") < F.col("cutoff"))).select("entity_id", "mi", "oil")
     new_ids = _at(c["new"], "sec").select("entity_id")
-    rows = rows_s.unionByName(m.join(new_ids, "entity_id", "left_semi").select("entity_id", "mi", "oil"))
-    info = c["acc"].join(short.select("entity_id").unionByName(new_ids), "entity_id", "left_semi").select("entity_id", "unit_id", "fmi")
+    rows = rows_s.unionByName(m.join(new_ids.hint("merge"), "entity_id", "left_semi").select("entity_id", "mi", "oil"))
+    info = c["acc"].join(short.select("entity_id").unionByName(new_ids).hint("merge"), "entity_id", "left_semi").select("entity_id", "unit_id", "fmi")
     alt = U.new_entity_reserves(rows, info, c["curves"], pts.select("unit_id", "scenario", "q_econ"), CLOSE, CFG)
     alt = alt.groupBy("unit_id", "scenario").agg(F.sum(F.coalesce("reserves", F.lit(0.0))).alias("_a"))
     j = pts.select("unit_id", "scenario", "param", "x", "role").join(fitted, ["unit_id", "param", "x", "role"], "left").join(alt, ["unit_id", "scenario"], "left")
@@ -286,7 +286,7 @@ def _finance_rows(spark, sf):
         pd_ = _at(ev["components"], "sec").select("unit_id", "reserves").unionByName(_at(ev["old"], "sec").select("unit_id", F.coalesce("pdnp", F.lit(0.0)).alias("reserves")))
         pd_ = pd_.groupBy("unit_id").agg(F.sum("reserves").alias("pd_reserves"))
         prod = ev["production"].groupBy("unit_id").agg(F.sum("production").alias("production"))
-        rec = m.where(F.col("mi").between(as_of - 2, as_of)).join(acc.select("entity_id", "unit_id"), "entity_id").groupBy("unit_id").agg(
+        rec = m.where(F.col("mi").between(as_of - 2, as_of)).join(acc.select("entity_id", "unit_id").hint("merge"), "entity_id").groupBy("unit_id").agg(
             (F.sum("oil") / 3.0).alias("monthly"), (F.sum((F.col("days_on") > 0).cast("int")) / 3.0).alias("wm"))
         j = units.join(pd_, "unit_id", "left").join(prod, "unit_id", "left").join(rec, "unit_id", "left").na.fill(0.0).join(
             labelled(lim, rows).select("unit_id", "net_t", "opex_month"), "unit_id")
@@ -403,13 +403,12 @@ def indicator_values(spark, sf):
         c = evaluated(spark, sf, "close")
         m, acc = c["m"].where(F.col("mi") <= CLOSE), c["acc"]
         start = CLOSE - 11
-        eff = U.measure_effects(m, account_events(spark, sf), CLOSE, CFG)
-        comp = materialise(U.monthly_composition(m, acc, U.measure_increments(m, eff), since=start, start=start, end=CLOSE))
+        comp = materialise(U.monthly_composition(m, acc, U.measure_increments(m, c["measures"]), since=start, start=start, end=CLOSE))
         comp = comp.withColumn("n_rate", F.col("old_base") / days_in_month("mi")).withColumn("c_rate", (F.col("old_base") + F.col("measure_inc")) / days_in_month("mi"))
         nat = A.loglinear_decline(comp, ["unit_id"], x="mi", rate="n_rate", name="natural")
         com = A.loglinear_decline(comp, ["unit_id"], x="mi", rate="c_rate", name="comprehensive")
         tot = comp.groupBy("unit_id").agg(F.sum("total_oil").alias("production"), F.sum("new_oil").alias("new_oil"))
-        mu = m.join(acc.select("entity_id", "unit_id"), "entity_id")
+        mu = m.join(acc.select("entity_id", "unit_id").hint("merge"), "entity_id")
         def cut(lo, hi):
             on = F.col("mi").between(lo, hi)
             w = F.sum(F.when(on, F.col("water")))
@@ -418,7 +417,7 @@ def indicator_values(spark, sf):
                                        F.sum(((F.col("days_on") > 0) & (F.col("mi") >= start)).cast("long")).alias("producing_well_months"),
                                        F.sum(((F.col("days_on") > 0) & (F.col("mi") == CLOSE)).cast("long")).alias("n_producing"))
         o = table(spark, sf, "orders").withColumn("mi", F.year("o_orderdate") * 12 + F.month("o_orderdate") - 1).where(F.col("mi").between(start, CLOSE))
-        plan = o.join(acc.select(F.col("entity_id").alias("o_custkey"), "unit_id", "fmi"), "o_custkey").groupBy("unit_id").agg(
+        plan = o.join(acc.select(F.col("entity_id").alias("o_custkey"), "unit_id", "fmi").hint("merge"), "o_custkey").groupBy("unit_id").agg(
             (F.sum("o_totalprice") / 10000).alias("plan_production"), (F.sum(F.when(F.col("fmi") >= start, F.col("o_totalprice"))) / 10000).alias("plan_new_oil"))
         nw = acc.groupBy("unit_id").agg(F.sum((F.col("fmi") <= CLOSE).cast("long")).alias("n_wells"))
         pdp = _at(c["components"], "sec").groupBy("unit_id").agg(F.sum("reserves").alias("pdp"))
@@ -494,7 +493,7 @@ def asset_book(spark, sf):
     capex = F.when(F.col("x") > 5000, E.CAPEX["horizontal"]).otherwise(E.CAPEX["default"])
     left = F.greatest(F.lit(0.1), F.least(F.lit(1.0), 1 - (start - F.col("fmi")) / 12.0 / 8))
     g = acc.groupBy("unit_id").agg(F.sum(F.when(F.col("fmi") < start, capex * left)).alias("nbv"), F.sum(F.when(F.col("fmi").between(start, CLOSE), capex)).alias("capex"))
-    ev = account_events(spark, sf).where(F.col("emi").between(start, CLOSE)).join(acc.select("entity_id", "unit_id"), "entity_id")
+    ev = account_events(spark, sf).where(F.col("emi").between(start, CLOSE)).join(acc.select("entity_id", "unit_id").hint("merge"), "entity_id")
     e = ev.groupBy("unit_id").agg(F.sum(F.coalesce(F.try_element_at(kind, F.col("event_type")), F.lit(E.MEASURE_COST["default"]))).alias("cost"))
     z = F.lit(0.0)
     return g.join(e, "unit_id", "left").select("unit_id", rnd(F.coalesce("nbv", z), 2).alias("opening_nbv"), rnd(F.coalesce("capex", z) + F.coalesce("cost", z), 2).alias("additions"))

@@ -48,8 +48,8 @@ def labelled(lim: DataFrame, rows) -> DataFrame:
 def fresh(acc: DataFrame, as_of: int) -> DataFrame:
     start = as_of - cfg_of(as_of).period + 1
     new = acc.where(F.col("fmi").between(start, as_of))
-    c = radius_count(new.select("entity_id", "x", "y"), acc.where(F.col("fmi") < start), RADIUS, out="n_old").select("entity_id", "n_old")
-    return new.join(c, "entity_id").withColumn("category", F.when(F.col("n_old") >= MIN_OLD, "infill").otherwise("extension")).select(
+    c = radius_count(new.select("entity_id", "x", "y"), acc.where(F.col("fmi") < start), RADIUS, split=None, out="n_old").select("entity_id", "n_old")
+    return new.join(c.hint("merge"), "entity_id").withColumn("category", F.when(F.col("n_old") >= MIN_OLD, "infill").otherwise("extension")).select(
         "entity_id", "unit_id", "fmi", "category", "n_old")
 
 
@@ -105,7 +105,7 @@ EFF_COLS = "entity_id, emi, event_type, unit_id, status, n_pre, n_post, round(re
 def effects(spark, sf, as_of, ins=None):
     m, acc, ev = ins or inputs(spark, sf)
     start = as_of - CFG.period + 1
-    return U.measure_effects(m, ev, as_of, CFG).join(acc.select("entity_id", "unit_id", "fmi"), "entity_id").withColumn(
+    return U.measure_effects(m, ev, as_of, CFG).join(acc.select("entity_id", "unit_id", "fmi").hint("merge"), "entity_id").withColumn(
         "in_period", (F.col("emi") >= start) & (F.col("fmi") < start))
 
 
@@ -273,7 +273,7 @@ def pud_sql(p, as_of, name):
 
 def planned(spark, sf, as_of, econ_rows):
     m, acc, _ = inputs(spark, sf)
-    act = acc.join(m.where(F.col("mi").between(as_of - 2, as_of) & (F.col("oil") > 0)).select("entity_id").distinct(), "entity_id", "left_semi")
+    act = acc.join(m.where(F.col("mi").between(as_of - 2, as_of) & (F.col("oil") > 0)).select("entity_id").distinct().hint("merge"), "entity_id", "left_semi")
     curves = U.packed_curve(U.type_curve(m, acc, as_of, cfg_of(as_of)))
     drilled = acc.select(F.col("entity_id").alias("drilled_id"), F.col("fmi").alias("drilled_fmi"))
     return U.planned_locations(locations(spark, sf), act, drilled, curves, labelled(limits(spark, acc), econ_rows), as_of, cfg_of(as_of), fx=E.FX, default_capex=E.PUD_CAPEX)

@@ -198,3 +198,38 @@ def test_stored_evaluations_write_entities_once(spark):
     e = U.evaluate(m, acc, ev, P.fresh(acc, P.CLOSE), econ, P.CLOSE, P.CFG, store=True)
     plan = e.components._jdf.queryExecution().optimizedPlan().toString()
     assert "PythonUDF" not in plan and "ArrowEvalPython" not in plan
+
+
+def test_radius_count_does_not_depend_on_the_cells(spark):
+    from drawdown.operators.spatial import radius_count
+    pts = spark.createDataFrame([(1, 0.0, 0.0), (2, 50.0, 50.0), (3, None, 1.0)], "entity_id long, x double, y double")
+    rows = [(float(i % 41), float(i * 7 % 53)) for i in range(3000)] + [(3.0, 4.0), (3.0000000004, 4.0), (3.000000002, 4.0)]
+    refs = spark.createDataFrame(rows, "x double, y double")
+    for radius in (5.0, 20.0):
+        import math
+        want = {k: sum(round(math.hypot(a - x, b - y), 9) <= radius for a, b in rows) for k, x, y in ((1, 0.0, 0.0), (2, 50.0, 50.0))} | {3: 0}
+        for split in (None, 4, 9):
+            assert {r.entity_id: r.n_near for r in radius_count(pts, refs, radius, split=split).collect()} == want
+    assert [r.n_near for r in radius_count(pts, refs.where("x < 0"), 5.0, split=None).collect()] == [0, 0, 0]
+
+
+def test_entities_do_not_meet_by_way_of_the_driver(spark):
+    """Joins of a table with a row per entity are merge joins, whatever Spark takes its size to be."""
+    from drawdown.operators import recon as R
+    n = spark.range(50).select(F.col("id").alias("entity_id"), F.lit("u").alias("unit_id"), F.lit("sec").alias("scenario"), F.lit("infill").alias("category"), F.lit("ok").alias("status"),
+                               F.lit(1.0).alias("reserves"), F.lit(1.0).alias("remaining_low"), F.lit(2.0).alias("production"))
+    rows = n.drop("production")
+    moves = R.category_moves(rows.withColumn("status", F.lit("not_producing")), rows, rows, n)
+    assert "Broadcast" not in moves._jdf.queryExecution().executedPlan().toString()
+    assert moves.agg(F.sum("value")).first()[0] == 150.0
+
+
+def test_analog_volume_equals_the_month_by_month_sum(spark):
+    from drawdown.operators import unit as U
+    rows = [(1, [9.0, 7.0, 5.0], 0.02, 1, 1.5, 0.5), (2, [9.0, 7.0, 5.0], 0.02, 2, 1.5, 6.0), (3, [9.0, None, 5.0], 0.1, 1, 1.0, 0.5), (4, [9.0, 7.0], 0.02, 1, 1.0, None),
+            (5, [9.0, 7.0], 0.02, 1, None, 1.0), (6, [4.0], 0.005, 7, 2.0, 1e-9)]
+    d = spark.createDataFrame(rows, "id long, tc array<double>, ext double, months_on long, scale double, q_econ double")
+    step = U.volume_until(lambda j: U.analog_rate(j, "months_on", "scale"), "q_econ")
+    got = d.select("id", F.when(F.col("scale").isNotNull(), step).alias("a"), F.when(F.col("scale").isNotNull(), U.analog_volume("tc", "ext", "months_on", "scale", "q_econ")).alias("b")).collect()
+    for r in got:
+        assert (r.a is None and r.b is None) or abs(r.a - r.b) < 1e-9 * max(1, r.a), r
