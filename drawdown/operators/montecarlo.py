@@ -53,21 +53,54 @@ def sample(u: Column, mean, cv: float, dist: str = "lognormal", low: float | Non
 
 def draws(seed: int, tag: str, key, n: int) -> np.ndarray:
     """``n`` standard normal draws of one key: the numbers of ``hash_uniform(seed, tag, key, i)`` through the normal quantile."""
-    head = hashlib.md5(f"{seed}|{tag}|{key}|".encode())
-
-    def one(i: bytes) -> bytes:
-        h = head.copy()
-        h.update(i)
-        return h.digest()
-
     # the first 13 hex digits are the upper 52 bits of the first 8 bytes
-    bits = np.frombuffer(b"".join(map(one, _numbers(n))), ">u8")[::2] >> np.uint64(12)
+    bits = md5_heads(f"{seed}|{tag}|{key}|".encode(), n) >> np.uint64(12)
     u = (bits.astype(float) + 0.5) / 2.0 ** 52
-    tail = np.sqrt(-2.0 * np.log(np.where(u < 0.5, u, 1.0 - u)))
-    t = np.polyval(PPF_C, tail) / (np.polyval(PPF_D, tail) * tail + 1.0)
     q = u - 0.5
-    mid = np.polyval(PPF_A, q * q) * q / (np.polyval(PPF_B, q * q) * q * q + 1.0)
-    return np.where(u < PPF_LOW, t, np.where(u > 1 - PPF_LOW, -t, mid))
+    z = np.polyval(PPF_A, q * q) * q / (np.polyval(PPF_B, q * q) * q * q + 1.0)
+    out = np.flatnonzero((u < PPF_LOW) | (u > 1 - PPF_LOW))
+    tail = np.sqrt(-2.0 * np.log(np.where(u[out] < 0.5, u[out], 1.0 - u[out])))
+    z[out] = np.copysign(np.polyval(PPF_C, tail) / (np.polyval(PPF_D, tail) * tail + 1.0), q[out])
+    return z
+
+
+#: MD5 (RFC 1321): the shifts of the four rounds, the words they read and their constants.
+SHIFTS = [s for four in ((7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21)) for s in four * 4]
+READS = [(a * i + b) % 16 for a, b in ((1, 0), (5, 1), (3, 5), (7, 0)) for i in range(16)]
+SINES = [np.uint32(int(abs(math.sin(i + 1)) * 2 ** 32)) for i in range(64)]
+FIRST = [np.array([x], np.uint32) for x in (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)]
+
+
+def md5_heads(prefix: bytes, n: int) -> np.ndarray:
+    """The first 8 bytes, as a number, of the MD5 digests of ``prefix`` followed by each of the numbers 0 to ``n`` - 1 in decimal: all digests step by step together."""
+    if len(prefix) + len(str(n)) > 55:  # more than one block
+        return np.frombuffer(b"".join(hashlib.md5(prefix + i).digest() for i in _numbers(n)), ">u8")[::2].astype(np.uint64)
+    words = list(np.frombuffer(prefix.ljust(64, b"\0"), "<u4").astype(np.uint32).reshape(16, 1))
+    for at, w in _endings(len(prefix), n):
+        words[at] = words[at] | w
+    a, b, c, d = FIRST
+    for i in range(64):
+        if i < 16:
+            f = (c ^ d) & b ^ d
+        elif i < 32:
+            f = (b ^ c) & d ^ c
+        elif i < 48:
+            f = b ^ c ^ d
+        else:
+            f = ~d | b
+            f = f ^ c
+        f = f + a + (words[READS[i]] + SINES[i])
+        a, d, c, b = d, c, b, b + (f << np.uint32(SHIFTS[i]) | f >> np.uint32(32 - SHIFTS[i]))
+    ends = np.stack([a + FIRST[0], b + FIRST[1]], 1).astype("<u4")
+    return ends.view(">u8")[:, 0].astype(np.uint64)
+
+
+@lru_cache(maxsize=64)
+def _endings(start: int, n: int) -> list[tuple[int, np.ndarray]]:
+    """(place, words) of the block's words that hold more than a prefix of ``start`` bytes: the digits of each number, the closing bit and the length."""
+    digits = _numbers(n)
+    block = np.frombuffer(b"".join((b"\0" * start + i + b"\x80").ljust(56, b"\0") + (8 * (start + len(i))).to_bytes(8, "little") for i in digits), "<u4").reshape(-1, 16)
+    return [(at, block[:, at].astype(np.uint32)) for at in range(16) if block[:, at].any()]
 
 
 @lru_cache(maxsize=2)

@@ -65,6 +65,26 @@ def test_draws_equal_the_column_functions(spark):
     assert a.p10 < a.p50 < a.p90 and a.mean == pytest.approx(900 * 300 * 8 * .09 * .55 * .85 / 1.15, rel=0.02) and a.rec_p50 == pytest.approx(a.p50 * .05, rel=0.05)
 
 
+def test_digests_of_numbers_are_made_together():
+    import hashlib
+    from time import perf_counter
+    for prefix in (b"", b"7|area|5|", b"x" * 50, b"x" * 51, b"y" * 130, "é|ü".encode()):
+        for n in (1, 7, 1203):
+            want = [int.from_bytes(hashlib.md5(prefix + b"%d" % i).digest()[:8], "big") for i in range(n)]
+            assert M.md5_heads(prefix, n).tolist() == want
+    M.draws(7, "area", 0, 10_000)
+    one_by_one = [b"7|area|1|%d" % i for i in range(10_000)]
+    took = []
+    for run in (lambda: M.draws(7, "area", 1, 10_000), lambda: [hashlib.md5(x).digest() for x in one_by_one]):
+        ends = []
+        for _ in range(9):
+            start = perf_counter()
+            run()
+            ends.append(perf_counter() - start)
+        took.append(min(ends))
+    assert took[0] < took[1]  # the draws with all that follows, and only the digests one by one
+
+
 def _data(n, seed):
     rng = np.random.default_rng(seed)
     x = rng.normal(size=(n, 3))
