@@ -9,6 +9,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -54,6 +55,10 @@ def _split(codes: np.ndarray, slope: np.ndarray, rows: np.ndarray, least: int, l
     return float(gain.flat[at]), at // BINS, at % BINS
 
 
+#: Factor and shift that give every single bit of a number of this width a place of its own (de Bruijn).
+PLACES = {"u2": (0x0F65, 12), "u4": (0x077CB531, 27), "u8": (0x03F79D71B4CB0A89, 58)}
+
+
 @dataclass
 class Booster:
     """Nodes of all trees one after another: feature (-1: leaf), last bin that goes left, the left child (the right one follows it), leaf value."""
@@ -66,15 +71,51 @@ class Booster:
     child: np.ndarray
     value: np.ndarray
 
+    @cached_property
+    def admitted(self) -> tuple[np.ndarray, np.ndarray]:
+        """[feature, bin, tree]: bits of the tree's leaves that its splits on this feature leave open to the bin; [tree, place of the leaf's bit]: value.
+
+        A split asks for one feature, so what all features of a row leave open is the one leaf it ends in.
+        """
+        ends = [*self.roots[1:], len(self.feature)]
+        most = max((int((self.feature[a:b] < 0).sum()) for a, b in zip(self.roots, ends)), default=1)
+        if most > 64:
+            raise ValueError("a tree has at most 64 leaves")
+        bits = np.dtype(next(t for t in PLACES if most <= 8 * np.dtype(t).itemsize))
+        every = (1 << 8 * bits.itemsize) - 1
+        factor, shift = PLACES[bits.str[1:]]
+        open_ = np.full((len(self.edges), BINS + 1, len(self.roots)), every, bits)
+        value = np.zeros((len(self.roots), 8 * bits.itemsize))
+        for tree, (first, end) in enumerate(zip(self.roots, ends)):
+            below, leaf = {}, 0
+            for node in range(end - 1, first - 1, -1):  # children come after their parent
+                if self.feature[node] < 0:
+                    below[node] = 1 << leaf
+                    value[tree, (below[node] * factor & every) >> shift] = self.value[node]
+                    leaf += 1
+                    continue
+                left, right = below[self.child[node]], below[self.child[node] + 1]
+                side = open_[self.feature[node], :, tree]
+                side[: self.bin[node] + 1] &= bits.type(every & ~right)
+                side[self.bin[node] + 1:] &= bits.type(every & ~left)
+                below[node] = left | right
+            open_[:, :, tree] &= bits.type(below[first])
+        return open_, value
+
     def predict(self, x: np.ndarray) -> np.ndarray:
         codes = coded(x, self.edges)
-        out, every = np.full(len(x), self.start), np.arange(len(x))
-        for root in self.roots:
-            at = np.full(len(x), root)
-            while (inner := self.feature[at] >= 0).any():
-                down = self.child[at] + (codes[every, np.maximum(self.feature[at], 0)] > self.bin[at])
-                at = np.where(inner, down, at)
-            out += self.value[at]
+        open_, value = self.admitted
+        factor, shift = PLACES[open_.dtype.str[1:]]
+        out, at = np.empty(len(x)), np.arange(len(value)) * value.shape[1]
+        for low in range(0, len(x), 256):  # as many rows as stay in the cache with all their trees
+            part = codes[low:low + 256]
+            leaf = open_[0].take(part[:, 0], 0)
+            for f in range(1, len(open_)):
+                leaf &= open_[f].take(part[:, f], 0)
+            each = np.empty((len(part), len(value) + 1))
+            each[:, 0] = self.start
+            each[:, 1:] = value.take((leaf * leaf.dtype.type(factor) >> leaf.dtype.type(shift)).astype(np.intp) + at)
+            out[low:low + 256] = each.cumsum(1)[:, -1]  # tree after tree
         return out
 
 

@@ -119,6 +119,37 @@ def test_boosted_missing_values_and_few_labels(spark):
     assert models == {} and B.predict(models, few, ["a"]).count() == 0
 
 
+def _walk(b, x):
+    codes, out = B.coded(x, b.edges), np.full(len(x), b.start)
+    for root in b.roots:
+        at = np.full(len(x), root)
+        while (inner := b.feature[at] >= 0).any():
+            at = np.where(inner, b.child[at] + (codes[np.arange(len(x)), np.maximum(b.feature[at], 0)] > b.bin[at]), at)
+        out += b.value[at]
+    return out
+
+
+def test_prediction_equals_the_walk_down_the_trees_and_is_faster():
+    from time import perf_counter
+    x, y = _data(1500, 6)
+    x[::7, 1], x[::11, 2] = np.nan, np.inf
+    z = np.concatenate([_data(4000, 7)[0], x])
+    for leaves in (2, 15, 16, 17, 40, 64):
+        b = B.fit_booster(x, y, 0.5, trees=5, leaves=leaves)
+        assert (b.predict(z) == _walk(b, z)).all() and b.predict(z[:0]).shape == (0,)
+    b = B.fit_booster(x, y, 0.5, trees=100)
+    took = []
+    for run in (lambda: b.predict(z), lambda: _walk(b, z)):
+        run()
+        ends = []
+        for _ in range(3):
+            start = perf_counter()
+            run()
+            ends.append(perf_counter() - start)
+        took.append(min(ends))
+    assert 3 * took[0] < took[1]
+
+
 def test_shapley_lattice_equals_all_orders(spark):
     x, y = _data(400, 3)
     f = ["a", "b", "c"]
