@@ -157,11 +157,15 @@ def public_series(df: DataFrame, reported: DataFrame, *, entity: str = "entity_i
                   oil: str = "oil", days: str = "days", min_producing: int = 36, peak_window: int = 4) -> DataFrame:
     """Series re-indexed from the early peak; duplicated reports summed, missing reports are not zeros.
 
-    Entities that already produced in the first report are dropped (their start is unknown).
+    Entities that already produced in the first report are dropped (their start is unknown). Reports are summed and placed by windows
+    that all have the order of the months: rows are sorted once, and no task holds them in tables of groups besides.
     """
     first_report = reported.agg(F.min(month)).scalar()
-    g = (df.groupBy(entity, month).agg(F.sum(oil).alias("oil"), F.sum(days).alias("days")).where("oil > 0"))
-    w = Window.partitionBy(entity)
+    same = Window.partitionBy(entity, month)
+    one = df.select(entity, month, F.col(oil).alias("oil"), F.col(days).alias("days")).repartition(entity).withColumn("_no", F.row_number().over(same.orderBy("oil")))
+    g = one.withColumn("oil", F.sum("oil").over(same)).withColumn("days", F.sum("days").over(same)).where("_no = 1 AND oil > 0").drop("_no")
+    until = Window.partitionBy(entity).orderBy(month).rowsBetween(Window.unboundedPreceding, 0)
+    w = until.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     on = F.col("days") > 0
     kept = (
         g.withColumn("_start", F.min(month).over(w))
@@ -169,8 +173,7 @@ def public_series(df: DataFrame, reported: DataFrame, *, entity: str = "entity_i
         .where((F.col("_start") > first_report) & (F.col("_n_on") >= min_producing))
     )
     rate = F.when(on, F.col("oil") / F.greatest(F.col("days"), F.lit(1)))
-    ordered = kept.withColumn("rate", rate).withColumn(
-        "_rank_on", F.sum(on.cast("int")).over(w.orderBy(month).rowsBetween(Window.unboundedPreceding, 0)))
+    ordered = kept.withColumn("rate", rate).withColumn("_rank_on", F.sum(on.cast("int")).over(until))
     best = ordered.withColumn("_p", F.max(F.when(on & (F.col("_rank_on") <= peak_window),
                                                  F.struct(F.col("rate"), (-F.col(month)).alias("_neg")))).over(w))
     peak_m = -F.col("_p._neg")

@@ -233,3 +233,15 @@ def test_analog_volume_equals_the_month_by_month_sum(spark):
     got = d.select("id", F.when(F.col("scale").isNotNull(), step).alias("a"), F.when(F.col("scale").isNotNull(), U.analog_volume("tc", "ext", "months_on", "scale", "q_econ")).alias("b")).collect()
     for r in got:
         assert (r.a is None and r.b is None) or abs(r.a - r.b) < 1e-9 * max(1, r.a), r
+
+
+def test_public_series_sorts_once_and_sums_repeated_reports(spark):
+    rows = [(1, 0, 9.0, 30)] + [(2, m, float(20 - abs(m - 3)), 30) for m in range(1, 9)] + [(2, 4, 5.0, 1), (2, 20, 3.0, 0), (None, 5, 7.0, 10), (None, 6, 8.0, 10), (3, 2, None, 5), (3, 3, 1.0, 5)]
+    df = spark.createDataFrame(rows, "entity_id long, mi long, oil double, days int")
+    out = series.public_series(df, df.select("mi"), min_producing=2)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate(keys=[entity_id" not in plan and sum("Sort [entity_id" in line for line in plan.splitlines()) == 1
+    got = sorted(((r.entity_id or 0, r.t, r.rate, r.volume, r.cum_before_peak, r.start_month) for r in out.collect()))
+    # month 4 sums two reports and is the peak of the first four
+    want = [(0, 0.5, .8, 8.0, 7.0, 5)] + [(2, m - 4 + .5, v / d, v, 18.0 + 19.0 + 20.0, 1) for m, v, d in ((4, 24.0, 31), (5, 18.0, 30), (6, 17.0, 30), (7, 16.0, 30), (8, 15.0, 30))]
+    assert len(got) == len(want) and all(np.allclose(a, b) for a, b in zip(got, want))
