@@ -245,3 +245,10 @@ def test_public_series_sorts_once_and_sums_repeated_reports(spark):
     # month 4 sums two reports and is the peak of the first four
     want = [(0, 0.5, .8, 8.0, 7.0, 5)] + [(2, m - 4 + .5, v / d, v, 18.0 + 19.0 + 20.0, 1) for m, v, d in ((4, 24.0, 31), (5, 18.0, 30), (6, 17.0, 30), (7, 16.0, 30), (8, 15.0, 30))]
     assert len(got) == len(want) and all(np.allclose(a, b) for a, b in zip(got, want))
+
+
+def test_texts_of_one_row_group_are_tokenised_by_many_tasks(spark):
+    docs = spark.createDataFrame([(1, "proved reserves proved"), (1, "proved reserves proved"), (2, None), (None, "decline"), (3, "the of")], "doc_id long, text string").coalesce(1)
+    p = text.postings(docs, "doc_id", "text")
+    assert "REPARTITION_BY_NUM" in p._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.doc_id or 0, r.dl, r.term, r.tf) for r in p.collect()) == [(0, 1, "decline", 1), (1, 3, "proved", 4), (1, 3, "reserve", 2)]
