@@ -408,6 +408,7 @@ def evaluate(monthly: DataFrame, master: DataFrame, events: DataFrame, new_entit
     start = as_of - cfg.period + 1
     info = master.select(entity, unit, "fmi")
     m = monthly.where(F.col("mi") <= as_of)
+    econ = materialise(econ)  # a few rows a unit, read by many joins: else each builds the prices and their copies on the driver again
     eff = materialise(measure_effects(m, events, as_of, cfg, entity=entity).join(info.hint("merge"), entity).withColumn(
         "in_period", (F.col("emi") >= start) & (F.col("fmi") < start)), plain=True)
     curves = materialise(packed_curve(type_curve(m, master, as_of, cfg, unit=unit, entity=entity), unit=unit))

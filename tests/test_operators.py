@@ -252,3 +252,20 @@ def test_texts_of_one_row_group_are_tokenised_by_many_tasks(spark):
     p = text.postings(docs, "doc_id", "text")
     assert "REPARTITION_BY_NUM" in p._jdf.queryExecution().executedPlan().toString()
     assert sorted((r.doc_id or 0, r.dl, r.term, r.tf) for r in p.collect()) == [(0, 1, "decline", 1), (1, 3, "proved", 4), (1, 3, "reserve", 2)]
+
+
+def test_orders_and_cells_do_not_meet_by_way_of_the_driver(spark, tmp_path):
+    import datetime
+    from drawdown.operators.spatial import radius_count
+    from drawdown.sources.bind import account_monthly
+    day = datetime.datetime(1995, 3, 1)
+    lines = [(1, 5.0, .1, "O", day), (1, 2.0, .0, "F", day), (2, 1.0, .2, "F", day + datetime.timedelta(40)), (None, 9.0, .1, "O", day), (9, 9.0, .1, "O", day)]
+    spark.createDataFrame(lines, "l_orderkey long, l_quantity double, l_discount double, l_linestatus string, l_shipdate timestamp").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(1, 7), (2, 7), (2, 8), (None, 9)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    m = account_monthly(spark, str(tmp_path))
+    assert "Broadcast" not in m._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.entity_id, r.oil, r.days_on, r.days) for r in m.collect()) == [(7, 1.0, 0, 1), (7, 7.0, 1, 1), (8, 1.0, 0, 1)]
+    pts = spark.createDataFrame([(1, 0.0, 0.0), (2, 50.0, 50.0)], "entity_id long, x double, y double")
+    near = radius_count(pts, spark.range(300).select((F.col("id") % 3).cast("double").alias("x"), F.lit(0.0).alias("y")), 10.0, split=4)
+    assert "BroadcastHashJoin" not in near._jdf.queryExecution().executedPlan().toString()
+    assert {r.entity_id: r.n_near for r in near.collect()} == {1: 300, 2: 0}
