@@ -223,6 +223,15 @@ nrows AS (SELECT * FROM c_nr UNION ALL SELECT * FROM c_sr)""",
 tt AS (SELECT p.unit_id, p.param, p.x, p.role, coalesce(t.v,0) AS v FROM pe p LEFT JOIN tot t USING (unit_id, scenario))"""]
 
 
+def _usable(m, short, new_ids):
+    """Months of the short series up to their cutoff, and all months of the new entities.
+
+    Written once: Spark takes a union of two dealt halves for one dealing, and a merge join over it failed where their partitions were not as many as the other side's.
+    """
+    rows = m.join(short.hint("merge"), "entity_id").where(F.col("cutoff").isNull() | (F.col("mi") < F.col("cutoff"))).select("entity_id", "mi", "oil")
+    return materialise(rows.unionByName(m.join(new_ids.hint("merge"), "entity_id", "left_semi").select("entity_id", "mi", "oil")))
+
+
 def sensitivity_totals(spark, sf):
     """Best-estimate volume of fitted, analog and new entities at every perturbation point, one pass."""
     c = evaluated(spark, sf, "close")
@@ -238,9 +247,8 @@ def sensitivity_totals(spark, sf):
                              pts.select("unit_id", "param", "x", "role", "q_econ", "rate_factor", "decline_delta"))
     short = old.where("status = 'short_history'").select("entity_id", "cutoff")
     m = c["m"].where(F.col("mi") <= CLOSE)
-    rows_s = m.join(short.hint("merge"), "entity_id").where(F.col("cutoff").isNull() | (F.col("mi") < F.col("cutoff"))).select("entity_id", "mi", "oil")
     new_ids = _at(c["new"], "sec").select("entity_id")
-    rows = rows_s.unionByName(m.join(new_ids.hint("merge"), "entity_id", "left_semi").select("entity_id", "mi", "oil"))
+    rows = _usable(m, short, new_ids)
     info = c["acc"].join(short.select("entity_id").unionByName(new_ids).hint("merge"), "entity_id", "left_semi").select("entity_id", "unit_id", "fmi")
     alt = U.new_entity_reserves(rows, info, c["curves"], pts.select("unit_id", "scenario", "q_econ"), CLOSE, CFG)
     alt = alt.groupBy("unit_id", "scenario").agg(F.sum(F.coalesce("reserves", F.lit(0.0))).alias("_a"))
