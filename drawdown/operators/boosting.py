@@ -1,7 +1,7 @@
 """Quantile gradient boosting: every leaf holds the exact quantile of the residuals that reach it.
 
-A model per (target, level) is fitted by a task of its own on a bounded sample of labelled rows; a fitted model is a table of nodes whose size the numbers of trees and
-leaves bound, so it is sent to wherever rows are predicted. Trees follow the sign of the residual (the slope of the pinball loss) over binned
+A model per (target, level) is fitted by a task of its own on all labelled rows, which it holds as one byte a feature and three numbers; a fitted model is a table of nodes whose
+size the numbers of trees and leaves bound, so it is sent to wherever rows are predicted. Trees follow the sign of the residual (the slope of the pinball loss) over binned
 features; missing values are a bin below all others.
 """
 from __future__ import annotations
@@ -15,39 +15,43 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.columns import hash_uniform
-from ..session import materialise, spread
+from ..session import materialise
 
 # The published defaults of the model family.
 TREES, RATE, LEAVES, MIN_LEAF, L2, LEVELS, AT_LEAST = 400, 0.06, 15, 8, 1.0, (0.1, 0.5, 0.9), 25
 BINS = 64
-#: Labelled rows that a model is fitted on at most, those with the smallest hash of their identifier.
-SAMPLE = 20_000
+
+
+def _edges(column: np.ndarray, bins: int = BINS) -> np.ndarray:
+    seen = column[np.isfinite(column)]
+    return np.unique(np.quantile(seen, np.linspace(0, 1, bins)[1:-1], method="lower")) if len(seen) else np.empty(0)
 
 
 def edges_of(x: np.ndarray, bins: int = BINS) -> list[np.ndarray]:
     """Per feature the values that part its bins: between distinct values, at even shares of the rows."""
-    out = []
-    for column in x.T:
-        seen = column[np.isfinite(column)]
-        out.append(np.unique(np.quantile(seen, np.linspace(0, 1, bins)[1:-1], method="lower")) if len(seen) else np.empty(0))
-    return out
+    return [_edges(column, bins) for column in x.T]
+
+
+def _codes(column: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    return np.where(np.isfinite(column), np.searchsorted(edges, column, "left") + 1, 0)
 
 
 def coded(x: np.ndarray, edges: Sequence[np.ndarray]) -> np.ndarray:
     """Bin of every value, from 1; 0 where it is missing."""
-    return np.stack([np.where(np.isfinite(c), np.searchsorted(e, c, "left") + 1, 0) for c, e in zip(x.T, edges)], 1).astype(np.int64)
+    return np.stack([_codes(c, e) for c, e in zip(x.T, edges)], 1).astype(np.int64)
 
 
 def _split(codes: np.ndarray, slope: np.ndarray, rows: np.ndarray, least: int, l2: float) -> tuple[float, int, int]:
-    """(gain, feature, last bin of the left side) of the best split; gain 0 if there is none."""
-    n, width = len(rows), codes.shape[1]
+    """(gain, feature, last bin of the left side) of the best split; gain 0 if there is none. ``codes``: [feature, row]."""
+    n = len(rows)
     if n < 2 * least:
         return 0.0, 0, 0
     g = slope[rows]
-    flat = (codes[rows] + np.arange(width) * (BINS + 1)).ravel()
-    size = np.bincount(flat, minlength=width * (BINS + 1)).reshape(width, -1).cumsum(1)[:, :-1]
-    left = np.bincount(flat, np.repeat(g, width), width * (BINS + 1)).reshape(width, -1).cumsum(1)[:, :-1]
+    size, left = np.empty((len(codes), BINS), np.int64), np.empty((len(codes), BINS))
+    for f, column in enumerate(codes):
+        at = column[rows]
+        size[f] = np.bincount(at, minlength=BINS + 1).cumsum()[:-1]
+        left[f] = np.bincount(at, g, BINS + 1).cumsum()[:-1]
     total = g.sum()
     gain = left ** 2 / (size + l2) + (total - left) ** 2 / (n - size + l2) - total ** 2 / (n + l2)
     gain[(size < least) | (n - size < least)] = 0.0
@@ -121,7 +125,11 @@ class Booster:
 
 def fit_booster(x: np.ndarray, y: np.ndarray, level: float, trees: int = TREES, rate: float = RATE, leaves: int = LEAVES, least: int = MIN_LEAF, l2: float = L2) -> Booster:
     edges = edges_of(x)
-    codes = coded(x, edges)
+    return _grown(np.stack([_codes(c, e).astype(np.uint8) for c, e in zip(x.T, edges)]), edges, y, level, trees, rate, leaves, least, l2)
+
+
+def _grown(codes: np.ndarray, edges: list[np.ndarray], y: np.ndarray, level: float, trees: int = TREES, rate: float = RATE, leaves: int = LEAVES, least: int = MIN_LEAF, l2: float = L2) -> Booster:
+    """``codes``: [feature, row], a byte each, so that a task can hold many rows."""
     start = float(np.quantile(y, level))
     now = np.full(len(y), start)
     nodes: list[list[float]] = []  # feature, bin, child, value
@@ -147,7 +155,7 @@ def fit_booster(x: np.ndarray, y: np.ndarray, level: float, trees: int = TREES,
             nodes[node][:3] = [feature, last, len(nodes)]
             first = len(nodes)
             nodes += [[-1, 0, 0, 0.0], [-1, 0, 0, 0.0]]
-            goes = codes[rows, feature] <= last
+            goes = codes[feature][rows] <= last
             offer(first, rows[goes])
             offer(first + 1, rows[~goes])
             count += 1
@@ -161,26 +169,41 @@ def fit_booster(x: np.ndarray, y: np.ndarray, level: float, trees: int = TREES,
 MODEL = "target string, level double, n bigint, start double, edges array<array<double>>, roots array<bigint>, feature array<bigint>, bin array<bigint>, child array<bigint>, value array<double>"
 
 
-def fit_models(train: DataFrame, features: Sequence[str], targets: Sequence[str], *, ident: str = "entity_id", levels: Sequence[float] = LEVELS, at_least: int = AT_LEAST,
-               sample: int = SAMPLE, trees: int = TREES, seed: int = 0) -> DataFrame:
+def fit_models(train: DataFrame, features: Sequence[str], targets: Sequence[str], *, ident: str = "entity_id", levels: Sequence[float] = LEVELS, at_least: int = AT_LEAST, trees: int = TREES) -> DataFrame:
     """One row per (target, level): the fitted nodes. Targets with fewer than ``at_least`` labels have none.
 
-    Models are fitted side by side, one a task, each on the target's labels among the ``sample`` rows with the smallest hash; null labels are left out.
+    Models are fitted side by side, one a task, each on all of the target's labels in the order of ``ident``; null labels are left out. A task takes its rows
+    batch by batch and then keeps the bins of the features, one byte each.
     """
     features = list(features)
-    chosen = train.select(ident, *features, *targets).orderBy(hash_uniform(F.lit(seed), F.lit("train"), ident), ident).limit(sample)
-    long = chosen.select(ident, *[F.col(f).cast("double").alias(f) for f in features], F.explode(F.array(*[F.struct(F.lit(t).alias("target"), F.col(t).cast("double").alias("_label")) for t in targets])).alias("t"))
-    long = long.select("*", "t.*").where("_label IS NOT NULL").withColumn("level", F.explode(F.array(*map(F.lit, levels)))).drop("t")
-
-    def fit(part: pd.DataFrame) -> pd.DataFrame:
-        if len(part) < at_least:
-            return pd.DataFrame(columns=[x.split()[0] for x in MODEL.split(", ")])
-        part = part.sort_values(ident)
-        b = fit_booster(part[features].to_numpy(float), part["_label"].to_numpy(float), float(part["level"].iloc[0]), trees)
-        return pd.DataFrame([dict(target=part["target"].iloc[0], level=part["level"].iloc[0], n=len(part), start=b.start, edges=[e.tolist() for e in b.edges], roots=b.roots.tolist(),
-                                  feature=b.feature.tolist(), bin=b.bin.tolist(), child=b.child.tolist(), value=b.value.tolist())])
-
-    return materialise(spread(long, "target", "level").groupBy("target", "level").applyInPandas(fit, MODEL))
+    known = [(t, q) for t in targets for q in levels]
+    labels = F.array(*[F.struct(F.lit(i).alias("_model"), F.col(t).cast("double").alias("_label")) for i, (t, _) in enumerate(known)])
+    long = train.select(ident, *[F.col(f).cast("double").alias(f) for f in features], F.explode(labels).alias("_t")).select(ident, *features, "_t.*").where("_label IS NOT NULL")
+    names = [ident, "_label", *features]
+
+    def fit(batches):
+        held: dict[int, list[list[pd.Series]]] = {}
+        for part in batches:
+            for model, rows in part.groupby("_model"):
+                for kept, name in zip(held.setdefault(int(model), [[] for _ in names]), names):
+                    kept.append(rows[name])
+        for model in sorted(held):
+            columns = held.pop(model)
+            order = pd.concat(columns.pop(0), ignore_index=True).sort_values().index.to_numpy()
+            y = np.concatenate(columns.pop(0))[order]
+            if len(y) < at_least:
+                continue
+            codes, edges = np.empty((len(features), len(y)), np.uint8), []
+            for i in range(len(features)):
+                x = np.concatenate(columns.pop(0))[order]
+                edges.append(_edges(x))
+                codes[i] = _codes(x, edges[-1])
+            target, level = known[model]
+            b = _grown(codes, edges, y, level, trees)
+            yield pd.DataFrame([dict(target=target, level=level, n=len(y), start=b.start, edges=[e.tolist() for e in b.edges], roots=b.roots.tolist(),
+                                     feature=b.feature.tolist(), bin=b.bin.tolist(), child=b.child.tolist(), value=b.value.tolist())])
+
+    return materialise(long.repartitionById(max(len(known), 1), "_model").mapInPandas(fit, MODEL))
 
 
 Models = dict[str, dict[float, Booster]]

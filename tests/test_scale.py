@@ -4,6 +4,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from drawdown.operators import boosting as B
 from drawdown.plans import business
 
 
@@ -15,3 +16,12 @@ def test_sensitivity_rows_are_written_before_they_are_joined(spark):
     assert sorted((r.entity_id, r.mi) for r in rows.collect()) == [(1, 0), (1, 1), (2, 0), (2, 1), (2, 2), (3, 0), (3, 1), (3, 2)]
     plan = rows.join(m.groupBy("entity_id").count().hint("merge"), "entity_id")._jdf.queryExecution().executedPlan().toString()
     assert "Union" not in plan  # of two dealt halves: its partitions do not match those of the other side
+
+
+def test_models_learn_from_all_labelled_rows(spark):
+    df = spark.range(20500).select(F.col("id").alias("entity_id"), (F.col("id") % 50).cast("double").alias("a"), F.when(F.col("id") % 100 > 0, F.col("id").cast("double")).alias("t"))
+    got = B.fit_models(df, ["a"], ["t"], levels=(0.5,), trees=2).collect()
+    assert [r.n for r in got] == [20500 - 205]
+    pdf = df.where("t IS NOT NULL").toPandas()
+    whole = B.fit_booster(pdf[["a"]].to_numpy(), pdf["t"].to_numpy(), 0.5, trees=2)
+    assert got[0].start == whole.start and got[0].value == whole.value.tolist() and got[0].bin == whole.bin.tolist()
