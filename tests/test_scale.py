@@ -4,7 +4,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from drawdown.operators import boosting as B
+from drawdown.operators import boosting as B, spatial
 from drawdown.plans import business
 
 
@@ -25,3 +25,32 @@ def test_models_learn_from_all_labelled_rows(spark):
     pdf = df.where("t IS NOT NULL").toPandas()
     whole = B.fit_booster(pdf[["a"]].to_numpy(), pdf["t"].to_numpy(), 0.5, trees=2)
     assert got[0].start == whole.start and got[0].value == whole.value.tolist() and got[0].bin == whole.bin.tolist()
+
+
+def test_variogram_copies_points_to_a_bounded_number_of_blocks(spark):
+    rng = np.random.default_rng(4)
+    rows = [("g", *map(float, r)) for r in rng.uniform(0, 100, (900, 3)).round(3)] + [("h", float(i % 5), 0.0, float(i)) for i in range(30)]
+    df = spark.createDataFrame(rows, "grp string, x double, y double, v double")
+    assert spatial._block_pairs(spatial._blocks(df, "grp", "x", "y", "v", 10)).count() <= spatial.BLOCKS * (spatial.BLOCKS + 1) // 2 + 6  # 90 blocks would have 4095 pairs
+    got = {(r.grp, r.bin): r for r in spatial.experimental_variogram(df, group="grp", rows_per_block=10).collect()}
+    for g in "gh":
+        p = np.array([r[1:] for r in rows if r[0] == g])
+        i, j = np.triu_indices(len(p), 1)
+        h, s = np.sqrt((p[i, 0] - p[j, 0]) ** 2 + (p[i, 1] - p[j, 1]) ** 2), 0.5 * (p[i, 2] - p[j, 2]) ** 2
+        top = np.quantile(h, 0.6)
+        k = np.floor(h[h < top] / top * 14).astype(int)
+        for b in range(14):
+            if (k == b).sum() >= 8:
+                r = got.pop((g, b))
+                assert (r.n, r.h, r.gamma) == (int((k == b).sum()), pytest.approx(h[h < top][k == b].mean()), pytest.approx(s[h < top][k == b].mean()))
+    assert not got
+
+
+def test_tiles_hold_every_pair_once():
+    rng = np.random.default_rng(5)
+    a, b = rng.uniform(0, 9, (3, 1000)), rng.uniform(0, 9, (3, 401))
+    for other, same in ((a, True), (b, False)):
+        h, dv = (np.concatenate(x) for x in zip(*spatial._tiles(a, other, same, True)))
+        full = np.hypot(a[0][:, None] - other[0], a[1][:, None] - other[1])
+        want = full[np.triu_indices(1000, 1)] if same else full.ravel()
+        assert len(h) == len(dv) == len(want) and np.allclose(np.sort(h), np.sort(want))
