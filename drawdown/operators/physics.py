@@ -75,78 +75,177 @@ def _first_crossing(qi, shape, q_econ, step):
     return np.where(alive, q, 0.0).sum(1) * step * DAYS_PER_MONTH, alive
 
 
-def np_fit(t, q, q_econ: float, cum: float, cap, prior: dict, start: dict | None = None) -> tuple:
-    """(qi, di, t_elf, b_bdf, d_min, rmse, r2, n, converged, cap_binding): penalised least squares on log rates.
+#: Cells of the first lattice and of the narrower ones along ln di, ln t_elf and b, and the levels at which a volume cap lowers ln qi.
+CELLS, LEVELS = ((15, 11, 6), *[(7, 7, 5)] * 5), 6
+BOXES = (LN_DI, LN_TELF, (B_MIN, B_MAX), (-1.0, 0.0))
+#: Series that are searched together: the shapes of their lattices stay in the cache.
+FIT_ROWS = 8
+#: Shapes of the first lattice at whole months, under 0, as far as they were asked for.
+_first: dict[int, np.ndarray] = {}
+
+
+def _parts(di, te, b, dm: float = D_MIN) -> tuple:
+    """End of linear flow, the decline there, and the time from there to the terminal decline."""
+    te = np.where(di > dm, np.minimum(te, (di / dm - 1.0) / (2.0 * di)), te)
+    d_e = di / (1 + 2 * di * te)
+    return te, d_e, np.maximum((d_e / dm - 1.0) / (b * d_e), 0.0)
+
+
+def _log_shape(t, di, te, b, dm: float = D_MIN) -> np.ndarray:
+    """ln of :func:`_shape` of arrays that broadcast; what b has no part in is computed without its axis.
+
+    Linear flow goes on to t_elf, boundary-dominated flow to the terminal decline: each part stays as it is from its end on, so their logarithms add up.
+    """
+    te, d_e, tsw = _parts(di, te, b, dm)
+    flow = np.minimum(t, te)
+    base = -0.5 * np.log(1 + 2 * di * flow) - dm * (t - flow)
+    boundary = np.minimum(t - flow, tsw)
+    out = boundary * (b * d_e)
+    out += 1.0
+    np.log(out, out=out)
+    out *= -1.0 / b
+    boundary *= dm
+    out += boundary
+    out += base
+    return out
+
+
+def _log_shapes(t: np.ndarray, u: np.ndarray, v: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The same for the lattices over the axes u = ln di, v = ln t_elf and b, one lattice a row: [time, lattice, cell]."""
+    return _log_shape(t[:, None, None, None, None], np.exp(u)[:, :, None, None], np.exp(v)[:, None, :, None], b[:, None, None, :]).reshape(len(t), len(u), -1)
+
+
+def _volume_bounds(lnq, di, te, b, q_econ: float, t_now: float, step: float, dm: float = D_MIN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(lower, upper, end): bounds of the step sum of :func:`_first_crossing`, and the time when the rate falls to the limit, at most the horizon.
+
+    Rates fall and are convex, but for one end of linear flow: the trapezoids of the steps lie above the integral, by at most an eighth of the squared step times the slope now.
+    """
+    te, d_e, tsw = _parts(di, te, b, dm)
+    l_e, l_sw = -0.5 * np.log(1 + 2 * di * te), -np.log(1 + b * d_e * tsw) / b
+    q_e, q_sw = np.exp(l_e), np.exp(l_e + l_sw)
+
+    def at(t):
+        """Volume so far and rate, in units of qi."""
+        flow = np.minimum(t, te)
+        root = np.sqrt(1 + 2 * di * flow)
+        log = np.log(1 + b * d_e * np.minimum(t - flow, tsw))
+        grown = np.where(b < 1 - 1e-6, -np.expm1(-log * (1 - b) / b) / np.maximum(1 - b, 1e-9), log) / d_e
+        tail = np.exp(-dm * np.maximum(t - te - tsw, 0.0))
+        return (root - 1) / di + q_e * grown + q_sw * (1 - tail) / dm, np.exp(-log / b) * tail / root
+
+    left = np.minimum(np.log(q_econ) - lnq, 0.0)  # how far ln of the shape falls until the limit
+    below = np.minimum(left - l_e, 0.0)
+    end = np.where(left >= l_e, np.expm1(-2 * np.maximum(left, l_e)) / (2 * di),
+                   te + np.where(below >= l_sw, np.expm1(-b * np.maximum(below, l_sw)) / (b * d_e), tsw - np.minimum(below - l_sw, 0.0) / dm))
+    end = np.minimum(end, HORIZON)
+    steps = (end - t_now) / step
+    n = np.minimum(np.floor(steps) + 1, len(np.arange(t_now, HORIZON, step)))
+    scale = np.exp(lnq) * DAYS_PER_MONTH
+    (v0, r0), (v1, r1) = at(t_now), at(t_now + np.maximum(n - 1, 0.0) * step)
+    since = np.where(t_now < te, di / (1 + 2 * di * np.minimum(t_now, te)), d_e / (1 + b * d_e * np.clip(t_now - te, 0.0, tsw)))
+    body = (v1 - v0) + step / 2 * (r0 + r1)
+    unsure = np.where(np.abs(steps - np.round(steps)) < 1e-6, step * r1, 0.0) + 1e-9 * (v1 + r0)  # whether a last step belongs to it, and rounding
+    unsure = unsure + step * step / 8 * np.maximum(dm - d_e, 0.0) * r0  # where linear flow ends below the terminal decline, rates fall faster from there on
+    known = steps > -1e-6
+    return (np.where(known, np.maximum(scale * (body - unsure), 0.0), 0.0),
+            np.where(known, scale * (body + unsure + step * step / 8 * np.maximum(since, dm) * r0), 0.0), end)
+
+
+def _first_shapes(t: np.ndarray, sides: list[np.ndarray]) -> np.ndarray:
+    """Shapes of the first lattice, the same for all series; those of whole months are computed once."""
+    months = t.astype(int)
+    if (months != t).any() or months.max() > HORIZON:
+        return _log_shapes(t, *sides)
+    if months.max() >= len(_first.get(0, ())):
+        _first[0] = _log_shapes(np.arange(2.0 * months.max() + 1), *sides)
+    return _first[0][months]
+
+
+def _under_cap(z: np.ndarray, lnq: np.ndarray, di: np.ndarray, te: np.ndarray, b: np.ndarray, bounds: tuple, q_econ: float, t_now: float, cum: float, cap: float, step: float = 2.0) -> np.ndarray:
+    """``z`` of one series with the penalty of the volume cap where the sum can be least, infinite elsewhere.
+
+    The penalty is known to be 0 where the upper bound of the volume stays under the cap, and between bounds elsewhere, so few cells need their volume summed.
+    """
+    volume, most, end = bounds
+    beyond = lambda x: (50.0 * np.maximum(0.0, (cum + x) / cap - 1.0)) ** 2
+    out = np.where(cum + most <= cap, z, np.inf)
+    least, lower = min(out.min(), (z + beyond(most)).min()), z + beyond(volume)
+    at = np.flatnonzero((lower <= least + 1e-8) & np.isinf(out))
+    at = at[np.argsort(lower[at], kind="stable")]
+    while len(at):
+        part, at = at[:8], at[8:]
+        t = np.arange(t_now, min(HORIZON, end[part].max() + 2 * step), step)
+        q = np.exp(lnq[part, None] + _log_shape(t[None, :], di[part, None], te[part, None], b[part, None]))
+        alive = np.logical_and.accumulate(q >= q_econ, axis=1)
+        out[part] = z[part] + beyond(np.where(alive, q, 0.0).sum(1) * step * DAYS_PER_MONTH)
+        least = min(least, out[part].min())
+        at = at[lower[at] <= least + 1e-8]
+    return out
+
+
+def np_fit_rows(t: np.ndarray, rows: np.ndarray, q_econ: float, cum: float, cap, prior: dict) -> tuple[np.ndarray, ...]:
+    """(qi, di, t_elf, b_bdf) of series with the same times, one a row, all positive: penalised least squares on log rates.
 
     ln qi is solved in closed form for every cell of a (di, t_elf, b) lattice that is narrowed around its best cell.
     A volume cap adds a fourth axis that lowers ln qi, because the penalty couples it to the other parameters.
-    ``start`` keeps the shapes of the first lattice for further fits at the same times.
     """
+    if len(rows) > FIT_ROWS:
+        return tuple(map(np.concatenate, zip(*(np_fit_rows(t, rows[i:i + FIT_ROWS], q_econ, cum, cap, prior) for i in range(0, len(rows), FIT_ROWS)))))
+    n, lq = len(rows), np.log(rows)
+    t_now = float(t.max())
+    w = 0.5 ** ((t_now - t) / 24.0)
+    w = w / w.mean() / SIGMA ** 2
+    total, has_cap = w.sum(), cap is not None and np.isfinite(cap) and cap > 0
+    mid = [np.full(n, (lo + hi) / 2) for lo, hi in BOXES]
+    half = [(hi - lo) / 2 for lo, hi in BOXES]
+    best = np.full((n, 6), np.inf)  # cost, u, v, b, s, ln qi
+    every = np.arange(n)
+    for turn, k in enumerate(CELLS):
+        sides = [np.clip(m[:, None] + h * np.linspace(-1, 1, kk), *box) for m, h, kk, box in zip(mid, half, (*k, LEVELS), BOXES)]
+        u, v, b, s = sides if has_cap else (*sides[:3], np.zeros((n, 1)))
+        ls = _log_shapes(t, u, v, b) if turn else np.broadcast_to(_first_shapes(t, [u[:1], v[:1], b[:1]]), (len(t), n, np.prod(k)))
+        free = ((w @ lq.T)[:, None] - np.tensordot(w, ls, 1)) / total
+        r = ls + free
+        r -= lq.T[:, :, None]
+        r *= r
+        away = lambda x, mean, sd: ((x - prior[mean]) / prior[sd]) ** 2
+        near = ((v - np.log(prior["t_elf"])) / prior["t_elf_sd"]) ** 2
+        z = np.tensordot(w, r, 1) + (away(u, "ln_di", "ln_di_sd")[:, :, None, None] + near[:, None, :, None] + away(b, "b_mean", "b_sd")[:, None, None, :]).reshape(n, -1)
+        # residuals have weighted mean 0 where ln qi is free, so lowering it adds its square
+        z = (z[:, :, None] + total * (s * s)[:, None, :]).reshape(n, -1)
+        cells = lambda row, i: [x[row, j] for x, j in zip((u, v, b, s), np.unravel_index(i, (*k, s.shape[1])))]
+        if has_cap:
+            shape = (n, *k, LEVELS)
+            lnq = (free[:, :, None] + s[:, None, :]).reshape(shape)
+            di, te, bb = np.exp(u)[:, :, None, None, None], np.exp(v)[:, None, :, None, None], b[:, None, None, :, None]
+            flat = lambda x: np.broadcast_to(x, shape).reshape(n, -1)
+            bounds = [flat(x) for x in _volume_bounds(lnq, di, te, bb, q_econ, t_now, 2.0)]
+            for row, *of in zip(every, flat(lnq), flat(di), flat(te), flat(bb)):
+                z[row] = _under_cap(z[row], *of, tuple(x[row] for x in bounds), q_econ, t_now, cum, cap)
+        i = np.argmin(np.round(z, 9), 1)
+        found = np.stack([z[every, i], *cells(every, i), np.zeros(n)], 1)
+        found[:, 5] = free[every, i // s.shape[1]] + found[:, 4]
+        best = np.where(found[:, :1] <= best[:, :1], found, best)
+        mid = [best[:, c] for c in range(1, 5)]
+        half = [h * (2.0 / (kk - 1)) for h, kk in zip(half, (*k, LEVELS))]
+    return np.exp(best[:, 5]), np.exp(best[:, 1]), np.exp(best[:, 2]), best[:, 3].copy()
+
+
+def np_fit(t, q, q_econ: float, cum: float, cap, prior: dict) -> tuple:
+    """(qi, di, t_elf, b_bdf, d_min, rmse, r2, n, converged, cap_binding) by the search of :func:`np_fit_rows`."""
     ok = np.isfinite(t) & np.isfinite(q) & (q > 0)
     t, q = t[ok], q[ok]
     n = len(t)
     if n < 4:
         return (float(q[0]) if n else 0.0, float(np.exp(prior["ln_di"])), prior["t_elf"], prior["b_mean"], D_MIN, None, None, n, False, False)
     t = t - t.min()
-    t_now, lq = float(t.max()), np.log(q)
-    w = 0.5 ** ((t_now - t) / 24.0)
-    w = w / w.mean() / SIGMA ** 2
-    has_cap = cap is not None and np.isfinite(cap) and cap > 0
-
-    def cost(u, v, b, s):
-        """Costs and ln qi of all cells of a lattice: s lowers ln qi only, so the shapes of (u, v, b) serve all of its values."""
-        u, v, b = (x.ravel() for x in np.meshgrid(u, v, b, indexing="ij"))
-        di, te = np.exp(u), np.exp(v)
-        at = (n, len(u)) if start is not None and ok.all() and best is None else None
-        ls = start.get(at) if at else None
-        if ls is None:
-            ls = np.log(np.maximum(_shape(t[:, None], di[None, :], te[None, :], b[None, :]), 1e-300))
-            if at:
-                start[at] = ls
-        free = np.einsum("i,ij->j", w, lq[:, None] - ls) / w.sum()
-        zs, lnqs, over = [], [], np.arange(len(u))
-        ahead = _ahead(np.exp(free + s.max()), di, te, b, q_econ, t_now, 2.0) if has_cap else None
-        for lower in s[::-1]:
-            lnq = free + lower
-            r = lnq[None, :] + ls - lq[:, None]
-            z = (np.einsum("i,ij,ij->j", w, r, r) + ((b - prior["b_mean"]) / prior["b_sd"]) ** 2 + ((v - np.log(prior["t_elf"])) / prior["t_elf_sd"]) ** 2
-                 + ((u - prior["ln_di"]) / prior["ln_di_sd"]) ** 2)
-            if has_cap and len(over):  # a cell under the cap stays under it at lower rates
-                rem, _ = _first_crossing(np.exp(lnq[over]), ahead[over], q_econ, 2.0)
-                beyond = np.maximum(0.0, (cum + rem) / cap - 1.0)
-                z[over] += (50.0 * beyond) ** 2
-                over = over[~(beyond <= 0)]
-            zs.append(z)
-            lnqs.append(lnq)
-        zs, lnqs = zs[::-1], lnqs[::-1]
-        return np.stack(zs, 1).ravel(), np.stack(lnqs, 1).ravel()
-
-    def axis(mid, half, k, box):
-        a = mid + half * np.linspace(-1, 1, k)
-        return np.unique(np.clip(a, *box))
-
-    mid = [sum(LN_DI) / 2, sum(LN_TELF) / 2, (B_MIN + B_MAX) / 2, -0.5]
-    half = [(LN_DI[1] - LN_DI[0]) / 2, (LN_TELF[1] - LN_TELF[0]) / 2, (B_MAX - B_MIN) / 2, 0.5]
-    best = None
-    for r in range(6):
-        k = (15, 11, 6) if r == 0 else (7, 7, 5)
-        sides = (axis(mid[0], half[0], k[0], LN_DI), axis(mid[1], half[1], k[1], LN_TELF), axis(mid[2], half[2], k[2], (B_MIN, B_MAX)),
-                 axis(mid[3], half[3], 6, (-1.0, 0.0)) if has_cap else np.array([0.0]))
-        u, v, b, s = (x.ravel() for x in np.meshgrid(*sides, indexing="ij"))
-        z, lnq = cost(*sides)
-        i = int(np.argmin(np.round(z, 9)))
-        if best is None or z[i] <= best[0]:
-            best = (z[i], u[i], v[i], b[i], s[i], lnq[i])
-        mid = [best[1], best[2], best[3], best[4]]
-        half = [h * (2.0 / (kk - 1)) for h, kk in zip(half, (*k, 6))]
-    _, u, v, b, _, lnq = best
-    qi, di, te = float(np.exp(lnq)), float(np.exp(u)), float(np.exp(v))
+    qi, di, te, b = (float(x[0]) for x in np_fit_rows(t, q[None], q_econ, cum, cap, prior))
     pred = qi * _shape(t, di, te, b)
     res, tot = float(((pred - q) ** 2).sum()), float(((q - q.mean()) ** 2).sum()) or 1.0
     binding = False
-    if has_cap:
-        binding = bool(cum + _remaining([qi], [di], [te], [b], q_econ, t_now)[0][0] >= 0.995 * cap)
-    return (qi, di, te, float(b), D_MIN, float(np.sqrt(res / n)), 1 - res / tot, n, True, binding)
+    if cap is not None and np.isfinite(cap) and cap > 0:
+        binding = bool(cum + _remaining([qi], [di], [te], [b], q_econ, float(t.max()))[0][0] >= 0.995 * cap)
+    return (qi, di, te, b, D_MIN, float(np.sqrt(res / n)), 1 - res / tot, n, True, binding)
 
 
 _NAMES = ["qi", "di", "t_elf", "b_bdf", "d_min", "rmse", "r2", "n", "converged", "cap_binding"]
@@ -303,8 +402,9 @@ def bootstrap_physics(packed: DataFrame, entity: str, *, q_econ: float, n_boot:
             curve = np.maximum(f.qi * _shape(t, f.di, f.t_elf, f.b_bdf), 1e-9)
             drawn = curve * np.exp(resampled(np.log(q / curve), draws.iloc[i], int(block.iloc[i])))
             known = {k: float(pr.iloc[i][k]) if np.isfinite(pr.iloc[i][k]) else default[k] for k in PRIOR_COLS}
-            start: dict = {}
-            fits = np.array([np_fit(t, row, q_econ, float(cut.cum), float(cut.cap), known, start)[:4] for row in drawn], float)
+            whole = len(t) >= 4 and bool(np.isfinite(t).all()) and bool((np.isfinite(drawn) & (drawn > 0)).all())
+            fits = (np.stack(np_fit_rows(t, drawn, q_econ, float(cut.cum), float(cut.cap), known), 1) if whole
+                    else np.array([np_fit(t, row, q_econ, float(cut.cum), float(cut.cap), known)[:4] for row in drawn], float))
             out.append(_remaining(*fits.T, q_econ, float(t.max()))[0].tolist())
         return pd.Series(out)
 

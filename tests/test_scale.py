@@ -4,7 +4,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from drawdown.operators import boosting as B, similarity, spatial
+from drawdown.operators import boosting as B, physics, similarity, spatial
 from drawdown.plans import business
 
 
@@ -72,3 +72,52 @@ def test_blocks_send_on_a_few_pairs_even_of_equal_ones(spark, monkeypatch):
         f = np.round(.5 * np.sqrt(((z[i] - z) ** 2).sum(1)) / 2 ** .5 + 1.5, 9)
         want = [j for j in np.lexsort((np.arange(2100), f)) if j != i][:3]
         assert [got[i, n + 1] for n in range(3)] == [(j, pytest.approx(f[j], abs=2e-9)) for j in want]
+
+
+def _plain_fit(t, q, q_econ, cum, cap, prior):
+    """The search of np_fit_rows cell by cell, with the volume of every cell."""
+    w = 0.5 ** ((t.max() - t) / 24.0)
+    w = w / w.mean() / physics.SIGMA ** 2
+    mid, half, best = [sum(x) / 2 for x in physics.BOXES], [(x[1] - x[0]) / 2 for x in physics.BOXES], None
+    for k in ((15, 11, 6), *[(7, 7, 5)] * 5):
+        k = (*k, 6)
+        u, v, b, s = (x.ravel() for x in np.meshgrid(*(np.unique(np.clip(m + h * np.linspace(-1, 1, n), *box)) for m, h, n, box in zip(mid, half, k, physics.BOXES)), indexing="ij"))
+        ls = np.log(physics._shape(t[:, None], np.exp(u), np.exp(v), b))
+        lnq = (w[:, None] * (np.log(q)[:, None] - ls)).sum(0) / w.sum() + s
+        z = (w[:, None] * (lnq + ls - np.log(q)[:, None]) ** 2).sum(0) + ((b - prior["b_mean"]) / prior["b_sd"]) ** 2 + ((v - np.log(prior["t_elf"])) / prior["t_elf_sd"]) ** 2 + ((u - prior["ln_di"]) / prior["ln_di_sd"]) ** 2
+        z += (50 * np.maximum(0, (cum + physics._remaining(np.exp(lnq), np.exp(u), np.exp(v), b, q_econ, t.max(), 2.0)[0]) / cap - 1)) ** 2
+        i = int(np.argmin(np.round(z, 9)))
+        if best is None or z[i] <= best[0]:
+            best = z[i], u[i], v[i], b[i], s[i], lnq[i]
+        mid, half = list(best[1:5]), [h * 2 / (n - 1) for h, n in zip(half, k)]
+    return np.exp(best[5]), np.exp(best[1]), np.exp(best[2]), best[3]
+
+
+def test_bounded_volumes_find_the_cells_of_the_whole_search(monkeypatch):
+    rng = np.random.default_rng(7)
+    t = np.arange(30.0)
+    rows = np.stack([300 * np.exp(-d * t + rng.normal(0, 0.25, 30)) for d in (0.0, 0.01, 0.05)])
+    cum, summed = 30.4 * rows[0].sum(), []
+    under = physics._under_cap
+    monkeypatch.setattr(physics, "_under_cap", lambda z, *a: summed.append(np.isfinite(out := under(z, *a)).sum() - np.isfinite(z).sum()) or out)
+    for cap in (1.02 * cum, 1.3 * cum, 30 * cum):
+        got = np.stack(physics.np_fit_rows(t, rows, 20.0, cum, cap, physics.DEFAULT_PRIOR), 1)
+        assert np.allclose(got, [_plain_fit(t, q, 20.0, cum, cap, physics.DEFAULT_PRIOR) for q in rows], rtol=1e-9)
+        assert np.allclose(got[1], physics.np_fit(t, rows[1], 20.0, cum, cap, physics.DEFAULT_PRIOR)[:4], rtol=1e-9)
+    assert summed
+
+
+def test_volume_bounds_hold_for_step_sums():
+    rng = np.random.default_rng(8)
+    lnq, u, v, b = rng.uniform(0, 9, 4000), rng.uniform(*physics.LN_DI, 4000), rng.uniform(*physics.LN_TELF, 4000), rng.choice([0.05, 0.3, 0.7, 1.0], 4000)
+    for now in (0.0, 12.0, 83.0):
+        low, high, _ = physics._volume_bounds(lnq, np.exp(u), np.exp(v), b, 3.0, now, 2.0)
+        full = physics._remaining(np.exp(lnq), np.exp(u), np.exp(v), b, 3.0, now, 2.0)[0]
+        assert (low <= full * (1 + 1e-9) + 1e-9).all() and (full <= high * (1 + 1e-9) + 1e-9).all()
+
+
+def test_log_shapes_are_the_logarithms_of_shapes():
+    rng = np.random.default_rng(9)
+    t, u, v, b = np.arange(0, 200, 7.0), rng.uniform(*physics.LN_DI, 500), rng.uniform(*physics.LN_TELF, 500), rng.uniform(physics.B_MIN, physics.B_MAX, 500)
+    want = np.log(physics._shape(t[:, None], np.exp(u), np.exp(v), b))
+    assert np.allclose(physics._log_shape(t[:, None], np.exp(u), np.exp(v), b), want, rtol=1e-9, atol=1e-9)
