@@ -4,7 +4,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from drawdown.operators import boosting as B, physics, similarity, spatial
+from drawdown.operators import boosting as B, physics, similarity, spatial, text
 from drawdown.plans import business
 
 
@@ -121,3 +121,22 @@ def test_log_shapes_are_the_logarithms_of_shapes():
     t, u, v, b = np.arange(0, 200, 7.0), rng.uniform(*physics.LN_DI, 500), rng.uniform(*physics.LN_TELF, 500), rng.uniform(physics.B_MIN, physics.B_MAX, 500)
     want = np.log(physics._shape(t[:, None], np.exp(u), np.exp(v), b))
     assert np.allclose(physics._log_shape(t[:, None], np.exp(u), np.exp(v), b), want, rtol=1e-9, atol=1e-9)
+
+
+def test_fusion_of_heads_equals_that_of_full_rankings(spark):
+    rng = np.random.default_rng(10)
+    a = {(q, d): float(rng.integers(0, 40)) / 8 for q in range(3) for d in range(400) if rng.random() < (0.9, 0.5, 0.01)[q]}
+    b = {(q, d): float(rng.integers(0, 40)) / 8 for q in range(3) for d in range(400) if rng.random() < 0.6}
+    frame = lambda x, name: spark.createDataFrame([(*k, v) for k, v in x.items()], f"q long, d long, {name} double")
+    got = {(r.q, r.rk): (r.d, r.rrf) for r in text.fused(frame(a, "bm25"), frame(b, "cosine"), ident="d", qid="q", k=5).collect()}
+    ranks = [{(q, d): n for q in range(3) for n, (_, d) in enumerate(sorted((-v, d) for (p, d), v in x.items() if p == q), 1)} for x in (a, b)]
+    for q in range(3):
+        full = sorted((-round(sum(1 / (60 + r[q, d]) for r in ranks if (q, d) in r), 9), d) for d in range(400) if (q, d) in a or (q, d) in b)
+        assert [got[q, n + 1] for n in range(5)] == [(d, pytest.approx(-s, abs=1e-9)) for s, d in full[:5]]
+
+
+def test_postings_are_dealt_once(spark):
+    docs = spark.createDataFrame([(1, "red widgets red"), (2, "blue ring"), (2, "blue ring")], "doc_id long, text string")
+    p = text.postings(docs, "doc_id", "text")
+    assert p._jdf.queryExecution().executedPlan().toString().split("== Initial Plan")[0].count("Exchange") == 1
+    assert {(r.doc_id, r.term): (r.tf, r.dl) for r in p.collect()} == {(1, "red"): (2, 3), (1, "widget"): (1, 3), (2, "blue"): (2, 2), (2, "ring"): (2, 2)}
